@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from . import batch as B
 
@@ -59,10 +60,17 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """Documents of one chunk: ids (0 where null), which ids and texts are null, bytes and offsets, and one int64 extra per document."""
+    """Documents of one chunk: ids (0 where null), which ids and texts are null, one int64 extra each, bytes and offsets, and the carried columns."""
 
-    def __init__(self, ids, id_null, text_null, extra, data, offsets):
-        self.ids, self.id_null, self.text_null, self.extra, self.data, self.offsets = ids, id_null, text_null, extra, data, offsets
+    def __init__(self, ids, id_null, text_null, extra, data, offsets, rest=b""):
+        self.ids, self.id_null, self.text_null, self.extra, self.data, self.offsets, self._rest = ids, id_null, text_null, extra, data, offsets, rest
+
+    @property
+    def carried(self) -> pa.Table:
+        return pa.ipc.open_stream(self._rest).read_all()
+
+    def null_texts(self) -> pa.Array:
+        return pa.array(self.text_null)
 
     def __len__(self):
         return len(self.ids)
@@ -77,7 +85,8 @@ class Chunk:
         flags = np.frombuffer(raw, np.uint8, n, 8 + 24 * n)
         offsets = np.zeros(n + 1, np.int64)
         np.cumsum(lens, out=offsets[1:])
-        return Chunk(ids, (flags & 1) > 0, (flags & 2) > 0, extra, np.frombuffer(raw, np.uint8, int(offsets[-1]), 8 + 25 * n), offsets)
+        end = 8 + 25 * n + int(offsets[-1])
+        return Chunk(ids, (flags & 1) > 0, (flags & 2) > 0, extra, np.frombuffer(raw, np.uint8, int(offsets[-1]), 8 + 25 * n), offsets, memoryview(raw)[end:])
 
     def id_array(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=self.id_null)
@@ -89,7 +98,17 @@ def _pack(batch: pa.RecordBatch, lo: int, hi: int) -> bytes:
     data, offsets = B.flat(texts)
     n = len(part)
     flags = np.asarray(ids.is_null()).astype(np.uint8) | np.asarray(texts.is_null()).astype(np.uint8) << 1
-    return press(b"".join((np.int64(n).tobytes(), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), extra.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.diff(offsets).tobytes(), flags.tobytes(), data.tobytes())))
+    return press(b"".join((np.int64(n).tobytes(), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), extra.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.diff(offsets).tobytes(), flags.tobytes(), data.tobytes(), _ipc(part, 3))), level=3)
+
+
+def _ipc(part: pa.RecordBatch, first: int) -> bytes:
+    if part.num_columns <= first:
+        return b""
+    rest = pa.Table.from_arrays(part.columns[first:], part.schema.names[first:])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rest.schema) as w:
+        w.write_table(rest)
+    return sink.getvalue().to_pybytes()
 
 
 def cuts(sizes: np.ndarray, most: int, rows: int = CHUNK_ROWS) -> list[int]:
@@ -104,8 +123,11 @@ def cuts(sizes: np.ndarray, most: int, rows: int = CHUNK_ROWS) -> list[int]:
     return [*out, len(sizes)] if len(sizes) else [0]
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, most: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of the documents, dealt out by ``b``. ``extra``: an SQL expression whose long value goes with each document."""
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, carry: list[str] | None = None, most: int = CHUNK_BYTES) -> DataFrame:
+    """Chunks of the documents, dealt out by ``b``.
+
+    ``extra``: an SQL expression whose long value goes with each document. ``carry``: columns that go with them unchanged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -115,7 +137,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str
             sizes = np.asarray(pc.binary_length(rows.column(1)).fill_null(0)).astype(np.int64)
             at = cuts(sizes, most)
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 33) + k], pa.int64()), pa.array([_pack(rows, lo, hi)], pa.binary())], ["b", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 24) + k], pa.int64()), pa.array([_pack(rows, lo, hi)], pa.binary())], ["b", "blob"])
                 k += 1
 
         for x in batches:
@@ -127,11 +149,20 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str
         if held and sum(len(x) for x in held):
             yield from out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"cast({extra or 'null'} as long) as extra")
+    rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"cast({extra or 'null'} as long) as extra", *(f"`{c}` as `_c{i}`" for i, c in enumerate(carry or ())))
     n = parts(docs.sparkSession)
     return rows.mapInArrow(run, CHUNK_SCHEMA).repartition(n, "b")
 
 
+def carried_schema(docs: DataFrame, columns: list[str]) -> StructType:
+    return StructType([docs.schema[c] for c in columns])
+
+
+def row_id(b: int, i: np.ndarray) -> np.ndarray:
+    """A number for each row: its chunk's and its place in it."""
+    return (np.int64(b) << 12) + i
+
+
 def each_chunk(chunks: DataFrame, fn: Callable[[int, Chunk], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn over every chunk."""
 
@@ -158,7 +189,7 @@ def answer(rows: DataFrame, fn: Callable[[int, list[int], list[bytes]], Iterator
     return rows.groupBy("k").applyInArrow(run, ANSWER_SCHEMA)
 
 
-def finish(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, dict[int, list[bytes]]], pa.Table], schema: str) -> DataFrame:
+def finish(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, dict[int, list[bytes]]], pa.Table], schema: StructType | str) -> DataFrame:
     """Each chunk with its answers by k. Chunks without answers are run too."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -171,11 +202,51 @@ def finish(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, dict
     return chunks.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(run, schema)
 
 
-def empty(schema: str) -> pa.Table:
+def empty(schema: StructType | str) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701
 
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
+
+
+# --- sorted keys ---
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as steps, byte plane by byte plane."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8")
+    return press(np.int64(len(keys)).tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    raw = unpress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    """Integers as offsets from the least, in as few bytes as hold them."""
+    base = int(x.min()) if len(x) else 0
+    d = (x - base).astype(np.uint64)
+    d = d.astype(np.min_scalar_type(int(d.max()) if len(d) else 0))
+    return press(np.array([base, len(x), d.itemsize], np.int64).tobytes() + np.ascontiguousarray(d.view(np.uint8).reshape(len(d), -1).T if len(d) else d).tobytes())
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    raw = unpress(blob)
+    base, n, w = np.frombuffer(raw, np.int64, 3).tolist()
+    if not n:
+        return np.zeros(0, np.int64)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * w, 24).reshape(w, n).T).view(f"<u{w}").ravel().astype(np.int64) + base
+
+
+def join_blobs(*blobs: bytes) -> bytes:
+    return np.array([len(blobs), *map(len, blobs)], np.int64).tobytes() + b"".join(blobs)
+
+
+def split_blobs(blob: bytes) -> list[bytes]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    at = 8 + 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(blob, np.int64, n, 8))])
+    return [blob[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 # --- distinct words ---------------------------------------------------------------------------------------------------

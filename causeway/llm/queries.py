@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, token_files
+from . import bpe, chat, decontaminate, flac, passages, token_files
 from . import exchange as X
 from . import files
 
@@ -31,6 +31,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
@@ -39,5 +43,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op5_flac_media, op6_token_files, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op9_byte_bpe, op10_decontamination)}
 ORACLES: dict[str, str] = {}
