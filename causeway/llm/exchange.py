@@ -123,8 +123,8 @@ def cuts(sizes: np.ndarray, most: int, rows: int = CHUNK_ROWS) -> list[int]:
     return [*out, len(sizes)] if len(sizes) else [0]
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, carry: list[str] | None = None, most: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of the documents, dealt out by ``b``.
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, carry: list[str] | None = None, most: int = CHUNK_BYTES, deal: bool = True) -> DataFrame:
+    """Chunks of the documents, dealt out by ``b`` (or left where they are cut, for a pass that needs no answers).
 
     ``extra``: an SQL expression whose long value goes with each document. ``carry``: columns that go with them unchanged.
     """
@@ -150,8 +150,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str
             yield from out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"cast({extra or 'null'} as long) as extra", *(f"`{c}` as `_c{i}`" for i, c in enumerate(carry or ())))
-    n = parts(docs.sparkSession)
-    return rows.mapInArrow(run, CHUNK_SCHEMA).repartition(n, "b")
+    chunks = rows.mapInArrow(run, CHUNK_SCHEMA)
+    return chunks.repartition(parts(docs.sparkSession), "b") if deal else chunks
 
 
 def carried_schema(docs: DataFrame, columns: list[str]) -> StructType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, passages, token_files
+from . import bpe, chat, decontaminate, flac, near_dup, passages, token_files
 from . import exchange as X
 from . import files
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -43,5 +47,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op9_byte_bpe, op10_decontamination)}
 ORACLES: dict[str, str] = {}
