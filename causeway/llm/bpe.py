@@ -81,7 +81,7 @@ def _ask(n: int):
         taken = values.take(pa.array(order))
         ks = np.flatnonzero(np.diff(bounds))
         if len(ks):
-            yield X.sent(b, ks, [X.press(X.pack_words(taken.slice(bounds[k], bounds[k + 1] - bounds[k]))) for k in ks])
+            yield X.sent(b, ks, [X.press(X.pack_words(taken.slice(bounds[k], bounds[k + 1] - bounds[k])), level=3) for k in ks])
 
     return ask
 

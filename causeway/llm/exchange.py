@@ -276,7 +276,7 @@ def deal(values: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_ragged(values: np.ndarray, lengths: np.ndarray) -> bytes:
-    return press(np.int64(len(lengths)).tobytes() + lengths.astype(np.uint32).tobytes() + values.tobytes())
+    return press(np.int64(len(lengths)).tobytes() + lengths.astype(np.uint32).tobytes() + values.tobytes(), level=3)
 
 
 def unpack_ragged(blob: bytes, dtype) -> tuple[np.ndarray, np.ndarray]:
