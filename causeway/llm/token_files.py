@@ -118,6 +118,12 @@ class WordEncoder:
                 kept[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@lru_cache(2)
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so its tasks share the words they have met."""
+    return WordEncoder(path)
+
+
 def _skippable(magic: int, body: bytes) -> bytes:
     return struct.pack("<II", magic, len(body)) + body
 
@@ -207,7 +213,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, doc_id:
 
     def run(batches):
         name, made = f"part-{TaskContext.get().partitionId():06d}.tok", [0, 0]
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
 
         def documents():
             for x in batches:
