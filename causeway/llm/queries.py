@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, near_dup, passages, token_files
+from . import bpe, chat, decontaminate, flac, langid, near_dup, passages, token_files
 from . import exchange as X
 from . import files
 
@@ -39,6 +39,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digests(_table(spark, sf_dir, "documents"))
 
 
+def _fold(rest: int) -> str:
+    """Whether a row is in the held-out fold."""
+    return f"coalesce(crc32(cast(doc_id as string)) % 5 = {rest}, false)"
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, "crc32(cast(doc_id as string)) % 5 <> 0")
+    return langid.identify(docs, model, reject=False).selectExpr("doc_id", f"{_fold(0)} as held_out", "lang_pred", "score", "rejected", "cross_entropy")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
@@ -47,5 +58,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination)}
 ORACLES: dict[str, str] = {}
