@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, langid, near_dup, passages, token_files
+from . import bpe, chat, decontaminate, flac, langid, near_dup, passages, token_files, toxicity
 from . import exchange as X
 from . import files
 
@@ -14,6 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(rest: int) -> str:
+    """Whether a row is in the held-out fold."""
+    return f"coalesce(crc32(cast(doc_id as string)) % 5 = {rest}, false)"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scorer = toxicity.train(docs, _table(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 5 <> 0")
+    return toxicity.score(docs, scorer).selectExpr("doc_id", f"{_fold(0)} as held_out", "score", "predicted")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -39,11 +50,6 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digests(_table(spark, sf_dir, "documents"))
 
 
-def _fold(rest: int) -> str:
-    """Whether a row is in the held-out fold."""
-    return f"coalesce(crc32(cast(doc_id as string)) % 5 = {rest}, false)"
-
-
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs, "crc32(cast(doc_id as string)) % 5 <> 0")
@@ -58,5 +64,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination)}
 ORACLES: dict[str, str] = {}
