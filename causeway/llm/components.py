@@ -1,33 +1,55 @@
 """Connected components of an edge table, by rounds of large and small stars.
 
-Each round is two aggregations and joins of pairs of numbers; nothing is collected. A node with very many links is a key
-whose minimum is aggregated before the shuffle and whose join Spark can split.
+A star is one exchange: edges are dealt out by node, sorted, and streamed, so a node's least neighbour comes first and a node
+with very many links needs no memory. Nothing is collected.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
 
+EDGES = "u long, v long"
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with v < u. Large: each node's greater neighbours go to its least one (itself counts); small: its lesser ones do."""
+    """edges (u, v) with v < u. Large: each node's greater neighbours go to its least one (itself counts); small: its lesser ones and itself do."""
+
+    def run(batches):
+        node, low, last = None, None, None
+        for x in batches:
+            u, v = x.column(0).to_numpy(), x.column(1).to_numpy()
+            if not len(u):
+                continue
+            new = np.concatenate([[node is None or u[0] != node], u[1:] != u[:-1]])
+            first = np.flatnonzero(new)
+            least = np.minimum(v[first], u[first]) if large else v[first]
+            if not new[0]:
+                first, least = np.concatenate([[0], first]), np.concatenate([[low], least])
+            m = np.repeat(least, np.diff(np.append(first, len(u))))
+            again = np.concatenate([[(u[0], v[0]) == last], (u[1:] == u[:-1]) & (v[1:] == v[:-1])])
+            node, low, last = u[-1], least[-1], (u[-1], v[-1])
+            if large:
+                keep = ~again & (v > u) & (v != m)
+                a, b = v[keep], m[keep]
+            else:
+                keep = ~again & (v != m)
+                a, b = np.concatenate([v[keep], u[new]]), np.concatenate([m[keep], m[new]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
     if large:
-        both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-    return out.where("u <> v").distinct()
+        edges = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.repartition(X.parts(edges.sparkSession), "u").sortWithinPartitions("u", "v").mapInArrow(run, EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node of the edges but the least of its component, and that least one. edges: two columns of numbers."""
     a, b = edges.columns
-    now = X.durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     mark = None
     while True:
         now = X.durable(_stars(_stars(now, True), False))

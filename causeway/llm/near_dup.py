@@ -242,7 +242,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     n = X.parts(spark)
     total = docs.count()
     chunks = X.pack(docs, doc_id, text, carry=carry)
-    asked = X.each_chunk(_alone(docs, doc_id, text, carry), _ask(n, size), X.SENT_SCHEMA)
+    asked = X.each_chunk(X.pack(docs, doc_id, text, deal=False), _ask(n, size), X.SENT_SCHEMA)
     df = X.durable(X.answer(asked, _frequencies))
     signed = X.durable(X.finish(chunks, df, _sign(n, size, bands, rows, total), SIGNED))
     reps = signed.groupBy("t1", "t2").agg(F.min("uid").alias("rep"))
@@ -254,7 +254,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     groups = X.durable(groups.select(F.col("u").alias("uid"), F.col("v").alias("grp")).union(groups.select(F.col("v").alias("uid"), F.col("v").alias("grp")).distinct()))
     wanted = groups.select((F.shiftright("uid", 12)).alias("b"), F.col("uid").bitwiseAND(4095).alias("i")).groupBy("b").applyInArrow(_places, X.ANSWER_SCHEMA)
     vectors = X.durable(X.finish(X.pack(docs, doc_id, text), df.union(wanted), _vectors(n, size, total), VECTORS))
-    links = _links(spark, signed, groups, vectors, similarity)
+    links = _links(signed, groups, vectors, similarity)
     named = signed.join(links.withColumnsRenamed({"u": "rep", "v": "cls"}), "rep", "left").select("uid", "doc_id", "rep", F.coalesce("cls", "rep").alias("cls"))
     return named, chunks
 
@@ -264,35 +264,35 @@ def _places(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(t.column("b").to_numpy()[:1]), pa.array([-1], pa.int32()), pa.array([X.pack_ints(t.column("i").to_numpy())], pa.binary())], ["b", "k", "blob"])
 
 
-def _alone(docs, doc_id, text, carry):
-    """The chunks as they are cut, not dealt out: a pass that needs no answers needs no shuffle."""
-    return X.pack(docs, doc_id, text, carry=carry, deal=False)
+def _links(signed: DataFrame, groups: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): text u belongs to the class that v stands for."""
+    member = groups.join(signed.where("uid = rep").select("uid", "size", "keys"), "uid")
+    sums = member.groupBy("grp").agg(F.count("*").alias("texts"), F.sum("size").alias("weight"))
+    tasks = X.durable(sums.select("grp", F.greatest(F.ceil(F.col("texts") / TASK_TEXTS), F.ceil(F.col("weight") / TASK_WEIGHT)).cast("int").alias("tasks")).where("tasks > 1"))
+    if not tasks.limit(1).count():
+        seats = groups.select("grp", F.lit(0).alias("block"), "uid", F.lit(False).alias("lead"))
+        return _compared(seats.withColumn("label", F.col("uid")), vectors, ["grp", "block"], similarity)
+    return _links_of_large(member, groups, tasks, vectors, similarity)
 
 
-def _links(spark, signed: DataFrame, groups: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): text u belongs to the class that v stands for."""
-    info = signed.where("uid = rep").select("uid", "size", "keys")
-    member = groups.join(info, "uid")
-    # the text that agrees most with its group's most frequent keys
-    key = member.select("grp", "uid", F.posexplode("keys").alias("band", "key"))
-    count = key.groupBy("grp", "band", "key").agg(F.count("*").alias("n"))
-    mode = count.groupBy("grp", "band").agg(F.max_by("key", F.struct("n", "key")).alias("key"))
+def _compared(seats: DataFrame, vectors: DataFrame, task: list[str], similarity: float) -> DataFrame:
+    return seats.join(vectors, "uid").groupBy(*task).applyInArrow(_verify(similarity), "u long, v long")
+
+
+def _links_of_large(member: DataFrame, groups: DataFrame, tasks: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    # the text that agrees most with its large group's most frequent keys
+    key = X.durable(member.join(tasks, "grp").select("grp", "uid", F.posexplode("keys").alias("band", "key")))
+    mode = key.groupBy("grp", "band", "key").agg(F.count("*").alias("n")).groupBy("grp", "band").agg(F.max_by("key", F.struct("n", "key")).alias("key"))
     agree = key.join(mode, ["grp", "band", "key"]).groupBy("grp", "uid").agg(F.count("*").alias("n"))
     lead = agree.groupBy("grp").agg(F.max_by("uid", F.struct("n", -F.col("uid"))).alias("leader"))
-    sums = member.groupBy("grp").agg(F.count("*").alias("texts"), F.sum("size").alias("weight"))
-    tasks = sums.select("grp", F.greatest(F.ceil(F.col("texts") / TASK_TEXTS), F.ceil(F.col("weight") / TASK_WEIGHT)).cast("int").alias("tasks"))
-    near = member.select("grp", "uid", F.get("keys", F.lit(0)).alias("near")).join(tasks, "grp").join(lead, "grp")
-    block = F.when(F.col("tasks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("uid"), F.col("tasks")).cast("int"))
-    dealt = X.durable(near.select("grp", "uid", "leader", "tasks", block.alias("block")))
+    block = F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("tasks")).cast("int"))
+    dealt = X.durable(groups.join(tasks.join(lead, "grp"), "grp", "left").select("grp", "uid", "leader", "tasks", block.alias("block")))
     # the leader sits in each block of its group
-    seats = dealt.select("grp", "block", "uid", (F.col("uid") == F.col("leader")).alias("lead")).union(
-        dealt.where("tasks > 1 and uid = leader").select("grp", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("block"), "uid", F.lit(True).alias("lead"))
-    ).distinct()
-    found = seats.withColumn("label", F.col("uid")).join(vectors, "uid").groupBy("grp", "block").applyInArrow(_verify(similarity), "u long, v long")
+    others = dealt.where("leader is null or uid <> leader").select("grp", "block", "uid", F.lit(False).alias("lead"))
+    leaders = dealt.where("uid = leader").select("grp", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("block"), "uid", F.lit(True).alias("lead"))
+    found = _compared(others.union(leaders).withColumn("label", F.col("uid")), vectors, ["grp", "block"], similarity)
     links = components(found)
-    if not dealt.where("tasks > 1").limit(1).count():
-        return links
-    labels = dealt.where("tasks > 1").join(links.withColumnsRenamed({"u": "uid", "v": "label"}), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    labels = dealt.where("tasks is not null").join(links.withColumnsRenamed({"u": "uid", "v": "label"}), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     top = labels.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
     labels = X.durable(labels.join(top, "grp"))
     rest = labels.where("label <> top")
@@ -302,11 +302,10 @@ def _links(spark, signed: DataFrame, groups: DataFrame, vectors: DataFrame, simi
     own = Window.partitionBy("grp").orderBy("uid")
     rows = rest.withColumn("row", F.floor((F.row_number().over(own) - 1) / TASK_TEXTS).cast("int"))
     most = rows.groupBy("grp").agg(F.max("row").alias("rows"))
-    pairs = rows.join(dealt.select("grp", F.col("tasks").alias("_t")).distinct(), "grp").select("grp", "row", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("block"), "uid", "label", F.lit(True).alias("lead"))
+    pairs = rows.select("grp", "row", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("block"), "uid", "label", F.lit(True).alias("lead"))
     pairs = pairs.union(labels.join(most, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("rows"))).alias("row"), "block", "uid", "label", F.lit(False).alias("lead")))
     pairs = pairs.groupBy("grp", "row", "block", "uid", "label").agg(F.max("lead").alias("lead"))
-    more = pairs.join(vectors, "uid").groupBy("grp", "row", "block").applyInArrow(_verify(similarity), "u long, v long")
-    return components(links.union(more))
+    return components(links.union(_compared(pairs, vectors, ["grp", "row", "block"], similarity)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
