@@ -25,6 +25,8 @@ from . import batch as B
 from . import exchange as X
 
 ENCODED = "doc_id long, ids array<int>"
+#: Larger chunks than elsewhere: the more words a chunk has, the fewer of them are new to it.
+CHUNK_BYTES = 8 << 20
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _AFTER = ~B.SPACE
@@ -133,12 +135,12 @@ def decode(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     return B.gather(data, offs[:-1][ids], np.diff(offs)[ids])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """One row per document: its id and token ids; with ``digests`` digests of the ids and of the bytes they decode to.
 
     ``path``: a file of ranks (base64 token, rank). ``pattern``: the pre-token pattern.
     """
-    chunks = X.pack(docs, doc_id, text, extra)
+    chunks = X.pack(docs, doc_id, text, most=CHUNK_BYTES)
     n = X.parts(docs.sparkSession)
     replies = X.answer(X.each_chunk(chunks, _ask(n), X.SENT_SCHEMA), _reply(path, pattern))
 
