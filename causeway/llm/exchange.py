@@ -192,17 +192,20 @@ def answer(rows: DataFrame, fn: Callable[[int, list[int], list[bytes]], Iterator
 def finish(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, dict[int, list[bytes]]], pa.Table], schema: StructType | str) -> DataFrame:
     """Each chunk with its answers by k. Chunks without answers are run too."""
 
+    blank = empty(schema)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         by: dict[int, list[bytes]] = {}
         for k, blob in zip(right.column("k").to_pylist(), right.column("blob"), strict=True):
             by.setdefault(k, []).append(blob.as_py())
         made = [fn(b, Chunk.of(blob.as_py()), by) for b, blob in zip(left.column("b").to_pylist(), left.column("blob"), strict=True)]
-        return pa.concat_tables(made) if made else empty(schema)
+        return pa.concat_tables(made) if made else blank
 
     return chunks.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(run, schema)
 
 
 def empty(schema: StructType | str) -> pa.Table:
+    """An Arrow table without rows; for the driver, which has a session to parse with."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()

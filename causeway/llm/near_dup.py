@@ -174,10 +174,12 @@ VECTORS = "uid long, blob binary"
 
 
 def _vectors(n: int, size: int, total: int):
+    blank = X.empty(VECTORS)
+
     def done(b, c, answers):
         wanted = np.sort(np.concatenate([X.unpack_ints(x) for x in answers[-1]])) if -1 in answers else np.zeros(0, np.int64)
         if not len(wanted):
-            return X.empty(VECTORS)
+            return blank
         s = Shingles(c, size)
         w = s.weigh(answers, n, total)
         lo, hi = np.searchsorted(s.text, wanted), np.searchsorted(s.text, wanted, side="right")

@@ -109,6 +109,8 @@ def _runs(at: np.ndarray, owner: np.ndarray, text: np.ndarray) -> tuple[np.ndarr
 
 
 def _send_texts(n: int, size: int):
+    blank = X.empty(X.SENT_SCHEMA)
+
     def done(b, c, answers):
         w = _Windows(c, size)
         at = _bounds(w.keys, n)
@@ -144,7 +146,7 @@ def _send_texts(n: int, size: int):
             i, j = cut[k], cut[k + 1]
             codes, values = B.encode(said.slice(i, j - i))  # equal texts once
             blobs.append(X.join_blobs(*(X.pack_ints(x[i:j]) for x in (kind, own, text, start)), X.pack_ints(codes), X.press(X.pack_words(values))))
-        return pa.Table.from_batches([X.sent(b, ks, blobs)]) if len(ks) else X.empty(X.SENT_SCHEMA)
+        return pa.Table.from_batches([X.sent(b, ks, blobs)]) if len(ks) else blank
 
     return done
 

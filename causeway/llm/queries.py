@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, langid, near_dup, passages, token_files, toxicity
+from . import bpe, chat, decontaminate, flac, langid, lm_scoring, near_dup, passages, token_files, toxicity
 from . import exchange as X
 from . import files
 
@@ -25,6 +25,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer).selectExpr("doc_id", f"{_fold(0)} as held_out", "score", "predicted")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "crc32(cast(doc_id as string)) % 5 <> 1", _fold(1))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -64,5 +69,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination)}
 ORACLES: dict[str, str] = {}

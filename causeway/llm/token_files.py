@@ -33,7 +33,8 @@ from . import files
 SKIPPABLE, SEEK_TABLE, SEEKABLE_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_TOKENS = 1 << 15
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_KEPT = 300_000
+_KEPT = 500_000
+ENCODED_BYTES = 8 << 20
 
 
 @lru_cache(2)
@@ -64,6 +65,27 @@ def _word_ends(path: str) -> np.ndarray:
     return out
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with plain capitals made small, and starts and ends of pieces: pre-tokens of words of plain characters, and other words whole."""
+    data = B.LOWER[data]
+    if len(data):
+        wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+        data[wide[(data[wide] < 0x9F) & (data[wide] != 0x97)]] |= 0x20
+    starts, ends, _ = B.words(data, offsets, B.SPACE)
+    kind = _CLASS[data]
+    odd = np.concatenate([[0], np.cumsum(kind == 0)])
+    other = odd[ends] - odd[starts] > 0
+    whole = np.zeros(len(data) + 1, np.int8)
+    whole[starts[other]] += 1
+    whole[ends[other]] -= 1
+    first, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    first[starts] = last[ends - 1] = True
+    part = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0) & (np.cumsum(whole, dtype=np.int8)[1:-1] == 0) if len(data) else first
+    first[1:] |= part
+    last[:-1] |= part
+    return data, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 class WordEncoder:
     """Ids of texts by their words. White space separates tokens of a tokenizer that drops it, so words can be encoded apart.
 
@@ -76,7 +98,8 @@ class WordEncoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and offsets by text."""
-        starts, ends, by = B.words(data, offsets, B.SPACE)
+        data, starts, ends = _pieces(data, offsets)
+        by = np.searchsorted(starts, offsets)
         codes, values = B.encode(B.binary(data, starts, ends))
         words = values.to_pylist()
         if len(self.kept) > _KEPT:  # bounds memory; a word that is missing is encoded again
@@ -218,7 +241,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, doc_id:
         def documents():
             for x in batches:
                 sizes = np.asarray(pc.binary_length(x.column(1)).fill_null(0)).astype(np.int64)
-                at = X.cuts(sizes, X.CHUNK_BYTES)
+                at = X.cuts(sizes, ENCODED_BYTES)
                 for lo, hi in zip(at[:-1], at[1:], strict=True):
                     part = x.slice(lo, hi - lo)
                     ids, offs = encoder(*B.flat(part.column(1)))
