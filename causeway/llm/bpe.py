@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
 from . import batch as B
@@ -167,6 +168,27 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return X.finish(chunks, replies, done, DIGESTS if digests else ENCODED)
 
 
+def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` in place of the text, and ``exact``: whether they decode to it (always, but for a fault)."""
+    others = [c for c in docs.columns if c != text]
+    n = X.parts(docs.sparkSession)
+    chunks = X.pack(docs, doc_id, text, carry=others, most=CHUNK_BYTES)
+    replies = X.answer(X.each_chunk(chunks, _ask(n), X.SENT_SCHEMA), _reply(path, pattern))
+
+    def done(b, c, answers):
+        at, codes, _, order, bounds = _distinct(c, n)
+        ids, offs = assemble(order, bounds, codes, answers)
+        by_doc = offs[np.searchsorted(at, c.offsets)]
+        data, spots = decode(ids, path)
+        to, raw, said = spots[by_doc], memoryview(c.data), memoryview(data)
+        exact = [raw[i:j] == said[k:m] for i, j, k, m in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), to[:-1].tolist(), to[1:].tolist(), strict=True)]
+        rest = c.carried
+        return pa.table([*rest.columns, pa.ListArray.from_arrays(pa.array(by_doc, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(exact)], [*others, "ids", "exact"])
+
+    schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+    return X.finish(chunks, replies, done, schema)
+
+
 def decode_rows(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with a column ``bytes``: what the ids decode to (null ids: empty)."""
 
@@ -179,6 +201,4 @@ def decode_rows(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             edge = spots[np.concatenate([[0], np.cumsum(own)])]
             yield pa.RecordBatch.from_arrays([*x.columns, B.from_parts(data, edge).cast(pa.binary())], [*x.schema.names, "bytes"])
 
-    import pyspark.sql.types as T
-
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))

@@ -133,26 +133,40 @@ def isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: words, words inside item windows, and the items whose windows occur."""
+    rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text")
+    return _scanned(rows, "doc_id", "text", benchmark, item_id, item_text, window, gram, broadcast_bytes, False)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without those in which a window of an item occurs; all columns unchanged."""
+    return _scanned(docs, doc_id, text, benchmark, item_id, item_text, window, gram, broadcast_bytes, True)
+
+
+def _scanned(docs, doc_id, text, benchmark, item_id, item_text, window, gram, broadcast_bytes, keep) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.selectExpr(f"cast(`{item_id}` as string) as item_id", f"cast(`{item_text}` as string) as text").where("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        held = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.collect()])
-        rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text")
+    if size > broadcast_bytes:
+        return _by_shuffle(docs, items, doc_id, text, window, gram, keep)
+    held = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.collect()])
+    i_id, i_text = docs.columns.index(doc_id), docs.columns.index(text)
 
-        def run(batches: Iterable[pa.RecordBatch]):
-            made = Items([i for i, _ in held.value], [t for _, t in held.value], window, gram)
-            for x in batches:
-                sizes = np.asarray(pc.binary_length(x.column(1)).fill_null(0)).astype(np.int64)
-                at = X.cuts(sizes, X.CHUNK_BYTES)
-                for lo, hi in zip(at[:-1], at[1:], strict=True):
-                    part = x.slice(lo, hi - lo)
-                    ids = part.column(0)
-                    c = X.Chunk(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), None, None, *B.flat(part.column(1)))
-                    yield from scan(c, made).to_batches()
+    def run(batches: Iterable[pa.RecordBatch]):
+        made = Items([i for i, _ in held.value], [t for _, t in held.value], window, gram)
+        for x in batches:
+            sizes = np.asarray(pc.binary_length(x.column(i_text)).fill_null(0)).astype(np.int64)
+            at = X.cuts(sizes, X.CHUNK_BYTES)
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                part = x.slice(lo, hi - lo)
+                ids = part.column(i_id).cast(pa.int64())
+                c = X.Chunk(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), None, None, *B.flat(part.column(i_text)))
+                found = scan(c, made)
+                if keep:
+                    yield part.filter(pc.invert(found.column("contaminated").combine_chunks()))
+                else:
+                    yield from found.to_batches()
 
-        return rows.mapInArrow(run, HITS)
-    return _by_shuffle(docs, items, doc_id, text, window, gram)
+    return docs.mapInArrow(run, docs.schema if keep else HITS)
 
 
 def _keys(h: np.ndarray, by: np.ndarray, sizes: list[int], window: int, gram: int) -> np.ndarray:
@@ -161,10 +175,10 @@ def _keys(h: np.ndarray, by: np.ndarray, sizes: list[int], window: int, gram: in
     return np.unique(np.concatenate([*out, *(B.windows(h, by, s)[0] for s in sizes)]))
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
-    spark = docs.sparkSession
-    n = X.parts(spark)
-    chunks = X.pack(docs, doc_id, text)
+def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, window: int, gram: int, keep: bool) -> DataFrame:
+    n = X.parts(docs.sparkSession)
+    others = [c for c in docs.columns if c != text] if keep else []
+    chunks = X.pack(docs, doc_id, text, carry=others)
     sizes = list(range(1, window))
 
     def ask(b, c):
@@ -212,6 +226,8 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, windo
         import json
 
         got = [json.loads(x) for x in answers.get(0, [])]
-        return scan(c, Items([x["item_id"] for x in got], [x["text"].encode() for x in got], window, gram) if got else None)
+        found = scan(c, Items([x["item_id"] for x in got], [x["text"].encode() for x in got], window, gram) if got else None)
+        return X.rows_of(c, text, others, columns, pc.invert(found.column("contaminated")).combine_chunks()) if keep else found
 
-    return X.finish(chunks, given, done, HITS)
+    columns = docs.columns
+    return X.finish(chunks, given, done, docs.schema if keep else HITS)

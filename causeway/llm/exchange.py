@@ -158,6 +158,14 @@ def carried_schema(docs: DataFrame, columns: list[str]) -> StructType:
     return StructType([docs.schema[c] for c in columns])
 
 
+def rows_of(c: Chunk, text: str, others: list[str], columns: list[str], keep: pa.Array) -> pa.Table:
+    """A chunk's rows for which ``keep`` holds, as they were: its texts and carried columns."""
+    texts = pc.if_else(c.null_texts(), None, B.from_parts(c.data, c.offsets).cast(pa.string()))
+    rest = c.carried if others else None
+    cols = {name: rest.column(i) for i, name in enumerate(others)} | {text: texts}
+    return pa.table([cols[x] for x in columns], columns).filter(keep)
+
+
 def row_id(b: int, i: np.ndarray) -> np.ndarray:
     """A number for each row: its chunk's and its place in it."""
     return (np.int64(b) << 12) + i

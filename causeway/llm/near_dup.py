@@ -19,11 +19,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import batch as B
 from . import exchange as X
@@ -324,14 +322,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     kept = named.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid"))["uid"].alias("uid"))
     wanted = kept.select(F.shiftright("uid", 12).alias("b"), F.col("uid").bitwiseAND(4095).alias("i")).groupBy("b").applyInArrow(_places, X.ANSWER_SCHEMA)
     columns = docs.columns
-    schema = StructType([docs.schema[c] for c in columns])
 
     def done(b, c, answers):
-        at = np.sort(X.unpack_ints(answers[-1][0])) if -1 in answers else np.zeros(0, np.int64)
-        texts = B.from_parts(c.data, c.offsets).cast(pa.string())
-        texts = pc.if_else(c.null_texts(), None, texts).take(pa.array(at))
-        rest = c.carried.take(pa.array(at))
-        cols = {name: rest.column(i) for i, name in enumerate(others)} | {text: texts}
-        return pa.table([cols[x] for x in columns], columns)
-
-    return X.finish(chunks, wanted, done, schema)
+        keep = np.zeros(len(c), bool)
+        for blob in answers.get(-1, []):
+            keep[X.unpack_ints(blob)] = True
+        return X.rows_of(c, text, others, columns, pa.array(keep))
+
+    return X.finish(chunks, wanted, done, docs.schema)
