@@ -17,6 +17,8 @@ A class is named by its least id (null if it has none). Rows of equal id are row
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -106,20 +108,25 @@ def _frequencies(k, chunks, blobs):
             yield b, X.join_blobs(X.pack_sorted(more.astype(np.uint64)), X.pack_ints(df[more]))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draws by 16 bits: r and ln c of Gamma(2, 1), beta uniform. Fixed by a seed, so the same on every executor."""
+_DRAW = 12
+
+
+@lru_cache(2)
+def _draws(n: int) -> tuple[np.ndarray, ...]:
+    """Tables by _DRAW bits of 1 / r, r and ln c (Gamma(2, 1)) and beta - 1 (uniform), and n odd multipliers. Fixed by a seed, so the same on every executor."""
     rng = np.random.default_rng(20240229)
-    return rng.gamma(2, 1, 1 << 16).astype(np.float32), np.log(rng.gamma(2, 1, 1 << 16)).astype(np.float32), rng.random(1 << 16).astype(np.float32)
+    r, c, beta = rng.gamma(2, 1, 1 << _DRAW), np.log(rng.gamma(2, 1, 1 << _DRAW)), rng.random(1 << _DRAW)
+    return *(x.astype(np.float32) for x in (1 / r, r, c, beta)), rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Which texts have shingles (in order), and n consistent weighted samples of each (rows): equal with the probability of the weighted Jaccard similarity."""
-    r_of, c_of, b_of = _tables()
+    inverse, r_of, c_of, b_of, odd = _draws(n)
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(text)))
     out = np.zeros((len(first), n), np.uint64)
     log_w = np.log(weights)
-    low, high = np.uint64(0xFFFF), np.uint64(16)
+    low, shift = np.uint64((1 << _DRAW) - 1), [np.uint64(64 - _DRAW * k) for k in (1, 2, 3)]
     step = 1 << 15
     at = 0
     while at < len(first):  # in blocks that stay in the cache
@@ -127,12 +134,18 @@ def samples(hashes: np.ndarray, weights: np.ndarray, text: np.ndarray, n: int) -
         i, j = first[at], first[end] if end < len(first) else len(text)
         h, lw, own, heads = hashes[i:j], log_w[i:j], counts[at:end], first[at:end] - i
         for k in range(n):
-            z = B.mix(h ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1))
-            r = r_of[(z & low).astype(np.int32)]
-            beta = b_of[(z >> high & low).astype(np.int32)]
-            t = np.floor(lw / r + beta)
-            a = c_of[(z >> np.uint64(32) & low).astype(np.int32)] - r * (t - beta) - r
-            best = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, heads), own))
+            z = h * odd[k]  # the high bits of a product with a random odd number
+            x = (z >> shift[0]).view(np.int64)
+            r = r_of[x]
+            beta = b_of[(z >> shift[1] & low).view(np.int64)]
+            t = lw * inverse[x]
+            t += beta
+            np.floor(t, out=t)
+            beta -= t
+            beta -= np.float32(1)
+            beta *= r
+            beta += c_of[(z >> shift[2] & low).view(np.int64)]  # ln c - r (t - beta + 1)
+            best = np.flatnonzero(beta == np.repeat(np.minimum.reduceat(beta, heads), own))
             pick = best[np.searchsorted(best, heads)]
             out[at:end, k] = B.mix(h[pick] ^ B.mix(t[pick].astype(np.int64).astype(np.uint64) + np.uint64(k)))
         at = end
