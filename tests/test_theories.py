@@ -1,0 +1,157 @@
+"""Golden values of the three-node example, and graphs against exhaustive search."""
+
+from collections import Counter
+from fractions import Fraction
+from itertools import combinations, product
+
+import pytest
+from pyspark.sql import functions as F
+
+from causeway.errors import ExpansionError, RegistryError, StateError
+from causeway.functions import graphs as G
+from causeway.operators import dyads as D
+from causeway.operators import expansion as X
+from causeway.operators import models as M
+from causeway.operators import profiles as P
+from causeway.operators import signatures as S
+from causeway.sources import registry as R
+
+NODES = [{"name": "Z", "timing": 1}, {"name": "X", "timing": 2}, {"name": "Y", "timing": 3}]
+
+
+@pytest.fixture(scope="module")
+def f2(spark):
+    reg = R.build(NODES, exposure="X", outcome="Y")
+    claims = X.exhaustive(spark, reg).persist()
+    return reg, claims, M.pack(claims, reg).persist()
+
+
+def test_registry_and_states(f2):
+    reg, claims, _ = f2
+    assert [(r["comp_id"], r["source"], r["target"], r["fixed_status"]) for r in reg.rows] == [("C0001", "Z", None, None), ("C0002", "X", None, None), ("C0003", "Y", None, None), ("C0004", "Z", "X", None), ("C0005", "Z", "Y", None), ("C0006", "X", "Y", "causal")]
+    rows = {(r["model_id"], r["comp_id"]): r["status"][0] for r in claims.collect()}
+    assert len(rows) == 54
+    assert ["".join(rows[f"M{i:04d}", c] for c in ("C0004", "C0005")) for i in range(1, 10)] == ["cc", "cu", "cn", "uc", "uu", "un", "nc", "nu", "nn"]
+
+
+def test_pairs(f2):
+    reg, _, m = f2
+    rows = {r["dyad_id"]: r for r in D.all_pairs(m, reg).collect()}
+    assert len(rows) == 72
+    rate = Counter(Fraction(r["shared_resolved_claims"], r["union_resolved_claims"]) for r in rows.values())
+    assert rate == {Fraction(5, 6): 16, Fraction(4, 5): 8, Fraction(5, 7): 8, Fraction(2, 3): 20, Fraction(4, 7): 16, Fraction(1, 2): 4}
+    r = rows["M0001__M0009"]
+    assert (r["shared_resolved_claims"], r["union_resolved_claims"], r["repair_cost"], r["similarity_rate"], r["conflicting_components"]) == (4, 8, 2, 0.5, ["C0004", "C0005"])
+    assert rows["M0002__M0004"]["similarity_rate"] == 0.666667 and not rows["M0002__M0004"]["existence_conflict"]
+    assert all(r["timing_compatible"] for r in rows.values())
+    some = D.touching(m, reg, m.where("model_id = 'M0003'").select("model_id"))
+    assert sorted(r["dyad_id"] for r in some.collect()) == sorted(k for k in rows if "M0003" in k)
+    assert {r["ego_id"] for r in D.single_reference(m, reg, "M0005").collect()} == {"M0005"}
+    assert D.counts(D.pairs(m, reg, itself=True), reg).where("ego_id = alter_id and shared = union_claims").count() == 9
+
+
+def test_profiles(f2):
+    reg, _, m = f2
+    p = {r["model_id"]: r for r in P.build(m, reg, "X", "Y").collect()}
+    assert p["M0001"]["mas"] == [["Z"]] and all(p[f"M000{i}"]["mas"] == [[]] for i in (3, 7, 9))
+    assert p["M0006"]["robust_mas"] == p["M0008"]["robust_mas"] == [[]]
+    assert all(p[f"M000{i}"]["robust_mas"] == [] and p[f"M000{i}"]["mas"] is None for i in (2, 4, 5))
+    assert all(r["identified"] and r["nodes"] == ["X", "Y", "Z"] for r in p.values())
+    c = P.compare(D.counts(D.pairs(m, reg), reg).select("ego_id", "alter_id"), P.build(m, reg, "X", "Y"))
+    assert c.where("mas_compatible").count() == 20 and c.where("identified_compatible").count() == 72
+    d = {r["model_id"]: r for r in S.diagnostics(m, reg).collect()}
+    assert d["M0005"]["expected"] == d["M0005"]["represented"] == 4 and all(r["coverage_complete"] for r in d.values())
+    assert S.support(m.where("model_id <> 'M0009'"), reg).select("model_id").collect()[0][0] == "__support_000001"
+
+
+def test_claims_round_trip_and_are_checked(spark, f2):
+    reg, claims, m = f2
+    back = M.unpack(m, reg)
+    assert sorted(map(tuple, back.select("model_id", "comp_id", "status").collect())) == sorted(map(tuple, claims.select("model_id", "comp_id", "status").collect()))
+    assert M.unpack(m, reg, dense=True).count() == 54 and M.unknown_edges(m, reg).count() == 6
+    bad = R.claims_frame(spark, [{"model_id": "A", "comp_id": "C0001", "status": "absent"}, {"model_id": "A", "comp_id": "C0004", "status": "causal"}])
+    with pytest.raises(StateError, match="endpoint"):
+        M.require_valid(bad, reg)
+    assert M.pack(bad, reg).first()["cm0"] == 0
+    changed = M.set_status(claims, spark.createDataFrame([("M0001", "C0004", "unknown")], "model_id string, comp_id string, status string"))
+    assert M.unknown_edges(M.pack(changed, reg), reg).count() == 7 and changed.count() == 54
+
+
+def test_registry_rules(spark, tmp_path):
+    with pytest.raises(RegistryError):
+        R.build(NODES, exposure="X")
+    with pytest.raises(RegistryError):
+        R.build(NODES, exposure="X", outcome="Y", constraints=[{"source": "X", "target": "Y", "direction": "->", "rule": "forbid"}])
+    untimed = R.build([{"name": n} for n in "XYZ"], exposure="X", outcome="Y", include_bidirectional=True)
+    edges = {(r["source"], r["target"], r["direction"]) for r in untimed.edges}
+    assert ("Y", "X", "->") not in edges and ("X", "Y", "<->") not in edges and ("X", "Z", "<->") in edges and len(edges) == 7
+    late = R.build([{"name": "A", "timing_options": [1, 3]}, {"name": "B", "timing_options": [2]}], constraints=[{"source": "A", "target": "B", "direction": "<->", "rule": "require"}])
+    assert [(r["source"], r["target"], r["direction"]) for r in late.edges] == [("A", "B", "->"), ("B", "A", "->"), ("A", "B", "<->")]
+    last = R.build(NODES, constraints=[{"source": "Z", "target": "X", "direction": "->", "rule": "allow"}, {"source": "X", "target": "Y", "direction": "->", "rule": "require"}])
+    assert [(r["source"], r["target"]) for r in last.edges] == [("Z", "X"), ("X", "Y")] and last.rows[-1]["description"].endswith("(required)")
+    late.write(spark, str(tmp_path / "r"))
+    assert R.read(spark, str(tmp_path / "r")).rows == late.rows and R.read(spark, str(tmp_path / "r")).meta["timing_options"] == {"A": [1, 3], "B": [2]}
+    with pytest.raises(RegistryError):
+        R.from_rows([])
+
+
+def test_expansion_limits_cycles_and_samples(spark):
+    reg = R.build([{"name": n} for n in "ABC"])
+    with pytest.raises(ExpansionError):
+        X.exhaustive(spark, reg, max_models=100)
+    ids = X.exhaustive(spark, reg, edge_statuses=("causal", "non-causal")).select("model_id").distinct()
+    assert ids.count() == 25  # labelled acyclic graphs on three nodes
+    one = sorted(map(tuple, X.sampled(spark, reg, 10, seed=5).collect()))
+    assert one == sorted(map(tuple, X.sampled(spark, reg, 10, seed=5).collect())) and len({r[0] for r in one}) == 10
+    some = X.exhaustive(spark, R.build(NODES, exposure="X", outcome="Y"), node_policy="optional", required_nodes=["X", "Y"])
+    assert some.select("model_id").distinct().count() == 10
+
+
+def test_seeds(spark, f2):
+    reg, claims, _ = f2
+    seed = R.claims_frame(spark, [{"model_id": "S1", "comp_id": c, "status": "causal"} for c in ("C0004", "C0005", "C0006")])
+    out = X.with_seeds(claims, seed, reg)
+    ids = {r[0] for r in out.select("model_id").distinct().collect()}
+    assert "S1" in ids and "M0001" not in ids and len(ids) == 9
+
+
+def test_graphs_by_brute_force():
+    def paths_open(g, x, y, z):
+        """d-connection by walking all simple paths."""
+        edges = g.directed
+        below = {i: set(G.bits_of(G.reach(1 << i, g.children()))) for i in range(g.n)}
+
+        def walk(path):
+            last = path[-1]
+            if last == y:
+                for a, b, c in zip(path, path[1:], path[2:], strict=False):
+                    collider = (a, b) in edges and (c, b) in edges
+                    if collider and not below[b] & set(z) or not collider and b in z:
+                        return False
+                return True
+            return any(walk([*path, n]) for n in range(g.n) if n not in path and ((last, n) in edges or (n, last) in edges))
+
+        return walk([x])
+
+    for on in product((0, 1), repeat=6):
+        g = G.Graph(4, {e for e, k in zip(combinations(range(4), 2), on, strict=True) if k})
+        for zs in ((), (1,), (2,), (1, 2)):
+            assert G.separated(g, 0, 3, sum(1 << i for i in zs)) == (not paths_open(g, 0, 3, zs)), (on, zs)
+
+
+def test_front_door_and_bow():
+    names = {n: i for i, n in enumerate(("X1", "X2", "Y", "U"))}
+    hidden = {(names["U"], names["X1"]), (names["U"], names["Y"]), (names["X1"], names["X2"]), (names["X2"], names["Y"])}
+    for direct, known in ((False, True), (True, False)):
+        g = G.project(G.Graph(4, hidden | ({(0, 2)} if direct else set())), 1 << 3)
+        assert g.bidirected == {(0, 2)} and G.adjustment_sets(g, 0, 2, 0b111) == []
+        assert G.identifiable(g, 1, 4, 0b111) is known
+    assert G.adjustment_sets(G.Graph(3, {(0, 1), (1, 2)}), 0, 2, 0b111) == [0]
+
+
+def test_symmetry_and_identity(spark, f2):
+    reg, _, m = f2
+    c = D.counts(D.pairs(m, reg), reg)
+    back = c.select(F.col("ego_id").alias("alter_id"), F.col("alter_id").alias("ego_id"), "shared", "union_claims", "repair_cost")
+    assert c.select(*back.columns).exceptAll(back).count() == 0
+    assert c.where("repair_cost = 0").count() == 0
