@@ -1,10 +1,294 @@
-"""Queries over the driver's tables, and the same in SQL."""
+"""Queries over theories derived from the driver's events, and the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from causeway.operators import clusters as C
+from causeway.operators import dyads as D
+from causeway.operators import models as M
+from causeway.operators import profiles as P
+from causeway.operators import signatures as S
+from causeway.operators import summaries as U
+from causeway.operators.crux import Crux
+from causeway.sources import events as E
+from causeway.sources import registry as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The models, nodes and edges of the events, as rows.
+BASE = """
+with node as (select cast(user_id as varchar) m, event_type n, cast(min(date_diff('day', timestamp '2024-01-01 00:00:00', ts)) as int) t
+  from events where ts < timestamp '2024-01-04 00:00:00' group by 1, 2),
+names as (select n, row_number() over (order by n) i, count(*) over () k from (select distinct event_type n from events)),
+reg as (select a.n s, b.n d, 'C' || lpad(cast(a.k + row_number() over (order by a.i, b.i) as varchar), 4, '0') c from names a join names b on a.i < b.i),
+nreg as (select n, 'C' || lpad(cast(i as varchar), 4, '0') c from names),
+edge as (select x.m, reg.s, reg.d, reg.c, x.t ts, y.t td, case when x.t < y.t then 1 when x.t > y.t then 2 else 0 end st
+  from reg join node x on x.n = reg.s join node y on y.m = x.m and y.n = reg.d),
+models as (select distinct m from node),
+pairs as (select a.m e, b.m a from models a join models b on a.m <> b.m),
+nn as (select m, count(*) k from node group by m), ne as (select m, count(*) k from edge group by m),
+ns as (select a.m e, b.m a, count(*) c, count(case when a.t <> b.t then 1 end) other from node a join node b on a.n = b.n and a.m <> b.m group by 1, 2),
+es as (select a.m e, b.m a, count(*) both_app, sum(case when a.st = b.st and a.st > 0 then 1 else 0 end) sh, sum(case when a.st > 0 or b.st > 0 then 1 else 0 end) un,
+  sum(case when a.st > 0 and b.st > 0 and a.st <> b.st then 1 else 0 end) cf, sum(case when a.st <> b.st then 1 else 0 end) moved
+  from edge a join edge b on a.c = b.c and a.m <> b.m group by 1, 2),
+dyad as (select p.e ego_id, p.a alter_id, cast(coalesce(ns.c, 0) + coalesce(es.sh, 0) as bigint) shared,
+  cast(x.k + y.k - coalesce(ns.c, 0) + coalesce(es.un, 0) + coalesce(es.cf, 0) + coalesce(ex.k, 0) + coalesce(ey.k, 0) - 2 * coalesce(es.both_app, 0) as bigint) union_claims,
+  cast(x.k + y.k - 2 * coalesce(ns.c, 0) + coalesce(ex.k, 0) + coalesce(ey.k, 0) - 2 * coalesce(es.both_app, 0) + coalesce(es.moved, 0) as bigint) repair_cost,
+  cast(x.k + y.k - 2 * coalesce(ns.c, 0) as bigint) node_conflicts, cast(coalesce(es.cf, 0) as bigint) edge_conflicts,
+  cast((select count(*) from reg) - coalesce(es.both_app, 0) as bigint) inapplicable_components, coalesce(ns.other, 0) = 0 timing_compatible
+  from pairs p join nn x on x.m = p.e join nn y on y.m = p.a left join ne ex on ex.m = p.e left join ne ey on ey.m = p.a
+  left join ns on ns.e = p.e and ns.a = p.a left join es on es.e = p.e and es.a = p.a)
+"""
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql if sql.lstrip().lower().startswith("with") else BASE + sql
+        return fn
+
+    return add
+
+
+def _counts(spark, sf_dir) -> DataFrame:
+    reg, m = E.packed(spark, sf_dir)
+    return D.counts(D.pairs(m, reg), reg)
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    return _counts(spark, sf_dir).select("ego_id", "alter_id", D.similarity(F.col("shared"), F.col("union_claims")).alias("score"))
+
+
+@query("select ego_id, alter_id, shared, union_claims, case when union_claims = 0 then 1.0 else shared / union_claims end similarity from dyad")
+def dyad_similarity(spark, sf_dir):
+    return _counts(spark, sf_dir).select("ego_id", "alter_id", "shared", "union_claims", D.similarity(F.col("shared"), F.col("union_claims")).alias("similarity"))
+
+
+@query("select ego_id, alter_id, repair_cost, node_conflicts, edge_conflicts, inapplicable_components from dyad")
+def repair_cost(spark, sf_dir):
+    return _counts(spark, sf_dir).select("ego_id", "alter_id", "repair_cost", "node_conflicts", "edge_conflicts", "inapplicable_components")
+
+
+@query("select c as comp_id, 'node' as type, n as source, null::varchar as target from nreg union all select c, 'edge', s, d from reg")
+def registry_pairs(spark, sf_dir):
+    return E.registry(spark, sf_dir).frame(spark).select("comp_id", "type", "source", "target")
+
+
+@query("select m as model_id, nreg.c as comp_id, 'present' as status, t as timing from node join nreg using (n) union all select m, c, case st when 1 then 'causal' when 2 then 'non-causal' else 'unknown' end, null from edge")
+def claims_round_trip(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return M.unpack(m, reg)
+
+
+@query("select m as model_id, count(*) as applicable, count(case when st = 1 then 1 end) as causal, count(case when st = 2 then 1 end) as non_causal, count(case when st = 0 then 1 end) as unknown from edge group by m")
+def applicability(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    from causeway.functions import bits
+
+    n = reg.words
+    return m.select("model_id", *(bits.count(w).cast("bigint").alias(k) for k, w in (("applicable", bits.words("app", n)), ("causal", bits.words("cm", n)), ("non_causal", bits.words("xm", n)), ("unknown", M.unknown(reg))))).where("applicable > 0")
+
+
+@query("select c as comp_id, count(*) as models from edge where st = 0 group by c")
+def unknown_edges(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return M.unknown_edges(m, reg).groupBy("comp_id").agg(F.count("*").alias("models"))
+
+
+@query("select m as model_id, c as comp_id from edge where st = 1 and ts >= td")
+def backward_edges(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return m.select("model_id", F.explode(M.backward_edges(reg)).alias("comp_id"))
+
+
+@query(
+    """, ex as (select d.ego_id, d.alter_id, coalesce(string_agg(reg.c, ',' order by reg.c) filter (where a.c is null or b.c is null), '') excluded, coalesce(string_agg(reg.c, ',' order by reg.c) filter (where a.st > 0 and b.st > 0 and a.st <> b.st), '') clash
+  from dyad d cross join reg left join edge a on a.m = d.ego_id and a.c = reg.c left join edge b on b.m = d.alter_id and b.c = reg.c group by 1, 2),
+nc as (select d.ego_id, d.alter_id, string_agg(nreg.c, ',' order by nreg.c) x from dyad d cross join nreg left join node a on a.m = d.ego_id and a.n = nreg.n left join node b on b.m = d.alter_id and b.n = nreg.n where (a.m is null) <> (b.m is null) group by 1, 2)
+select d.ego_id || '__' || d.alter_id as dyad_id, d.timing_compatible, ex.excluded as excluded_components, concat_ws(',', nullif(ex.clash, ''), nc.x) as conflicting_components, d.shared as shared_resolved_claims, d.union_claims as union_resolved_claims, d.edge_conflicts + d.node_conflicts > 0 as existence_conflict
+from dyad d join ex using (ego_id, alter_id) left join nc using (ego_id, alter_id)"""
+)
+def dyad_records(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return D.all_pairs(m, reg).select("dyad_id", "timing_compatible", F.concat_ws(",", "excluded_components").alias("excluded_components"), F.concat_ws(",", "conflicting_components").alias("conflicting_components"), "shared_resolved_claims", "union_resolved_claims", "existence_conflict")
+
+
+@query("select ego_id, alter_id, shared, union_claims from dyad where ego_id = (select min(m) from models)")
+def single_reference(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    first = m.agg(F.min("model_id")).first()[0]
+    return D.single_reference(m, reg, first).select("ego_id", "alter_id", F.col("shared_resolved_claims").alias("shared"), F.col("union_resolved_claims").alias("union_claims"))
+
+
+@query("select ego_id, alter_id, shared, union_claims from dyad where ego_id like '%7' or alter_id like '%7'")
+def touching_pairs(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return D.touching(m, reg, m.where("model_id like '%7'")).select("ego_id", "alter_id", F.col("shared_resolved_claims").alias("shared"), F.col("union_resolved_claims").alias("union_claims"))
+
+
+@query("select ego_id, alter_id, shared, union_claims from dyad union all select m, m, cast(nn.k + count(case when st > 0 then 1 end) as bigint), cast(nn.k + count(case when st > 0 then 1 end) as bigint) from models join nn using (m) left join edge using (m) group by m, nn.k")
+def pair_matrix(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return D.counts(D.pairs(m, reg, itself=True), reg).select("ego_id", "alter_id", "shared", "union_claims")
+
+
+@query("select ego_id, alter_id, shared, union_claims from dyad order by case when union_claims = 0 then 1.0 else shared / union_claims end desc, ego_id, alter_id limit 50")
+def two_stage_top(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return D.two_stage(m, reg, 50).select("ego_id", "alter_id", F.col("shared_resolved_claims").alias("shared"), F.col("union_resolved_claims").alias("union_claims"))
+
+
+@query("select m as model_id, count(*) as pairs, round(avg(shared / union_claims), 6) as mean_score from (select ego_id m, shared, union_claims from dyad union all select alter_id, shared, union_claims from dyad) group by m")
+def model_means(spark, sf_dir):
+    return U.of_models(_scores(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("select count(*) as dyads, sum(shared)::bigint as shared, sum(union_claims)::bigint as union_claims, round(avg(shared / union_claims), 4) as mean_similarity from dyad")
+def baseline(spark, sf_dir):
+    return _counts(spark, sf_dir).agg(F.count("*").alias("dyads"), F.sum("shared").alias("shared"), F.sum("union_claims").alias("union_claims"), F.round(F.avg(F.col("shared") / F.col("union_claims")), 4).alias("mean_similarity"))
+
+
+@query(", sig as (select m, string_agg(n || ':' || t, ',' order by n) s from node group by m) select s.m as model_id, count(*) - 1 as duplicates from sig s join sig t on s.s = t.s group by s.m")
+def signature_twins(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return S.diagnostics(m, reg).select("model_id", "duplicates")
+
+
+@query(", k as (select distinct m, c, st from edge) select c as comp_id, count(*) as claims, count(case when st = 0 then 1 end) as unknown, count(case when st = 0 then 1 end) / count(*) as unknown_rate from k group by c")
+def unknown_rates(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    edges = [r["comp_id"] for r in reg.edges]
+    return U.unknown_rates(M.unpack(m, reg).where(F.col("comp_id").isin(edges)))
+
+
+@query("select m as model_id, max(case when c = 'C0006' then (st = 1)::int else 0 end) as C0006, max(case when c = 'C0007' then (st = 1)::int else 0 end) as C0007, max(case when c = 'C0010' then (st = 1)::int else 0 end) as C0010, 'view' as outcome from models left join edge using (m) group by m")
+def set_matrix(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return U.set_matrix(M.unpack(m, reg), "view", ["C0006", "C0007", "C0010"])
+
+
+def _given_clusters(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return m.select("model_id", F.concat(F.lit("Cluster_0"), (F.col("np0") % 3 + 1).cast("string")).alias("cluster_id"))
+
+
+_ASSIGN = """, bitsum as (select m, sum(1 << (i - 1)) b from node join names using (n) group by m), asg as (select m, 'Cluster_0' || cast(b % 3 + 1 as varchar) c from bitsum),
+inner_ as (select a.c, avg(shared / union_claims) s from dyad join asg a on a.m = ego_id join asg b on b.m = alter_id and a.c = b.c group by 1)"""
+
+
+@query(_ASSIGN + " select c as cluster_id, count(*) as model_count, round(coalesce(any_value(s), 0), 6) as internal_compatibility from asg left join inner_ using (c) group by c")
+def cluster_summaries(spark, sf_dir):
+    return C.summaries(_scores(spark, sf_dir), _given_clusters(spark, sf_dir)).withColumn("internal_compatibility", F.round("internal_compatibility", 6))
+
+
+@query(
+    _ASSIGN
+    + """, prior as (select min(m) p from models), far as (select c, avg(shared / union_claims) s from dyad cross join prior join asg on (ego_id = p and asg.m = alter_id) or (alter_id = p and asg.m = ego_id) group by c),
+t as (select c, count(*) n, coalesce(any_value(inner_.s), 0) i, coalesce(any_value(far.s), 0) f from asg left join inner_ using (c) left join far using (c) group by c)
+select c as cluster_id, n as model_count, round(i, 6) as internal_compatibility, round(f, 6) as prior_compatibility, case when i < 0.3 then 'fragmented' when f < 0.27 then 'ghost' else 'mainstream' end as label from t"""
+)
+def ghost_contrast(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    prior = m.agg(F.min("model_id")).first()[0]
+    return C.contrast(_scores(spark, sf_dir), _given_clusters(spark, sf_dir), prior, 0.3, 0.27).select("cluster_id", "model_count", F.round("internal_compatibility", 6).alias("internal_compatibility"), F.round("prior_compatibility", 6).alias("prior_compatibility"), "label")
+
+
+@query(
+    _ASSIGN
+    + """, both_ as (select a.c, a.m, shared / union_claims s from dyad join asg a on a.m = ego_id join asg b on b.m = alter_id and a.c = b.c union all select a.c, b.m, shared / union_claims from dyad join asg a on a.m = ego_id join asg b on b.m = alter_id and a.c = b.c),
+mean_ as (select c, m, avg(s) x from both_ group by 1, 2), r as (select c, m, row_number() over (partition by c order by case when n <= 3 then 0 else round(x, 9) end desc, m) k from (select *, count(*) over (partition by c) n from (select c, m, coalesce(x, 0) x from asg left join mean_ using (c, m))))
+select c as cluster_id, m as model_id, k as place from r where k <= 3"""
+)
+def representatives(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return C.representatives(s, _given_clusters(spark, sf_dir)).select("cluster_id", "model_id", F.col("place").cast("bigint").alias("place"))
+
+
+def _closed(spark, sf_dir):
+    """Every resolution of the distinct untimed theories over three event types: closed under settling edges."""
+    reg = E.registry(spark, sf_dir, ["click", "purchase", "view"], exposure=None, outcome=None)
+    m = M.pack(E.claims(spark, sf_dir, reg), reg, timed=False).drop("model_id").distinct()
+    out = m
+    for r in reg.edges:
+        b = reg.ordinal[r["comp_id"]]
+        bit = F.lit(1 << b)
+        open_ = (F.col("app0").bitwiseAND(bit) != 0) & (F.col("cm0").bitwiseOR(F.col("xm0")).bitwiseAND(bit) == 0)
+        pick = F.when(open_, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+        out = out.withColumn("p", F.explode(pick)).withColumns({"cm0": F.when(F.col("p") == 1, F.col("cm0").bitwiseOR(bit)).otherwise(F.col("cm0")), "xm0": F.when(F.col("p") == 2, F.col("xm0").bitwiseOR(bit)).otherwise(F.col("xm0"))}).drop("p")
+    out = out.distinct().withColumn("model_id", F.format_string("%02d_%02d_%02d", "np0", "cm0", "xm0"))
+    return reg, out.select("model_id", *m.columns)
+
+
+_CLOSED = """
+with node as (select user_id m, event_type n, min(date_diff('day', timestamp '2024-01-01 00:00:00', ts)) t from events where ts < timestamp '2024-01-04 00:00:00' and event_type in ('click', 'purchase', 'view') group by 1, 2),
+w as (select m, max(case when n = 'click' then t end) a, max(case when n = 'purchase' then t end) b, max(case when n = 'view' then t end) c from node group by m),
+sig as (select distinct (a is not null)::int pa, (b is not null)::int pb, (c is not null)::int pc,
+  case when a is null or b is null then '-' when a < b then 'c' when a > b then 'n' else 'u' end e1, case when a is null or c is null then '-' when a < c then 'c' when a > c then 'n' else 'u' end e2,
+  case when b is null or c is null then '-' when b < c then 'c' when b > c then 'n' else 'u' end e3 from w),
+res(f, r) as (values ('u', 'u'), ('u', 'c'), ('u', 'n'), ('c', 'c'), ('n', 'n'), ('-', '-')),
+mdl as (select distinct pa, pb, pc, r1.r e1, r2.r e2, r3.r e3 from sig join res r1 on r1.f = e1 join res r2 on r2.f = e2 join res r3 on r3.f = e3),
+idd as (select pa || '' || pb || pc || e1 || e2 || e3 id, * from mdl),
+cs as (select x.id ego, y.id alter_id,
+  (x.pa & y.pa) + (x.pb & y.pb) + (x.pc & y.pc) + (x.e1 = y.e1 and x.e1 in ('c', 'n'))::int + (x.e2 = y.e2 and x.e2 in ('c', 'n'))::int + (x.e3 = y.e3 and x.e3 in ('c', 'n'))::int shared,
+  (x.pa | y.pa) + (x.pb | y.pb) + (x.pc | y.pc)
+  + case when (x.e1 = '-') <> (y.e1 = '-') then 1 when x.e1 = '-' or (x.e1 = 'u' and y.e1 = 'u') then 0 when x.e1 <> y.e1 and x.e1 <> 'u' and y.e1 <> 'u' then 2 else 1 end
+  + case when (x.e2 = '-') <> (y.e2 = '-') then 1 when x.e2 = '-' or (x.e2 = 'u' and y.e2 = 'u') then 0 when x.e2 <> y.e2 and x.e2 <> 'u' and y.e2 <> 'u' then 2 else 1 end
+  + case when (x.e3 = '-') <> (y.e3 = '-') then 1 when x.e3 = '-' or (x.e3 = 'u' and y.e3 = 'u') then 0 when x.e3 <> y.e3 and x.e3 <> 'u' and y.e3 <> 'u' then 2 else 1 end uni
+  from idd x cross join idd y),
+mv(e, st) as (values (1, 'c'), (1, 'n'), (2, 'c'), (2, 'n'), (3, 'c'), (3, 'n')),
+flip as (select e, st, id, case when substr(id, 3 + e, 1) = 'u' then substr(id, 1, 2 + e) || st || substr(id, 4 + e) else id end src from idd cross join mv),
+g as (select id, replace(substr(id, 4), 'u', 'c') src, substr(id, 1, 3) || replace(substr(id, 4), 'u', 'c') csrc, substr(id, 1, 3) || replace(substr(id, 4), 'u', 'n') nsrc from idd)
+"""
+
+
+@query(
+    _CLOSED
+    + """select 'C000' || (3 + f.e) as component_id, case f.st when 'c' then 'causal' else 'non-causal' end as status,
+  sum(case when post.shared * base.uni > base.shared * post.uni then 1 else 0 end)::bigint as dyads_improved, sum(case when post.shared * base.uni < base.shared * post.uni then 1 else 0 end)::bigint as dyads_worsened,
+  round(avg(post.shared / post.uni - base.shared / base.uni), 5) as delta
+from flip f join flip g on f.e = g.e and f.st = g.st and f.id <> g.id join cs base on base.ego = f.id and base.alter_id = g.id join cs post on post.ego = f.src and post.alter_id = g.src group by f.e, f.st"""
+)
+def marginal_crux(spark, sf_dir):
+    reg, m = _closed(spark, sf_dir)
+    crux = Crux(m, reg)
+    e = crux.effects([(f"{c}|{s}", {c: s}) for c in crux.uncertain() for s in ("causal", "non-causal")])
+    return e.select(F.substring_index("move", "|", 1).alias("component_id"), F.substring_index("move", "|", -1).alias("status"), "dyads_improved", "dyads_worsened", F.round("delta", 5).alias("delta"))
+
+
+@query(
+    _CLOSED
+    + """select 'causal' as status, sum(case when p.shared * b.uni > b.shared * p.uni then 1 else 0 end)::bigint as dyads_improved, sum(case when p.shared * b.uni < b.shared * p.uni then 1 else 0 end)::bigint as dyads_worsened, round(avg(p.shared / p.uni - b.shared / b.uni), 5) as delta
+from g x join g y on x.id <> y.id join cs b on b.ego = x.id and b.alter_id = y.id join cs p on p.ego = x.csrc and p.alter_id = y.csrc
+union all select 'non-causal', sum(case when p.shared * b.uni > b.shared * p.uni then 1 else 0 end)::bigint, sum(case when p.shared * b.uni < b.shared * p.uni then 1 else 0 end)::bigint, round(avg(p.shared / p.uni - b.shared / b.uni), 5)
+from g x join g y on x.id <> y.id join cs b on b.ego = x.id and b.alter_id = y.id join cs p on p.ego = x.nsrc and p.alter_id = y.nsrc"""
+)
+def global_crux(spark, sf_dir):
+    reg, m = _closed(spark, sf_dir)
+    e = Crux(m, reg).effects([(s, {r["comp_id"]: s for r in reg.edges}) for s in ("causal", "non-causal")])
+    return e.select(F.col("move").alias("status"), "dyads_improved", "dyads_worsened", F.round("delta", 5).alias("delta"))
+
+
+@query(
+    _CLOSED
+    + """select e.pa || '' || e.pb || e.pc || e.e1 || e.e2 || e.e3 as model, case when e.e1 = 'u' or e.e2 = 'u' or e.e3 = 'u' then null when e.e1 = 'c' and e.e2 = 'c' then 'click' else '' end as adjustment_sets
+from idd e where e.pb = 1 and e.pc = 1 and e.e1 <> 'u' and e.e2 <> 'u' and e.e3 <> 'u'"""
+)
+def adjustment_sets(spark, sf_dir):
+    """Minimal adjustment sets for purchase -> view: click confounds if it causes both."""
+    reg, m = _closed(spark, sf_dir)
+    at = {r["comp_id"]: reg.ordinal[r["comp_id"]] for r in reg.rows}
+    letter = F.concat(*(F.when(F.col("np0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) != 0, "1").otherwise("0") for r in reg.nodes), *(F.when(F.col("app0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) == 0, "-").when(F.col("cm0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) != 0, "c").when(F.col("xm0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) != 0, "n").otherwise("u") for r in reg.edges))
+    p = P.build(m, reg, "purchase", "view").where("is_resolved and mas is not null")
+    return m.select("model_id", letter.alias("model")).join(p, "model_id").select("model", F.concat_ws("|", F.transform("mas", lambda z: F.concat_ws(",", z))).alias("adjustment_sets"))
+
+
+@query()
+def profile_clusters(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return C.named(C.dbscan(C.embed(C.profiles(s)), 0.3, 4))

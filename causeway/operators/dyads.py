@@ -26,19 +26,19 @@ def pairs(models: DataFrame, registry: Registry, others: DataFrame | None = None
     return out if itself else out.where("e_model_id <> a_model_id")
 
 
-def _both(registry: Registry) -> dict[str, tuple[list[Column], list[Column]]]:
-    return {k: (bits.words(k, registry.words, "e_"), bits.words(k, registry.words, "a_")) for k in ("np", "app", "cm", "xm")}
+def _both(registry: Registry, left: str = "e_", right: str = "a_") -> dict[str, tuple[list[Column], list[Column]]]:
+    return {k: (bits.words(k, registry.words, left), bits.words(k, registry.words, right)) for k in ("np", "app", "cm", "xm")}
 
 
-def counters(registry: Registry) -> dict[str, Column]:
+def counters(registry: Registry, left: str = "e_", right: str = "a_") -> dict[str, Column]:
     """The counts of a pair by the table of compared claims."""
-    s = _both(registry)
+    s = _both(registry, left, right)
     meet = lambda k: bits.each(lambda x, y: x.bitwiseAND(y), *s[k])
     join = lambda k: bits.each(lambda x, y: x.bitwiseOR(y), *s[k])
     differ = lambda k: bits.each(lambda x, y: x.bitwiseXOR(y), *s[k])
     both_apply = meet("app")
     agree = bits.each(lambda c, x: c.bitwiseOR(x), meet("cm"), meet("xm"))
-    clash = edge_conflicts(registry)
+    clash = edge_conflicts(registry, left, right)
     claimed = bits.each(lambda c, x, a: c.bitwiseOR(x).bitwiseAND(a), join("cm"), join("xm"), both_apply)
     moved = bits.each(lambda c, x, a: c.bitwiseOR(x).bitwiseAND(a), differ("cm"), differ("xm"), both_apply)
     one_side = bits.count(differ("app"))
@@ -53,8 +53,8 @@ def counters(registry: Registry) -> dict[str, Column]:
     }
 
 
-def edge_conflicts(registry: Registry) -> list[Column]:
-    s = _both(registry)
+def edge_conflicts(registry: Registry, left: str = "e_", right: str = "a_") -> list[Column]:
+    s = _both(registry, left, right)
     return [c.bitwiseAND(y).bitwiseOR(x.bitwiseAND(d)) for (c, d), (x, y) in zip(zip(*s["cm"], strict=True), zip(*s["xm"], strict=True), strict=True)]
 
 
