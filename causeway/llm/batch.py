@@ -6,6 +6,8 @@ A null text is an empty one here. Everything runs over whole texts; nothing is c
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -62,9 +64,45 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
     """The slices ``values[starts[i] : starts[i] + lengths[i]]`` one after another, and their offsets."""
     offs = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=offs[1:])
-    at = np.repeat(np.asarray(starts, np.int64) - offs[:-1], lengths)
-    at += np.arange(offs[-1])
-    return values[at], offs
+    total = int(offs[-1])
+    shift = np.asarray(starts, np.int64) - offs[:-1]
+    if total <= _BLOCK:
+        at = np.repeat(shift, lengths)
+        at += np.arange(total)
+        return values[at], offs
+    out = np.empty(total, values.dtype)  # in blocks, as places take eight bytes each
+    i = 0
+    while i < len(lengths):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + _BLOCK, side="right")) - 1)
+        lo, hi = int(offs[i]), int(offs[j])
+        if j == i + 1:
+            out[lo:hi] = values[starts[i] : starts[i] + lengths[i]]
+        else:
+            at = np.repeat(shift[i:j], lengths[i:j])
+            at += np.arange(lo, hi)
+            out[lo:hi] = values[at]
+        i = j
+    return out, offs
+
+
+_BLOCK = 1 << 19
+
+
+@lru_cache(1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: Python workers stay, and what one stage needed isn't there for the next."""
+    pa.default_memory_pool().release_unused()
+    if (give := _libc()) is not None:
+        give(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -165,6 +165,7 @@ def _scanned(docs, doc_id, text, benchmark, item_id, item_text, window, gram, br
                     yield part.filter(pc.invert(found.column("contaminated").combine_chunks()))
                 else:
                     yield from found.to_batches()
+                B.trim()
 
     return docs.mapInArrow(run, docs.schema if keep else HITS)
 

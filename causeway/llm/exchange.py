@@ -139,6 +139,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 24) + k], pa.int64()), pa.array([_pack(rows, lo, hi)], pa.binary())], ["b", "blob"])
                 k += 1
+            B.trim()
 
         for x in batches:
             held.append(x)
@@ -178,6 +179,7 @@ def each_chunk(chunks: DataFrame, fn: Callable[[int, Chunk], Iterator[pa.RecordB
         for x in batches:
             for b, blob in zip(x.column(0).to_pylist(), x.column(1), strict=True):
                 yield from fn(b, Chunk.of(blob.as_py()))
+                B.trim()
 
     return chunks.mapInArrow(run, schema)
 
@@ -192,6 +194,7 @@ def answer(rows: DataFrame, fn: Callable[[int, list[int], list[bytes]], Iterator
     def run(t: pa.Table) -> pa.Table:
         k = t.column("k")[0].as_py()
         got = list(fn(k, t.column("b").to_pylist(), [x.as_py() for x in t.column("blob")]))
+        B.trim()
         return pa.table([pa.array([x for x, _ in got], pa.int64()), pa.array([k] * len(got), pa.int32()), pa.array([y for _, y in got], pa.binary())], ["b", "k", "blob"])
 
     return rows.groupBy("k").applyInArrow(run, ANSWER_SCHEMA)
@@ -207,6 +210,7 @@ def finish(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, dict
         for k, blob in zip(right.column("k").to_pylist(), right.column("blob"), strict=True):
             by.setdefault(k, []).append(blob.as_py())
         made = [fn(b, Chunk.of(blob.as_py()), by) for b, blob in zip(left.column("b").to_pylist(), left.column("blob"), strict=True)]
+        B.trim()
         return pa.concat_tables(made) if made else blank
 
     return chunks.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(run, schema)

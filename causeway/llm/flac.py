@@ -364,6 +364,7 @@ def _parts(batches):
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             part = x.slice(lo, hi - lo)
             yield part.column(0), *B.flat(part.column(1))
+            B.trim()
 
 
 def digest(rows: DataFrame) -> DataFrame:

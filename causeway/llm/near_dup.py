@@ -32,7 +32,7 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 2
 KEY_BITS = 48
-TASK_TEXTS, TASK_WEIGHT = 512, 4 << 20
+TASK_TEXTS, TASK_WEIGHT = 512, 1 << 20
 CLASSES = "doc_id long, class_id long"
 
 
@@ -244,6 +244,7 @@ def _verify(similarity: float):
         parts = [X.split_blobs(x.as_py()) for x in t.column("blob")]
         got = connect([X.unpack_sorted(a) for a, _ in parts], [np.frombuffer(X.unpress(z), np.float32) for _, z in parts], label, similarity, np.flatnonzero(lead).tolist())
         new = got != label
+        B.trim()
         return pa.table([pa.array(label[new]), pa.array(got[new])], ["u", "v"])
 
     return run

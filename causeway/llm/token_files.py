@@ -249,6 +249,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, doc_id:
                         made[0] += 1
                         made[1] += b - a + 1
                         yield i, np.append(ids[a:b], np.uint32(end_id))
+                    B.trim()
 
         files.put(f"{folder}/{name}", file_blocks(documents()))
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([made[0]]), pa.array([made[1]])], ["name", "docs", "tokens"])

@@ -45,7 +45,8 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord("@"), ord("$")]] = True
 _CODE = np.full(256, 27, np.int64)
 _CODE[97:123] = np.arange(1, 27)
-_KEPT = 100_000
+_KEPT = 30_000
+_SYMBOLS = 8192  # of words restored at once: each needs SIZE ** 2 bytes
 
 
 class Lexed:
@@ -161,8 +162,12 @@ class Channel:
             self.kept.clear()
             new = list(dict.fromkeys(words))
         new.sort(key=len)
-        for i in range(0, len(new), 256):
-            part = new[i : i + 256]
+        i = 0
+        while i < len(new):
+            n = 1
+            while i + n < len(new) and (n + 1) * len(new[i + n]) <= _SYMBOLS:  # by length, so the last is the longest
+                n += 1
+            part, i = new[i : i + n], i + n
             for w, r in zip(part, self._viterbi([w.decode("utf-8", "replace") for w in part]), strict=True):
                 self.kept[w] = [x.encode() for x in r.split()]
         return [self.kept[w] for w in words]
@@ -222,6 +227,7 @@ def _parts(batches, column: int):
         at = X.cuts(sizes, X.CHUNK_BYTES)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             yield x.slice(lo, hi - lo)
+            B.trim()
 
 
 def count_characters(docs: DataFrame, text: str = "text") -> np.ndarray:
