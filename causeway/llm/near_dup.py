@@ -6,7 +6,7 @@ and 2, so that what thousands of copies share still weighs at least half of what
 weighted Jaccard similarity is 0.8 or more; classes are what links connect.
 
 1. Chunks ask for the df of their distinct shingles and sample each text (``bands * rows`` samples).
-2. Equal texts count once. Texts that share a band are candidates; candidates that connect are a group.
+2. Equal texts count once. Texts that share a band, and whose weights allow it, are candidates; candidates that connect are a group.
 3. The vectors of a group's texts meet in tasks of bounded size. In a task every pair is compared that isn't connected
    already. A group of more texts is dealt to several tasks, each with the text that most of the group's samples agree with;
    texts that then are in another class than most of the group meet all its other tasks' texts.
@@ -32,7 +32,7 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 2
 KEY_BITS = 48
-TASK_TEXTS, TASK_WEIGHT = 512, 1 << 20
+TASK_TEXTS, TASK_WEIGHT = 1024, 1 << 20
 CLASSES = "doc_id long, class_id long"
 
 
@@ -53,12 +53,17 @@ class Shingles:
                 live = n[few] > j
                 own[live] = own[live] * B._ODD + h[by[few[live]] + j]
             w, text = np.concatenate([w, B.mix(own + np.uint64(1))]), np.concatenate([text, few])
-        order = np.lexsort((w, text))
+        order = np.argsort(w, kind="stable")  # texts stay in order where hashes are equal
         w, text = w[order], text[order]
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (text[1:] != text[:-1])]) if len(w) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        self.hash, self.text, self.tf = w[first], text[first], np.diff(np.append(first, len(w)))
-        self.keys, self.code, self.docs = np.unique(self.hash >> np.uint64(64 - KEY_BITS), return_inverse=True, return_counts=True)
+        h, text, tf = w[first], text[first], np.diff(np.append(first, len(w)))
+        key = h >> np.uint64(64 - KEY_BITS)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.docs = key[first], np.diff(np.append(first, len(key)))
+        code = np.repeat(np.arange(len(first)), self.docs)
+        order = np.argsort(text.astype(np.uint16), kind="stable")  # a chunk has at most 4,096 texts
+        self.hash, self.text, self.tf, self.code = h[order], text[order], tf[order], code[order]
 
     def weigh(self, answers: dict[int, list[bytes]], n: int, total: int) -> np.ndarray:
         df = self.docs.copy()
@@ -159,16 +164,23 @@ def band_keys(sampled: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return B.mix(key + np.arange(bands, dtype=np.uint64))
 
 
+def sized(keys: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """Each key twice, with the text's class of weight and with the next: similar texts are at most one class apart, so they share one of the two."""
+    z = np.floor(np.log(np.maximum(weight, 1e-9)) / -np.log(similarity - 1e-4)).astype(np.int64).astype(np.uint64)
+    return np.concatenate([B.mix(keys ^ B.mix(z + np.uint64(k))[:, None]) for k in (0, 1)], axis=1)
+
+
 SIGNED = "uid long, doc_id long, t1 long, t2 long, keys array<long>, size int"
 
 
-def _sign(n: int, size: int, bands: int, rows: int, total: int):
+def _sign(n: int, size: int, bands: int, rows: int, total: int, similarity: float):
     def done(b, c, answers):
         s = Shingles(c, size)
-        own, sampled = samples(s.hash, s.weigh(answers, n, total), s.text, bands * rows)
-        keys = band_keys(sampled, bands, rows).astype(np.int64)
+        w = s.weigh(answers, n, total)
+        own, sampled = samples(s.hash, w, s.text, bands * rows)
+        keys = sized(band_keys(sampled, bands, rows), np.bincount(s.text, weights=w, minlength=len(c))[own], similarity).astype(np.int64)
         lens = np.zeros(len(c), np.int64)
-        lens[own] = bands
+        lens[own] = 2 * bands
         offs = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
         raw = memoryview(c.data)
         uid = X.row_id(b, np.arange(len(c)))
@@ -258,7 +270,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     chunks = X.pack(docs, doc_id, text, carry=carry)
     asked = X.each_chunk(X.pack(docs, doc_id, text, deal=False), _ask(n, size), X.SENT_SCHEMA)
     df = X.durable(X.answer(asked, _frequencies))
-    signed = X.durable(X.finish(chunks, df, _sign(n, size, bands, rows, total), SIGNED))
+    signed = X.durable(X.finish(chunks, df, _sign(n, size, bands, rows, total, similarity), SIGNED))
     reps = signed.groupBy("t1", "t2").agg(F.min("uid").alias("rep"))
     signed = X.durable(signed.join(reps, ["t1", "t2"]).select("uid", "doc_id", "rep", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys"), "size"))
     banded = signed.where("uid = rep").select("uid", "size", F.posexplode("keys").alias("band", "key"))
