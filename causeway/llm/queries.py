@@ -70,4 +70,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+#: In SQL, where it can say the same: by enumeration of windows and turns, on small tables.
+ORACLES: dict[str, str] = {
+    "op4_chat_formatting": r"""
+with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -1, i, case i when 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from range(2) q(i)),
+e as (select *, replace(replace(replace(r, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)) er, replace(replace(x, '\', '\\'), '<|', '<\|') ex from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn, r, x)) as turns_sha256,
+  coalesce(sum(length(x)) filter (where r = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(x, '' order by turn, r, x) filter (where r = 'assistant'), '')) as loss_sha256,
+  sum(length(er) + length(ex) + 24)::bigint as formatted_chars
+from e group by conv_id""",
+    "op7_substring_dedup": r"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select rid, doc_id, i, array_to_string(w[i:i + 12], ' ') k from d, unnest(range(1, len(w) - 11)) q(i) where len(w) >= 13),
+low as (select k, min(doc_id) f from win group by k),
+cov as (select distinct rid, i + j as pos from win join low using (k), range(13) q(j) where f < doc_id),
+words as (select rid, unnest(w) word, generate_subscripts(w, 1) pos from d),
+kept as (select words.rid, count(cov.pos) n, string_agg(word, ' ' order by words.pos) filter (where cov.pos is null) said from words left join cov on cov.rid = words.rid and cov.pos = words.pos group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(said, '')) as kept_sha256 from d left join kept using (rid)""",
+    "op10_decontamination": r"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') k from (select *, least(10, len(w)) n from b where len(w) > 0), unnest(range(1, len(w) - n + 2)) q(i)),
+sizes as (select distinct n from bw),
+dw as (select rid, i, n, array_to_string(w[i:i + n - 1], ' ') k from d, sizes, unnest(range(1, len(w) - n + 2)) q(i) where len(w) >= n),
+hit as (select rid, i, n, item_id from dw join bw using (n, k)),
+pos as (select rid, count(distinct i + j) c from hit, unnest(range(0, n)) q(j) group by rid),
+own as (select rid, list_sort(list(distinct item_id::varchar)) l from hit group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(c, 0)::bigint as n_hit, coalesce(len(l), 0)::bigint as n_items, sha256(coalesce(array_to_string(l, ','), '')) as items_sha256, coalesce(c, 0) > 0 as contaminated
+from d left join pos using (rid) left join own using (rid)""",
+}
