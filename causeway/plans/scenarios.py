@@ -1,0 +1,152 @@
+"""Synthetic theories with known truth, and what the operators find in them.
+
+Random choices are hashes of the seed and what is chosen for, so a scenario is the same however it is dealt out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from causeway.errors import ScenarioError
+from causeway.operators import clusters as C
+from causeway.operators import dyads as D
+from causeway.operators import models as M
+from causeway.operators import profiles as P
+from causeway.operators.crux import Crux
+from causeway.sources import registry as R
+
+NAMES = ("precision_illusion", "phase_transition", "crux_of_certainty", "ghost_cluster")
+
+
+def synthetic_registry(components: int) -> R.Registry:
+    """As few nodes X1 .. Xk (timed 1 .. k) as leave room, and so many edges that all components are ``components``."""
+    if components < 5:
+        raise ScenarioError("a synthetic registry has five components at least", "INVALID_SIMULATION_INPUT")
+    k = next(k for k in range(2, components) if components - k >= 2 and k * (k - 1) // 2 >= components - k)
+    names = [f"X{i}" for i in range(1, k + 1)]
+    edges = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]][: components - k]
+    return R.build([{"name": n, "timing": i + 1} for i, n in enumerate(names)], constraints=[{"source": a, "target": b, "direction": "->", "rule": "allow"} for a, b in edges])
+
+
+def _claims(spark: SparkSession, registry: R.Registry, models: DataFrame, status: Column) -> DataFrame:
+    """Claims of every model on every component; ``status`` speaks of ``model``, ``n``, ``comp_id`` and the edge's number ``e``. Nodes are present."""
+    time = registry.meta.get("timing") or {}
+    reg = spark.createDataFrame([(r["comp_id"], r["type"], i, time.get(r["source"]) if r["type"] == "node" else None) for i, r in enumerate([*registry.nodes, *registry.edges])], "comp_id string, kind string, i int, timing int").withColumn("e", F.col("i") - len(registry.nodes))
+    return models.crossJoin(F.broadcast(reg)).select("model_id", "comp_id", F.when(F.col("kind") == "node", "present").otherwise(status).alias("status"), "timing")  # as small as the registry
+
+
+def _draw(seed: int, *of) -> Column:
+    """A number from 0 to 1."""
+    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 30)) / (1 << 30)
+
+
+def illusion_design(metric: str) -> tuple[R.Registry, list[tuple[str, str]], list[tuple[str, str]]]:
+    """A registry, its fixed edges and its seven open ones: for adjustment sets, or for identification through a front door."""
+    if metric == "mas_compatible":
+        nodes = [{"name": "X1", "timing": 2}, *({"name": f"X{i}", "timing": 1} for i in range(2, 7)), {"name": "X7", "timing": 3}, {"name": "X8", "timing": 4}, {"name": "Y", "timing": 5}]
+        fixed = [("X1", "X7"), ("X7", "X8"), ("X8", "Y"), ("X1", "Y"), *((f"X{i}", "Y") for i in range(2, 7))]
+        free = [("X6", "X1"), *((f"X{i}", "X1") for i in range(2, 6)), ("X2", "X7"), ("X3", "X7")]
+    elif metric == "identified_compatible":
+        nodes = [{"name": "U", "timing": 0, "observed": False}, *({"name": f"X{i}", "timing": i} for i in range(1, 6)), {"name": "Y", "timing": 6}]
+        fixed = [("U", "X1"), ("U", "Y"), ("X1", "X2"), ("X2", "Y")]
+        free = [("X1", "Y"), ("X3", "X4"), ("X3", "X5"), ("X4", "X5"), ("X3", "Y"), ("X4", "Y"), ("X5", "Y")]
+    else:
+        raise ScenarioError("the illusion is about a causal metric", "INVALID_COMPATIBILITY_METRIC")
+    allow = [{"source": a, "target": b, "direction": "->", "rule": "allow"} for a, b in fixed + free]
+    return R.build(nodes, respect_timing=False, constraints=allow), fixed, free
+
+
+def precision_illusion(spark: SparkSession, metric: str = "mas_compatible") -> tuple[DataFrame, R.Registry]:
+    """Claims of all 128 ways to settle the open edges and of the 64 that leave the first one unknown."""
+    reg, fixed, free = illusion_design(metric)
+    whole = spark.range(128).select(F.format_string("R%04d", F.col("id") + 1).alias("model_id"), F.col("id").alias("n"), F.lit(False).alias("partial"))
+    part = spark.range(64).select(F.format_string("P%04d", F.col("id") + 1), F.col("id") * 2, F.lit(True))
+    bit = {reg.edge(*e): i for i, e in enumerate(free)}
+    place = F.create_map(*(F.lit(x) for kv in bit.items() for x in kv))
+    k = F.try_element_at(place, F.col("comp_id"))
+    on = F.call_function("getbit", "n", F.coalesce(k, F.lit(0)))
+    status = F.when(k.isNull(), "causal").when(F.col("partial") & (k == 0), "unknown").when(on == 1, "causal").otherwise("non-causal")
+    return _claims(spark, reg, whole.union(part), status), reg
+
+
+def illusion_result(spark: SparkSession, metric: str = "mas_compatible") -> dict:
+    """How much likelier theories look alike than they agree: mean similarity less the share of compatible pairs."""
+    claims, reg = precision_illusion(spark, metric)
+    models = M.pack(claims, reg).persist()
+    pairs = D.counts(D.pairs(models, reg), reg).select("ego_id", "alter_id", D.similarity(F.col("shared"), F.col("union_claims")).alias("s"))
+    r = P.compare(pairs, P.build(models, reg, "X1", "Y").persist()).agg(F.count("*").alias("dyads"), F.avg("s").alias("mean"), F.count_if(metric).alias("good"), F.count_if(F.col(metric).isNull()).alias("z")).first()
+    if r["z"]:
+        raise ScenarioError(f"the metric is null for {r['z']} pairs")
+    return {"metric": metric, "model_count": 192, "dyads": r["dyads"], "mean_similarity_rate": round(r["mean"], 6), "compatible_dyads": r["good"], "compatibility_rate": round(r["good"] / r["dyads"], 6), "gap": round(r["mean"] - r["good"] / r["dyads"], 6)}
+
+
+def phase_transition(spark: SparkSession, models: int = 200, components: int = 80, zones: int | None = None, noise: float = 0.1, seed: int = 42) -> tuple[DataFrame, R.Registry, str]:
+    """Theories in triples that differ in one edge alone (unknown, causal, non-causal), in contexts of zones with some noise; and that edge."""
+    reg = synthetic_registry(components)
+    edges = [r["comp_id"] for r in reg.edges]
+    zones = zones or min(4, max(3, len(edges) // 5))
+    key = edges[0]
+    m = spark.range(models).select(F.format_string("M%04d", F.col("id") + 1).alias("model_id"), F.floor(F.col("id") / 3).alias("context"), (F.col("id") % 3).alias("turn"))
+    zone = F.pmod("e", F.lit(zones))
+    base = F.when(F.pmod("context", F.lit(zones)) == zone, "causal").otherwise("non-causal")
+    flip = (F.col("context") > 0) & (_draw(seed, "context", "e") < noise)
+    other = F.when(flip, F.when(base == "causal", "non-causal").otherwise("causal")).otherwise(base)
+    status = F.when(F.col("comp_id") == key, F.element_at(F.array(F.lit("unknown"), F.lit("causal"), F.lit("non-causal")), F.col("turn").cast("int") + 1)).otherwise(other)
+    whole = models - models % 3  # a triple that isn't whole would leave a model without its match
+    return _claims(spark, reg, m.where(F.col("context") < whole // 3), status), reg, key
+
+
+def lynchpin_result(spark: SparkSession, **options) -> dict:
+    claims, reg, key = phase_transition(spark, **options)
+    crux = Crux(M.pack(claims, reg), reg)
+    ranks = {r["component_id"]: r for r in crux.rank(None).collect()}
+    r = ranks[key]
+    return {"lynchpin": key, "lynchpin_rank": r["rank"], "delta_u": r["delta_u"], "baseline_compatibility": r["baseline_compatibility"], "post_compatibility": max(r["post_compatibility_causal"], r["post_compatibility_non_causal"])}
+
+
+def ghost(spark: SparkSession, models: int = 150, components: int = 60, mainstream: float = 0.7, ghosts: float = 0.2, divergent: float | None = None, seed: int = 42) -> tuple[DataFrame, R.Registry]:
+    """A mainstream that shares one half of the edges, a coherent minority that claims the other half and denies this, and noise."""
+    reg = synthetic_registry(components)
+    n = len(reg.edges)
+    apart = min(max(2, int(n * divergent) if divergent else n // 4), n - 2)
+    a, b = int(models * mainstream), int(models * ghosts)
+    order = spark.createDataFrame([(r["comp_id"],) for r in reg.edges], "comp_id string").orderBy(F.xxhash64(F.lit(seed), "comp_id"))
+    shuffled = [r[0] for r in order.collect()]
+    shared = shuffled[apart:]
+    here, there, split = shared[: len(shared) // 2], shared[len(shared) // 2 :], shuffled[:apart]
+    m = spark.range(models).select(F.format_string("M%04d", F.col("id") + 1).alias("model_id"), F.when(F.col("id") < a, 0).when(F.col("id") < a + b, 1).otherwise(2).alias("camp"))
+    c = F.col("comp_id")
+    yes = F.when(F.col("camp") == 0, c.isin(here + split)).otherwise(c.isin(there))
+    wild = F.element_at(F.array(*map(F.lit, ("causal", "unknown", "non-causal"))), (_draw(seed, "model_id", "comp_id") * 3).cast("int") + 1)
+    return _claims(spark, reg, m, F.when(F.col("camp") == 2, wild).when(yes, "causal").otherwise("non-causal")), reg
+
+
+def ghost_result(spark: SparkSession, eps: float = 0.5, **options) -> DataFrame:
+    """Contrast of the clusters with the first model as prior."""
+    claims, reg = ghost(spark, **options)
+    models = M.pack(claims, reg).persist()
+    n = models.count()
+    scores = D.counts(D.pairs(models, reg), reg).select("ego_id", "alter_id", D.similarity(F.col("shared"), F.col("union_claims")).alias("score")).persist()
+    found = C.detect(scores, eps, max(2, n // 20))
+    if found is None:
+        raise ScenarioError("the scores are degenerate")
+    return C.contrast(scores, found, models.agg(F.min("model_id")).first()[0])
+
+
+def run(spark: SparkSession, name: str, enforce: bool = True, **options):
+    """One scenario's result; ``enforce`` raises if it doesn't show what it is built to show."""
+    if name == "precision_illusion":
+        r = illusion_result(spark, **options)
+        ok = r["gap"] > 0
+    elif name in ("phase_transition", "crux_of_certainty"):
+        r = lynchpin_result(spark, **options)
+        ok = r["post_compatibility"] > r["baseline_compatibility"]
+    elif name == "ghost_cluster":
+        r = ghost_result(spark, **options).collect()
+        ok = len(r) >= 2 and any(x["label"] == "ghost" and x["internal_compatibility"] > 0.7 and x["prior_compatibility"] < 0.3 for x in r)
+    else:
+        raise ScenarioError(f"no scenario {name}; there are {', '.join(NAMES)}", "INVALID_SCENARIO")
+    if enforce and not ok:
+        raise ScenarioError(f"{name} doesn't meet its thresholds")
+    return r
