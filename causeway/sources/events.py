@@ -44,4 +44,4 @@ def claims(spark: SparkSession, sf_dir: str, reg: R.Registry) -> DataFrame:
 
 def packed(spark: SparkSession, sf_dir: str) -> tuple[R.Registry, DataFrame]:
     reg = registry(spark, sf_dir)
-    return reg, M.pack(claims(spark, sf_dir, reg), reg)
+    return reg, M.pack(claims(spark, sf_dir, reg), reg).persist()  # one row a model, used more than once
