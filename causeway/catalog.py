@@ -292,3 +292,81 @@ def adjustment_sets(spark, sf_dir):
 def profile_clusters(spark, sf_dir):
     s = _scores(spark, sf_dir)
     return C.named(C.dbscan(C.embed(C.profiles(s)), 0.3, 4))
+
+
+_F2 = [{"name": "Z", "timing": 1}, {"name": "X", "timing": 2}, {"name": "Y", "timing": 3}]
+
+
+@query(
+    """with s(i, st) as (values (0, 'causal'), (1, 'unknown'), (2, 'non-causal')),
+m as (select 'M000' || cast(a.i * 3 + b.i + 1 as varchar) id, a.st x, b.st y from s a cross join s b)
+select id as model_id, c as comp_id, st as status, t as timing from (select id, 'C0001' c, 'present' st, 1 t from m union all select id, 'C0002', 'present', 2 from m union all select id, 'C0003', 'present', 3 from m
+union all select id, 'C0004', x, null from m union all select id, 'C0005', y, null from m union all select id, 'C0006', 'causal', null from m)"""
+)
+def exhaustive_expansion(spark, sf_dir):
+    from causeway.operators import expansion
+
+    return expansion.exhaustive(spark, R.build(_F2, exposure="X", outcome="Y"))
+
+
+@query()
+def sampled_expansion(spark, sf_dir):
+    from causeway.operators import expansion
+
+    return expansion.sampled(spark, R.build([{"name": n} for n in "ABCDE"]), 50, seed=7)
+
+
+@query(
+    """with a as (select i, i & 1 > 0 ab, i & 2 > 0 ax, i & 4 > 0 ay, i & 8 > 0 bx, i & 16 > 0 by_, i & 32 > 0 xy from range(64) q(i)),
+c as (select xy, (ax and ay) or (bx and by_) or (ax and ab and by_) or (bx and ab and ay) open_ from a)
+select xy as direct_effect_edge_present, open_ as open_backdoor_under_empty, not open_ as empty_adjustment_valid, count(*) as mass from c group by 1, 2"""
+)
+def symbolic_masses(spark, sf_dir):
+    from causeway.plans import formulas, symbolic
+
+    u = symbolic.from_nodes([{"name": n, "timing": i} for i, n in enumerate("ABXY")], "X", "Y")
+    by = ["direct_effect_edge_present", "open_backdoor_under_empty", "empty_adjustment_valid"]
+    return symbolic.query_classes(spark, u, formulas.TRUE).groupBy(*by).agg(F.sum("mass").alias("mass"))
+
+
+@query()
+def symbolic_crux(spark, sf_dir):
+    from causeway.plans import symbolic
+
+    u = symbolic.paper_small()
+    c, _ = symbolic.constraints(u, absent=[e for e in u.edges if e not in u.fixed and e not in (("C", "D"), ("X", "C"), ("A", "B"))])
+    return symbolic.crux(spark, u, c)
+
+
+@query("select 'mas_compatible' as metric, 36672::bigint as dyads, 384::bigint as compatible union all select 'identified_compatible', 36672, 4032")
+def precision_illusion(spark, sf_dir):
+    """Scenarios with known counts."""
+    from causeway.plans import scenarios
+
+    rows = [scenarios.illusion_result(spark, m) for m in ("mas_compatible", "identified_compatible")]
+    return spark.createDataFrame([(r["metric"], r["dyads"], r["compatible_dyads"]) for r in rows], "metric string, dyads long, compatible long")
+
+
+@query()
+def ghost_scenario(spark, sf_dir):
+    from causeway.plans import scenarios
+
+    return scenarios.ghost_result(spark, models=60, components=30)
+
+
+@query()
+def older_workflow(spark, sf_dir):
+    from causeway.plans import legacy
+
+    edges = legacy.build_causal_node(spark, ["Y", "Xtest", "X1", "X2"], [0, -1, -3, -2], ["otc", "test", "ctr", "ctr"], ["Y ~ X1 + Xtest; X1 ~ X2", "Y ~ Xtest; X2 ~ X1", "Y ~ Xtest; X1 ~ X1"])
+    return legacy.add_compatible(legacy.build_formula_matrix(edges, ["X1", "X2", "Xtest", "Y"]))
+
+
+@query(
+    """, k as (select m, c, st from edge), cr as (select c, row_number() over (order by sum((st = 0)::int) / count(*) desc, c) o from k group by c), mr as (select m, row_number() over (order by sum((st = 0)::int) / count(*) desc, m) o from k group by m)
+select m as model_id, c as comp_id, case st when 1 then 'causal' when 2 then 'non-causal' else 'unknown' end as status, cr.o as component_order, mr.o as model_order from k join cr using (c) join mr using (m)"""
+)
+def status_heatmap(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    claims = M.unpack(m, reg).where(F.col("comp_id").isin([r["comp_id"] for r in reg.edges]))
+    return U.status_heatmap(claims).withColumns({c: F.col(c).cast("bigint") for c in ("component_order", "model_order")})

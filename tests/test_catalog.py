@@ -39,3 +39,8 @@ def test_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 210
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.catalog.QUERIES) - set(entry.catalog.ORACLES)))
+def test_runs_without_sql(spark, name):
+    assert entry.queries()[name](spark, SF).count() > 0
