@@ -32,7 +32,7 @@ from . import batch as B
 from . import exchange as X
 
 SIZE = 13
-HASH_BITS = 56
+HASH_BITS = 64  # fewer bits make a smaller exchange, and at great size a few wrong owners
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _LAST = np.iinfo(np.int64).max
 
@@ -61,7 +61,7 @@ class _Windows:
 def _bounds(keys: np.ndarray, n: int) -> np.ndarray:
     """First place of each of n ranges of hashes (n + 1)."""
     step = (1 << HASH_BITS) // n + 1
-    return np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) * np.uint64(step))
+    return np.concatenate([[0], np.searchsorted(keys, np.arange(1, n, dtype=np.uint64) * np.uint64(step)), [len(keys)]])
 
 
 def _ask(n: int, size: int):
