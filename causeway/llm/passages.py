@@ -6,7 +6,7 @@ a smaller id.
 1. Chunks send the hashes of their distinct windows, each with the least id that has it. Hashes that several documents have
    are candidates; the document with the least id owns them.
 2. Owners send their runs of candidate windows as passages, the other documents send the regions they may share, both to the
-   shard of the owner. A chunk sends equal regions once.
+   shard of the owner. A chunk sends equal regions once; an owner that very many chunks share has several shards.
 3. A shard compiles an Aho-Corasick automaton of its passages' phrases (every ``size // 2 + 1``-th run of that many words, so that
    each window holds one whole) and streams its regions through it. Around every phrase found, words are compared; what is
    confirmed goes back to the chunks, word for word equal. A colliding hash confirms nothing.
@@ -33,6 +33,8 @@ from . import exchange as X
 
 SIZE = 13
 HASH_BITS = 64  # fewer bits make a smaller exchange, and at great size a few wrong owners
+#: A window's owner has a shard more for each so many chunks that share it.
+HOT = 2048
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _LAST = np.iinfo(np.int64).max
 
@@ -75,35 +77,39 @@ def _ask(n: int, size: int):
     return ask
 
 
-def _candidates(k, chunks, blobs):
-    """For each chunk: places of those of its hashes that other chunks have too, and the least id of each."""
-    parts = [X.split_blobs(x) for x in blobs]
-    keys = [X.unpack_sorted(x) for x, _ in parts]
-    ids = np.concatenate([X.unpack_ints(y) for _, y in parts])
-    sizes = [len(x) for x in keys]
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    s = flat[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]])
-    first = np.flatnonzero(head)
-    count = np.diff(np.append(first, len(s)))
-    least = np.repeat(np.minimum.reduceat(ids[order], first), count)
-    many = np.repeat(count > 1, count)
-    low, shared = np.empty(len(s), np.int64), np.empty(len(s), bool)
-    low[order], shared[order] = least, many
-    at = 0
-    for b, n in zip(chunks, sizes, strict=True):
-        own = np.flatnonzero(shared[at : at + n])
-        if len(own):
-            yield b, X.join_blobs(X.pack_sorted(own.astype(np.uint64)), X.pack_ints(low[at : at + n][own]))
-        at += n
-
-
-def _runs(at: np.ndarray, owner: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last place of runs of windows that follow one another with one owner in one text."""
+def _candidates(hot: int):
+    """For each chunk: places of those of its hashes that other chunks have too, the least id of each, and over how many shards each is spread."""
+
+    def reply(k, chunks, blobs):
+        parts = [X.split_blobs(x) for x in blobs]
+        keys = [X.unpack_sorted(x) for x, _ in parts]
+        ids = np.concatenate([X.unpack_ints(y) for _, y in parts])
+        sizes = [len(x) for x in keys]
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        s = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        count = np.diff(np.append(first, len(s)))
+        low, among = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(ids[order], first), count)
+        among[order] = np.repeat(count, count)
+        at = 0
+        for b, n in zip(chunks, sizes, strict=True):
+            own = np.flatnonzero(among[at : at + n] > 1)
+            if len(own):
+                yield b, X.join_blobs(X.pack_sorted(own.astype(np.uint64)), X.pack_ints(low[at : at + n][own]), X.pack_ints(1 + among[at : at + n][own] // hot))
+            at += n
+
+    return reply
+
+
+def _runs(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of runs of windows that follow one another and are the same in all else."""
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
+    new = np.concatenate([[True], at[1:] != at[:-1] + 1])
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
     first = np.flatnonzero(new)
     return first, np.append(first[1:], len(at)) - 1
 
@@ -114,12 +120,13 @@ def _send_texts(n: int, size: int):
     def done(b, c, answers):
         w = _Windows(c, size)
         at = _bounds(w.keys, n)
-        least, elsewhere = w.least.copy(), np.zeros(len(w.keys), bool)
+        least, elsewhere, shards = w.least.copy(), np.zeros(len(w.keys), bool), np.ones(len(w.keys), np.int64)
         for k, (blob,) in answers.items():
-            own, low = X.split_blobs(blob)
+            own, low, over = X.split_blobs(blob)
             place = X.unpack_sorted(own).astype(np.int64) + at[k]
-            least[place] = X.unpack_ints(low)
+            least[place], shards[place] = X.unpack_ints(low), X.unpack_ints(over)
             elsewhere[place] = True
+        shards = shards[w.code]
         owner = least[w.code]
         spread = (elsewhere | (w.most > w.least))[w.code]
         # all words, one space after each
@@ -130,12 +137,16 @@ def _send_texts(n: int, size: int):
         edge = offs + np.arange(len(offs))
         cols = []
         for kind, pick in ((0, np.flatnonzero(spread & (owner == w.id))), (1, np.flatnonzero(owner < w.id))):
-            lo, hi = _runs(w.at[pick], owner[pick], w.text[pick])
+            lo, hi = _runs(w.at[pick], owner[pick], w.text[pick], shards[pick])
             lo, hi = pick[lo], pick[hi]
+            # a passage goes to all of its owner's shards, a region to the one that its chunk falls to
+            copies = shards[lo] if kind == 0 else np.ones(len(lo), np.int64)
+            salt = B.spread(copies)[1] if kind == 0 else b % shards[lo]
+            lo, hi = np.repeat(lo, copies), np.repeat(hi, copies)
             a, z = w.at[lo], w.at[hi] + size
-            cols.append((np.full(len(lo), kind), owner[lo], w.text[lo], a - w.by[w.text[lo]], edge[a], edge[z] - 1))
-        kind, own, text, start, a, z = (np.concatenate(x) for x in zip(*cols, strict=True))
-        shard = (B.mix(own.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+            cols.append((np.full(len(lo), kind), owner[lo], w.text[lo], a - w.by[w.text[lo]], edge[a], edge[z] - 1, salt))
+        kind, own, text, start, a, z, salt = (np.concatenate(x) for x in zip(*cols, strict=True))
+        shard = (B.mix(own.astype(np.uint64) + B.mix(salt.astype(np.uint64))) % np.uint64(n)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         kind, own, text, start, a, z, shard = (x[order] for x in (kind, own, text, start, a, z, shard))
         said = B.binary(joined, a, z)
@@ -242,11 +253,11 @@ def _shard(size: int):
     return reply
 
 
-def _chunked(docs: DataFrame, doc_id: str, text: str, size: int, carry: list[str]):
+def _chunked(docs: DataFrame, doc_id: str, text: str, size: int, carry: list[str], hot: int = HOT):
     """The chunks, and what of them is confirmed."""
     n = X.parts(docs.sparkSession)
     chunks = X.pack(docs, doc_id, text, carry=carry)
-    answers = X.answer(X.each_chunk(chunks, _ask(n, size), X.SENT_SCHEMA), _candidates)
+    answers = X.answer(X.each_chunk(chunks, _ask(n, size), X.SENT_SCHEMA), _candidates(hot))
     texts = X.finish(chunks, answers, _send_texts(n, size), X.SENT_SCHEMA)
     return chunks, X.answer(texts, _shard(size))
 
@@ -262,9 +273,9 @@ def _gone(c: X.Chunk, answers: dict[int, list[bytes]]):
     return starts, ends, by, np.cumsum(edge)[:-1] > 0
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, hot: int = HOT) -> DataFrame:
     """Per document: words, removed words, and a digest of the kept ones."""
-    chunks, found = _chunked(docs, doc_id, text, size, [])
+    chunks, found = _chunked(docs, doc_id, text, size, [], hot)
 
     def done(b, c, answers):
         starts, ends, by, gone = _gone(c, answers)

@@ -50,13 +50,13 @@ def corpus(seed, n=120):
     return [*rows, (rows[0][0], rows[1][1]), (500, None), (501, ""), (502, " " + rows[5][1] + "\n")]
 
 
-@pytest.mark.parametrize("size", [13, 5])
-def test_as_brute_force(spark, tmp_path, size):
+@pytest.mark.parametrize(("size", "hot"), [(13, passages.HOT), (5, 1)])
+def test_as_brute_force(spark, tmp_path, size, hot):
     rows = corpus(size)
     df = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, b int, k string").repartition(5)
     df.write.parquet(str(tmp_path / "d"))
     df = spark.read.parquet(str(tmp_path / "d"))
-    got = sorted(tuple(r) for r in passages.digests(df, size=size).collect())
+    got = sorted(tuple(r) for r in passages.digests(df, size=size, hot=hot).collect())
     want = brute(rows, size)
     assert got == want and sum(r[2] for r in want) > 100
     kept = passages.remove(df, size=size)
