@@ -26,8 +26,8 @@ from . import exchange as X
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c"}
 #: Characters that may stand between letters for nothing, or part two words.
 GAPS = " .-_*'~,:;/\\#%&=^`\""
-#: Natural logarithms of the channel's probabilities: a letter for another character, a character as it is, a character for nothing, a gap for nothing, a gap between words, a repeated character for nothing.
-SWAP, SELF, DROP, SKIP, PART, AGAIN = -1.5, -6.0, -9.0, -1.0, -2.0, -1.5
+#: Natural logarithms of the channel's probabilities: a letter for another character, a character as it is, a character for nothing, a gap for nothing, a gap between words, a repeated character for nothing, and one of just two.
+SWAP, SELF, DROP, SKIP, PART, AGAIN, TWICE = -1.5, -6.0, -9.0, -1.0, -2.0, -1.5, -5.0
 
 SAMPLE, FEATURES, PRECISION, SURE = 20_000, 20_000, 0.4, 0.6
 #: Bytes of the beginnings of words that count beside whole words.
@@ -156,6 +156,14 @@ class Channel:
             return [*((ord(c) - 96, SWAP, c) for c in LEET[ch]), (27, SELF, ch)], DROP
         return [(27, 0.0 if ch.isalpha() else SELF / 2, ch)], DROP
 
+    @staticmethod
+    def again(word: str, t: int) -> float:
+        """The cost of nothing for a character that repeats the one before it."""
+        c = word[t]
+        if not t or word[t - 1] != c:
+            return -np.inf
+        return AGAIN if word[t + 1 : t + 2] == c or word[t - 2 : t - 1] == c else TWICE
+
     def restore(self, words: list[bytes]) -> list[list[bytes]]:
         new = list(dict.fromkeys(w for w in words if w not in self.kept))
         if len(self.kept) + len(new) > _KEPT:  # bounds memory
@@ -189,7 +197,7 @@ class Channel:
             stay = np.zeros(n, np.float32)
             for i, w in enumerate(words):
                 if len(w) > t:
-                    stay[i] = max(opts[i][1], AGAIN if t and w[t] == w[t - 1] else -np.inf)
+                    stay[i] = max(opts[i][1], self.again(w, t))
             new = s + stay[:, None, None]
             back = np.full((n, SIZE, SIZE), -1, np.int8)
             for k in range(max((len(o) for o, _ in opts), default=0)):
@@ -272,9 +280,15 @@ class Scorer:
     def found(self, data: np.ndarray, offsets: np.ndarray, contexts: bool = False):
         """Distinct (text, feature number) pairs: of each word the likeliest of its whole and its beginnings.
 
-        With ``contexts`` all of a word's features, for each occurrence, and a hash of the words around it.
+        With ``contexts`` all of a word's features, for each occurrence, a hash of the words around it, and the number of
+        the whole word's feature (-1: it is none).
         """
-        pick = self._all if contexts else self._best
+        some = self._all if contexts else self._best
+
+        def pick(word: bytes) -> list[tuple[int, int]]:
+            whole = self._at.get(word, -1)
+            return [(f, whole) for f in some(word)]
+
         if self._channel is None:
             self._channel = Channel(self.model)
             self._at = {w: i for i, w in enumerate(self.words)}
@@ -286,7 +300,7 @@ class Scorer:
                     self._hashes[n] = np.sort(B.hashes(d, o[:-1], o[1:]))
         x = Lexed(data, offsets)
         odd, apart = restored(x, self._channel)
-        by_word: dict[int, list[int]] = {}
+        by_word: dict[int, list[tuple[int, int]]] = {}
         for n, hashes in self._hashes.items():
             own = x.prefixes(n) if n else np.flatnonzero(x.plain)
             h = B.hashes(x.d, x.first[own], x.first[own] + n if n else x.last[own])
@@ -302,17 +316,17 @@ class Scorer:
         if contexts and len(x.first):
             around[1:-1] = B.hashes(x.d, x.first, x.last)[x.codes]
             around[1:-1] = B.mix(around[:-2] * B._ODD + around[2:])
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, int, int]] = []
         if by_word:
             hit = np.zeros(len(x.first), bool)
             hit[list(by_word)] = True
             at = np.flatnonzero(hit[x.codes])
             text = np.searchsorted(x.by, at, side="right") - 1
-            rows = [(t, f, a) for t, c, a in zip(text.tolist(), x.codes[at].tolist(), around[at + 1].tolist(), strict=True) for f in by_word[c]]
-        rows += [(t, f, 0) for t, ws in apart for w in ws for f in pick(w)]
+            rows = [(t, f, a, w) for t, c, a in zip(text.tolist(), x.codes[at].tolist(), around[at + 1].tolist(), strict=True) for f, w in by_word[c]]
+        rows += [(t, f, 0, w) for t, ws in apart for said in ws for f, w in pick(said)]
         if contexts:
-            return tuple(np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int64, np.uint64), strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-        got = np.array(sorted({(t, f) for t, f, _ in rows}), np.int64).reshape(-1, 2)
+            return tuple(np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int64, np.uint64, np.int64), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
+        got = np.array(sorted({(t, f) for t, f, *_ in rows}), np.int64).reshape(-1, 2)
         return got[:, 0], got[:, 1]
 
     def _all(self, word: bytes) -> list[int]:
@@ -387,12 +401,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id"
     def contexts(batches):
         for part in _parts(batches, 1):
             y = part.column(0).to_numpy(zero_copy_only=False)
-            text, word, around = candidates.value.found(*B.flat(part.column(1)), contexts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(around.astype(np.int64)), pa.array(y[text], pa.int32())], ["f", "around", "toxic"])
+            text, word, around, whole = candidates.value.found(*B.flat(part.column(1)), contexts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(around.astype(np.int64)), pa.array(y[text], pa.int32()), pa.array(whole, pa.int32())], ["f", "around", "toxic", "whole"])
 
     # by the words around it, so that the copies of one text count once
-    seen = rows.mapInArrow(contexts, "f int, around long, toxic int").distinct().groupBy("f").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
-    kept = [(bytes(top[r["f"]]["word"]), r["p"]) for r in seen.where(sure >= bound).withColumn("p", precision).where(F.col("p") >= SURE).orderBy("f").collect()]
+    seen = X.durable(rows.mapInArrow(contexts, "f int, around long, toxic int, whole int").distinct())
+
+    def sure_of(found: DataFrame) -> list[tuple[int, float]]:
+        counts = found.groupBy("f").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
+        return [(r["f"], r["p"]) for r in counts.where(sure >= bound).withColumn("p", precision).where(F.col("p") >= SURE).orderBy("f").collect()]
+
+    words_ = sure_of(seen.where("f = whole"))
+    # a beginning counts by the words that aren't sure themselves
+    taken = spark.createDataFrame([(f,) for f, _ in words_], "whole int")
+    kept = [(bytes(top[f]["word"]), p) for f, p in [*words_, *sure_of(seen.where("f <> whole").join(F.broadcast(taken), "whole", "left_anti"))]]  # at most ``features`` rows
     made = Scorer(model, [w for w, _ in kept], -np.log1p(-np.array([p for _, p in kept], float)), 0.0)
     ready = spark.sparkContext.broadcast(made)
 

@@ -22,7 +22,7 @@ def exhaustive(word, lm):
     choices = []
     for t, ch in enumerate(word):
         opts, nothing = toxicity.Channel.options(ch)
-        nothing = max(nothing, toxicity.AGAIN if t and word[t - 1] == ch else -np.inf)
+        nothing = max(nothing, toxicity.Channel.again(word, t))
         choices.append([*opts, (None, nothing, "")])
     best = (-np.inf, "")
     for path in product(*choices):
