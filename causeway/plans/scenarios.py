@@ -42,7 +42,10 @@ def _draw(seed: int, *of) -> Column:
 
 
 def illusion_design(metric: str) -> tuple[R.Registry, list[tuple[str, str]], list[tuple[str, str]]]:
-    """A registry, its fixed edges and its seven open ones: for adjustment sets, or for identification through a front door."""
+    """A registry, its fixed edges and its seven open ones: for adjustment sets, or for identification through a front door.
+
+    The nodes, times and edges are fixed values.
+    """
     if metric == "mas_compatible":
         nodes = [{"name": "X1", "timing": 2}, *({"name": f"X{i}", "timing": 1} for i in range(2, 7)), {"name": "X7", "timing": 3}, {"name": "X8", "timing": 4}, {"name": "Y", "timing": 5}]
         fixed = [("X1", "X7"), ("X7", "X8"), ("X8", "Y"), ("X1", "Y"), *((f"X{i}", "Y") for i in range(2, 7))]

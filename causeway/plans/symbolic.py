@@ -233,7 +233,7 @@ def compare(spark: SparkSession, u: Universe, one: tuple, other: tuple, **option
 
 
 def paper_small() -> Universe:
-    """Six nodes in time order and five edges fixed."""
+    """Six nodes in time order and five edges fixed: fixed values."""
     nodes = ["A", "X", "B", "C", "D", "Y"]
     u = from_nodes([{"name": n, "timing": i} for i, n in enumerate(nodes)], "X", "Y")
     u.fixed = {("A", "X"), ("A", "C"), ("B", "C"), ("B", "Y"), ("X", "Y")}
