@@ -5,7 +5,8 @@ samples. Frames hold constant, verbatim, fixed-predictor or LPC subframes with R
 the seek table, checks both checksums and the frame's number, and writes PCM blocks; any range of samples can be read by
 decoding just its frames.
 
-A sample is a payload byte minus 128. Nothing here is lossy.
+A sample is a payload byte minus 128. Nothing here is lossy. Null and empty texts are a payload of one block of spaces; texts of any length
+are coded frame by frame; equal texts give equal streams; no rows give no rows. Other columns are not used.
 """
 
 from __future__ import annotations
