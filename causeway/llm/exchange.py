@@ -127,28 +127,32 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: str
     """Chunks of the documents, dealt out by ``b`` (or left where they are cut, for a pass that needs no answers).
 
     ``extra``: an SQL expression whose long value goes with each document. ``carry``: columns that go with them unchanged.
+    Neither moves a chunk's borders: passes over the same rows number them alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def out(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            nonlocal k
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal k, held, size
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
             sizes = np.asarray(pc.binary_length(rows.column(1)).fill_null(0)).astype(np.int64)
             at = cuts(sizes, most)
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
+            # the last chunk stays open, so that borders follow from the texts alone and not from batches or other columns
+            for lo, hi in zip(at[:-1] if last else at[:-2], at[1:] if last else at[1:-1], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 24) + k], pa.int64()), pa.array([_pack(rows, lo, hi)], pa.binary())], ["b", "blob"])
                 k += 1
+            held, size = [rows.slice(at[-2])], 0
             B.trim()
 
         for x in batches:
-            held.append(x)
-            size += x.nbytes
-            if size >= 4 * most:
-                yield from out(pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else x)
-                held, size = [], 0
-        if held and sum(len(x) for x in held):
-            yield from out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            if len(x):
+                held.append(x)
+                size += x.nbytes
+                if size >= 4 * most:
+                    yield from out(False)
+        if held:
+            yield from out(True)
 
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"cast({extra or 'null'} as long) as extra", *(f"`{c}` as `_c{i}`" for i, c in enumerate(carry or ())))
     chunks = rows.mapInArrow(run, CHUNK_SCHEMA)

@@ -2,12 +2,13 @@
 
 import re
 from collections import Counter
+from functools import partial
 from math import log
 
 import numpy as np
 import pytest
 
-from causeway.llm import near_dup
+from causeway.llm import exchange, near_dup
 from causeway.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -82,6 +83,22 @@ def test_as_brute_force(spark, tmp_path, monkeypatch, texts):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_wide_columns_move_no_chunk(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(5, 60)))), "z" * int(rng.integers(0, 900))) for i in range(600)]
+    rows += [(1000 + i, rows[7 * i][1], "copy") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, wide string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(exchange, "pack", partial(exchange.pack, most=2048))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        plain, carried = ({(r["b"], tuple(exchange.Chunk.of(bytes(r["blob"])).ids.tolist())) for r in exchange.pack(df, carry=c).collect()} for c in (None, ["doc_id", "wide"]))
+        assert plain == carried and len(plain) > 50 and sum(len(i) for _, i in plain) == len(rows)
+        assert {r["doc_id"] for r in near_dup.keep_one(df).collect()} == set(range(600))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_samples_agree_as_often_as_similar():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
