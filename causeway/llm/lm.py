@@ -64,7 +64,7 @@ class Vocabulary:
         p = (follow + kinds * self.prior) / (follow.sum(axis=1, keepdims=True) + kinds)
         p = np.concatenate([p, self.prior[None]])[:, np.concatenate(parts)].reshape(-1, GROUPS, MEMBERS)
         by_group = p.sum(axis=2)
-        self.groups, self.members = np.log(by_group).astype(np.float32), np.log(p / by_group[:, :, None]).astype(np.float32)
+        self.groups, self.members = (np.ascontiguousarray(np.log(x), np.float32) for x in (by_group, p / by_group[:, :, None]))
         # the same in forms that are quick to look up and to sort by
         self.flat, self.short = self.members.reshape(-1, MEMBERS), self.group.astype(np.uint8)
 
@@ -88,7 +88,7 @@ def _attend(m: dict, x: np.ndarray, rows: int):
     q, k, v = m["q"].take(x[:, -rows:], axis=0), m["k"].take(x, axis=0), m["v"].take(x, axis=0)
     q *= np.float32(WIDTH**-0.5)
     s = q @ k.transpose(0, 2, 1)
-    s += np.where(causal, m["bias"][d], -2 * BOUND).astype(s.dtype)
+    s += np.where(causal, m["bias"][d], -np.inf).astype(s.dtype)  # 0 exactly, as products of numbers near it are slow
     np.exp(np.minimum(s, BOUND, out=s), out=s)
     pad = x == CLASSES
     if pad.any():
@@ -103,18 +103,11 @@ def _attend(m: dict, x: np.ndarray, rows: int):
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    np.exp(np.minimum(logits, BOUND, out=logits), out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
     return logits
 
 
-def _by_group(group: np.ndarray):
-    order = np.argsort(group, kind="stable")
-    at = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    return ((g, order[at[g] : at[g + 1]]) for g in range(GROUPS) if at[g + 1] > at[g])
-
-
 def log_probabilities(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, rows: int) -> np.ndarray:
     """log P(class y) after each of the last ``rows`` places of the windows x (0 where y is padding)."""
     z = _attend(m, x, rows)[-1].reshape(-1, WIDTH)
@@ -143,42 +136,62 @@ def log_probabilities(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, ro
     return out.reshape(y.shape)
 
 
+def _by_class(x: np.ndarray, grad: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Sums of the gradients of each class's row."""
+    order = np.argsort(x.astype(np.int16), kind="stable")
+    x = x[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    out = np.zeros_like(like)
+    out[x[first]] = np.add.reduceat(grad.reshape(-1, WIDTH)[order], first)
+    return out
+
+
 def step(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the windows (y == CLASSES: nothing to predict) and its gradients."""
-    rows = x.shape[1]
-    d, _ = _mask(rows, rows)
+    """Mean loss of what follows the last places of the windows (y == CLASSES: nothing to predict) and its gradients."""
+    rows = y.shape[1]
+    d, _ = _mask(rows, x.shape[1])
     q, k, v, a, total, z = _attend(m, x, rows)
-    a = a / total[:, :, None]
-    flat, last, t = z.reshape(-1, WIDTH), x.ravel(), y.ravel()
-    ok = t != CLASSES
-    n = max(int(ok.sum()), 1)
-    own = voc.group[t]
-    weight = (ok / np.float32(n)).astype(flat.dtype)[:, None]
-    p = _softmax(flat @ m["out"] + voc.groups[last])
-    loss = -float((np.log(p[np.arange(len(t)), own] + 1e-30) * weight[:, 0]).sum())
-    p[np.arange(len(t)), own] -= 1
+    a /= total[:, :, None]
+    z, last, t = z.reshape(-1, WIDTH), x[:, -rows:].ravel(), y.ravel()
+    ok = np.flatnonzero(t != CLASSES)
+    ok = ok[np.argsort(voc.short[t[ok]], kind="stable")]  # the places of each group together
+    flat, before, t = z[ok], last[ok].astype(np.int64), t[ok]
+    own, row = voc.group[t], np.arange(len(t))
+    at = np.searchsorted(own, np.arange(GROUPS + 1)).tolist()
+    parts = [(i, slice(at[i], at[i + 1])) for i in range(GROUPS) if at[i + 1] > at[i]]
+    weight = flat.dtype.type(1 / max(len(t), 1))
+    p = flat @ m["out"]
+    p += voc.groups.take(before, axis=0)
+    p = _softmax(p)
+    loss = -float(np.log(p[row, own] + 1e-30).sum() * weight)
+    p[row, own] -= 1
     p *= weight
     g = {"out": flat.T @ p, "in": np.zeros_like(m["in"])}
-    dz = p @ m["out"].T
-    for i, at in _by_group(own):
-        p = _softmax(flat[at] @ m["in"][i] + voc.members[last[at], i])
-        pick = voc.member[t[at]]
-        loss -= float((np.log(p[np.arange(len(at)), pick] + 1e-30) * weight[at, 0]).sum())
-        p[np.arange(len(at)), pick] -= 1
-        p *= weight[at]
-        g["in"][i] = flat[at].T @ p
-        dz[at] += p @ m["in"][i].T
-    dz = (dz * (1 - flat * flat)).reshape(z.shape)
-    dv = a.transpose(0, 2, 1) @ dz
-    da = dz @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
+    df = p @ m["out"].T
+    p = voc.members.reshape(-1, MEMBERS).take(before * GROUPS + own, axis=0)
+    for i, part in parts:
+        p[part] += flat[part] @ m["in"][i]
+    p = _softmax(p)
+    pick = voc.member[t]
+    loss -= float(np.log(p[row, pick] + 1e-30).sum() * weight)
+    p[row, pick] -= 1
+    p *= weight
+    for i, part in parts:
+        g["in"][i] = flat[part].T @ p[part]
+        df[part] += p[part] @ m["in"][i].T
+    df *= 1 - flat * flat
+    dz = np.zeros_like(z)
+    dz[ok] = df
+    dz = dz.reshape(len(x), rows, WIDTH)
+    dv = np.ascontiguousarray(a.transpose(0, 2, 1)) @ dz
+    ds = dz @ v.transpose(0, 2, 1)
+    ds -= ((a * ds) @ np.ones(a.shape[2], a.dtype))[:, :, None]
+    ds *= a
+    dq, dk = ds @ k * np.float32(WIDTH**-0.5), np.ascontiguousarray(ds.transpose(0, 2, 1)) @ q
     g["bias"] = np.bincount(d.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * HALF).astype(flat.dtype)
-    order = np.argsort(last, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(last[order]) > 0]))
-    for name, grad in (("q", dq), ("k", dk), ("v", dv), ("u", dz)):
-        g[name] = np.zeros_like(m[name])
-        g[name][last[order[first]]] = np.add.reduceat(grad.reshape(-1, WIDTH)[order], first)
+    every = x.ravel()
+    for name, at, grad in (("q", last, dq), ("u", last, dz), ("k", every, dk), ("v", every, dv)):
+        g[name] = _by_class(at, grad, m[name])
     return loss, g
 
 
@@ -200,11 +213,8 @@ def fit(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, steps: int, rate
     return m
 
 
-def score(m: dict, voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray, end: int, block: int = 256) -> np.ndarray:
-    """Natural log probability of each sequence with its end.
-
-    Windows of 2 * HALF places overlap by half: each token is scored once, after HALF to 2 * HALF - 1 places or all there are.
-    """
+def stream(voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Targets (the ids and an end after each text), their classes, the class before each, and where texts start (n + 1)."""
     n = np.diff(offsets) + 1
     at = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=at[1:])
@@ -214,18 +224,35 @@ def score(m: dict, voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray, end: i
     x = np.empty(len(y), np.int16)  # what comes before each target: the end of the text before, or the token before
     x[1:] = y[:-1]
     x[at[:-1]] = voc.cls[end]
-    out = voc.inner[target]
-    blocks = -(-n // HALF)
+    return target, y, x, at
+
+
+def spans(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts that start at these places: the first and last place of each one's text, and its first target."""
+    blocks = -(-np.diff(at) // HALF)
     k = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     lo, hi = np.repeat(at[:-1], blocks), np.repeat(at[1:], blocks)
-    start = lo + k * HALF
-    span = np.arange(-HALF, HALF)
+    return lo, hi, lo + k * HALF
+
+
+def windows(x: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray):
+    """Classes before (2 * HALF a window) and targets' classes (HALF), with the targets' places and which are in the text."""
+    spot = start[:, None] + np.arange(-HALF, HALF)
+    ok = (spot >= lo[:, None]) & (spot < hi[:, None])
+    w = np.where(ok, x[np.where(ok, spot, 0)], CLASSES).astype(np.int64)
+    mine, good = spot[:, HALF:], ok[:, HALF:]
+    return w, np.where(good, y[np.where(good, mine, 0)], CLASSES).astype(np.int64), mine, good
+
+
+def score(m: dict, voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray, end: int, block: int = 256) -> np.ndarray:
+    """Natural log probability of each sequence with its end.
+
+    Windows of 2 * HALF places overlap by half: each token is scored once, after HALF to 2 * HALF - 1 places or all there are.
+    """
+    target, y, x, at = stream(voc, ids, offsets, end)
+    out = voc.inner[target]
+    lo, hi, start = spans(at)
     for i in range(0, len(start), block):
-        s, a, z = start[i : i + block, None], lo[i : i + block, None], hi[i : i + block, None]
-        spot = s + span
-        ok = (spot >= a) & (spot < z)
-        w = np.where(ok, x[np.where(ok, spot, 0)], CLASSES).astype(np.int64)
-        mine, good = spot[:, HALF:], ok[:, HALF:]
-        t = np.where(good, y[np.where(good, mine, 0)], CLASSES).astype(np.int64)
+        w, t, mine, good = windows(x, y, lo[i : i + block], hi[i : i + block], start[i : i + block])
         out[mine[good]] += log_probabilities(m, voc, w, t, HALF)[good]
-    return np.add.reduceat(out, at[:-1]) if len(n) else np.zeros(0)
+    return np.add.reduceat(out, at[:-1]) if len(at) > 1 else np.zeros(0)

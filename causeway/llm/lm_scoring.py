@@ -1,21 +1,18 @@
 """Language-model scores of whole texts, with the unigram score beside them.
 
 Tokens are lower-cased (A-Z) words and one end a text. Every chunk asks about its distinct words; a bucket adds up a word's
-count over all learning texts and cuts it into subword ids once. The attention model's classes and shares come from the counts of all
-learning texts. Its weights come from windows of all learning texts: one window in ``EVERY`` of each text's places, so they
-grow with the input. A bounded sample of all places gives the first weights; then executors go over all of them, part by part, and their
-weights are averaged by the windows they saw.
+count over all learning texts and cuts it into subword ids once. Each chunk's texts are then stored as subword ids, and all that
+the attention model learns comes from them: its classes, shares and what follows what are counts over all learning texts in full,
+and its weights come from all their windows, cut as for scores, so each subword and each end is learned from once. A
+bounded sample of windows gives the first weights only; then executors go over all of them, and their weights are averaged by the windows they saw.
 
 Null texts are empty: their end is their only token. Repeated rows score alike. Without learning rows N and V are 0.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +20,10 @@ from . import batch as B
 from . import bpe, lm
 from . import exchange as X
 
-EVERY = 16
-FIRST_WINDOWS, FIRST_STEPS, TRAINERS, BLOB_WINDOWS = 16384, 1200, 64, 256
+FIRST_WINDOWS, FIRST_STEPS, TRAINERS = 32768, 1200, 64
+BLOCK, STEP = 16384, 128
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_SPAN = 2 * lm.HALF
+TEXTS = "b long, windows long, blob binary"
 
 
 def _words(c: X.Chunk):
@@ -80,7 +77,7 @@ def _reply(path: str, pattern: str):
             yield b, X.join_blobs(X.pack_ints(counts[c]), X.pack_ragged(B.gather(ids, starts[c], lens[c])[0].astype(np.uint32), lens[c]))
         total = np.bincount(ids, weights=np.repeat(counts, lens)).astype(np.int64)
         seen = np.flatnonzero(total)
-        yield -1, X.join_blobs(X.pack_ints(np.array([int((counts > 0).sum()), int(counts.sum())])), X.pack_ints(seen), X.pack_ints(total[seen]), X.pack_ragged(ids[np.repeat(counts > 0, lens)].astype(np.uint32), lens[counts > 0]), X.pack_ints(counts[counts > 0]))
+        yield -1, X.join_blobs(X.pack_ints(np.array([int((counts > 0).sum()), int(counts.sum())])), X.pack_ints(seen), X.pack_ints(total[seen]))
 
     return reply
 
@@ -91,133 +88,106 @@ def _totals(replies: DataFrame) -> tuple[int, int, dict[int, int]]:
     def run(batches):
         for x in batches:
             for blob in x.column(0):
-                a, ids, n = map(X.unpack_ints, X.split_blobs(blob.as_py())[:3])
+                a, ids, n = map(X.unpack_ints, X.split_blobs(blob.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], ids])), pa.array(np.concatenate([a, n]))], ["id", "n"])
 
     got = {r["id"]: r["n"] for r in replies.where("b = -1").select("blob").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator()}
     return got.pop(-2, 0), got.pop(-1, 0), got
 
 
-def _windows(docs: DataFrame, path: str, pattern: str, end: int, every: int = EVERY) -> DataFrame:
-    """Blobs of windows of subword ids (_SPAN + 1 each, -1 where there is none): one in ``every`` of all learning texts' places."""
-    half = lm.HALF
+class Texts:
+    """A chunk's texts as subword ids: places of texts in them, which to learn from, and the digest rows without scores."""
 
-    def run(batches):
-        for x in batches:
-            sizes = np.asarray(pc.binary_length(x.column(0)).fill_null(0)).astype(np.int64)
-            cut = X.cuts(sizes, X.CHUNK_BYTES)
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                data, offsets = B.flat(x.column(0).slice(lo, hi - lo))
-                data = B.LOWER[data]
-                starts, ends, by = B.words(data, offsets, B.SPACE)
-                n = np.diff(by)
-                raw = memoryview(data)
-                turn = np.fromiter((zlib.crc32(raw[i:j]) % every for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.int64, len(n))
-                blocks = n // half + 1
-                text = np.repeat(np.arange(len(n)), blocks)
-                k = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                pick = (k + turn[text]) % every == 0
-                text, k = text[pick], k[pick]
-                a = by[text] + np.maximum(k * half - half // 2, 0)
-                z = np.minimum(a + _SPAN, by[text + 1])
-                idx, edge = B.gather(np.arange(len(starts)), a, z - a)
-                codes, values = B.encode(B.binary(data, starts[idx], ends[idx]))
-                ids, lens = subwords(values, path, pattern)
-                flat, spots = B.gather(ids, (np.cumsum(lens) - lens)[codes], lens[codes])
-                out = np.full((len(text), _SPAN + 1), -1, np.int32)
-                for r, (i, j) in enumerate(zip(spots[edge[:-1]].tolist(), spots[edge[1:]].tolist(), strict=True)):
-                    head = [end] if a[r] == by[text[r]] else []
-                    tail = [end] if z[r] == by[text[r] + 1] else []
-                    row = np.concatenate([head, flat[i:j], tail])[: _SPAN + 1]
-                    out[r, : len(row)] = row
-                B.trim()
-                for i in range(0, len(out), BLOB_WINDOWS):
-                    part = out[i : i + BLOB_WINDOWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([X.press(part.tobytes(), level=3)], pa.binary()), pa.array([len(part)], pa.int64())], ["blob", "n"])
+    def __init__(self, blob: bytes):
+        ids, rows = X.split_blobs(blob)
+        self.ids, lens = X.unpack_ragged(ids, np.uint32)
+        self.offsets = np.concatenate([[0], np.cumsum(lens)])
+        self.rows = pa.ipc.open_stream(X.unpress(rows)).read_all()
+
+    @staticmethod
+    def pack(ids: np.ndarray, lens: np.ndarray, rows: pa.Table) -> bytes:
+        return X.join_blobs(X.pack_ragged(ids.astype(np.uint32), lens), X.press(X._ipc(rows, 0), level=3))
 
-    return docs.mapInArrow(run, "blob binary, n long")
+    def learned(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of the texts to learn from."""
+        at = np.flatnonzero(self.rows.column("learn").to_numpy())
+        return B.gather(self.ids, self.offsets[at], np.diff(self.offsets)[at])
 
 
-def _classes(blobs: list[bytes], vocabulary: lm.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    w = np.concatenate([np.frombuffer(X.unpress(b), np.int32).reshape(-1, _SPAN + 1) for b in blobs]) if blobs else np.zeros((0, _SPAN + 1), np.int32)
-    cls = np.where(w >= 0, vocabulary.cls[np.maximum(w, 0)], lm.CLASSES).astype(np.int64)
-    return cls[:, :-1], cls[:, 1:]
+def arrange(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> None:
+    """Counts what class follows what over all learning texts in full. At most CLASSES ** 2 sums come back."""
+    held = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def run(batches):
+        sums = np.zeros(lm.CLASSES * lm.CLASSES, np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                _, y, x, _ = lm.stream(held.value, *Texts(blob.as_py()).learned(), end)
+                sums += np.bincount(x.astype(np.int64) * lm.CLASSES + y, minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
 
-def arrange(replies: DataFrame, windows: DataFrame, vocabulary: lm.Vocabulary, begins: np.ndarray, total: int) -> None:
-    """Counts what class follows what: in words over all learning texts' distinct words, between words over the windows, in proportion to all words.
+    follow = np.zeros(lm.CLASSES * lm.CLASSES)
+    got = texts.select("blob").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    follow[got["pair"].to_numpy()] = got["n"].to_numpy()
+    vocabulary.arrange(follow.reshape(lm.CLASSES, lm.CLASSES))
 
-    At most CLASSES ** 2 sums come back from either.
-    """
-    held = windows.sparkSession.sparkContext.broadcast((vocabulary, begins))
 
-    def pairs(sums: np.ndarray):
-        at = np.flatnonzero(sums)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at].astype(np.int64))], ["pair", "n"])
+def windows(texts: Texts, vocabulary: lm.Vocabulary, end: int, b: int, every: int = 1):
+    """Windows of a chunk's learning texts (one in ``every``) in a fixed shuffled order, some thousands at a time: classes before and targets."""
+    _, y, x, at = lm.stream(vocabulary, *texts.learned(), end)
+    spans = lm.spans(at)
+    order = np.random.default_rng(b).permutation(len(spans[0]))
+    order = order[int(B.mix(np.array([b], np.uint64))[0] % np.uint64(every)) :: every]
+    for i in range(0, len(order), BLOCK):
+        w, t, *_ = lm.windows(x, y, *(a[order[i : i + BLOCK]] for a in spans))
+        yield w.astype(np.int16), t.astype(np.int16)
 
-    def inside(batches):
-        sums = np.zeros(lm.CLASSES * lm.CLASSES)
-        for batch in batches:
-            for blob in batch.column(0):
-                *_, ragged, counts = X.split_blobs(blob.as_py())
-                ids, lens = X.unpack_ragged(ragged, np.uint32)
-                cls = held.value[0].cls[ids.astype(np.int64)].astype(np.int64)
-                first = np.zeros(len(ids), bool)
-                first[(np.cumsum(lens) - lens)[lens > 0]] = True
-                at = np.flatnonzero(~first)
-                sums += np.bincount(cls[at - 1] * lm.CLASSES + cls[at], weights=np.repeat(X.unpack_ints(counts), lens)[at], minlength=len(sums))
-        yield pairs(sums)
-
-    def between(batches):
-        sums = np.zeros(lm.CLASSES * lm.CLASSES)
+
+def train(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> dict[str, np.ndarray]:
+    """First weights from a bounded sample of windows, then one pass of executors over all windows of ``texts``."""
+    held = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    # about FIRST_WINDOWS of all: on few texts all of them
+    every = max(1, texts.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0] // FIRST_WINDOWS)
+
+    def some(batches):
         for batch in batches:
-            for blob in batch.column(0):
-                w = np.frombuffer(X.unpress(blob.as_py()), np.int32).reshape(-1, _SPAN + 1)
-                x, y = w[:, :-1], w[:, 1:]
-                ok = (x >= 0) & (y >= 0) & held.value[1][np.maximum(y, 0)]
-                cls = held.value[0].cls
-                sums += np.bincount(cls[x[ok]].astype(np.int64) * lm.CLASSES + cls[y[ok]], minlength=len(sums))
-        yield pairs(sums)
-
-    follow = np.zeros((2, lm.CLASSES * lm.CLASSES))
-    for k, (rows, fn) in enumerate(((replies.where("b = -1"), inside), (windows, between))):
-        got = rows.select("blob").mapInArrow(fn, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        follow[k, got["pair"].to_numpy()] = got["n"].to_numpy()
-    vocabulary.arrange((follow[0] + follow[1] * (total / max(follow[1].sum(), 1))).reshape(lm.CLASSES, lm.CLASSES))
-
-
-def train(first: DataFrame, windows: DataFrame, vocabulary: lm.Vocabulary) -> dict[str, np.ndarray]:
-    """First weights from a bounded sample of windows, then one pass of executors over all of ``windows``."""
-    x, y = _classes([bytes(r["blob"]) for r in first.select("blob").toLocalIterator()], vocabulary)
-    order = np.random.default_rng(11).permutation(len(x))[: 2 * FIRST_WINDOWS]
-    x, y = x[order], y[order]
-    m = lm.fit(lm.initial(), vocabulary, x, y, min(FIRST_STEPS, 4 * len(x) // 64), 0.01)
-    held = windows.sparkSession.sparkContext.broadcast((m, vocabulary))
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for x, y in windows(Texts(blob.as_py()), held.value, end, b, every):
+                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["b", "x", "y"])
+
+    first = sorted(texts.select("b", "blob").mapInArrow(some, "b long, x binary, y binary").collect())
+    x, y = (np.frombuffer(b"".join(bytes(r[c]) for r in first), np.int16).reshape(-1, n) for c, n in (("x", 2 * lm.HALF), ("y", lm.HALF)))
+    order = np.random.default_rng(11).permutation(len(x))
+    m = lm.fit(lm.initial(), vocabulary, x[order], y[order], min(FIRST_STEPS, 4 * len(x) // STEP), 0.01, size=STEP)
+    start = texts.sparkSession.sparkContext.broadcast(m)
     names = sorted(m)
 
     def run(batches):
-        own, voc = held.value
-        seen, some = 0, []
+        own, seen, xs, ys = start.value, 0, [], []
 
         def learn():
-            x, y = _classes(some, voc)
-            some.clear()
-            return lm.fit(own, voc, x, y, max(1, len(x) // 64), 0.002), len(x)
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            xs.clear(), ys.clear()
+            return lm.fit(own, held.value, x, y, -(-len(x) // STEP), 0.002, size=STEP), len(x)
 
         for batch in batches:
-            for blob in batch.column(0):
-                some.append(blob.as_py())
-                if len(some) == 64:  # bounds memory
-                    own, n = learn()
-                    seen += n
-        if some:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for x, y in windows(Texts(blob.as_py()), held.value, end, b):
+                    xs.append(x)
+                    ys.append(y)
+                    if sum(map(len, xs)) >= BLOCK:  # bounds memory
+                        own, n = learn()
+                        seen += n
+                B.trim()
+        if xs:
             own, n = learn()
             seen += n
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([np.concatenate([own[k].ravel() for k in names]).astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
 
     # at most TRAINERS sets of weights come back
-    got = windows.repartition(TRAINERS, F.xxhash64("blob")).sortWithinPartitions(F.xxhash64("blob")).select("blob").mapInArrow(run, "n long, w binary").collect()
+    got = texts.select("b", "blob").coalesce(TRAINERS).mapInArrow(run, "n long, w binary").collect()
     if not got:
         return m
     flat = np.average([np.frombuffer(r["w"], np.float32) for r in got], axis=0, weights=[r["n"] for r in got]).astype(np.float32)
@@ -240,18 +210,10 @@ def score(docs: DataFrame, path: str, pattern: str, learn: str, held_out: str, d
     counts = np.zeros(end + 1, np.int64)
     counts[list(by_id)] = list(by_id.values())
     counts[end] = ends
-    begins = _begins(path)
-    vocabulary = lm.Vocabulary(counts, begins)
-    texts = docs.where(learn).selectExpr(f"coalesce(cast(`{text}` as string), '') as text")
-    windows = X.durable(_windows(texts, path, pattern, end))
-    # about FIRST_WINDOWS of all places: on few texts all of them
-    first = X.durable(_windows(texts, path, pattern, end, max(1, total // lm.HALF // FIRST_WINDOWS)))
-    begins[end] = True
-    arrange(replies, windows.union(first), vocabulary, begins, total + ends)
-    model = docs.sparkSession.sparkContext.broadcast((train(first, windows, vocabulary), vocabulary))
+    vocabulary = lm.Vocabulary(counts, _begins(path))
     big_n, v = total + ends, distinct + (ends > 0)
 
-    def done(b, c, answers):
+    def cut(b, c, answers):
         codes, values, by = _words(c)
         order, bounds = X.deal(values, n)
         known, lens, flat = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64), []
@@ -269,11 +231,25 @@ def score(docs: DataFrame, path: str, pattern: str, learn: str, held_out: str, d
         n_tokens = np.diff(by) + 1
         base = logs[by[1:]] - logs[by[:-1]] + np.log10(ends + 0.5) - n_tokens * np.log10(big_n + 0.5 * (v + 1))
         out, spots = B.gather(ids, starts[codes], lens[codes])
-        m, voc = model.value
-        s = lm.score(m, voc, out.astype(np.int64), spots[by], end) / np.log(10)
-        return pa.table(
-            [c.id_array(), pa.array(c.extra >= 2), pa.array(n_tokens), pa.array(found[by[1:]] - found[by[:-1]] + (ends > 0)), pa.array(np.full(len(c), big_n)), pa.array(base), pa.array(s)],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        size = np.diff(spots[by])
+        learns = c.extra % 2 == 1
+        rows = pa.table(
+            [c.id_array(), pa.array(c.extra >= 2), pa.array(n_tokens), pa.array(found[by[1:]] - found[by[:-1]] + (ends > 0)), pa.array(np.full(len(c), big_n)), pa.array(base), pa.array(learns)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "learn"],
         )
+        return pa.table([pa.array([b]), pa.array([int((size[learns] // lm.HALF + 1).sum())]), pa.array([Texts.pack(out, size, rows)], pa.binary())], ["b", "windows", "blob"])
+
+    texts = X.durable(X.finish(X.pack(docs, doc_id, text, extra=flag), replies.where("b >= 0"), cut, TEXTS))
+    arrange(texts, vocabulary, end)
+    model = docs.sparkSession.sparkContext.broadcast((train(texts, vocabulary, end), vocabulary))
+
+    def scored(batches):
+        m, voc = model.value
+        for batch in batches:
+            for blob in batch.column(0):
+                t = Texts(blob.as_py())
+                s = lm.score(m, voc, t.ids.astype(np.int64), t.offsets, end) / np.log(10)
+                yield from t.rows.drop_columns("learn").append_column("score", pa.array(s)).combine_chunks().to_batches()
+                B.trim()
 
-    return X.finish(X.pack(docs, doc_id, text, extra=flag), replies, done, SCORED)
+    return texts.select("blob").mapInArrow(scored, SCORED)

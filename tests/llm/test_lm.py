@@ -66,6 +66,28 @@ def test_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_counts_and_windows_cover_all_texts(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}q" for x in rng.zipf(1.5, n) % 500) for n in [*rng.integers(0, 90, 200), 3000]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    path = P.path("byte_bpe_50k.tiktoken")
+    follows, fitted, held = [], [], []
+    keep, fit = lm.Vocabulary.arrange, lm.fit
+    monkeypatch.setattr(lm.Vocabulary, "arrange", lambda self, follow: (held.append(self), follows.append(follow), keep(self, follow))[2])
+    monkeypatch.setattr(lm, "fit", lambda m, voc, x, y, *a, **k: (fitted.append(y), fit(m, voc, x, y, *a, **k))[1])
+    lm_scoring.score(spark.read.parquet(str(tmp_path / "d")), path, P.PATTERN, "doc_id % 4 <> 1", "doc_id % 4 = 1")
+    enc, end, cls = lm_scoring.bpe._encoder(path, P.PATTERN)._core_bpe.encode_ordinary, max(lm_scoring.bpe.read_ranks(path).values()) + 1, held[-1].cls
+    want, classes = np.zeros((lm.CLASSES, lm.CLASSES)), []
+    for i, t in enumerate(texts):
+        if i % 4 != 1:
+            ids = [end, *(g for w in t.split() for g in enc(" " + w)), end]
+            np.add.at(want, (cls[ids[:-1]], cls[ids[1:]]), 1)
+            classes += cls[ids[1:]].tolist()
+    assert (follows[-1] == want).all()
+    # few texts, so the first fit has all windows: each subword and end is a target once
+    assert sorted(fitted[0][fitted[0] != lm.CLASSES].tolist()) == sorted(classes)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "The the THE"), (None, "x y"), (5, "word " * 5000), (6, "word " * 5000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
