@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import lru_cache
 
+import numpy as np
 from pyarrow import fs
 
 
@@ -27,6 +30,26 @@ def put(uri: str, blocks) -> int:
     return size
 
 
+def read(uri: str) -> bytes:
+    to, path = resolve(uri)
+    with to.open_input_stream(path) as f:
+        return f.read()
+
+
+@lru_cache(None)
+def mapped(uri: str, kind: type, n: int) -> np.ndarray:
+    """A file's numbers, mapped into memory; from a store that isn't a folder by way of a copy that this process keeps."""
+    to, path = resolve(uri)
+    if isinstance(to, fs.LocalFileSystem):
+        return np.memmap(path, kind, "r", shape=(n,))
+    copy = tempfile.TemporaryFile()  # noqa: SIM115
+    with to.open_input_stream(path) as f:
+        while block := f.read(1 << 22):
+            copy.write(block)
+    copy.flush()
+    return np.memmap(copy, kind, "r", shape=(n,))
+
+
 def fresh(base: str, name: str) -> str:
     """A new folder below base."""
     uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

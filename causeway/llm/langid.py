@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 Words are runs of letters, lower-cased; a model gives each letter and each word's end after the three before it. Counts cover all
-learning rows: tasks count the n-grams of their distinct words, buckets of n-grams add them up, and the driver gets the summed tables,
-whose size is checked (beyond ``model_bytes`` the longest n-grams are left out, and at most 65,536 ** 2 pairs of letters
-remain). Models are sorted arrays of n-gram keys. The language of the lowest cross-entropy per letter is chosen; a
+learning rows: tasks count the n-grams of their distinct words and buckets of n-grams add them up. Models are sorted arrays of
+n-gram keys. The driver gets the summed tables if they are small; beyond ``model_bytes`` the same arrays are made by Spark, written to the
+shared folder and mapped into memory, so a model of any size has all its orders and counts. The language of the lowest cross-entropy per letter is chosen; a
 logistic fit on a bounded sample of learning rows turns its lead over the next into a probability, and leads under the calibrated
 bound are rejected.
 
@@ -18,11 +18,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batch as B
 from . import exchange as X
+from . import files
 
 ORDER = 4
 MODEL_BYTES = 96 << 20
@@ -77,8 +79,8 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, p
     return codes, values, by
 
 
-def count(rows: DataFrame, model_bytes: int = MODEL_BYTES) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """n-grams and counts of each language. rows: lang, text."""
+def count(rows: DataFrame) -> DataFrame:
+    """n-grams and counts of each language, by buckets (lang, k, blob, n). rows: lang, text."""
     n = X.parts(rows.sparkSession)
 
     def run(batches):
@@ -113,25 +115,82 @@ def count(rows: DataFrame, model_bytes: int = MODEL_BYTES) -> dict[str, tuple[np
         keys, counts = merge(np.concatenate([X.unpack_sorted(a) for a, _ in parts]), np.concatenate([X.unpack_ints(b) for _, b in parts]))
         return pa.table([t.column("lang")[:1].combine_chunks(), t.column("k")[:1].combine_chunks(), pa.array([X.join_blobs(X.pack_sorted(keys), X.pack_ints(counts))], pa.binary()), pa.array([len(keys)])], ["lang", "k", "blob", "n"])
 
-    summed = X.durable(rows.mapInArrow(run, "lang string, k int, blob binary").groupBy("lang", "k").applyInArrow(add, "lang string, k int, blob binary, n long"))
-    drop = 0
-    if 16 * (summed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) > model_bytes:
-        drop = ORDER - 2  # pairs of letters: a bound that no corpus exceeds
+    return X.durable(rows.mapInArrow(run, "lang string, k int, blob binary").groupBy("lang", "k").applyInArrow(add, "lang string, k int, blob binary, n long"))
 
-        def shorten(batches):
-            for x in batches:
-                for lang, blob in zip(x.column(0).to_pylist(), x.column(1), strict=True):
-                    a, b = X.split_blobs(blob.as_py())
-                    keys, counts = merge(X.unpack_sorted(a) & np.uint64((1 << 16 * (ORDER - drop)) - 1), X.unpack_ints(b))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "key", "n"])
 
-        flat = summed.select("lang", "blob").mapInArrow(shorten, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
-        return {lang: merge(g["key"].to_numpy().astype(np.uint64), g["n"].to_numpy()) for lang, g in flat.groupby("lang")}
+def models(summed: DataFrame, model_bytes: int = MODEL_BYTES) -> dict[str, Model]:
+    """A model of each language."""
+    if 16 * (summed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) > model_bytes:
+        return stored(summed)
     out: dict[str, list] = {}
     for r in summed.select("lang", "blob").toLocalIterator():
         a, b = X.split_blobs(r["blob"])
         out.setdefault(r["lang"], []).append((X.unpack_sorted(a), X.unpack_ints(b)))
-    return {lang: merge(*(np.concatenate(x) for x in zip(*parts, strict=True))) for lang, parts in sorted(out.items())}
+    return {lang: Model(*merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))) for lang, parts in sorted(out.items())}
+
+
+def stored(summed: DataFrame) -> dict[str, Model]:
+    """The same models from tables in the shared folder: no task or driver holds a language's n-grams."""
+    spark = summed.sparkSession
+    folder = files.fresh(X.shared_dir(spark), "letters")
+
+    def flat(batches):
+        for x in batches:
+            for lang, blob in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                a, b = X.split_blobs(blob.as_py())
+                keys = X.unpack_sorted(a)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(X.unpack_ints(b))], ["lang", "key", "n"])
+
+    def shards(name: str, kinds: tuple):
+        def run(batches):
+            part = TaskContext.get().partitionId()
+            for i, x in enumerate(batches):  # in order by language and key
+                langs, at = B.encode(x.column(0))
+                for j, lang in enumerate(at.to_pylist()):
+                    own = x.filter(pa.array(langs == j))
+                    uri = f"{folder}/{name}-{part:06}-{i:06}-{j:06}"
+                    for c, kind in enumerate(kinds, 1):
+                        files.put(f"{uri}-{c}", [own.column(c).to_numpy(zero_copy_only=False).astype(kind).tobytes()])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([uri]), pa.array([len(own)])], ["lang", "uri", "n"])
+
+        return run
+
+    def join(t: pa.Table) -> pa.Table:
+        """One file of each column from a table's shards, read one at a time."""
+        lang, name, kinds = t.column("lang")[0].as_py(), t.column("name")[0].as_py(), t.column("kinds")[0].as_py()
+        uris = sorted(t.column("uri").to_pylist())
+        whole = f"{folder}/{name}-{lang.encode().hex()}"
+        for c in range(1, kinds + 1):
+            files.put(f"{whole}-{c}", (files.read(f"{u}-{c}") for u in uris))
+        return pa.table([t.column("lang")[:1].combine_chunks(), t.column("name")[:1].combine_chunks(), pa.array([whole]), pa.array([sum(t.column("n").to_pylist())])], ["lang", "name", "uri", "n"])
+
+    def write(df: DataFrame, name: str, kinds: tuple) -> dict[str, tuple[str, int]]:
+        order = F.col(df.columns[1]).bitwiseXOR(F.lit(-(1 << 63)))  # as numbers without sign
+        rows = df.withColumn("_o", order).repartitionByRange(X.parts(spark), "lang", "_o").sortWithinPartitions("lang", "_o").drop("_o")
+        made = X.durable(rows.mapInArrow(shards(name, kinds), "lang string, uri string, n long"))
+        got = made.withColumn("name", F.lit(name)).withColumn("kinds", F.lit(len(kinds))).groupBy("lang").applyInArrow(join, "lang string, name string, uri string, n long").collect()
+        return {r["lang"]: (r["uri"], r["n"]) for r in got}
+
+    grams = X.durable(summed.select("lang", "blob").mapInArrow(flat, "lang string, key long, n long"))
+    parts: dict[str, list] = {}
+    for o in range(ORDER, 0, -1):
+        if o < ORDER:  # in how many contexts each shorter n-gram was seen
+            grams = X.durable(grams.groupBy("lang", F.col("key").bitwiseAND((1 << 16 * o) - 1).alias("key")).agg(F.count("*").alias("n")))
+        few = {r["lang"]: (r["a"], r["b"]) for r in grams.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).collect()}  # as many rows as languages
+        d = {lang: discount(a, b) for lang, (a, b) in few.items()}
+        rate = spark.createDataFrame(sorted(d.items()), "lang string, d double")
+        rows = grams.withColumn("history", F.shiftrightunsigned("key", 16))
+        sums = rows.groupBy("lang", "history").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        p = rows.join(sums, ["lang", "history"]).join(F.broadcast(rate), "lang").selectExpr("lang", "key", "greatest(n - d, 0D) / total as p")
+        left = sums.join(F.broadcast(rate), "lang").selectExpr("lang", "history", "d * kinds / total as share")
+        keys, heads = write(p, f"p{o}", (np.uint64, np.float64)), write(left, f"h{o}", (np.uint64, np.float64))
+        for lang in d:
+            parts.setdefault(lang, []).append((o, *keys[lang], *heads[lang]))
+    return {lang: Stored(parts[lang]) for lang in sorted(parts)}
+
+
+def discount(n1: int, n2: int) -> float:
+    return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
 class Model:
@@ -144,7 +203,7 @@ class Model:
                 keys, counts = merge(keys & np.uint64((1 << 16 * o) - 1), np.ones(len(keys), np.int64))
             history = keys >> np.uint64(16)
             n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-            d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+            d = discount(n1, n2)
             first = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
             total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))
             p = np.maximum(counts - d, 0) / np.repeat(total, kinds)
@@ -164,12 +223,24 @@ class Model:
         return np.log(p + share / max(self.letters, 256))
 
 
+class Stored(Model):
+    """A model whose arrays lie in the shared folder: only their names go to executors, which map them into memory."""
+
+    def __init__(self, parts: list[tuple]):
+        self.parts, self.letters = parts, parts[-1][2] + 1
+
+    @property
+    def orders(self):
+        for o, p, n, h, m in self.parts:
+            yield o, files.mapped(f"{p}-1", np.uint64, n), files.mapped(f"{p}-2", np.float64, n), files.mapped(f"{h}-1", np.uint64, m), files.mapped(f"{h}-2", np.float64, m)
+
+
 class Identifier:
     """Models by language with the calibration."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        self.models = [Model(*counts[x]) for x in self.langs]
+    def __init__(self, models: dict[str, Model]):
+        self.langs = sorted(models)
+        self.models = [models[x] for x in self.langs]
         self.fit, self.bound = np.array([0.0, 1.0, 0.0]), 0.0
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +303,7 @@ class Identifier:
 def train(docs: DataFrame, learn: str, lang: str = "lang", text: str = "text", order_by: str = "doc_id", model_bytes: int = MODEL_BYTES, sample: int = SAMPLE, precision: float = PRECISION) -> Identifier:
     """Learns from the rows for which the SQL condition ``learn`` holds and that have a language and a text."""
     rows = docs.where(learn).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    made = Identifier(count(rows.selectExpr(f"cast(`{lang}` as string) as lang", f"cast(`{text}` as string) as text"), model_bytes))
+    made = Identifier(models(count(rows.selectExpr(f"cast(`{lang}` as string) as lang", f"cast(`{text}` as string) as text")), model_bytes))
     ids = rows.selectExpr(f"xxhash64(`{order_by}`) as h", f"`{lang}` as lang", f"`{text}` as text").orderBy("h", "lang").limit(sample).select("lang", "text").toArrow()
     if ids.num_rows:
         made.calibrate(ids["lang"].to_pylist(), *B.flat(ids["text"]), precision)

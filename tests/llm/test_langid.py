@@ -75,3 +75,17 @@ def test_short_models_when_large(spark):
     small = langid.train(docs, "true", model_bytes=1000)
     got = langid.identify(docs, small, reject=False).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.9
+
+
+def test_same_models_when_large(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 0")
+    more = spark.createDataFrame([(-1, "\u8a00\u8a9e\u306f\u9762\u767d\u3044 \uff21\u8a00\u8a9e", "ja")], "doc_id long, text string, lang string")
+    docs = docs.select("doc_id", "text", "lang").union(more)
+    whole, large = (langid.train(docs, "true", model_bytes=n) for n in (1 << 30, 1000))
+    assert whole.langs == large.langs and whole.fit == pytest.approx(large.fit) and whole.bound == pytest.approx(large.bound)
+    for a, b in zip(whole.models, large.models, strict=True):
+        assert a.letters == b.letters
+        for x, y in zip(a.orders, b.orders, strict=True):
+            assert x[0] == y[0] and (x[1] == y[1]).all() and (x[3] == y[3]).all() and np.allclose(x[2], y[2], rtol=1e-12) and np.allclose(x[4], y[4], rtol=1e-12)
+    one, two = (langid.identify(docs, m, reject=False).orderBy("doc_id").toPandas() for m in (whole, large))
+    assert (one["lang_pred"] == two["lang_pred"]).all() and np.allclose(one["cross_entropy"], two["cross_entropy"], equal_nan=True)
