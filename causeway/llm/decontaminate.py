@@ -8,7 +8,8 @@ Few items (their size is checked) go to all executors; more than that are looked
 which each chunk of documents gets just the items that it may contain.
 
 Null texts have no words: nothing is hit, and a null item is in no document. Repeated items count each by its id; items of
-one id are one item with several texts.
+one id are one item with several texts. Items of null id hit like others; together they count as one item in ``n_items`` and have no
+place in ``items_sha256``, as in the query's SQL.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Items:
             hashes, first = np.unique(w, return_index=True)
             texts_of = [b" ".join(joined[a : a + size]) for a in at.tolist()]
             self.by_size[int(size)] = (hashes, np.append(first, len(w)), item, texts_of)
-        self.ids = [str(i) for i in ids]
+        self.ids = [None if i is None else str(i) for i in ids]
 
 
 def scan(c: X.Chunk, items: Items | None) -> pa.Table:
@@ -83,7 +84,7 @@ def scan(c: X.Chunk, items: Items | None) -> pa.Table:
     data = B.LOWER[c.data]
     starts, ends, by = B.words(data, c.offsets, B.NOT_ALNUM)
     n_hit = np.zeros(len(c), np.int64)
-    found: dict[int, set[str]] = {}
+    found: dict[int, set[str | None]] = {}
     if items is not None and len(starts):
         h = B.hashes(data, starts, ends)
         hit = np.zeros(len(starts), bool)
@@ -117,9 +118,10 @@ def scan(c: X.Chunk, items: Items | None) -> pa.Table:
                     found.setdefault(t, set()).update(own)
         sums = np.concatenate([[0], np.cumsum(hit)])
         n_hit = sums[by[1:]] - sums[by[:-1]]
-    lists = [sorted(found.get(t, ())) for t in range(len(c))]
+    sets = [found.get(t, ()) for t in range(len(c))]
+    lists = [sorted(i for i in x if i is not None) for x in sets]
     return pa.table(
-        [c.id_array(), pa.array(np.diff(by)), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0)],
+        [c.id_array(), pa.array(np.diff(by)), pa.array(n_hit), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0)],
         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     )
 
@@ -144,7 +146,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def _scanned(docs, doc_id, text, benchmark, item_id, item_text, window, gram, broadcast_bytes, keep) -> DataFrame:
     spark = docs.sparkSession
-    items = benchmark.selectExpr(f"cast(`{item_id}` as string) as item_id", f"cast(`{item_text}` as string) as text").where("text is not null and item_id is not null")
+    items = benchmark.selectExpr(f"cast(`{item_id}` as string) as item_id", f"cast(`{item_text}` as string) as text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     if size > broadcast_bytes:
         return _by_shuffle(docs, items, doc_id, text, window, gram, keep)
@@ -181,6 +183,8 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, windo
     others = [c for c in docs.columns if c != text] if keep else []
     chunks = X.pack(docs, doc_id, text, carry=others)
     sizes = list(range(1, window))
+    # items of one id go together; those of null id by their texts
+    items = items.withColumn("item", F.coalesce(F.concat(F.lit("i"), "item_id"), F.concat(F.lit("t"), F.sha2("text", 256))))
 
     def ask(b, c):
         data = B.LOWER[c.data]
@@ -202,15 +206,15 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, windo
                 starts, ends, by = B.words(data, offs, B.NOT_ALNUM)
                 h = B.hashes(data, starts, ends)
                 keys = _keys(h, by, [], window, gram) if len(h) >= window else B.windows(h, by, len(h))[0] if len(h) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array((keys % np.uint64(n)).astype(np.int32))], ["item_id", "key", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array((keys % np.uint64(n)).astype(np.int32))], ["item", "key", "k"])
 
     asked = X.each_chunk(chunks, ask, X.SENT_SCHEMA)
-    prints = items.mapInArrow(own_keys, "item_id string, key long, k int")
+    prints = items.select("item", "text").mapInArrow(own_keys, "item string, key long, k int")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("key").to_numpy().astype(np.uint64)
         order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], right.column("item_id").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
+        keys, ids = keys[order], right.column("item").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
         out = set()
         for b, blob in zip(left.column("b").to_pylist(), left.column("blob"), strict=True):
             mine = np.frombuffer(X.unpress(blob.as_py()), np.uint64)
@@ -218,16 +222,16 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, windo
             for a, z in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 out.update((b, ids[i]) for i in range(a, z))
         rows = sorted(out)
-        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.string())], ["b", "item_id"])
+        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.string())], ["b", "item"])
 
-    wanted = asked.groupBy("k").cogroup(prints.groupBy("k")).applyInArrow(meet, "b long, item_id string").distinct()
-    given = wanted.join(items, "item_id").selectExpr("b", "0 as k", "to_binary(to_json(struct(item_id, text)), 'utf-8') as blob")
+    wanted = asked.groupBy("k").cogroup(prints.groupBy("k")).applyInArrow(meet, "b long, item string").distinct()
+    given = wanted.join(items, "item").selectExpr("b", "0 as k", "to_binary(to_json(struct(item_id, text)), 'utf-8') as blob")
 
     def done(b, c, answers):
         import json
 
         got = [json.loads(x) for x in answers.get(0, [])]
-        found = scan(c, Items([x["item_id"] for x in got], [x["text"].encode() for x in got], window, gram) if got else None)
+        found = scan(c, Items([x.get("item_id") for x in got], [x["text"].encode() for x in got], window, gram) if got else None)
         return X.rows_of(c, text, others, columns, pc.invert(found.column("contaminated")).combine_chunks()) if keep else found
 
     columns = docs.columns

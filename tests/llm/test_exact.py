@@ -171,3 +171,23 @@ def test_decontamination_is_as_brute_force(spark, tmp_path, limit):
     got = {r[0]: tuple(r)[1:] for r in decontaminate.contaminated(df, bench, broadcast_bytes=limit).collect()}
     assert got == brute_hits(texts, items)
     assert not any(r["contaminated"] for r in decontaminate.contaminated(df, bench.limit(0)).collect())
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_items_of_null_id_hit_as_in_sql(spark, tmp_path, limit):
+    import duckdb
+
+    from causeway.llm import queries
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(14)) for x in "abc")
+    docs = [(1, f"x {a} y"), (2, f"x {a} {b}"), (3, f"{c} z"), (4, "nothing here"), (5, f"{c} {a} {b}"), (6, "short one")]
+    items = [(None, a), (7, b), (None, c), (9, c), (None, "short one"), (8, None), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark"))
+    df, bench = (spark.read.parquet(str(tmp_path / t)) for t in ("documents", "benchmark"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}/*.parquet'")
+    want = sorted(con.sql(queries.ORACLES["op10_decontamination"]).fetchall())
+    assert sorted(map(tuple, decontaminate.contaminated(df, bench, broadcast_bytes=limit).collect())) == want
+    assert [r["doc_id"] for r in decontaminate.clean(df, bench, broadcast_bytes=limit).collect()] == [4]
