@@ -351,7 +351,7 @@ def precision_illusion(spark, sf_dir):
 def ghost_scenario(spark, sf_dir):
     from causeway.plans import scenarios
 
-    return scenarios.ghost_result(spark, models=60, components=30)
+    return scenarios.ghost_result(spark)
 
 
 @query()

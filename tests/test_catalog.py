@@ -44,3 +44,11 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(set(entry.catalog.QUERIES) - set(entry.catalog.ORACLES)))
 def test_runs_without_sql(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_ghost_scenario_runs_at_the_operators_defaults(monkeypatch):
+    from causeway import catalog
+    from causeway.plans import scenarios
+
+    monkeypatch.setattr(scenarios, "ghost_result", lambda spark, **options: options)
+    assert catalog.ghost_scenario(None, SF) == {}
