@@ -2,7 +2,7 @@
 
 A stream is STREAMINFO, a seek table with a point for every frame (sample offset, byte offset, samples) and frames of 192
 samples. Frames hold constant, verbatim, fixed-predictor or LPC subframes with Rice residuals. The decoder finds frames by
-the seek table, checks both checksums and the frame's number, and writes PCM blocks; any range of samples can be read by
+the seek table, checks both checksums and the frame's number, and gives PCM samples (nothing is stored); any range of samples can be read by
 decoding just its frames.
 
 A sample is a payload byte minus 128. Nothing here is lossy. Null and empty texts are a payload of one block of spaces; texts of any length
