@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """Cuts lineage with a checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset on one machine, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or "file:///tmp/checkpoints")
     return df.checkpoint()
