@@ -4,8 +4,8 @@ Rows of documents become *chunks* of a few MB (compressed, keyed ``b``), dealt o
 reads that same shuffle. A chunk asks about its distinct keys only, so a word or passage in a third of all rows costs one
 entry per chunk, not one per row, and no task gathers the rows of a key.
 
-Chunks are numbered by partition and place in it, so the documents must be a table that is read in the same order
-again (Parquet files, a checkpoint), as after the loss of an executor.
+Chunks are numbered by partition and place in it, so the documents must come in the same order when an executor is lost and
+its work is done again. A plain read of stored rows does; operators store anything else first (``settled``).
 """
 
 from __future__ import annotations
@@ -43,11 +43,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). A folder of our own only where it is unset on one machine, as in tests; a cluster must name one."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir() or "file:///tmp/checkpoints"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file:///tmp/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
@@ -59,6 +61,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Plan nodes whose rows come in the same order whenever they are computed: stored rows, and what keeps or drops rows one by one.
+_ORDERED = {"Project", "Filter", "LocalRelation", "LogicalRDD", "Range"}
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """``docs``, stored first unless it is a plain read of stored rows: chunks are numbered by place, so rows must keep their order when they are computed again."""
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name not in _ORDERED and not name.startswith(("Relation", "LogicalRelation")):
+            return durable(docs)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return docs
+
+
 class Chunk:
     """Documents of one chunk: ids (0 where null), which ids and texts are null, one int64 extra each, bytes and offsets, and the carried columns."""
 

@@ -9,30 +9,34 @@ a smaller id.
    shard of the owner. A chunk sends equal regions once; an owner that very many chunks share has several shards.
 3. A shard compiles an Aho-Corasick automaton of its passages' phrases (every ``size // 2 + 1``-th run of that many words, so that
    each window holds one whole) and streams its regions through it. Around every phrase found, words are compared; what is
-   confirmed goes back to the chunks, word for word equal. A colliding hash confirms nothing.
+   confirmed goes back to the chunks, word for word equal. A colliding hash confirms nothing; windows for which nothing was
+   confirmed are then grouped by their words themselves, so a collision loses no link either.
 
 Every document so passes the automata of just those passages it may contain, and automata stay small however many
 passages there are.
 
-Null texts have no words. A null id counts as larger than all others; rows of one id don't affect each other.
+Null texts have no words. A null id counts as larger than all others; rows of one id don't affect each other. Texts of any length are
+cut into regions, none is cut short; other columns are carried as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import batch as B
 from . import exchange as X
 
 SIZE = 13
-HASH_BITS = 64  # fewer bits make a smaller exchange, and at great size a few wrong owners
+HASH_BITS = 64  # fewer bits make a smaller exchange, and more windows to be settled by their words
 #: A window's owner has a shard more for each so many chunks that share it.
 HOT = 2048
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -42,11 +46,11 @@ _LAST = np.iinfo(np.int64).max
 class _Windows:
     """A chunk's words and windows; distinct hashes in order, with the least id of each."""
 
-    def __init__(self, c: X.Chunk, size: int):
+    def __init__(self, c: X.Chunk, size: int, bits: int):
         self.starts, self.ends, self.by = B.words(c.data, c.offsets, B.SPACE)
         h = B.hashes(c.data, self.starts, self.ends)
         w, self.at = B.windows(h, self.by, size)
-        w >>= np.uint64(64 - HASH_BITS)
+        w >>= np.uint64(64 - bits)
         self.text = np.searchsorted(self.by, self.at, side="right") - 1
         self.value = np.where(c.id_null, _LAST, c.ids)
         self.id = self.value[self.text]
@@ -60,16 +64,17 @@ class _Windows:
         self.code[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
 
 
-def _bounds(keys: np.ndarray, n: int) -> np.ndarray:
+def _bounds(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
     """First place of each of n ranges of hashes (n + 1)."""
-    step = (1 << HASH_BITS) // n + 1
-    return np.concatenate([[0], np.searchsorted(keys, np.arange(1, n, dtype=np.uint64) * np.uint64(step)), [len(keys)]])
+    step = (1 << bits) // n + 1
+    edges = np.array([i * step for i in range(1, n) if i * step < 1 << 64], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), np.full(n - len(edges), len(keys))])
 
 
-def _ask(n: int, size: int):
+def _ask(n: int, size: int, bits: int):
     def ask(b, c):
-        w = _Windows(c, size)
-        at = _bounds(w.keys, n)
+        w = _Windows(c, size, bits)
+        at = _bounds(w.keys, n, bits)
         ks = np.flatnonzero(np.diff(at))
         if len(ks):
             yield X.sent(b, ks, [X.join_blobs(X.pack_sorted(w.keys[at[k] : at[k + 1]]), X.pack_ints(w.least[at[k] : at[k + 1]])) for k in ks])
@@ -114,12 +119,12 @@ def _runs(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(at)) - 1
 
 
-def _send_texts(n: int, size: int):
+def _send_texts(n: int, size: int, bits: int):
     blank = X.empty(X.SENT_SCHEMA)
 
     def done(b, c, answers):
-        w = _Windows(c, size)
-        at = _bounds(w.keys, n)
+        w = _Windows(c, size, bits)
+        at = _bounds(w.keys, n, bits)
         least, elsewhere, shards = w.least.copy(), np.zeros(len(w.keys), bool), np.ones(len(w.keys), np.int64)
         for k, (blob,) in answers.items():
             own, low, over = X.split_blobs(blob)
@@ -135,6 +140,7 @@ def _send_texts(n: int, size: int):
         joined = np.full(len(words) + len(lens), 32, np.uint8)
         joined[np.arange(len(words)) + np.repeat(np.arange(len(lens)), lens)] = words
         edge = offs + np.arange(len(offs))
+        # a region has its document's id with it
         cols = []
         for kind, pick in ((0, np.flatnonzero(spread & (owner == w.id))), (1, np.flatnonzero(owner < w.id))):
             lo, hi = _runs(w.at[pick], owner[pick], w.text[pick], shards[pick])
@@ -144,11 +150,11 @@ def _send_texts(n: int, size: int):
             salt = B.spread(copies)[1] if kind == 0 else b % shards[lo]
             lo, hi = np.repeat(lo, copies), np.repeat(hi, copies)
             a, z = w.at[lo], w.at[hi] + size
-            cols.append((np.full(len(lo), kind), owner[lo], w.text[lo], a - w.by[w.text[lo]], edge[a], edge[z] - 1, salt))
-        kind, own, text, start, a, z, salt = (np.concatenate(x) for x in zip(*cols, strict=True))
+            cols.append((np.full(len(lo), kind), owner[lo], w.text[lo], a - w.by[w.text[lo]], w.id[lo], edge[a], edge[z] - 1, salt))
+        kind, own, text, start, ids, a, z, salt = (np.concatenate(x) for x in zip(*cols, strict=True))
         shard = (B.mix(own.astype(np.uint64) + B.mix(salt.astype(np.uint64))) % np.uint64(n)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        kind, own, text, start, a, z, shard = (x[order] for x in (kind, own, text, start, a, z, shard))
+        kind, own, text, start, ids, a, z, shard = (x[order] for x in (kind, own, text, start, ids, a, z, shard))
         said = B.binary(joined, a, z)
         cut = np.searchsorted(shard, np.arange(n + 1))
         ks = np.flatnonzero(np.diff(cut))
@@ -156,7 +162,7 @@ def _send_texts(n: int, size: int):
         for k in ks:
             i, j = cut[k], cut[k + 1]
             codes, values = B.encode(said.slice(i, j - i))  # equal texts once
-            blobs.append(X.join_blobs(*(X.pack_ints(x[i:j]) for x in (kind, own, text, start)), X.pack_ints(codes), X.press(X.pack_words(values))))
+            blobs.append(X.join_blobs(*(X.pack_ints(x[i:j]) for x in (kind, own, text, start, ids)), X.pack_ints(codes), X.press(X.pack_words(values))))
         return pa.Table.from_batches([X.sent(b, ks, blobs)]) if len(ks) else blank
 
     return done
@@ -226,15 +232,15 @@ def _shard(size: int):
     def reply(k, chunks, blobs):
         rows, texts = [], []
         for blob in blobs:
-            kind, own, text, start, codes, said = X.split_blobs(blob)
-            rows.append([X.unpack_ints(x) for x in (kind, own, text, start, codes)])
+            kind, own, text, start, ids, codes, said = X.split_blobs(blob)
+            rows.append([X.unpack_ints(x) for x in (kind, own, text, start, ids, codes)])
             texts.append(X.unpack_words(X.unpress(said))[0])
         data, offs = B.flat(pa.concat_arrays(texts))
         starts, ends, by = B.words(data, offs, B.SPACE)
         codes, _ = B.encode(B.binary(data, starts, ends))
         base = np.cumsum([0, *map(len, texts)])
         passages, owners, regions = [], [], []
-        for i, (kind, own, _, _, c) in enumerate(rows):
+        for i, (kind, own, _, _, _, c) in enumerate(rows):
             for r in np.flatnonzero(kind == 0).tolist():
                 j = base[i] + c[r]
                 passages.append(codes[by[j] : by[j + 1]])
@@ -243,23 +249,65 @@ def _shard(size: int):
                 j = base[i] + c[r]
                 regions.append((codes[by[j] : by[j + 1]], int(own[r])))
         got = iter(confirm(passages, np.array(owners, np.int64), regions, size))
-        for b, (kind, _, text, start, _) in zip(chunks, rows, strict=True):
-            out = []
+        for i, (b, (kind, _, text, start, ids, c)) in enumerate(zip(chunks, rows, strict=True)):
+            out, lost = [], []
             for r in np.flatnonzero(kind == 1).tolist():
-                out.extend((text[r], start[r] + lo, start[r] + hi) for lo, hi in next(got))
+                j, sure = base[i] + c[r], next(got)
+                out.extend((text[r], start[r] + lo, start[r] + hi) for lo, hi in sure)
+                for a in unconfirmed(int(by[j + 1] - by[j]), sure, size):
+                    w = by[j] + a
+                    lost.append((int(ids[r]), int(text[r]), int(start[r]) + a, data[starts[w] : ends[w + size - 1]].tobytes()))
             if out:
                 yield b, X.join_blobs(*map(X.pack_ints, np.array(out, np.int64).T))
+            if lost:
+                yield b, _LOST + X.press(pickle.dumps(lost))
 
     return reply
 
 
-def _chunked(docs: DataFrame, doc_id: str, text: str, size: int, carry: list[str], hot: int = HOT):
+#: Marks an answer that holds windows nothing was confirmed for.
+_LOST = b"\xff" * 8
+
+
+def unconfirmed(words: int, sure: list[tuple[int, int]], size: int) -> list[int]:
+    """Where windows of a region of so many words start that lie in none of the confirmed stretches."""
+    left = np.ones(max(words - size + 1, 0), bool)
+    for lo, hi in sure:
+        left[lo : max(hi - size + 1, lo)] = False
+    return np.flatnonzero(left).tolist()
+
+
+def _settle_collisions(found: DataFrame, size: int) -> DataFrame:
+    """Answers of what is confirmed, and of windows that share a hash with other words but whose own words a smaller id has.
+
+    Such windows are as rare as collisions of 64-bit hashes, so usually this reads no rows.
+    """
+    lost = F.substring("blob", 1, 8) == F.lit(_LOST)
+
+    def rows(batches):
+        for x in batches:
+            for b, blob in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                ids, texts, at, said = zip(*pickle.loads(X.unpress(blob.as_py()[8:])), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([b] * len(ids)), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(at, pa.int64()), pa.array(said, pa.binary())], ["b", "id", "t", "at", "said"])
+
+    def back(batches):
+        for x in batches:
+            for b, t, at in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([-1], pa.int32()), pa.array([X.join_blobs(*(X.pack_ints(np.array([v], np.int64)) for v in (t, at, at + size)))], pa.binary())], ["b", "k", "blob"])
+
+    w = found.where(lost).select("b", "blob").mapInArrow(rows, "b long, id long, t long, at long, said binary")
+    low = w.groupBy("said").agg(F.min("id").alias("low"))
+    more = w.join(low, "said").where("low < id").select("b", "t", "at").mapInArrow(back, X.ANSWER_SCHEMA)
+    return found.where(~lost).union(more)
+
+
+def _chunked(docs: DataFrame, doc_id: str, text: str, size: int, carry: list[str], hot: int = HOT, bits: int = HASH_BITS):
     """The chunks, and what of them is confirmed."""
     n = X.parts(docs.sparkSession)
-    chunks = X.pack(docs, doc_id, text, carry=carry)
-    answers = X.answer(X.each_chunk(chunks, _ask(n, size), X.SENT_SCHEMA), _candidates(hot))
-    texts = X.finish(chunks, answers, _send_texts(n, size), X.SENT_SCHEMA)
-    return chunks, X.answer(texts, _shard(size))
+    chunks = X.pack(X.settled(docs), doc_id, text, carry=carry)
+    answers = X.answer(X.each_chunk(chunks, _ask(n, size, bits), X.SENT_SCHEMA), _candidates(hot))
+    texts = X.finish(chunks, answers, _send_texts(n, size, bits), X.SENT_SCHEMA)
+    return chunks, _settle_collisions(X.durable(X.answer(texts, _shard(size))), size)
 
 
 def _gone(c: X.Chunk, answers: dict[int, list[bytes]]):
@@ -273,9 +321,9 @@ def _gone(c: X.Chunk, answers: dict[int, list[bytes]]):
     return starts, ends, by, np.cumsum(edge)[:-1] > 0
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, hot: int = HOT) -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, hot: int = HOT, bits: int = HASH_BITS) -> DataFrame:
     """Per document: words, removed words, and a digest of the kept ones."""
-    chunks, found = _chunked(docs, doc_id, text, size, [], hot)
+    chunks, found = _chunked(docs, doc_id, text, size, [], hot, bits)
 
     def done(b, c, answers):
         starts, ends, by, gone = _gone(c, answers)
