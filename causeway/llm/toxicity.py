@@ -5,7 +5,9 @@ symbols for letters, letters repeated, letters apart) become lattices of what ea
 under the channel's costs and the character model restores them. A noisy-or over restored words and beginnings of
 words, counted by the contexts they stand in in a bounded sample of labelled rows, scores each text by the distinct ones it holds.
 
-Plain words have one path and are taken as they are. Null texts are empty and get the model's base rate. Repeated rows score alike.
+Plain words have one path and are taken as they are; if letters are doubled or a symbol stands at the edge, what the lattice makes
+of them is read too. Words of any length have one lattice. Null texts are empty and get the model's base rate. Repeated rows score
+alike; of features of equal weight the first counts. Other columns are not used.
 A document with several labels counts for each. Without labels of both kinds every text scores the share of toxic labels (0.5 if there are none).
 """
 
@@ -29,7 +31,7 @@ GAPS = " .-_*'~,:;/\\#%&=^`\""
 #: Natural logarithms of the channel's probabilities: a letter for another character, a character as it is, a character for nothing, a gap for nothing, a gap between words, a repeated character for nothing, and one of just two.
 SWAP, SELF, DROP, SKIP, PART, AGAIN, TWICE = -1.5, -6.0, -9.0, -1.0, -2.0, -1.5, -5.0
 
-SAMPLE, FEATURES, PRECISION, SURE = 20_000, 20_000, 0.4, 0.6
+SAMPLE, PRECISION, SURE = 20_000, 0.4, 0.6
 #: Bytes of the beginnings of words that count beside whole words.
 STEMS = range(4, 9)
 SIZE = 28  # 0: a word's edge, 1-26: a-z, 27: any other letter
@@ -43,10 +45,16 @@ _ASCII = np.zeros(256, bool)
 _ASCII[97:123] = True
 _MARK = np.zeros(256, bool)
 _MARK[[ord("@"), ord("$")]] = True
+#: Symbols that may stand for a letter; at a word's edge they are more often marks, so such a word is also read without them.
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in "!|+(<"]] = True
 _CODE = np.full(256, 27, np.int64)
 _CODE[97:123] = np.arange(1, 27)
+_STANDS = np.zeros(256, bool)
+_STANDS[[ord(c) for c in LEET]] = True
 _KEPT = 30_000
 _SYMBOLS = 8192  # of words restored at once: each needs SIZE ** 2 bytes
+_STRETCH = 4096  # characters of a long word whose way back is held at once
 
 
 class Lexed:
@@ -65,8 +73,8 @@ class Lexed:
         n = len(values)
         self.d = d
         if not n:
-            self.first = self.last = np.zeros(0, np.int64)
-            self.plain = self.odd = np.zeros(0, bool)
+            self.first = self.last = self.head = self.tail = np.zeros(0, np.int64)
+            self.plain = self.odd = self.twice = self.edged = np.zeros(0, bool)
             return
         same = np.zeros(len(d), bool)
         same[1:] = d[1:] == d[:-1]
@@ -86,7 +94,12 @@ class Lexed:
         total = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[self.last] - c[self.first]
         letters = total(_ASCII[d])
         self.plain = ~empty & (total(~_LETTER[d] | (third & _ASCII[d])) == 0)
-        self.odd = ~empty & ~self.plain & (letters > 0)
+        self.odd = ~empty & ~self.plain & ((letters > 0) | ((total(~_STANDS[d]) == 0) & (self.last - self.first > 2)))
+        self.twice = self.plain & (total(same & _ASCII[d]) > 0)
+        # one symbol right before the core, and one right after it
+        self.head = self.first - ((self.first > o[:-1]) & _EDGE[d[np.maximum(self.first - 1, 0)]] & ~empty)
+        self.tail = self.last + ((self.last < o[1:]) & _EDGE[d[np.minimum(self.last, len(d) - 1)]] & ~empty)
+        self.edged = (self.head < self.first) | (self.tail > self.last)
 
     def prefixes(self, n: int) -> np.ndarray:
         """The plain distinct words that go on after n bytes, where a character ends."""
@@ -96,9 +109,12 @@ class Lexed:
     def core(self, i: int) -> bytes:
         return self.d[self.first[i] : self.last[i]].tobytes()
 
+    def with_edges(self, i: int) -> bytes:
+        return self.d[self.head[i] : self.tail[i]].tobytes()
+
     def spaced(self) -> Iterator[tuple[int, int, int]]:
         """(text, first word, last word + 1) of runs of three or more words of one character."""
-        one = (self.ends - self.starts == 1) & _ALNUM[self.data[self.starts]] | (self.ends - self.starts == 1) & _MARK[self.data[self.starts]]
+        one = (self.ends - self.starts == 1) & (_ALNUM | _STANDS)[self.data[self.starts]]
         edge = np.zeros(len(one) + 1, bool)
         edge[self.by] = True
         new = one & (edge[:-1] | ~np.concatenate([[False], one[:-1]]))
@@ -181,17 +197,39 @@ class Channel:
         return [self.kept[w] for w in words]
 
     def _viterbi(self, words: list[str]) -> list[str]:
+        """The best path of each word. Words over _STRETCH characters keep the lattice's state before each stretch, and trace back stretch by stretch."""
         n, long = len(words), max(map(len, words))
-        if long > 4096:  # one at a time, in stretches: memory is bounded, and no word is this long
-            if n > 1:
-                return [self._viterbi([w])[0] for w in words]
-            return ["".join(self._viterbi([words[0][i : i + 4096]])[0] for i in range(0, long, 4096))]
+        if long > _STRETCH and n > 1:
+            return [self._viterbi([w])[0] for w in words]
         s = np.full((n, SIZE, SIZE), -np.inf, np.float32)
         s[:, 0, 0] = 0
+        starts = list(range(0, long, _STRETCH)) or [0]
+        states, last = [], None
+        for lo in starts:
+            states.append(s)
+            s, *last = self._forward(words, s, lo, min(lo + _STRETCH, long))
+        flat = (s + self.model[:, :, 0]).reshape(n, -1).argmax(axis=1)
+        at = [divmod(int(x), SIZE) for x in flat]
+        said: list[list[str]] = [[] for _ in words]
+        for k in range(len(starts) - 1, -1, -1):
+            lo = starts[k]
+            backs, chars = last if k == len(starts) - 1 else self._forward(words, states[k], lo, lo + _STRETCH)[1:]
+            for i, w in enumerate(words):
+                a, b = at[i]
+                for t in range(min(len(w), lo + _STRETCH) - 1, lo - 1, -1):
+                    was = int(backs[t - lo][i, a, b])
+                    if was >= 0:
+                        said[i].append(chars[t - lo][i][b])
+                        a, b = was, a
+                at[i] = a, b
+        return ["".join(reversed(x)) for x in said]
+
+    def _forward(self, words: list[str], s: np.ndarray, lo: int, hi: int):
+        """The lattices' states after characters lo to hi, and the way back and the characters at each."""
+        n = len(words)
         backs: list[np.ndarray] = []
-        chars: list[list[list]] = []
-        every = np.arange(n)
-        for t in range(long):
+        chars: list[list[dict]] = []
+        for t in range(lo, hi):
             live = np.fromiter((len(w) > t for w in words), bool, n)
             opts = [self.options(w[t]) if len(w) > t else ([], 0.0) for w in words]
             stay = np.zeros(n, np.float32)
@@ -201,7 +239,7 @@ class Channel:
             new = s + stay[:, None, None]
             back = np.full((n, SIZE, SIZE), -1, np.int8)
             for k in range(max((len(o) for o, _ in opts), default=0)):
-                own = np.fromiter((i for i in every.tolist() if live[i] and len(opts[i][0]) > k), np.int64)
+                own = np.fromiter((i for i, (o, _) in enumerate(opts) if len(o) > k), np.int64)
                 c = np.fromiter((opts[i][0][k][0] for i in own), np.int64, len(own))
                 cost = np.fromiter((opts[i][0][k][1] for i in own), np.float32, len(own))
                 move = s[own] + self.by_last[c]
@@ -214,19 +252,7 @@ class Channel:
             s = np.where(live[:, None, None], new, s)
             backs.append(back)
             chars.append([{c: ch for c, _, ch in o} for o, _ in opts])
-        s = s + self.model[:, :, 0]
-        flat = s.reshape(n, -1).argmax(axis=1)
-        out = []
-        for i, w in enumerate(words):
-            a, b = divmod(int(flat[i]), SIZE)
-            said = []
-            for t in range(len(w) - 1, -1, -1):
-                was = int(backs[t][i, a, b])
-                if was >= 0:
-                    said.append(chars[t][i][b])
-                    a, b = was, a
-            out.append("".join(reversed(said)))
-        return out
+        return s, backs, chars
 
 
 def _parts(batches, column: int):
@@ -254,12 +280,22 @@ def count_characters(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def restored(x: Lexed, channel: Channel) -> tuple[list[list[bytes]], list[tuple[int, list[bytes]]]]:
-    """Restored words of each disguised distinct word (in the order of np.flatnonzero(x.odd)), and of each spaced run with its text."""
-    odd = channel.restore([x.core(i) for i in np.flatnonzero(x.odd).tolist()])
+def restored(x: Lexed, channel: Channel) -> tuple[dict[int, list[bytes]], list[tuple[int, list[bytes]]]]:
+    """Restored words of each distinct word that may be written in disguise, and of each spaced run with its text.
+
+    Odd words are read as what they restore to. Words with letters doubled, and words with a symbol at their edge, may be just
+    what they look like: what they restore to (if it is something else) is read beside them.
+    """
+    of: dict[int, list[bytes]] = {}
+    for pick, spell in ((x.odd, x.core), (x.twice, x.core), (x.edged, x.with_edges)):
+        own = np.flatnonzero(pick).tolist()
+        written = [spell(i) for i in own]
+        for i, w, said in zip(own, written, channel.restore(written), strict=True):
+            if said != [w]:
+                of.setdefault(i, []).extend(r for r in said if r not in of[i])
     runs = list(x.spaced())
     apart = channel.restore([b" ".join(x.data[s:e].tobytes() for s, e in zip(x.starts[a:z].tolist(), x.ends[a:z].tolist(), strict=True)) for _, a, z in runs])
-    return odd, [(t, w) for (t, _, _), w in zip(runs, apart, strict=True)]
+    return of, [(t, w) for (t, _, _), w in zip(runs, apart, strict=True)]
 
 
 def stems(word: bytes) -> list[bytes]:
@@ -308,10 +344,10 @@ class Scorer:
             for i in own[hashes[at] == h].tolist():
                 if i not in by_word and (own_features := pick(x.core(i))):
                     by_word[i] = own_features
-        for i, ws in zip(np.flatnonzero(x.odd).tolist(), odd, strict=True):
-            own = [f for w in ws for f in pick(w)]
+        for i, ws in odd.items():
+            own = dict.fromkeys([*by_word.get(i, ()), *(f for w in ws for f in pick(w))])
             if own:
-                by_word[i] = own
+                by_word[i] = list(own)
         around = np.zeros(len(x.codes) + 2, np.uint64)
         if contexts and len(x.first):
             around[1:-1] = B.hashes(x.d, x.first, x.last)[x.codes]
@@ -341,7 +377,7 @@ class Scorer:
         return -np.expm1(-z)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, features: int = FEATURES) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """Counts characters over all documents and fits on at most about ``sample`` labelled rows for which the SQL condition ``learn`` holds, dealt by the hash of their id."""
     spark = docs.sparkSession
     model = language_model(count_characters(docs, text))
@@ -376,10 +412,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id"
                 code[own], values = B.encode(B.binary(x.d, x.first[own], x.first[own] + n if n else x.last[own]))
                 made.append(tally(values, code, "*" if n else ""))
             extra: dict[tuple[int, bytes], None] = {}
-            of = dict(zip(np.flatnonzero(x.odd).tolist(), odd, strict=True))
-            hidden = np.flatnonzero(x.odd[x.codes])
+            disguised = np.zeros(len(x.first), bool)
+            disguised[list(odd)] = True
+            hidden = np.flatnonzero(disguised[x.codes])
             for t, c in zip(text_of[hidden].tolist(), x.codes[hidden].tolist(), strict=True):
-                extra.update(((t, f), None) for w in of[c] for f in stems(w))
+                extra.update(((t, f), None) for w in odd[c] for f in stems(w))
             extra.update(((t, f), None) for t, ws in apart for w in ws for f in stems(w))
             # a word that is also written plainly in its text counts twice there, which one more text hardly weighs against
             made.append([pa.array([f for _, f in extra], pa.binary()), pa.array([int(y[t] == 0) for t, _ in extra], pa.int64()), pa.array([int(y[t] == 1) for t, _ in extra], pa.int64())])
@@ -395,7 +432,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id"
     precision = F.expr("(n1 + 1.9208 - 1.96 * sqrt(n1 * n0 / (n1 + n0) + 0.9604)) / (n1 + n0 + 3.8416)")  # the lower end of Wilson's 95 % interval
     tried = X.durable(rows.mapInArrow(words, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.least(F.sum("n1"), F.lit(d1)).alias("n1")).where("n1 >= 2"))
     bound = 0.75 * np.sqrt(2 * np.log(max(tried.count(), 2)))  # the more words are tried, the surer each must be
-    top = tried.where(precision >= PRECISION).where(sure >= bound).orderBy(F.desc("n1"), "word").limit(features).collect()
+    top = tried.where(precision >= PRECISION).where(sure >= bound).orderBy(F.desc("n1"), "word").collect()  # as many as words of the sample pass both tests
     candidates = spark.sparkContext.broadcast(Scorer(model, [bytes(r["word"]) for r in top], np.ones(len(top)), 0.0))
 
     def contexts(batches):
@@ -414,7 +451,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id"
     words_ = sure_of(seen.where("f = whole"))
     # a beginning counts by the words that aren't sure themselves
     taken = spark.createDataFrame([(f,) for f, _ in words_], "whole int")
-    kept = [(bytes(top[f]["word"]), p) for f, p in [*words_, *sure_of(seen.where("f <> whole").join(F.broadcast(taken), "whole", "left_anti"))]]  # at most ``features`` rows
+    kept = [(bytes(top[f]["word"]), p) for f, p in [*words_, *sure_of(seen.where("f <> whole").join(F.broadcast(taken), "whole", "left_anti"))]]
     made = Scorer(model, [w for w, _ in kept], -np.log1p(-np.array([p for _, p in kept], float)), 0.0)
     ready = spark.sparkContext.broadcast(made)
 
@@ -464,7 +501,8 @@ def deobfuscate(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataF
         channel = Channel(held.value)
         for part in _parts(batches, place):
             x = Lexed(*B.flat(part.column(place)))
-            odd = dict(zip(np.flatnonzero(x.odd).tolist(), channel.restore([x.core(i) for i in np.flatnonzero(x.odd).tolist()]), strict=True))
+            pick = np.flatnonzero(x.odd | x.twice).tolist()
+            odd = dict(zip(pick, channel.restore([x.core(i) for i in pick]), strict=True))
             apart = {a: z for _, a, z in x.spaced()}
             out = []
             for t in range(len(part)):

@@ -75,3 +75,56 @@ def test_no_labels(spark):
         scorer = toxicity.train(docs, own, "true")
         assert toxicity.score(docs, scorer).count() == 2
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels, "true")).count() == 0
+
+
+def test_long_words_have_one_lattice():
+    lm = model(["idiot", "trash", "moron", "the", "stupid", "loser", "clown", "this", "that", "idle"] * 20)
+    channel = toxicity.Channel(lm)
+    for n in (4000, 4090, 4093, 4094, 8189):
+        got = channel.restore([b"x" * n + b".1d10t"])[0]
+        assert got[-1].endswith(b"idiot"), n
+    whole = channel._viterbi(["tr4$h.1d10t-l0s3r"])
+    was, toxicity._STRETCH = toxicity._STRETCH, 3
+    try:
+        assert toxicity.Channel(lm)._viterbi(["tr4$h.1d10t-l0s3r"]) == whole == ["trash idiot loser"]
+    finally:
+        toxicity._STRETCH = was
+
+
+def test_disguises_that_look_plain():
+    lm = model(["idiot", "trash", "moron", "the", "stupid", "loser", "clown", "this", "that", "idle", "ass", "needle"] * 20)
+    channel = toxicity.Channel(lm)
+
+    def readings(text):
+        of, apart = toxicity.restored(toxicity.Lexed(*B.flat(pa.array([text]))), channel)
+        return sorted({w for ws in of.values() for w in ws} | {w for _, ws in apart for w in ws})
+
+    assert readings("iiddiioott") == [b"idiot"] and readings("455") == [b"ass"] and readings("!diot") == [b"idiot"] and readings("i d ! o t") == [b"idiot"]
+    assert readings("needle the idle") == [] and b"ass" not in readings("45")
+
+
+def test_scores_as_brute_force(spark):
+    """The noisy-or over distinct features, worked out word by word."""
+    import re
+
+    words, weights, bias = [b"idiot", b"mor*", b"moron", b"moro*", b"clow*"], np.array([2.0, 0.5, 1.0, 1.0, 0.7]), 0.05
+    lm = model(["idiot", "moron", "clown", "the", "this", "idle"] * 20)
+    scorer = toxicity.Scorer(lm, words, weights, bias)
+    texts = ["the idiot, the IDIOT!", "morons and moronic clowns", "1d10t the", "", None, "this is idle", "moron idiot clownish the", "cl0wns"]
+    named = {w.decode(): w_ for w, w_ in zip(words, weights.tolist(), strict=True)}
+
+    def best(word):
+        own = [word] + [word[:n] + "*" for n in toxicity.STEMS if len(word) > n]
+        own = [(-named[x], words.index(x.encode())) for x in own if x in named]
+        return {words[min(own)[1]].decode()} if own else set()
+
+    channel = toxicity.Channel(lm)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(rows, scorer).collect()}
+    for i, t in enumerate(texts):
+        held = set()
+        for w in re.findall(r"[a-z0-9]+", (t or "").lower()):
+            for said in channel.restore([w.encode()])[0] if re.search(r"[0-9]", w) else [w.encode()]:
+                held |= best(said.decode())
+        want = 1 - np.exp(-(bias + sum(named[x] for x in held)))
+        assert got[i] == (pytest.approx(want), int(want >= 0.5)), t
