@@ -8,7 +8,8 @@ logistic fit on a bounded sample of learning rows turns its lead over the next i
 bound are rejected.
 
 A null text, or one without a letter, is ``und`` with score 0. Texts of letters that no model has seen get the language with the
-lowest cross-entropy all the same. Ties go to the first language by name. Without learning rows all is ``und``.
+lowest cross-entropy all the same. Ties go to the first language by name. Without learning rows all is ``und``. Repeated rows get
+the same prediction, and count once in the sample; texts of any length are used whole. The result has its own columns only, so others may have any names.
 """
 
 from __future__ import annotations
@@ -304,12 +305,20 @@ def train(docs: DataFrame, learn: str, lang: str = "lang", text: str = "text", o
     """Learns from the rows for which the SQL condition ``learn`` holds and that have a language and a text."""
     rows = docs.where(learn).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     made = Identifier(models(count(rows.selectExpr(f"cast(`{lang}` as string) as lang", f"cast(`{text}` as string) as text")), model_bytes))
-    ids = rows.selectExpr(f"xxhash64(`{order_by}`) as h", f"`{lang}` as lang", f"`{text}` as text").orderBy("h", "lang").limit(sample).select("lang", "text").toArrow()
+    ids = _sample(rows.selectExpr(f"xxhash64(`{order_by}`, `{lang}`, `{text}`) as h", f"cast(`{lang}` as string) as lang", f"cast(`{text}` as string) as text"), sample).toArrow()
     if ids.num_rows:
         made.calibrate(ids["lang"].to_pylist(), *B.flat(ids["text"]), precision)
     return made
 
 
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, text) of the ``n`` different rows of least hash (h, lang, text): texts travel only for some times as many as are asked for."""
+    kinds = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    share = min(1.0, 8 * (n + 100) / max(kinds, 1))
+    low = rows.where(F.col("h") <= F.lit(min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1))).dropDuplicates(["h"])
+    return low.orderBy("h").limit(n).select("lang", "text")
+
+
 def identify(docs: DataFrame, model: Identifier, doc_id: str = "doc_id", text: str = "text", reject: bool = True) -> DataFrame:
     """One row per document. ``reject``: rejected ones are ``und``; else they keep the best language and are only marked."""
     held = docs.sparkSession.sparkContext.broadcast(model)
