@@ -5,7 +5,8 @@ out by their hash, each distinct one is encoded once, and the ids go back to the
 Decoding joins ids with the table of token bytes (one row per id, fixed by the vocabulary) and joins the bytes by position.
 
 A piece is a white-space character with the run of other characters after it. Every cut lies between two matches of the
-pre-token pattern, whatever stands on either side, so that encoding the pieces one by one gives what the whole text would.
+pre-token pattern, whatever stands on either side, so that encoding the pieces one by one gives what the whole text would. Under a
+pattern for which that isn't known (``CUTTABLE``) a piece is a whole text.
 
 Null texts are empty: no ids. Repeated rows give repeated results. Columns other than id and text are not used.
 """
@@ -30,6 +31,9 @@ ENCODED = "doc_id long, ids array<int>"
 CHUNK_BYTES = 8 << 20
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+#: The pre-token patterns whose matches never go on over a white-space character before another one: fixed values. Texts are cut there for these alone.
+CUTTABLE = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+
 _AFTER = ~B.SPACE
 _AFTER[0x1C:0x20] = False
 _AFTER[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # first bytes of other white-space characters
@@ -59,8 +63,10 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by), np.uint8), offs
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets of the pieces, from 0 to len(data)."""
+def pieces(data: np.ndarray, offsets: np.ndarray, pattern: str) -> np.ndarray:
+    """Offsets of the pieces, from 0 to len(data): whole texts, if it isn't known where the pattern can be cut."""
+    if pattern not in CUTTABLE:
+        return np.unique(offsets)
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         cut[:-2] = B.SPACE[data[:-1]] & _AFTER[data[1:]]
@@ -71,16 +77,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _distinct(c: X.Chunk, n: int):
-    at = pieces(c.data, c.offsets)
+def _distinct(c: X.Chunk, n: int, pattern: str):
+    at = pieces(c.data, c.offsets, pattern)
     codes, values = B.encode(B.from_parts(c.data, at))
     order, bounds = X.deal(values, n)
     return at, codes, values, order, bounds
 
 
-def _ask(n: int):
+def _ask(n: int, pattern: str):
     def ask(b, c):
-        _, _, values, order, bounds = _distinct(c, n)
+        _, _, values, order, bounds = _distinct(c, n, pattern)
         taken = values.take(pa.array(order))
         ks = np.flatnonzero(np.diff(bounds))
         if len(ks):
@@ -141,12 +147,12 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     ``path``: a file of ranks (base64 token, rank). ``pattern``: the pre-token pattern.
     """
-    chunks = X.pack(docs, doc_id, text, most=CHUNK_BYTES)
+    chunks = X.pack(X.settled(docs), doc_id, text, most=CHUNK_BYTES)
     n = X.parts(docs.sparkSession)
-    replies = X.answer(X.each_chunk(chunks, _ask(n), X.SENT_SCHEMA), _reply(path, pattern))
+    replies = X.answer(X.each_chunk(chunks, _ask(n, pattern), X.SENT_SCHEMA), _reply(path, pattern))
 
     def done(b, c, answers):
-        at, codes, _, order, bounds = _distinct(c, n)
+        at, codes, _, order, bounds = _distinct(c, n, pattern)
         ids, offs = assemble(order, bounds, codes, answers)
         by_doc = offs[np.searchsorted(at, c.offsets)]
         if not digests:
@@ -169,14 +175,14 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` in place of the text, and ``exact``: whether they decode to it (always, but for a fault)."""
-    others = [c for c in docs.columns if c != text]
+    """``docs`` with ``ids`` in place of the text, and ``exact``: whether they decode to it (always, but for a fault). Columns of these names give way."""
+    others = [c for c in docs.columns if c not in (text, "ids", "exact") or c == doc_id]
     n = X.parts(docs.sparkSession)
-    chunks = X.pack(docs, doc_id, text, carry=others, most=CHUNK_BYTES)
-    replies = X.answer(X.each_chunk(chunks, _ask(n), X.SENT_SCHEMA), _reply(path, pattern))
+    chunks = X.pack(X.settled(docs), doc_id, text, carry=others, most=CHUNK_BYTES)
+    replies = X.answer(X.each_chunk(chunks, _ask(n, pattern), X.SENT_SCHEMA), _reply(path, pattern))
 
     def done(b, c, answers):
-        at, codes, _, order, bounds = _distinct(c, n)
+        at, codes, _, order, bounds = _distinct(c, n, pattern)
         ids, offs = assemble(order, bounds, codes, answers)
         by_doc = offs[np.searchsorted(at, c.offsets)]
         data, spots = decode(ids, path)
@@ -199,6 +205,7 @@ def decode_rows(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             flat = np.asarray(col.flatten())
             data, spots = decode(flat, path)
             edge = spots[np.concatenate([[0], np.cumsum(own)])]
-            yield pa.RecordBatch.from_arrays([*x.columns, B.from_parts(data, edge).cast(pa.binary())], [*x.schema.names, "bytes"])
+            yield pa.RecordBatch.from_arrays([*(x.column(x.schema.get_field_index(c)) for c in others), B.from_parts(data, edge).cast(pa.binary())], [*others, "bytes"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
+    others = [c for c in encoded.columns if c != "bytes"]  # a column of this name gives way
+    return encoded.mapInArrow(run, T.StructType([*(encoded.schema[c] for c in others), T.StructField("bytes", T.BinaryType())]))
