@@ -1,15 +1,15 @@
 """Chat formatting by event-sourced reconstruction.
 
 A log of events, partitioned by conversation and ordered by sequence, is folded into final messages: ``message`` gives a
-whole message, ``delta`` adds to one as it is streamed, ``edit`` puts other text in its place, ``regenerate`` throws its text
-away for the deltas that follow. The messages are rendered with a template and a loss mask over assistant texts, written to
+whole message, ``open`` begins an empty one, ``delta`` adds to one as it is streamed, ``edit`` puts other text in its place,
+``regenerate`` throws its text away for the deltas that follow. The messages are rendered with a template and a loss mask over assistant texts, written to
 the shared folder, and can be parsed back from there.
 
 The fold is relational: the last event that resets a message decides which of its pieces count, so a long conversation is
 spread over tasks by message. Only the parser reads a conversation in order; it is streamed and holds one message at a time.
 
 Null texts and roles are empty. Events of one message with equal sequence go by kind and text. A null conversation is one of
-its own. An empty log gives no rows.
+its own. An empty log gives no rows. Texts of any length are kept whole; columns beside the named ones are not used.
 """
 
 from __future__ import annotations
@@ -138,7 +138,20 @@ PARSED_NAMES = [x.split()[0] for x in PARSED.split(", ")]
 
 
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """Events of a table of turns (conv_id, turn, role, text): a whole message each. Rows of one turn are a message each, by role and text."""
+    """The log that a table of turns (conv_id, turn, role, text) came from: every turn is a message with several events.
+
+    An assistant's message is opened, streamed as a delta, thrown away for a regeneration and streamed again in three deltas;
+    another's is a draft, a delta, and the edit that puts the final text in its place. Rows of one turn are a message each, by role and text.
+    """
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    at = F.struct(F.col("turn").cast("long").alias("turn"), F.row_number().over(same).alias("row"))
-    return conversations.select("conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), at.alias("msg"), at.alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("msg", F.struct("turn", F.row_number().over(same).alias("row")))
+    n = F.char_length("text")
+    cut = [F.lit(0), F.floor(n / 3), F.floor(2 * n / 3), n]
+    part = lambda i: F.substring("text", cut[i] + 1, cut[i + 1] - cut[i])
+    none = F.lit(None).cast("string")
+    event = lambda i, kind, said: F.struct(F.lit(i).alias("k"), F.lit(kind).alias("kind"), said.alias("text"))
+    streamed = F.array(event(0, "open", none), event(1, "delta", part(1)), event(2, "regenerate", none), *(event(3 + i, "delta", part(i)) for i in range(3)))
+    edited = F.array(event(0, "message", part(0)), event(1, "delta", part(2)), event(2, "edit", F.col("text")))
+    log = rows.select("conv_id", "msg", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return log.select("conv_id", "msg", F.struct("msg.turn", "msg.row", "e.k").alias("seq"), "e.kind", "role", "e.text")

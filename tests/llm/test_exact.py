@@ -191,3 +191,31 @@ def test_items_of_null_id_hit_as_in_sql(spark, tmp_path, limit):
     want = sorted(con.sql(queries.ORACLES["op10_decontamination"]).fetchall())
     assert sorted(map(tuple, decontaminate.contaminated(df, bench, broadcast_bytes=limit).collect())) == want
     assert [r["doc_id"] for r in decontaminate.clean(df, bench, broadcast_bytes=limit).collect()] == [4]
+
+
+def test_chat_log_folds_back_to_the_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "ab"), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 3, "assistant", "é🙂x" * 40000), (2, 0, None, "x"), (2, 0, None, "x"), (None, None, "assistant", "y")]
+    t = spark.createDataFrame([(*r, 9, "n") for r in rows], "conv_id long, turn long, role string, text string, seq long, kind string")
+    log = chat.turns_as_events(t)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds == {"open": 4, "regenerate": 4, "delta": 4 * 4 + 4, "message": 4, "edit": 4}
+    got = sorted(((r["conv_id"], r["place"]["turn"], r["role"], r["text"]) for r in chat.fold(log).collect()), key=str)
+    assert got == sorted(((c, n, a or "", b or "") for c, n, a, b in rows), key=str)
+    assert chat.parse(spark, chat.write(chat.turns_as_events(t.limit(0)))).count() == 0
+
+
+def test_bpe_of_other_patterns_encodes_whole_texts(spark, tmp_path):
+    path = P.path("byte_bpe_50k.tiktoken")
+    pattern = r"[^\n]+|\n[a-z ]*|\s+"  # joins line ends with what follows
+    df = stored(spark, docs(spark), tmp_path)
+    enc = bpe._encoder(path, pattern)
+    assert {r[0]: r[1] for r in bpe.encode(df, path, pattern).collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+
+
+def test_bpe_columns_of_the_same_names_give_way(spark, tmp_path):
+    path = P.path("byte_bpe_50k.tiktoken")
+    df = stored(spark, spark.createDataFrame([(1, "a b", "old", 5, "t")], "doc_id long, text string, ids string, exact int, b string"), tmp_path)
+    out = bpe.tokenize(df, path, P.PATTERN)
+    r = out.first()
+    assert out.columns == ["doc_id", "b", "ids", "exact"] and r["exact"] is True and r["b"] == "t"
+    assert bytes(bpe.decode_rows(out.withColumnRenamed("b", "bytes"), path).first()["bytes"]) == b"a b"
