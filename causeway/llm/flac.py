@@ -1,9 +1,10 @@
 """FLAC media columns: 8-bit mono streams, coded and decoded in numpy over many frames at a time.
 
-A stream is STREAMINFO, a seek table with a point for every frame (sample offset, byte offset, samples) and frames of 192
-samples. Frames hold constant, verbatim, fixed-predictor or LPC subframes with Rice residuals. The decoder finds frames by
-the seek table, checks both checksums and the frame's number, and gives PCM samples (nothing is stored); any range of samples can be read by
-decoding just its frames.
+A stream is STREAMINFO, a seek table with a point for every frame (sample offset, byte offset, samples) and frames of 1,152
+samples or, at its end, fewer. Frames hold constant, verbatim, fixed-predictor or LPC subframes (predictors fitted to the frame) with Rice residuals,
+whichever is smallest. Streams are written to the shared folder. The decoder reads them there, finds frames by the seek table, checks both
+checksums and the frame's number, and gives PCM blocks with the offsets of their samples; any range of samples can be read by decoding just its frames.
+It reads what this encoder writes: 8-bit mono in frames of at most 1,152 samples, one Rice partition, 4-bit parameters.
 
 A sample is a payload byte minus 128. Nothing here is lossy. Null and empty texts are a payload of one block of spaces; texts of any length
 are coded frame by frame; equal texts give equal streams; no rows give no rows. Other columns are not used.
@@ -18,15 +19,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import batch as B
 from . import exchange as X
+from . import files
 
 BLOCK, RATE, BITS = 192, 8000, 8
+#: Samples of a frame; a stream's last one holds what is left, a multiple of BLOCK.
+FRAME = 6 * BLOCK
+#: The format's codes of frame sizes; others are written out.
+SIZES = {192: 1, 576: 2, 1152: 3}
 #: Coefficients of the fixed predictors by order: a fixed value of the format.
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 ROWS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-PART_BYTES = 1 << 20
+PART_BYTES = 2 << 20
+#: Samples of a written PCM block.
+PCM_BLOCK = 24 * BLOCK
+PCM = "doc_id long, sample long, pcm binary, n_bytes long, media_bytes long, media_sha256 string, tail binary"
+PCM_NAMES = [x.split()[0] for x in PCM.split(", ")]
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -72,28 +83,92 @@ def _numbers(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def encode_frames(x: np.ndarray, numbers: np.ndarray, lpc: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Frames of the samples (rows of BLOCK, int16), one after another, and their offsets. ``lpc``: predictors as LPC subframes."""
-    f = len(x)
-    best, order, param = np.full(f, 8 * BLOCK, np.int64), np.full(f, -1), np.zeros(f, np.int64)
-    r, resid = x, []
+def _rice(resid: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Folded residuals (rows, int64 places after the warm-up) to bits with the best of the parameters near their mean, and that parameter."""
+    total = resid.sum(axis=1, dtype=np.int64)
+    near = np.floor(np.log2(np.maximum(total / n, 1))).astype(np.int64)
+    best, param = np.full(len(resid), 1 << 40), np.zeros(len(resid), np.int64)
+    for step in (-1, 0, 1):
+        k = np.clip(near + step, 0, 14)
+        cost = (resid >> k[:, None].astype(resid.dtype)).sum(axis=1, dtype=np.int64) + n * (1 + k)
+        better = cost < best
+        best[better], param[better] = cost[better], k[better]
+    return best, param
+
+
+def _fold(r: np.ndarray) -> np.ndarray:
+    return np.where(r < 0, -2 * r - 1, 2 * r)
+
+
+#: Orders of fitted predictors that are tried, bits of a coefficient, and those after its point.
+LPC, PRECISION, SHIFT = (1, 2, 3, 4), 10, 8
+
+
+def fit_predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of samples the order of the predictor that needs the fewest bits by its error, and its quantised coefficients (rows of max(LPC)).
+
+    Levinson's recursion over the autocorrelations of all rows at once; samples are taken with a constant part, as the format has none.
+    """
+    f, n = x.shape
+    w = x.astype(np.float64)
+    top = max(LPC)
+    r = np.stack([(w[:, : n - j] * w[:, j:]).sum(axis=1) for j in range(top + 1)], axis=1)
+    r[:, 0] = r[:, 0] * (1 + 1e-9) + 1e-9
+    a, err = np.zeros((f, top)), r[:, 0].copy()
+    order, coefs, least = np.full(f, LPC[0]), np.zeros((f, top), np.int64), np.full(f, np.inf)
+    for m in range(1, top + 1):
+        k = (r[:, m] - (a[:, : m - 1] * r[:, 1:m][:, ::-1]).sum(axis=1)) / err
+        a[:, : m - 1] -= k[:, None] * a[:, : m - 1][:, ::-1]
+        a[:, m - 1] = k
+        err = np.maximum(err * (1 - k * k), 1e-9)
+        if m in LPC:
+            bits = n / 2 * np.log2(err / n + 1e-9) + m * (BITS + PRECISION)
+            better = bits < least
+            q = np.clip(np.rint(a * (1 << SHIFT)), -(1 << PRECISION - 1), (1 << PRECISION - 1) - 1).astype(np.int64)
+            least[better], order[better], coefs[better] = bits[better], m, q[better]
+    coefs[np.arange(top) >= order[:, None]] = 0
+    return order, coefs
+
+
+def _predicted(x: np.ndarray, order: int, coefs: np.ndarray) -> np.ndarray:
+    """What is left of the samples after the first ``order``."""
+    out = np.zeros((len(x), x.shape[1] - order), np.int32)
+    for j in range(order):
+        out += x[:, order - 1 - j : x.shape[1] - 1 - j].astype(np.int32) * coefs[:, j : j + 1].astype(np.int32)
+    return x[:, order:] - (out >> SHIFT)
+
+
+def encode_frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames of the samples (rows, int16), one after another, and their offsets: the smallest of constant, verbatim, fixed and fitted predictors."""
+    f, width = x.shape
+    kind, best, param = np.full(f, 1), np.full(f, 8 * width, np.int64), np.zeros(f, np.int64)  # by the format's subframe type
+    u = np.zeros((f, width), np.int32)
+    r = x.astype(np.int32)
     for o in range(3):
         if o:
             r = np.diff(r, axis=1)
-        u = np.where(r < 0, -2 * r - 1, 2 * r).astype(np.uint16)
-        resid.append(u)
-        head = 8 * o + 10 + (o and lpc) * (9 + 10 * o)
-        for k in range(8):
-            cost = (u >> k).sum(axis=1, dtype=np.int64) + (BLOCK - o) * (1 + k) + head
-            better = cost < best
-            best[better], order[better], param[better] = cost[better], o, k
-    if lpc:
-        order[order == 0] = -1  # an LPC subframe has a coefficient at least
-        best[order == -1] = 8 * BLOCK
+        own = _fold(r)
+        cost, k = _rice(own, width - o)
+        cost += 8 * o + 10
+        better = cost < best
+        best[better], kind[better], param[better] = cost[better], 8 + o, k[better]
+        u[better, o:] = own[better]
+    order, coefs = fit_predictors(x)
+    for o in LPC:
+        rows = np.flatnonzero(order == o)
+        own = _fold(_predicted(x[rows], o, coefs[rows]))
+        cost, k = _rice(own, width - o)
+        cost += 8 * o + 9 + PRECISION * o + 10
+        better = cost < best[rows]
+        at = rows[better]
+        best[at], kind[at], param[at] = cost[better], 31 + o, k[better]
+        u[at, o:] = own[better]
     flat = (x == x[:, :1]).all(axis=1)
-    order[flat], best[flat] = -2, 8
+    kind[flat], best[flat] = 0, 8
     code, size = _numbers(numbers)
-    header = 5 + size
+    coded = SIZES.get(width, 7)
+    extra = 2 * (coded == 7)  # bytes of a size that is written out
+    header = 5 + size + extra
     body = (8 + best + 7) // 8
     length = header + body + 2
     offs = np.zeros(f + 1, np.int64)
@@ -101,176 +176,249 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray, lpc: bool = False) -> tupl
     bits = np.zeros(int(offs[-1]) * 8, np.uint8)
     base = (offs[:-1] + header) * 8
 
-    def field(rows: np.ndarray, at: np.ndarray, values, width: int) -> None:
+    def field(at: np.ndarray, values, width: int) -> None:
         values = np.broadcast_to(np.asarray(values), at.shape)
         for j in range(width):
             bits[at + j] = values >> (width - 1 - j) & 1
 
-    for o in (-2, -1, 0, 1, 2):
-        rows = np.flatnonzero(order == o)
-        if not len(rows):
-            continue
+    for t in np.unique(kind).tolist():
+        rows = np.flatnonzero(kind == t)
         at = base[rows]
-        kind = 0 if o == -2 else 1 if o == -1 else 32 + o - 1 if lpc and o else 8 + o
-        field(rows, at + 1, kind, 6)
+        field(at + 1, t, 6)
         at = at + 8
-        if o < 0:
-            n = 1 if o == -2 else BLOCK
-            field(rows, at[:, None] + 8 * np.arange(n), x[rows][:, :n].astype(np.int64) & 0xFF, 8)
+        if t < 2:
+            n = width if t else 1
+            field(at[:, None] + 8 * np.arange(n), x[rows][:, :n].astype(np.int64) & 0xFF, 8)
             continue
+        o = t - 31 if t >= 32 else t - 8
         for j in range(o):
-            field(rows, at, x[rows, j].astype(np.int64) & 0xFF, 8)
+            field(at, x[rows, j].astype(np.int64) & 0xFF, 8)
             at = at + 8
-        if lpc and o:
-            field(rows, at, 9, 4)  # 10 bits a coefficient
-            at = at + 9  # a shift of 0
-            for c in FIXED[o]:
-                field(rows, at, c & 0x3FF, 10)
-                at = at + 10
+        if t >= 32:
+            field(at, PRECISION - 1, 4)
+            field(at + 4, SHIFT, 5)
+            at = at + 9
+            for j in range(o):
+                field(at, coefs[rows, j] & (1 << PRECISION) - 1, PRECISION)
+                at = at + PRECISION
         k = param[rows]
-        field(rows, at + 6, k, 4)
-        u = resid[o][rows].astype(np.int64)
-        q = u >> k[:, None]
+        field(at + 6, k, 4)
+        own = u[rows, o:].astype(np.int64)
+        q = own >> k[:, None]
         n = q + 1 + k[:, None]
         begin = (at + 10)[:, None] + np.cumsum(n, axis=1) - n
         stop = begin + q
         bits[stop] = 1
         for kk in np.unique(k).tolist():
-            own = k == kk
+            some = k == kk
             for j in range(kk):
-                bits[stop[own] + 1 + j] = u[own] >> (kk - 1 - j) & 1
+                bits[stop[some] + 1 + j] = own[some] >> (kk - 1 - j) & 1
     data = np.packbits(bits)
     at = offs[:-1]
-    data[at], data[at + 1], data[at + 2], data[at + 3] = 0xFF, 0xF8, 0x14, 0x02
+    data[at], data[at + 1], data[at + 2], data[at + 3] = 0xFF, 0xF8, coded << 4 | 4, 0x02
     for j in range(int(size.max(initial=0))):
         own = size > j
         data[at[own] + 4 + j] = code[own, j]
-    data[at + 4 + size] = crc(data, at, 4 + size, 8)
+    if extra:
+        data[at + 4 + size], data[at + 5 + size] = width - 1 >> 8, width - 1 & 0xFF
+    data[at + header - 1] = crc(data, at, header - 1, 8)
     sums = crc(data, at, length - 2, 16)
     data[offs[1:] - 2], data[offs[1:] - 1] = sums >> 8, sums & 0xFF
     return data, offs
 
 
-def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The samples (rows of BLOCK) of the frames at these bytes. Raises ValueError if a checksum or a number doesn't match."""
-    f = len(starts)
-    out = np.zeros((f, BLOCK), np.int16)
-    if not f:
-        return out
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    if not ((padded[starts] == 0xFF) & (padded[starts + 1] == 0xF8) & (padded[starts + 2] == 0x14) & (padded[starts + 3] == 0x02)).all():
+class _Bits:
+    """Bytes with, from each on, the 64 bits that begin there."""
+
+    def __init__(self, data: np.ndarray):
+        self.padded = np.concatenate([data, np.zeros(24, np.uint8)])
+        self.wide = np.zeros(len(data) + 16, np.uint64)
+        for j in range(8):
+            self.wide |= self.padded[j : j + len(self.wide)].astype(np.uint64) << np.uint64(56 - 8 * j)
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        return self.wide[at >> 3] << (at & 7).astype(np.uint64)
+
+    def take(self, at: np.ndarray, n) -> np.ndarray:
+        return (self.at(at) >> np.uint64(64 - n)).astype(np.int64) if n else np.zeros(len(at), np.int64)
+
+
+def _header_ends(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where the frames' subframes begin, once their headers and both checksums are found right."""
+    coded = np.full(len(starts), 7)
+    for n, c in SIZES.items():
+        coded[counts == n] = c
+    if not ((padded[starts] == 0xFF) & (padded[starts + 1] == 0xF8) & (padded[starts + 2] == (coded << 4 | 4)) & (padded[starts + 3] == 0x02)).all():
         raise ValueError("a frame's header is not one of ours")
     code, size = _numbers(numbers)
     for j in range(6):
         own = size > j
         if (padded[starts[own] + 4 + j] != code[own, j]).any():
             raise ValueError("a frame has another number than its seek point")
-    if (crc(padded, starts, 4 + size, 8) != padded[starts + 4 + size]).any():
+    at = starts + 4 + size
+    written = coded == 7
+    if ((padded[at].astype(np.int64) << 8 | padded[at + 1]) != counts - 1)[written].any():
+        raise ValueError("a frame has another size than its seek point")
+    at = at + 2 * written
+    if (crc(padded, starts, at - starts, 8) != padded[at]).any():
         raise ValueError("a frame's header doesn't match its checksum")
     if (crc(padded, starts, ends - starts - 2, 16) != (padded[ends - 2].astype(np.uint16) << 8 | padded[ends - 1])).any():
         raise ValueError("a frame doesn't match its checksum")
-    body = starts + 5 + size
-    kind = padded[body] >> 1 & 0x3F
-    signed = lambda b: b.astype(np.int16) - ((b & 0x80).astype(np.int16) << 1)
-    own = kind == 0
-    out[own] = signed(padded[body[own] + 1])[:, None]
-    own = kind == 1
-    out[own] = signed(padded[(body[own] + 1)[:, None] + np.arange(BLOCK)])
-    lo, hi = int(body.min()), int(ends.max())
-    wide = np.zeros(hi - lo + 8, np.uint64)  # the 64 bits from each byte on
-    raw = np.concatenate([padded[lo : hi + 8], np.zeros(16, np.uint8)])
-    for j in range(8):
-        wide |= raw[j : j + len(wide)].astype(np.uint64) << np.uint64(56 - 8 * j)
-
-    def take(at: np.ndarray, n) -> np.ndarray:
-        return (wide[(at >> 3) - lo] << (at & 7).astype(np.uint64) >> np.uint64(64 - n)).astype(np.int64) if n else np.zeros(len(at), np.int64)
-
-    for k in np.unique(kind[kind > 1]).tolist():
-        rows = np.flatnonzero(kind == k)
-        lpc = k >= 32
-        o = k - 31 if lpc else k - 8
-        if not (lpc or 8 <= k <= 12):
-            raise ValueError(f"subframe type {k} is reserved")
-        at = body[rows] * 8 + 8
-        x = np.zeros((len(rows), BLOCK), np.int64)
-        for j in range(o):
-            x[:, j] = signed(take(at, 8).astype(np.uint8))
-            at = at + 8
-        shift = np.zeros(len(rows), np.int64)
-        coefs = np.broadcast_to(np.array(FIXED.get(o, []) if not lpc else [0] * o, np.int64), (len(rows), o)).copy()
-        if lpc:
-            precision = take(at, 4) + 1
-            shift = take(at + 4, 5)
-            at = at + 9
-            for j in range(o):
-                for p in np.unique(precision).tolist():
-                    own = precision == p
-                    v = take(at[own], p)
-                    coefs[own, j] = v - ((v >> (p - 1)) << p)
-                at = at + precision
-        if (take(at, 6) != 0).any():
-            raise ValueError("only residuals of one partition with 4-bit parameters are written")
-        param = take(at + 6, 4)
-        at = at + 10
-        low, one = param.astype(np.uint64), np.uint64(1)
-        for t in range(o, BLOCK):
-            w = wide[(at >> 3) - lo] << (at & 7).astype(np.uint64)
-            q = _LEADING[(w >> np.uint64(48)).astype(np.int64)].astype(np.int64)
+    return at + 1
+
+
+def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of the frames at these bytes one after another, and offsets by frame. Raises ValueError if a checksum, a number or a size doesn't match.
+
+    All frames are decoded side by side, those with most residuals first, so that the ones still going are always the first ones.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int8), np.zeros(1, np.int64)
+    bits = _Bits(data)
+    body = _header_ends(bits.padded, starts, ends, numbers, counts)
+    kind = bits.padded[body] >> 1 & 0x3F
+    if ((kind > 12) & (kind < 32) | (kind > 1) & (kind < 8)).any():
+        raise ValueError("a subframe's type is reserved")
+    # one value, or all values
+    plain = np.flatnonzero(kind < 2)
+    edge, place = B.spread(counts[plain])
+    of = np.repeat(plain, counts[plain])
+    parts = [bits.padded[body[of] + 1 + kind[of] * place].view(np.int8)]
+    at = np.zeros(len(starts), np.int64)
+    at[plain] = edge[:-1]
+    order = np.where(kind >= 32, kind.astype(np.int64) - 31, kind.astype(np.int64) - 8)
+    rows = np.flatnonzero(kind > 1)
+    rows = rows[np.argsort(-(counts - order)[rows], kind="stable")]
+    if len(rows):
+        x = _decode_residuals(bits, body[rows] * 8 + 8, kind[rows] >= 32, order[rows], counts[rows], (ends[rows] - 2) * 8)
+        at[rows] = len(parts[0]) + np.arange(len(rows)) * len(x)
+        parts.append(np.ascontiguousarray(x.astype(np.int8).T).ravel())
+    return B.gather(np.concatenate(parts), at, counts)
+
+
+def _decode_residuals(bits: _Bits, at: np.ndarray, fitted: np.ndarray, order: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Samples (places by frames) of subframes with a predictor; frames in falling order of residuals."""
+    take, f, top = bits.take, len(at), int(order.max())
+    x = np.zeros((int(counts.max()), f), np.int32)
+    at = at.copy()
+    for j in range(top):
+        own = np.flatnonzero(order > j)
+        v = take(at[own], 8)
+        x[j, own] = v - (v >> 7 << 8)
+        at[own] += 8
+    coefs, shift = np.zeros((max(top, 1), f), np.int32), np.zeros(f, np.int32)
+    for o, c in FIXED.items():
+        own = np.flatnonzero(~fitted & (order == o))
+        for j, v in enumerate(c if len(own) else []):
+            coefs[j, own] = v
+    own = np.flatnonzero(fitted)
+    precision = take(at[own], 4) + 1
+    shift[own] = take(at[own] + 4, 5)
+    at[own] += 9
+    for p in np.unique(precision).tolist():
+        some = own[precision == p]
+        for j in range(top):
+            more = some[order[some] > j]
+            v = take(at[more], p)
+            coefs[j, more] = v - (v >> (p - 1) << p)
+            at[more] += p
+    if (take(at, 6) != 0).any():
+        raise ValueError("only residuals of one partition with 4-bit parameters are written")
+    param = take(at + 6, 4)
+    at += 10
+    left = counts - order
+    after, one = (63 - param).astype(np.uint64), np.uint64(1)
+    live = f
+    col = np.arange(f)
+    for t in range(int(left[0])):
+        if left[live - 1] <= t:
+            live = int(np.searchsorted(-left, -t, side="left"))
+        a = at[:live]
+        w = bits.at(a)
+        q = _LEADING[(w >> np.uint64(48)).view(np.int64)]
+        if q.max() == 16:  # a long run of zeros
             many = np.flatnonzero(q == 16)
-            for i in many.tolist():  # a long run of zeros
-                p = int(at[i]) + 16
+            q = q.copy()
+            for i in many.tolist():
+                p = int(a[i]) + 16
                 while not take(np.array([p]), 1)[0]:
                     p += 1
-                q[i] = p - int(at[i])
-            if len(many):
-                w = w.copy()
-                p = at[many] + q[many]
-                w[many] = 0
-                after = take_many(wide, lo, p + 1)
-                w2 = w << (np.minimum(q, 62).astype(np.uint64) + one)
-                w2[many] = after
-            else:
-                w2 = w << (q.astype(np.uint64) + one)
-            u = q << param | ((w2 >> one) >> (np.uint64(63) - low)).astype(np.int64)
-            x[:, t] = (u >> 1) ^ -(u & 1)
-            at = at + q + 1 + param
-        if (at > (ends[rows] - 2) * 8).any():
-            raise ValueError("a frame's residuals run over its end")
-        if o:
-            for t in range(o, BLOCK):
-                x[:, t] += (coefs * x[:, t - o : t][:, ::-1]).sum(axis=1) >> shift
-        out[rows] = x
-    return out
-
-
-def take_many(wide: np.ndarray, lo: int, at: np.ndarray) -> np.ndarray:
-    return wide[(at >> 3) - lo] << (at & 7).astype(np.uint64)
-
-
-_LEADING = np.full(1 << 16, 16, np.uint8)
+                q[i] = p - int(a[i])
+            rest = w << (np.minimum(q, 62).astype(np.uint64) + one)
+            rest[many] = bits.at(a[many] + q[many] + 1)
+        else:
+            rest = w << (q.view(np.uint64) + one)
+        u = q << param[:live]
+        u |= (rest >> one >> after[:live]).view(np.int64)
+        x[order[:live] + t, col[:live]] = (u >> 1) ^ -(u & 1)
+        a += q
+        a += 1
+        a += param[:live]
+    if (at > ends).any():
+        raise ValueError("a frame's residuals run over its end")
+    summed = ~fitted & (order < 3)
+    for o in (1, 2):  # fixed predictors of low order are sums
+        own = np.flatnonzero(summed & (order == o))
+        if len(own):
+            y = x[:, own]
+            if o == 2:
+                y[1] -= y[0]
+                y[1:] = np.cumsum(y[1:], axis=0)
+            x[:, own] = np.cumsum(y, axis=0)
+    own = np.flatnonzero(~summed)
+    if len(own):
+        y, c, s, n = np.ascontiguousarray(x[:, own]), coefs[:, own], shift[own], order[own]
+        size = counts[own]
+        for t in range(1, len(y)):
+            told = c[0] * y[t - 1]
+            for j in range(1, min(t, top)):
+                told += c[j] * y[t - 1 - j]
+            told >>= s
+            y[t] += told if t >= top else np.where(n <= t, told, 0)
+            if t % 64 == 0:
+                y[t] *= size > t  # frames that have ended stay at nothing
+        x[:, own] = y
+    return x
+
+
+_LEADING = np.full(1 << 16, 16, np.int64)
 for _z in range(16):
     _LEADING[1 << (15 - _z) : 1 << (16 - _z)] = _z
 
 
-def encode_streams(payloads: np.ndarray, offsets: np.ndarray, lpc: bool = False) -> list[bytes]:
+def encode_streams(payloads: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A FLAC stream for each payload; lengths are multiples of BLOCK."""
-    per = np.diff(offsets) // BLOCK
+    lengths = np.diff(offsets)
+    per = -(-lengths // FRAME)
     first, place = B.spread(per)
-    x = payloads.astype(np.int16).reshape(-1, BLOCK) - 128
-    data, offs = encode_frames(x, place, lpc)
-    sizes = np.diff(offs)
+    of = np.repeat(np.arange(len(per)), per)
+    counts = np.minimum(lengths[of] - place * FRAME, FRAME)
+    x = payloads.astype(np.int16) - 128
+    begin = offsets[:-1][of] + place * FRAME
+    parts, at, sizes, total = [], np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), 0
+    for n in np.unique(counts).tolist():  # frames of one size together
+        rows = np.flatnonzero(counts == n)
+        made, edge = encode_frames(x[begin[rows][:, None] + np.arange(n)], place[rows])
+        parts.append(made)
+        at[rows], sizes[rows] = edge[:-1] + total, np.diff(edge)
+        total += len(made)
+    data, offs = B.gather(np.concatenate(parts) if parts else np.zeros(0, np.uint8), at, sizes)
     raw, out = data.tobytes(), []
     pcm = x.astype(np.int8).tobytes()
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         n = b - a
-        info = np.array([BLOCK, BLOCK], ">u2").tobytes() + int(sizes[a:b].min()).to_bytes(3, "big") + int(sizes[a:b].max()).to_bytes(3, "big")
-        info += ((RATE << 44) | (0 << 41) | ((BITS - 1) << 36) | n * BLOCK).to_bytes(8, "big") + hashlib.md5(pcm[offsets[i] : offsets[i + 1]], usedforsecurity=False).digest()
-        points = np.zeros(n, np.dtype([("sample", ">u8"), ("byte", ">u8"), ("samples", ">u2")]))
-        points["sample"], points["byte"], points["samples"] = np.arange(n) * BLOCK, offs[a:b] - offs[a], BLOCK
+        info = np.array([FRAME, FRAME], ">u2").tobytes() + int(sizes[a:b].min()).to_bytes(3, "big") + int(sizes[a:b].max()).to_bytes(3, "big")
+        info += ((RATE << 44) | (0 << 41) | ((BITS - 1) << 36) | int(lengths[i])).to_bytes(8, "big") + hashlib.md5(pcm[offsets[i] : offsets[i + 1]], usedforsecurity=False).digest()
+        points = np.zeros(n, POINT)
+        points["sample"], points["byte"], points["samples"] = np.arange(n) * FRAME, offs[a:b] - offs[a], counts[a:b]
         out.append(b"fLaC" + b"\x00" + (34).to_bytes(3, "big") + info + b"\x83" + (18 * n).to_bytes(3, "big") + points.tobytes() + raw[offs[a] : offs[b]])
     return out
 
 
+#: A seek point: a fixed layout of the format.
+POINT = np.dtype([("sample", ">u8"), ("byte", ">u8"), ("samples", ">u2")])
+
+
 class Stream:
     """A stored stream's header: samples, and the byte offsets of its frames."""
 
@@ -287,42 +435,37 @@ class Stream:
                 if (word >> 36 & 31) + 1 != BITS or (word >> 41 & 7) != 0:
                     raise ValueError("only 8-bit mono streams are written")
             elif kind == 3:
-                self.points = np.frombuffer(block, np.dtype([("sample", ">u8"), ("byte", ">u8"), ("samples", ">u2")]))
+                self.points = np.frombuffer(block, POINT)
             at += 4 + n
         self.start = at
-        self.begins = at + self.points["byte"].astype(np.int64)
+        self.begins, self.counts = at + self.points["byte"].astype(np.int64), self.points["samples"].astype(np.int64)
         self.ends = np.append(self.begins[1:], len(raw))
 
 
+def _frames(heads: list[Stream], blobs: list[bytes], spans: list[tuple[int, int]]):
+    """Begins, ends, numbers and sample counts of some frames of each stream, as places in all streams one after another."""
+    at = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
+    cols = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for h, s, (i, j) in zip(heads, at.tolist(), spans, strict=False):
+        for col, v in zip(cols, (h.begins[i:j] + s, h.ends[i:j] + s, np.arange(i, j), h.counts[i:j]), strict=True):
+            col.append(v)
+    return np.frombuffer(b"".join(blobs), np.uint8), *map(np.concatenate, cols)
+
+
 def decode_streams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The PCM of all streams, one after another, and offsets in samples. Frames of all streams are decoded together."""
+    """The PCM of all streams, one after another, and offsets in samples."""
     heads = [Stream(memoryview(b)) for b in blobs]
-    sizes = np.array([len(b) for b in blobs], np.int64)
-    base = np.cumsum(sizes) - sizes
-    begins = np.concatenate([h.begins + s for h, s in zip(heads, base, strict=True)]) if heads else np.zeros(0, np.int64)
-    ends = np.concatenate([h.ends + s for h, s in zip(heads, base, strict=True)]) if heads else np.zeros(0, np.int64)
-    first, place = B.spread(np.array([len(h.begins) for h in heads], np.int64))
-    x = decode_frames(np.frombuffer(b"".join(blobs), np.uint8), begins, ends, place)
-    return x.astype(np.int8).ravel(), first * BLOCK
+    x, offs = decode_frames(*_frames(heads, blobs, [(0, len(h.begins)) for h in heads]))
+    return x, offs[np.concatenate([[0], np.cumsum([len(h.begins) for h in heads])]).astype(np.int64)]
 
 
 def read_samples(blobs: list[bytes], lo: list[int], hi: list[int]) -> list[np.ndarray]:
     """Samples lo to hi of each stream, by seeking: only the frames that hold them are decoded."""
-    begins, ends, numbers, spans, at = [], [], [], [], 0
-    for raw, a, b in zip(blobs, lo, hi, strict=True):
-        h = Stream(memoryview(raw))
-        i, j = a // BLOCK, -(-b // BLOCK)
-        begins.append(h.begins[i:j] + at)
-        ends.append(h.ends[i:j] + at)
-        numbers.append(np.arange(i, j))
-        spans.append((j - i, a - i * BLOCK, b - i * BLOCK))
-        at += len(raw)
-    x = decode_frames(np.frombuffer(b"".join(blobs), np.uint8), *map(np.concatenate, (begins, ends, numbers))).astype(np.int8) if begins else []
-    out, row = [], 0
-    for n, a, b in spans:
-        out.append(x[row : row + n].ravel()[a:b])
-        row += n
-    return out
+    heads = [Stream(memoryview(b)) for b in blobs]
+    spans = [(a // FRAME, -(-b // FRAME)) for a, b in zip(lo, hi, strict=True)]
+    x, offs = decode_frames(*_frames(heads, blobs, spans))
+    first = np.concatenate([[0], np.cumsum([j - i for i, j in spans])]).astype(np.int64)
+    return [x[offs[k] + a - i * FRAME : offs[k] + b - i * FRAME] for k, (i, _), a, b in zip(first[:-1].tolist(), spans, lo, hi, strict=True)]
 
 
 def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,17 +479,6 @@ def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, offs
 
 
-def features(pcm: np.ndarray, offsets: np.ndarray) -> list[str]:
-    """Peak, energy, sign changes and mean step of each stream, in whole numbers."""
-    x = pcm.astype(np.int64)
-    at, n = offsets[:-1], np.diff(offsets)
-    step = np.abs(np.diff(x, append=0))
-    flips = np.append((x[1:] < 0) != (x[:-1] < 0), False)
-    step[offsets[1:] - 1] = flips[offsets[1:] - 1] = 0
-    cols = (np.maximum.reduceat(np.abs(x), at), np.add.reduceat(x * x, at), np.add.reduceat(flips.astype(np.int64), at), np.add.reduceat(step, at) * 1000 // n)
-    return [f"peak={a};energy={b};flips={c};step={d}" for a, b, c, d in zip(*(c.tolist() for c in cols), strict=True)]
-
-
 def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``' id, its payload's length and the FLAC stream that stores it: doc_id, n_bytes, media."""
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text")
@@ -361,43 +493,118 @@ def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def _parts(batches):
     for x in batches:
         sizes = np.asarray(pc.binary_length(x.column(1)).fill_null(0)).astype(np.int64)
-        at = X.cuts(sizes + BLOCK, PART_BYTES)
+        at = X.cuts(sizes + FRAME, PART_BYTES)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             part = x.slice(lo, hi - lo)
             yield part.column(0), *B.flat(part.column(1))
             B.trim()
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """What the streams of ``media`` hold, decoded: one row each."""
+def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The streams of ``media``, written to the shared folder and read back from there."""
+    at = files.fresh(X.shared_dir(docs.sparkSession), "flac")
+    media(docs, doc_id, text).write.mode("overwrite").option("compression", "zstd").parquet(at)
+    return docs.sparkSession.read.parquet(at)
+
+
+def pcm_blocks(stored: DataFrame) -> DataFrame:
+    """What the streams decode to (PCM): a row for each block of at most PCM_BLOCK samples, with the offset of its first sample in the stream.
+
+    Every frame's checksums and number, and every stream's MD5, are checked. The blocks of a stream follow one another in order;
+    with the first come the lengths and the digest of the stored bytes, and the stream's last 16 samples, read by seeking.
+    """
 
     def run(batches):
         for x in batches:
-            sizes = np.asarray(pc.binary_length(x.column(2)).fill_null(0)).astype(np.int64)
+            sizes = np.asarray(pc.binary_length(x.column("media")).fill_null(0)).astype(np.int64)
             at = X.cuts(sizes, PART_BYTES)
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                yield from _digest(x.slice(lo, hi - lo)).to_batches()
+                yield from _blocks(x.slice(lo, hi - lo)).to_batches()
+                B.trim()
 
-    return rows.mapInArrow(run, ROWS)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
 
 
-def _digest(x: pa.RecordBatch) -> pa.Table:
-    blobs = x.column(2).to_pylist()
+def _blocks(x: pa.RecordBatch) -> pa.Table:
+    blobs = x.column("media").to_pylist()
     pcm, offs = decode_streams(blobs)
-    raw = (pcm.astype(np.int16) + 128).astype(np.uint8).tobytes()
-    own = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
     signed = pcm.tobytes()
-    for blob, (a, b) in zip(blobs, own, strict=True):
+    for blob, a, b in zip(blobs, offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         if Stream(memoryview(blob)).md5 != hashlib.md5(signed[a:b], usedforsecurity=False).digest():
             raise ValueError("a stream doesn't match its MD5")
     n = np.diff(offs)
     tails = read_samples(blobs, (n - 16).tolist(), n.tolist())
-    sha = lambda b: hashlib.sha256(b).hexdigest()
+    per = -(-n // PCM_BLOCK)
+    first, place = B.spread(per)
+    of = np.repeat(np.arange(len(n)), per)
+    start = place * PCM_BLOCK
+    cut = np.append(offs[:-1][of] + start, offs[-1])
+    head = place == 0
+    only = lambda values, kind: pa.array(values, kind).take(pa.array(np.where(head, of, 0), mask=~head))
     return pa.table(
-        [
-            x.column(0), x.column(1), pa.array(n), pa.array([sha(raw[a:b]) for a, b in own], pa.string()),
-            pa.array([zlib.crc32((t.astype(np.int16) + 128).astype(np.uint8).tobytes()) for t in tails], pa.int64()),
-            pa.array([len(b) for b in blobs], pa.int64()), pa.array([sha(b) for b in blobs], pa.string()), pa.array(features(pcm, offs), pa.string()),
-        ],
-        ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+        [x.column("doc_id").take(pa.array(of)), pa.array(start), B.from_parts(pcm.view(np.uint8), cut).cast(pa.binary()), only(x.column("n_bytes"), pa.int64()), only([len(b) for b in blobs], pa.int64()),
+         only([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()), only([t.tobytes() for t in tails], pa.binary())],
+        PCM_NAMES,
     )
+
+
+def write_pcm(stored: DataFrame, folder: str) -> None:
+    """Writes the blocks of ``pcm_blocks``, each stream's together and in order; ``read_pcm`` finds samples by their offsets."""
+    pcm_blocks(stored).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+
+
+def read_pcm(spark, folder: str, lo: int, hi: int) -> DataFrame:
+    """(doc_id, sample, pcm): samples ``lo`` to ``hi`` of every written stream; of others than their blocks only the offsets are read."""
+    rows = spark.read.parquet(folder).where((F.col("sample") < hi) & (F.col("sample") + PCM_BLOCK > lo))
+    skip = F.greatest(F.lit(lo) - F.col("sample"), F.lit(0))
+    return rows.select("doc_id", (F.col("sample") + skip).alias("sample"), F.substring("pcm", (skip + 1).cast("int"), (F.lit(hi) - F.col("sample") - skip).cast("int")).alias("pcm")).where(F.octet_length("pcm") > 0)
+
+
+def digest(blocks: DataFrame) -> DataFrame:
+    """One row for each stream of ``pcm_blocks``, from its blocks as they come; one block is held at a time."""
+
+    def run(batches):
+        now = None
+        for x in batches:
+            out = []
+            for i, start, pcm, n, size, sha, tail in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if start == 0:
+                    if now is not None:
+                        out.append(now.row())
+                    now = _Digest(i, n, size, sha, tail)
+                now.add(np.frombuffer(pcm, np.int8))
+            if out:
+                yield _rows(out)
+        if now is not None:
+            yield _rows([now.row()])
+
+    return blocks.mapInArrow(run, ROWS)
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in ROWS.split(", ")])
+
+
+class _Digest:
+    """A stream's digests and features (peak, energy, sign changes and mean step, in whole numbers), block by block."""
+
+    def __init__(self, doc_id, n_bytes, size, sha, tail):
+        self.head, self.size, self.sha, self.tail = (doc_id, n_bytes), size, sha, tail
+        self.raw, self.n, self.last = hashlib.sha256(), 0, None
+        self.peak = self.energy = self.flips = self.steps = 0
+
+    def add(self, pcm: np.ndarray) -> None:
+        x = pcm.astype(np.int16)
+        self.raw.update((x + 128).astype(np.uint8).tobytes())
+        near = x if self.last is None else np.concatenate([self.last, x])
+        self.peak = max(self.peak, int(np.abs(x).max(initial=0)))
+        self.energy += int((x.astype(np.int32) * x).sum(dtype=np.int64))
+        self.flips += int(((near[1:] < 0) != (near[:-1] < 0)).sum())
+        self.steps += int(np.abs(np.diff(near)).sum(dtype=np.int64))
+        self.n, self.last = self.n + len(x), x[-1:]
+
+    def row(self) -> tuple:
+        tail = (np.frombuffer(self.tail, np.int8).astype(np.int16) + 128).astype(np.uint8).tobytes()
+        said = f"peak={self.peak};energy={self.energy};flips={self.flips};step={self.steps * 1000 // self.n}"
+        return (*self.head, self.n, self.raw.hexdigest(), zlib.crc32(tail), self.size, self.sha, said)

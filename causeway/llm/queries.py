@@ -42,7 +42,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digest(flac.media(_table(spark, sf_dir, "documents")))
+    return flac.digest(flac.pcm_blocks(flac.store(_table(spark, sf_dir, "documents"))))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

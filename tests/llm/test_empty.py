@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string, start long, media binary, blob binary, k int
 
 def test_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
-    assert flac.digest(flac.media(df)).count() == 0
+    assert flac.digest(flac.pcm_blocks(flac.media(df))).count() == 0
     folder = files.fresh("file://" + str(tmp_path), "t")
     assert token_files.write(df, folder, P.path("word_bpe_49k.json")) is not None and token_files.read(spark, folder).count() == 0
     items = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
@@ -18,7 +18,7 @@ def test_no_rows(spark, tmp_path):
 
 def test_repeated_rows(spark, tmp_path):
     df = spark.createDataFrame([(7, "same words", 1, None, None, 1)] * 3 + [(7, None, None, None, None, None), (None, "x", None, None, None, None)], SCHEMA)
-    assert len({tuple(r)[1:] for r in flac.digest(flac.media(df)).where("doc_id = 7").collect()}) == 2
+    assert len({tuple(r)[1:] for r in flac.digest(flac.pcm_blocks(flac.media(df))).where("doc_id = 7").collect()}) == 2
     folder = files.fresh("file://" + str(tmp_path), "t")
     token_files.write(df, folder, P.path("word_bpe_49k.json"))
     rows = sorted(token_files.read(spark, folder).collect(), key=lambda r: r["start"])

@@ -80,14 +80,18 @@ def test_token_file_seeks_and_checks():
     assert b"".join(token_files.file_blocks([]))
 
 
-@pytest.mark.parametrize("lpc", [False, True])
-def test_flac_round_trip(lpc):
+def test_flac_round_trip():
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.integers(0, 256, 192 * 3), np.full(192, 9), np.repeat([0, 255], 192), 100 + np.cumsum(rng.integers(-1, 2, 192 * 3)), np.where(rng.random(192 * 3) < 0.02, 255, 128)]).astype(np.uint8)
-    offs = np.array([0, 192, 192 * 7, len(x)])
-    blobs = flac.encode_streams(x, offs, lpc)
+    flat = np.full(192 * 6, 77)
+    tone = (128 + 60 * np.sin(np.arange(192 * 6) / 5)).astype(np.uint8)
+    x = np.concatenate([rng.integers(0, 256, 192 * 3), np.full(192, 9), np.repeat([0, 255], 192), 100 + np.cumsum(rng.integers(-1, 2, 192 * 3)), np.where(rng.random(192 * 3) < 0.02, 255, 128), tone, flat]).astype(np.uint8)
+    offs = np.array([0, 192, 192 * 7, 192 * 12, 192 * 18, len(x)])
+    blobs = flac.encode_streams(x, offs)
     pcm, at = flac.decode_streams(blobs)
     assert at.tolist() == offs.tolist() and ((pcm.astype(int) + 128) == x).all()
+    kinds = {raw[b + (6 if n in flac.SIZES else 8)] >> 1 & 63 for raw in blobs for b, n in zip(flac.Stream(memoryview(raw)).begins.tolist(), flac.Stream(memoryview(raw)).counts.tolist())}
+    assert {0, 1} <= kinds and any(k >= 32 for k in kinds) and any(8 <= k <= 12 for k in kinds)
+    assert len(blobs[3]) - flac.Stream(memoryview(blobs[3])).start < 192 * 6 * 0.6  # fitted predictors follow a tone
     (part,) = flac.read_samples([blobs[2]], [300], [777])
     assert ((part.astype(int) + 128) == x[192 * 7 + 300 : 192 * 7 + 777]).all()
     for at in (len(blobs[1]) - 40, flac.Stream(memoryview(blobs[1])).start + 4):
@@ -97,13 +101,35 @@ def test_flac_round_trip(lpc):
             flac.decode_streams([bytes(bad)])
 
 
-def test_flac_query(spark):
-    got = {r["doc_id"]: r for r in flac.digest(flac.media(docs(spark))).collect()}
+def test_flac_predictors_leave_what_the_definition_says():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-128, 128, (5, 192)).astype(np.int16)
+    c = rng.integers(-512, 512, (5, 4))
+    for o in flac.LPC:
+        want = [[int(r[t]) - (sum(int(c[i, j]) * int(r[t - 1 - j]) for j in range(o)) >> flac.SHIFT) for t in range(o, 192)] for i, r in enumerate(x)]
+        assert flac._predicted(x, o, c).tolist() == want
+
+
+def feature(raw):
+    x = [b - 128 for b in raw]
+    return f"peak={max(map(abs, x))};energy={sum(v * v for v in x)};flips={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};step={sum(abs(b - a) for a, b in zip(x, x[1:])) * 1000 // len(x)}"
+
+
+def test_flac_query(spark, tmp_path):
+    stored_ = flac.store(docs(spark))
+    got = {r["doc_id"]: r for r in flac.digest(flac.pcm_blocks(stored_)).collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in stored_.collect()}
+    flac.write_pcm(stored_, str(tmp_path / "pcm"))
+    some = {}
+    for r in sorted(flac.read_pcm(spark, str(tmp_path / "pcm"), 100, 5000).collect(), key=lambda r: r["sample"]):
+        some[r["doc_id"]] = some.get(r["doc_id"], b"") + bytes((b + 128) % 256 for b in r["pcm"])
     for i, t in enumerate(TEXTS):
         raw = (t or "").encode()
         padded = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature(padded))
+        assert some[i] == padded[100:5000]
     assert got[11][1:] == got[12][1:]
 
 
