@@ -1 +1 @@
-"""Causal-theory multiverse analytics on Spark."""
+"""Multiverse analytics for causal hypotheses on Spark."""

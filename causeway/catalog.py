@@ -1,4 +1,4 @@
-"""Queries over theories derived from the driver's events, and the same in SQL."""
+"""Queries over hypotheses derived from the driver's events, and the same in SQL."""
 
 from __future__ import annotations
 
@@ -211,7 +211,7 @@ def representatives(spark, sf_dir):
 
 
 def _closed(spark, sf_dir):
-    """Every resolution of the distinct untimed theories over three event types: closed under settling edges."""
+    """Every resolution of the distinct untimed hypotheses over three event types: closed under settling edges."""
     reg = E.registry(spark, sf_dir, ["click", "purchase", "view"], exposure=None, outcome=None)
     m = M.pack(E.claims(spark, sf_dir, reg), reg, timed=False).drop("model_id").distinct()
     out = m

@@ -37,7 +37,7 @@ class Analysis:
         return out
 
 
-def analyze_theory(spark: SparkSession, nodes: list[dict], exposure: str | None = None, outcome: str | None = None, constraints: list[dict] | None = None, mode: str = "sampled", n_models: int = 200, seed: int = 42, prior: str | None = None, rank: bool = True, **options) -> Analysis:
+def analyze(spark: SparkSession, nodes: list[dict], exposure: str | None = None, outcome: str | None = None, constraints: list[dict] | None = None, mode: str = "sampled", n_models: int = 200, seed: int = 42, prior: str | None = None, rank: bool = True, **options) -> Analysis:
     """``mode``: sampled or exhaustive. Cruxes are ranked where the models are closed under settling edges, as exhaustive ones are."""
     reg = R.build(nodes, constraints=constraints, exposure=exposure, outcome=outcome)
     claims = (X.exhaustive(spark, reg, **options) if mode == "exhaustive" else X.sampled(spark, reg, n_models, seed, **options)).persist()

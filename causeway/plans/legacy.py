@@ -1,4 +1,4 @@
-"""The older workflow: theories around one test effect as edge tables, formula strings, adjustment sets and agreement with a reference.
+"""The older workflow: hypotheses around one test effect as edge tables, formula strings, adjustment sets and agreement with a reference.
 
 Nodes are named Y (type otc), Xtest (test) and X1, X2, .. by time (ctr). Edges are rows (model, from, to, direction).
 """
@@ -55,10 +55,10 @@ def pair_grid(nodes: list[dict]) -> list[tuple[str, str, str]]:
 
 
 def build_causal_node(spark: SparkSession, nodes: list[str], timing: list[int], types: list[str], user_models: list[str] | None = None, include_subsets: bool = False) -> DataFrame:
-    """All theories as rows (model, from, to, direction, component, user_mod): every choice of the optional edges, the test effect always there.
+    """All hypotheses as rows (model, from, to, direction, component, user_mod): every choice of the optional edges, the test effect always there.
 
-    A node's edge to itself stands for the node alone and goes where another edge has it. Equal theories count once and are
-    numbered densely; user theories that are among them are marked, the others added.
+    A node's edge to itself stands for the node alone and goes where another edge has it. Equal hypotheses count once and are
+    numbered densely; user models that are among them are marked, the others added.
     """
     named = roles(nodes, timing, types)
     grid = pair_grid(named)
@@ -74,7 +74,7 @@ def build_causal_node(spark: SparkSession, nodes: list[str], timing: list[int],
         own = spark.createDataFrame([(k, name[a], name[b], d) for k, a, b, d in parse(user_models)], "k int, from string, to string, direction string")
         own = own.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("from", "to", "direction"))).alias("edges")).groupBy("edges").agg(F.min("k").alias("k"))
         first = first.join(own, "edges", "full").select("edges", F.coalesce("id", F.lit(1 << 62) + F.col("k")).alias("id"), F.col("k").isNotNull().cast("int").alias("user_mod"))
-    numbered = first.withColumn("model", F.dense_rank().over(Window.orderBy("id")))  # ids are one number a theory
+    numbered = first.withColumn("model", F.dense_rank().over(Window.orderBy("id")))  # ids are one number a hypothesis
     e = numbered.select("model", "user_mod", F.explode("edges").alias("e")).select("model", "e.*", "user_mod")
     return e.withColumn("component", F.when(F.col("from") == F.col("to"), F.col("from")).otherwise(F.concat_ws("_", "from", "to")))
 
@@ -130,7 +130,7 @@ def build_formula_matrix(edges: DataFrame, names: list[str], effect: str = "dire
 
 
 def add_compatible(matrix: DataFrame, reference: int = 1) -> DataFrame:
-    """Each theory's agreement with the reference: whether they share an adjustment set, and whether they test correctly too."""
+    """Each hypothesis's agreement with the reference: whether they share an adjustment set, and whether they test correctly too."""
     ref = matrix.where(F.col("model") == reference).select(F.col("mas").alias("ref_mas"), F.col("correct_test").alias("ref_test"))
     share: Column = F.coalesce(F.arrays_overlap("mas", "ref_mas"), F.lit(False))
     test = F.when(F.col("model") == reference, "reference model").when(share, "compatible").otherwise("incompatible")
@@ -145,7 +145,7 @@ def build_set_matrix(edges: DataFrame, outcome: DataFrame, column: str) -> DataF
 
 
 def find_models(edges: DataFrame, user_models: list[str], nodes: list[dict]) -> DataFrame:
-    """(user_model, model): which of the theories each user theory is; null if none."""
+    """(user_model, model): which of the hypotheses each user model is; null if none."""
     spark = edges.sparkSession
     name = {r["label"]: r["name"] for r in nodes}
     own = spark.createDataFrame([(k, name.get(a, a), name.get(b, b), d) for k, a, b, d in parse(user_models)], "user_model int, from string, to string, direction string")

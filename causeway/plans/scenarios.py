@@ -1,4 +1,4 @@
-"""Synthetic theories with known truth, and what the operators find in them.
+"""Synthetic hypotheses with known truth, and what the operators find in them.
 
 Random choices are hashes of the seed and what is chosen for, so a scenario is the same however it is dealt out.
 """
@@ -74,7 +74,7 @@ def precision_illusion(spark: SparkSession, metric: str = "mas_compatible") -> t
 
 
 def illusion_result(spark: SparkSession, metric: str = "mas_compatible") -> dict:
-    """How much likelier theories look alike than they agree: mean similarity less the share of compatible pairs."""
+    """How much likelier hypotheses look alike than they agree: mean similarity less the share of compatible pairs."""
     claims, reg = precision_illusion(spark, metric)
     models = M.pack(claims, reg).persist()
     pairs = D.counts(D.pairs(models, reg), reg).select("ego_id", "alter_id", D.similarity(F.col("shared"), F.col("union_claims")).alias("s"))
@@ -85,7 +85,7 @@ def illusion_result(spark: SparkSession, metric: str = "mas_compatible") -> dict
 
 
 def phase_transition(spark: SparkSession, models: int = 200, components: int = 80, zones: int | None = None, noise: float = 0.1, seed: int = 42) -> tuple[DataFrame, R.Registry, str]:
-    """Theories in triples that differ in one edge alone (unknown, causal, non-causal), in contexts of zones with some noise; and that edge."""
+    """Hypotheses in triples that differ in one edge alone (unknown, causal, non-causal), in contexts of zones with some noise; and that edge."""
     reg = synthetic_registry(components)
     edges = [r["comp_id"] for r in reg.edges]
     zones = zones or min(4, max(3, len(edges) // 5))

@@ -1,4 +1,4 @@
-"""Symbolic spaces of theories: assignments of edge variables, partitioned into weighted query classes.
+"""Symbolic spaces of hypotheses: assignments of edge variables, partitioned into weighted query classes.
 
 Constraints and queries are formulas. What constraints say outright is put in first; the variables left are the bits of ``spark.range``, formulas are
 columns over it, and classes are one aggregation, however many there are. Beyond ``most_free`` variables a seeded sample takes the place of all.
@@ -228,7 +228,7 @@ def compare(spark: SparkSession, u: Universe, one: tuple, other: tuple, **option
     for label, c in (("one", one), ("other", other)):
         df, known, bit, _ = space(spark, u, c, **options)
         ok = B.column(B.settle(index.identifiable, known), bit, F.col("a"))
-        out.append(df.agg(F.lit(label).alias("theory"), F.count("*").alias("mass"), F.coalesce(F.bool_or(ok), F.lit(False)).alias("possibly_identifiable"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("necessarily_identifiable")))
+        out.append(df.agg(F.lit(label).alias("side"), F.count("*").alias("mass"), F.coalesce(F.bool_or(ok), F.lit(False)).alias("possibly_identifiable"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("necessarily_identifiable")))
     return out[0].unionByName(out[1])
 
 

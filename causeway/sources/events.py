@@ -1,4 +1,4 @@
-"""Theories from the driver's event table.
+"""Hypotheses from the driver's event table.
 
 A user is a model and an event type a node, present if the user has such an event before a day, timed by the day of the first one. For each two
 types there is an edge from the alphabetically first: causal if it comes first, non-causal if later, unknown on one day.

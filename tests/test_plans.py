@@ -7,7 +7,7 @@ from causeway.operators import dyads as D
 from causeway.operators import models as M
 from causeway.plans import legacy as L
 from causeway.plans import scenarios as S
-from causeway.plans.analyze import analyze_theory
+from causeway.plans.analyze import analyze
 from causeway.sources import events as E
 from causeway.streaming import incremental as I
 
@@ -28,7 +28,7 @@ def test_lynchpin_and_ghost(spark):
 
 
 def test_analysis(spark):
-    a = analyze_theory(spark, [{"name": "Z", "timing": 1}, {"name": "X", "timing": 2}, {"name": "Y", "timing": 3}], "X", "Y", mode="exhaustive", prior="M0001")
+    a = analyze(spark, [{"name": "Z", "timing": 1}, {"name": "X", "timing": 2}, {"name": "Y", "timing": 3}], "X", "Y", mode="exhaustive", prior="M0001")
     s = a.summary()
     assert s["models"] == 9 and round(s["mean_similarity"], 5) == 0.69339 and s["identified"]["identified"] == 9
     assert [r["component_id"] for r in a.crux.orderBy("rank").collect()] == ["C0004", "C0005"]

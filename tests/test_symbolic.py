@@ -46,7 +46,7 @@ def test_identifiability_is_that_of_graphs(spark):
     assert few.agg({"mass": "sum"}).first()[0] == 1 + 6 + 15
     some = S.query_classes(spark, u, B.TRUE, most_free=3, samples=500)
     assert some.agg({"mass": "sum"}).first()[0] == 500
-    both = {r["theory"]: r for r in S.compare(spark, u, B.TRUE, B.conj(u.edge("A", "X"), u.edge("A", "Y"))).collect()}
+    both = {r["side"]: r for r in S.compare(spark, u, B.TRUE, B.conj(u.edge("A", "X"), u.edge("A", "Y"))).collect()}
     assert both["other"]["mass"] == 16 and both["one"]["necessarily_identifiable"]
     with pytest.raises(S.CausalError):
         S.Universe(["A", "B"], [("A", "B"), ("B", "A")], "A", "B")
