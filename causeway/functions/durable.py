@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -14,3 +15,15 @@ def durable(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or "file:///tmp/checkpoints")
     return df.checkpoint()
+
+
+def number_rows(df: DataFrame, *order, name: str = "n") -> DataFrame:
+    """``df`` with each row's place (from 1) in this order, which must be a strict one. No partition holds more than its share: places are counted within ranges of the order."""
+    ranged = durable(df.orderBy(*order)).withColumn("_part", F.spark_partition_id())
+    before, total = [], 0
+    for r in ranged.groupBy("_part").count().orderBy("_part").collect():  # a row a partition
+        before.append((r["_part"], total))
+        total += r["count"]
+    base = df.sparkSession.createDataFrame(before, "_part int, _base long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + place).drop("_part", "_base")

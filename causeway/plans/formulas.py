@@ -1,11 +1,12 @@
 """Boolean formulas over edge variables: three-valued evaluation, simplification, and translation to columns.
 
-A formula is a nested tuple: ("var", name), ("not", f), ("and", f, ...), ("or", f, ...), ("const", True or False).
+A formula is a nested tuple: ("var", name), ("not", f), ("and", f, ...), ("or", f, ...), ("const", True or False), or
+("most", k, name, ...): at most k of the variables are true.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,12 +43,22 @@ def disj(*parts: tuple) -> tuple:
     return _many("or", TRUE, parts)
 
 
+def at_most(k: int, names) -> tuple:
+    names = tuple(sorted(names))
+    if k < 0:
+        return FALSE
+    return TRUE if k >= len(names) else ("most", k, *names) if k else conj(*(neg(var(n)) for n in names))
+
+
 def evaluate(f: tuple, values: Mapping[str, bool | None]) -> bool | None:
     """Kleene's logic: null where a variable is not known and matters."""
     if f[0] == "const":
         return f[1]
     if f[0] == "var":
         return values.get(f[1])
+    if f[0] == "most":
+        on = [values.get(n) for n in f[2:]]
+        return False if on.count(True) > f[1] else True if len(on) - on.count(False) <= f[1] else None
     parts = [evaluate(g, values) for g in f[1:]]
     if f[0] == "not":
         return None if parts[0] is None else not parts[0]
@@ -61,12 +72,14 @@ def settle(f: tuple, values: Mapping[str, bool]) -> tuple:
         return ("const", values[f[1]]) if f[1] in values else f
     if f[0] == "const":
         return f
+    if f[0] == "most":
+        return at_most(f[1] - sum(values.get(n, False) for n in f[2:]), [n for n in f[2:] if n not in values])
     parts = [settle(g, values) for g in f[1:]]
     return neg(parts[0]) if f[0] == "not" else conj(*parts) if f[0] == "and" else disj(*parts)
 
 
 def variables(f: tuple) -> set[str]:
-    return {f[1]} if f[0] == "var" else set() if f[0] == "const" else set().union(*map(variables, f[1:]))
+    return {f[1]} if f[0] == "var" else set(f[2:]) if f[0] == "most" else set() if f[0] == "const" else set().union(*map(variables, f[1:]))
 
 
 def literals(f: tuple) -> dict[str, bool]:
@@ -75,17 +88,23 @@ def literals(f: tuple) -> dict[str, bool]:
     return {g[1]: True for g in parts if g[0] == "var"} | {g[1][1]: False for g in parts if g[0] == "not" and g[1][0] == "var"}
 
 
-def column(f: tuple, bit: Mapping[str, int], assignment: Column) -> Column:
-    """The formula over an assignment whose bit ``bit[name]`` is the variable; SQL's logic is Kleene's too."""
+def column(f: tuple, on: Callable[[str], Column]) -> Column:
+    """The formula over columns: ``on`` gives a variable's. SQL's logic is Kleene's too."""
     if f[0] == "const":
         return F.lit(f[1])
     if f[0] == "var":
-        return F.shiftright(assignment, bit[f[1]]).bitwiseAND(F.lit(1)) == 1
-    parts = [column(g, bit, assignment) for g in f[1:]]
+        return on(f[1])
+    if f[0] == "most":
+        return reduce(lambda a, b: a + b, (on(n).cast("int") for n in f[2:])) <= f[1]
+    parts = [column(g, on) for g in f[1:]]
     return ~parts[0] if f[0] == "not" else reduce(lambda a, b: a & b if f[0] == "and" else a | b, parts)
 
 
-def models(f: tuple, order: list[str]) -> int:
+class TooLarge(ValueError):
+    """A diagram has more nodes than allowed."""
+
+
+def models(f: tuple, order: list[str], most_nodes: int | None = None) -> int:
     """How many assignments of these variables satisfy the formula: a reduced decision diagram by order, each node counted once."""
     known: dict[tuple, int] = {}
 
@@ -94,7 +113,28 @@ def models(f: tuple, order: list[str]) -> int:
             return (1 << len(order) - i) if g[1] else 0
         key = (g, i)
         if key not in known:
+            if most_nodes is not None and len(known) >= most_nodes:
+                raise TooLarge(f"the diagram has more than {most_nodes} nodes")
             known[key] = sum(count(settle(g, {order[i]: v}), i + 1) for v in (True, False))
         return known[key]
 
     return count(f, 0)
+
+
+def satisfiable(f: tuple, order: list[str], most_nodes: int | None = None) -> bool:
+    """Whether any assignment satisfies the formula; stops at the first."""
+    dead: set[tuple] = set()
+
+    def found(g: tuple, i: int) -> bool:
+        if g[0] == "const":
+            return g[1]
+        if (g, i) in dead:
+            return False
+        if any(found(settle(g, {order[i]: v}), i + 1) for v in (True, False)):
+            return True
+        if most_nodes is not None and len(dead) >= most_nodes:
+            raise TooLarge(f"the diagram has more than {most_nodes} nodes")
+        dead.add((g, i))
+        return False
+
+    return found(f, 0)

@@ -155,3 +155,50 @@ def test_symmetry_and_identity(spark, f2):
     back = c.select(F.col("ego_id").alias("alter_id"), F.col("alter_id").alias("ego_id"), "shared", "union_claims", "repair_cost")
     assert c.select(*back.columns).exceptAll(back).count() == 0
     assert c.where("repair_cost = 0").count() == 0
+
+
+def test_samples_of_spaces_of_any_size(spark):
+    reg = R.build([{"name": f"N{i}"} for i in range(12)], exposure="N0", outcome="N1")
+    p = X.plan(reg)
+    assert p.projected > 2**200
+    got = X.sampled(spark, reg, 8, seed=3, edge_statuses=("causal", "non-causal", "unknown"))
+    again = X.sampled(spark, reg, 8, seed=3, edge_statuses=("causal", "non-causal", "unknown"))
+    assert got.exceptAll(again).count() == 0 == got.count()  # no draw of so dense a space is acyclic
+    timed = R.build([{"name": f"N{i}", "timing": i} for i in range(13)])
+    assert X.plan(timed).projected == 3**78 and X.sampled(spark, timed, 8, seed=3).select("model_id").distinct().count() == 8
+    few = R.build([{"name": n, "timing": i} for i, n in enumerate("ABCDEF")])
+    e = X.expand(spark, few, n_models=300, seed=1)
+    assert e.report["generated"] == 300 and e.report["projected"] == 3**15 and e.report["pruned_cycles"] == 0
+    share = {(r["comp_id"], r["status"]): r["count"] for r in e.claims.groupBy("comp_id", "status").count().collect()}
+    assert all(60 < share[c["comp_id"], s] < 140 for c in few.edges for s in ("causal", "unknown", "non-causal"))
+    ids = [r[0] for r in e.claims.select("model_id").distinct().orderBy("model_id").collect()]
+    assert ids == [f"M{i:04d}" for i in range(1, 301)]
+
+
+def test_sampled_models_are_those_of_their_numbers(spark):
+    """A sample of all is all, in the same order and under the same names."""
+    reg = R.build([{"name": n} for n in "AB"])
+    whole = X.exhaustive(spark, reg)
+    assert X.sampled(spark, reg, whole.select("model_id").distinct().count(), seed=2).exceptAll(whole).count() == 0
+
+
+def test_report_counts_what_is_left_out(spark):
+    reg = R.build([{"name": n} for n in "ABC"])
+    e = X.expand(spark, reg, "exhaustive", edge_statuses=("causal", "non-causal"))
+    assert (e.report["projected"], e.report["generated"], e.report["pruned_cycles"], e.report["node_subsets"]) == (64, 25, 39, 1)
+    with pytest.raises(ExpansionError):
+        X.expand(spark, reg, "other")
+
+
+def test_a_seed_takes_one_models_place(spark, f2):
+    reg, claims, _ = f2
+    twice = claims.union(claims.where("model_id = 'M0001'").withColumn("model_id", F.lit("M0099")))
+    seeds = R.claims_frame(spark, [{"model_id": m, "comp_id": c, "status": "causal"} for m in ("M0004", "S1") for c in ("C0004", "C0005", "C0006")][:3])
+    out = X.with_seeds(twice, seeds, reg)
+    ids = sorted(r[0] for r in out.select("model_id").distinct().collect())
+    # one twin is left, and numbers skip the seed's id
+    assert len(ids) == 10 and ids == ["M0002", "M0003", "M0004"] + [f"M{i:04d}" for i in range(5, 12)]
+    assert {r[0] for r in out.where("seeded").select("model_id").distinct().collect()} == {"M0004"}
+    late = R.claims_frame(spark, [{"model_id": "S", "comp_id": "C0001", "status": "present", "timing": 9}, {"model_id": "S", "comp_id": "C0006", "status": "causal"}])
+    with pytest.raises(ExpansionError, match="time"):
+        X.with_seeds(claims, late, reg)
