@@ -116,13 +116,39 @@ def codes(claims: DataFrame) -> DataFrame:
     return claims.select("model_id", "comp_id", F.when(F.col("status").isin("causal", "present"), 1).when(F.col("status") == "non-causal", 2).otherwise(0).alias("code"))
 
 
-def set_status(claims: DataFrame, changes: DataFrame) -> DataFrame:
-    """Claims with those of ``changes`` (model_id, comp_id, status) in place of theirs."""
+def set_status(claims: DataFrame, changes: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Claims with those of ``changes`` (model_id, comp_id, status) in place of theirs; with a registry, changes of unknown models or components or to a status that isn't one raise."""
+    if registry is not None:
+        if lost := changes.join(claims.select("model_id").distinct(), "model_id", "left_anti").first():
+            raise StateError(f"no model {lost['model_id']}")
+        if bad := invalid(changes, registry).where(~F.col("why").startswith("an endpoint")).first():
+            raise StateError(f"{bad['model_id']}, {bad['comp_id']}: {bad['why']} ({bad['status']})")
+        if twice := changes.groupBy("model_id", "comp_id").count().where("count > 1").first():
+            raise StateError(f"{twice['model_id']}, {twice['comp_id']} is changed twice")
     kept = claims.join(changes.select("model_id", "comp_id"), ["model_id", "comp_id"], "left_anti")
     times = claims.select("model_id", "comp_id", "timing")
     return kept.unionByName(changes.join(times, ["model_id", "comp_id"], "left").select("model_id", "comp_id", "status", "timing"))
 
 
+def set_timing(claims: DataFrame, changes: DataFrame, registry: Registry) -> DataFrame:
+    """Claims with the times of ``changes`` (model_id, comp_id, timing) for the nodes that the models hold present."""
+    nodes = [r["comp_id"] for r in registry.nodes]
+    if bad := changes.where(~F.col("comp_id").isin(nodes)).first():
+        raise StateError(f"{bad['comp_id']} is no node, so it has no time")
+    if lost := changes.join(claims, ["model_id", "comp_id"], "left_anti").first():
+        raise StateError(f"{lost['model_id']} claims nothing of {lost['comp_id']}")
+    new = changes.select("model_id", "comp_id", F.col("timing").cast("int").alias("_t"), F.lit(True).alias("_set"))
+    return claims.join(new, ["model_id", "comp_id"], "left").select("model_id", "comp_id", "status", F.when(F.col("_set"), F.col("_t")).otherwise(F.col("timing")).alias("timing"))
+
+
+def create(models: DataFrame, registry: Registry, status: str = "unknown") -> DataFrame:
+    """Claims of ``status`` by each of ``models`` (model_id) on every component; nodes of unknown status are absent, as everywhere."""
+    if status not in DIRECTED:
+        raise StateError(f"{status} is no status of an edge")
+    reg = models.sparkSession.createDataFrame([(r["comp_id"],) for r in registry.rows], "comp_id string")
+    return models.select("model_id").distinct().crossJoin(F.broadcast(reg)).select("model_id", "comp_id", F.lit(status).alias("status"), F.lit(None).cast("int").alias("timing"))  # as small as the registry
+
+
 def unknown(registry: Registry, side: str = "") -> list[Column]:
     """The set of applicable edges without a resolved claim."""
     n = registry.words

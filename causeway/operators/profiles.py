@@ -17,11 +17,11 @@ from causeway.operators import models as M
 from causeway.operators import signatures as S
 from causeway.sources.registry import Registry
 
-RESOLVED = "sig string, mas array<array<string>>, identified boolean, nodes array<string>, reason string"
+RESOLVED = "sig string, mas array<array<string>>, identified boolean, formula string, method string, nodes array<string>, reason string"
 
 
-def _reason(registry: Registry, exposure: str, outcome: str):
-    """A function from a packed model to (mas, identified, nodes, reason)."""
+def _reason(registry: Registry, exposure: str, outcome: str, criterion: str):
+    """A function from a packed model to (mas, identified, formula, method, nodes, reason)."""
     names = [r["source"] for r in registry.nodes]
     node_bit = [registry.ordinal[r["comp_id"]] for r in registry.nodes]
     at = {s: i for i, s in enumerate(names)}
@@ -29,13 +29,14 @@ def _reason(registry: Registry, exposure: str, outcome: str):
     edges = [(registry.ordinal[r["comp_id"]], at[r["source"]], at[r["target"]], r["direction"]) for r in registry.edges]
     hidden = sum(1 << i for i, r in enumerate(registry.nodes) if not r["observed"])
     check = S.Checker(registry)
+    none = (None,) * 5
 
     def profile(present: int, causal: int, timing: list):
         here = sum(1 << i for i, b in enumerate(node_bit) if present >> b & 1)
         if not (here >> x & 1 and here >> y & 1):
-            return None, None, None, "exposure or outcome is absent"
+            return *none, "exposure or outcome is absent"
         if not check.valid(causal, timing):
-            return None, None, None, "the model is not valid"
+            return *none, "the model is not valid"
         g = G.Graph(len(names))
         for b, s, t, arrow in edges:
             if causal >> b & 1:
@@ -43,19 +44,18 @@ def _reason(registry: Registry, exposure: str, outcome: str):
         try:
             seen = G.project(g, hidden & here)
         except ValueError as e:
-            return None, None, None, str(e)
-        sets = G.adjustment_sets(seen, x, y, here & ~hidden)
-        mas = None if sets is None else sorted((sorted(names[i] for i in G.bits_of(z)) for z in sets), key=lambda z: (len(z), z))
-        known = bool(sets) or G.identifiable(seen, 1 << x, 1 << y, here & ~hidden)
+            return *none, str(e)
+        sets = G.adjustment_sets(seen, x, y, here & ~hidden, criterion)
+        mas = sorted((sorted(names[i] for i in G.bits_of(z)) for z in sets), key=lambda z: (len(z), z))
         nodes = sorted(names[i] for i in G.bits_of(here & ~G.between(g, x, y)))
-        return mas, known, nodes, None if sets is not None else "too many candidates for adjustment"
+        return mas, *G.effect(seen, x, y, here & ~hidden, sets if criterion == "back-door" else G.adjustment_sets(seen, x, y, here & ~hidden), names), nodes, None
 
     return profile
 
 
-def of_signatures(models: DataFrame, registry: Registry, exposure: str, outcome: str) -> DataFrame:
+def of_signatures(models: DataFrame, registry: Registry, exposure: str, outcome: str, criterion: str = "back-door") -> DataFrame:
     """One row for each distinct signature of these (resolved) models."""
-    n, profile = registry.words, _reason(registry, exposure, outcome)
+    n, profile = registry.words, _reason(registry, exposure, outcome, criterion)
     one = models.select(M.signature(registry).alias("sig"), *(f"{k}{i}" for k in ("np", "cm") for i in range(n)), "timing").dropDuplicates(["sig"])
 
     def run(batches):
@@ -63,21 +63,22 @@ def of_signatures(models: DataFrame, registry: Registry, exposure: str, outcome:
             cols = b.to_pydict()
             rows = [profile(S.to_int([cols[f"np{i}"][r] for i in range(n)]), S.to_int([cols[f"cm{i}"][r] for i in range(n)]), cols["timing"][r]) for r in range(len(b))]
             text = pa.list_(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(cols["sig"], pa.string()), pa.array([r[0] for r in rows], text), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], ["sig", "mas", "identified", "nodes", "reason"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols["sig"], pa.string()), pa.array([r[0] for r in rows], text), pa.array([r[1] for r in rows], pa.bool_()), *(pa.array([r[i] for r in rows], pa.string()) for i in (2, 3)), pa.array([r[4] for r in rows], pa.list_(pa.string())), pa.array([r[5] for r in rows], pa.string())], ["sig", "mas", "identified", "formula", "method", "nodes", "reason"])
 
     return one.mapInArrow(run, RESOLVED)
 
 
-def build(models: DataFrame, registry: Registry, exposure: str, outcome: str) -> DataFrame:
-    """(model_id, is_resolved, mas, robust_mas, identified, nodes, completion_count, coverage_complete, reason) of every model.
+def build(models: DataFrame, registry: Registry, exposure: str, outcome: str, criterion: str = "back-door") -> DataFrame:
+    """(model_id, is_resolved, mas, robust_mas, identified, formula, method, nodes, completion_count, coverage_complete, reason) of every model.
 
-    A partial model's robust sets are those of all its completions, its nodes those of any, its identification false if one's is.
+    A partial model's robust sets are those of all its completions, its nodes those of any, its identification false if one's is; it has no
+    formula. ``criterion``: of adjustment sets, back-door or total (``graphs.adjustment_sets``).
     """
     if exposure not in registry.node_id or outcome not in registry.node_id or exposure == outcome:
         raise CausalError("exposure and outcome must be two nodes of the registry", "INVALID_CAUSAL_TARGET")
     sig = M.signature(registry)
-    done = S.resolved(models, registry).select("model_id", sig.alias("sig")).join(of_signatures(S.resolved(models, registry), registry, exposure, outcome), "sig", "left")
-    whole = done.select("model_id", F.lit(True).alias("is_resolved"), "mas", F.col("mas").alias("robust_mas"), "identified", "nodes", F.lit(1).cast("bigint").alias("completion_count"), F.col("reason").isNull().alias("coverage_complete"), "reason")
+    done = S.resolved(models, registry).select("model_id", sig.alias("sig")).join(of_signatures(S.resolved(models, registry), registry, exposure, outcome, criterion), "sig", "left")
+    whole = done.select("model_id", F.lit(True).alias("is_resolved"), "mas", F.col("mas").alias("robust_mas"), "identified", "formula", "method", "nodes", F.lit(1).cast("bigint").alias("completion_count"), F.col("reason").isNull().alias("coverage_complete"), "reason")
     partial = models.where(bits.any_set(M.unknown(registry)))
     m = S.matched(partial, registry, models).join(done.select(F.col("model_id").alias("descendant"), "mas", "identified", "nodes"), "descendant", "left")
     each = m.groupBy("model_id").agg(F.count("descendant").alias("n"), F.count("*").alias("expected"), F.count("mas").alias("with_mas"), F.bool_and("identified").alias("all_true"), F.count("identified").alias("with_id"), F.count("nodes").alias("with_nodes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("nodes")))).alias("nodes"))
@@ -89,7 +90,7 @@ def build(models: DataFrame, registry: Registry, exposure: str, outcome: str) ->
     none = F.array().cast("array<array<string>>")
     robust = F.when(covered & (F.coalesce("with_mas", F.lit(0)) == n), F.coalesce(F.transform("r", lambda q: q["z"]), none))
     known = F.when(~F.coalesce("all_true", F.lit(True)), False).when(covered & (n > 0) & (F.col("with_id") == n), True)
-    part = p.select("model_id", F.lit(False).alias("is_resolved"), F.lit(None).cast("array<array<string>>").alias("mas"), robust.alias("robust_mas"), known.alias("identified"), F.when(covered & (n > 0) & (F.col("with_nodes") == n), F.col("nodes")).alias("nodes"), n.alias("completion_count"), covered.alias("coverage_complete"), F.when(~covered, "completions are missing").alias("reason"))
+    part = p.select("model_id", F.lit(False).alias("is_resolved"), F.lit(None).cast("array<array<string>>").alias("mas"), robust.alias("robust_mas"), known.alias("identified"), F.lit(None).cast("string").alias("formula"), F.lit(None).cast("string").alias("method"), F.when(covered & (n > 0) & (F.col("with_nodes") == n), F.col("nodes")).alias("nodes"), n.alias("completion_count"), covered.alias("coverage_complete"), F.when(~covered, "completions are missing").alias("reason"))
     return whole.unionByName(part)
 
 

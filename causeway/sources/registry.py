@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from causeway.errors import RegistryError
 
+#: Columns and directions of the format: fixed values.
 CORE = ["comp_id", "type", "source", "target", "direction", "description", "fixed_status", "observed"]
 SCHEMA = T.StructType([T.StructField(c, T.BooleanType() if c == "observed" else T.StringType()) for c in CORE])
 DIRECTIONS = ("->", "<->")
@@ -177,6 +179,42 @@ def build(nodes: list[dict], respect_timing: bool = True, include_bidirectional:
     return made_registry
 
 
+def interview(ask: Callable[[str], str]) -> tuple[Registry, dict]:
+    """A registry from answers to prompts, and the options for its expansion (times allowed, nodes that must be there).
+
+    ``ask`` gets each prompt and gives the answer, so it may be ``input`` or a table of answers.
+    """
+    said = lambda prompt: (ask(prompt) or "").strip()
+    listed = lambda text: [x.strip() for x in text.split(",") if x.strip()]
+    names = listed(said("Variables, separated by commas: "))
+    exposure, outcome = said("Exposure: "), said("Outcome: ")
+    times = {}
+    for n in names:
+        try:
+            times[n] = sorted({int(x) for x in listed(said(f"Time of {n} (a whole number; for other variables than exposure and outcome up to two): "))})
+        except ValueError:
+            raise RegistryError(f"a time of {n} is no whole number", "INVALID_NODES") from None
+        if not 1 <= len(times[n]) <= (1 if n in (exposure, outcome) else 2):
+            raise RegistryError(f"{n} has {len(times[n])} times", "INVALID_NODES")
+    if sum(len(t) == 2 for t in times.values()) > 2:
+        raise RegistryError("at most two variables may have two times", "INVALID_NODES")
+
+    def pairs(prompt: str) -> list[tuple[str, str]]:
+        text = said(prompt)
+        found = re.findall(r"\(\s*([^,()]+?)\s*,\s*([^,()]+?)\s*\)", text)
+        if re.sub(r"\([^()]*\)|[\s,]", "", text) or any(a == b or not {a, b} <= set(names) for a, b in found):
+            raise RegistryError(f"pairs are written (A,B),(C,D), of two variables each: {text}")
+        return found
+
+    rules = [("Required edges, as (A,B),(B,C), or nothing: ", "->", "require"), ("Forbidden edges, or nothing: ", "->", "forbid"), ("Required hidden common causes, or nothing: ", "<->", "require"), ("Possible hidden common causes, or nothing: ", "<->", "allow")]
+    asked = [{"source": a, "target": b, "direction": arrow, "rule": rule} for prompt, arrow, rule in rules for a, b in pairs(prompt)]
+    optional = listed(said("Variables that may be absent, separated by commas, or nothing: "))
+    if not set(optional) <= set(names) - {exposure, outcome}:
+        raise RegistryError("exposure and outcome can't be absent, nor can what isn't a variable")
+    made = build([{"name": n, "timing": t[0] if len(t) == 1 else None, "timing_options": t} for n, t in times.items()], constraints=asked, exposure=exposure, outcome=outcome)
+    return made, {"timing_options": times, "node_policy": "optional" if optional else "all-present", "required_nodes": [n for n in names if n not in optional]}
+
+
 def claims_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """State records with their types."""
     return spark.createDataFrame([tuple(r.get(c) for c in ("model_id", "comp_id", "status", "timing")) for r in rows], "model_id string, comp_id string, status string, timing int")

@@ -202,3 +202,123 @@ def test_a_seed_takes_one_models_place(spark, f2):
     late = R.claims_frame(spark, [{"model_id": "S", "comp_id": "C0001", "status": "present", "timing": 9}, {"model_id": "S", "comp_id": "C0006", "status": "causal"}])
     with pytest.raises(ExpansionError, match="time"):
         X.with_seeds(claims, late, reg)
+
+
+def test_separators_and_adjustment_by_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(150):
+        n = 6
+        g = G.Graph(n, {(a, b) for a, b in combinations(range(n), 2) if rng.random() < 0.4}, {(a, b) for a, b in combinations(range(n), 2) if rng.random() < 0.1})
+        x, y = 1, 5
+        for criterion in ("back-door", "total"):
+            few = G.adjustment_sets(g, x, y, (1 << n) - 1, criterion)
+            was, G.MOST_CANDIDATES = G.MOST_CANDIDATES, -1
+            try:
+                assert sorted(G.adjustment_sets(g, x, y, (1 << n) - 1, criterion)) == sorted(few)
+            finally:
+                G.MOST_CANDIDATES = was
+    chain = G.Graph(16, {(0, 14), (0, 15), (14, 15), *((i, 14) for i in range(1, 14)), *((i, 15) for i in range(1, 14))})
+    assert G.adjustment_sets(chain, 14, 15, (1 << 16) - 1) == [(1 << 14) - 1]
+    # a node that the effect doesn't run through may be adjusted for though it is below the exposure
+    side = G.Graph(4, {(0, 1), (0, 2), (3, 2), (3, 1)})
+    assert G.adjustment_sets(side, 0, 1, 0b1111) == [0] == G.adjustment_sets(side, 0, 1, 0b1111, "total")
+
+
+def test_identified_effects_are_right_in_numbers():
+    """Formulas evaluated on the observed law of random structural models against the law under intervention."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+
+    def law(g, do=None):
+        """Joint law of binary nodes: every node by its parents and its latent causes."""
+        full = G.with_latents(g)
+        out = {}
+        for v in product((0, 1), repeat=full.n):
+            p = 1.0
+            for i in range(full.n):
+                own = tuple(v[a] for a in G.bits_of(full.parents()[i]))
+                q = tables.setdefault((i, own), rng.uniform(0.1, 0.9))
+                p *= (v[i] == do[i]) if do and i in do else q if v[i] else 1 - q
+            out[v[: g.n]] = out.get(v[: g.n], 0) + p
+        return out
+
+    def value(e, at, joint):
+        if e[0] == "p":
+            pick = lambda nodes: sum(p for v, p in joint.items() if all(v[i] == at[i] for i in G.bits_of(nodes)))
+            return pick(e[1] | e[2]) / (pick(e[2]) if e[2] else 1)
+        if e[0] == "sum":
+            nodes = G.bits_of(e[1])
+            return sum(value(e[2], {**at, **dict(zip(nodes, v, strict=True))}, joint) for v in product((0, 1), repeat=len(nodes)))
+        parts = [value(p, at, joint) for p in e[1:]]
+        return float(np.prod(parts)) if e[0] == "product" else parts[0] / parts[1]
+
+    general = 0
+    graphs = [G.Graph(3, {(0, 1), (1, 2)}, {(0, 2)}), G.Graph(4, {(0, 1), (1, 2), (2, 3)}, {(0, 2), (0, 3), (1, 3)})]
+    while len(graphs) < 40:
+        graphs.append(G.Graph(4, {e for e in combinations(range(4), 2) if rng.random() < 0.6}, {e for e in combinations(range(4), 2) if rng.random() < 0.25}))
+    for g in graphs:
+        tables = {}
+        joint = law(g)
+        y = g.n - 1
+        e = G.identify(g, 1, 1 << y)
+        assert (e is not None) == G.identifiable(g, 1, 1 << y)
+        if e is None:
+            continue
+        general += not G.adjustment_sets(g, 0, y, (1 << g.n) - 1)
+        for a, b in product((0, 1), repeat=2):
+            truth = sum(p for v, p in law(g, {0: a}).items() if v[y] == b)
+            free = {i: 0 for i in range(g.n)}  # what the formula doesn't depend on
+            assert abs(value(e, free | {0: a, y: b}, joint) - truth) < 1e-9
+    assert general >= 2
+    front = G.Graph(3, {(0, 1), (1, 2)}, {(0, 2)})
+    assert G.effect(front, 0, 2, 0b111, [], ["X", "M", "Y"])[1:] == ("P(Y | do(X)) = sum_{M} P(M | X) [sum_{X} P(X) P(Y | X, M)]", "general")
+
+
+def test_formulas_in_profiles(f2):
+    reg, _, m = f2
+    p = {r["model_id"]: r for r in P.build(m, reg, "X", "Y").collect()}
+    assert p["M0001"]["formula"] == "P(Y | do(X)) = sum_{Z} P(Y | X, Z) P(Z)" and p["M0001"]["method"] == "back-door"
+    assert p["M0009"]["formula"] == "P(Y | do(X)) = P(Y | X)" and p["M0002"]["formula"] is None
+
+
+def test_states_are_made_and_changed(spark, f2):
+    reg, claims, _ = f2
+    made = M.create(spark.createDataFrame([("A",), ("B",), ("A",)], "model_id string"), reg)
+    assert made.count() == 12 and M.pack(made, reg).first()["np0"] == 0
+    change = lambda *rows: spark.createDataFrame(rows, "model_id string, comp_id string, status string")
+    for bad in (("M0099", "C0004", "causal"), ("M0001", "C0099", "causal"), ("M0001", "C0004", "present")):
+        with pytest.raises(StateError):
+            M.set_status(claims, change(bad), reg)
+    with pytest.raises(StateError, match="twice"):
+        M.set_status(claims, change(("M0001", "C0004", "causal"), ("M0001", "C0004", "unknown")), reg)
+    timed = M.set_timing(claims, spark.createDataFrame([("M0001", "C0001", 7)], "model_id string, comp_id string, timing int"), reg)
+    assert timed.where("model_id = 'M0001' and comp_id = 'C0001'").first()["timing"] == 7 and timed.count() == claims.count()
+    with pytest.raises(StateError):
+        M.set_timing(claims, spark.createDataFrame([("M0001", "C0004", 7)], "model_id string, comp_id string, timing int"), reg)
+
+
+def test_example_data(spark, tmp_path):
+    from causeway.sources import seed
+
+    reg = seed.registry()
+    assert reg.summary() == {"total": 28, "nodes": 16, "edges": 12, "directed": 8, "bidirected": 4}
+    seed.write(spark, str(tmp_path))
+    assert R.read(spark, str(tmp_path / "registry")).rows == reg.rows
+    claims = spark.read.parquet(str(tmp_path / "claims"))
+    assert claims.count() == 43 and claims.select("model_id").distinct().count() == 7
+    assert M.unpack(M.pack(claims, reg), reg).where("model_id = 'M0005' and status = 'present'").count() == 3
+
+
+def test_interview():
+    answers = {"Variables": "Z, X, Y, W", "Exposure": "X", "Outcome": "Y", "Time of Z": "1", "Time of X": "2", "Time of Y": "4", "Time of W": "1, 3", "Required edges": "(Z,X)", "Possible": "(Z,Y)", "Variables that": "W"}
+    ask = lambda prompt: next((a for k, a in sorted(answers.items(), key=lambda x: -len(x[0])) if prompt.startswith(k)), "")
+    reg, options = R.interview(ask)
+    assert reg.meta["exposure"] == "X" and options["timing_options"]["W"] == [1, 3] and options["required_nodes"] == ["Z", "X", "Y"]
+    assert next(r for r in reg.edges if (r["source"], r["target"]) == ("Z", "X"))["fixed_status"] == "causal"
+    assert X.plan(reg, **options).report["node_subsets"] == 2
+    answers["Time of X"] = "1, 2"
+    with pytest.raises(RegistryError):
+        R.interview(ask)
