@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.errors import ClusterError
-from causeway.functions.durable import durable
+from causeway.functions.durable import durable, number_rows
 
 MOST_EMBEDDED = 5_000
 
@@ -37,38 +40,105 @@ def degeneracy(scores: DataFrame) -> dict:
     return r | {"degenerate": (r["unique_values"] or 0) < 2}
 
 
-def embed(profiles_: DataFrame, dims: int = 2) -> DataFrame:
-    """(model_id, x, y[, z]): principal components of aligned profiles, with fixed signs. In place of UMAP, which needs a library; at most MOST_EMBEDDED models."""
+def embed(profiles_: DataFrame, dims: int = 2, most: int = MOST_EMBEDDED) -> DataFrame:
+    """(model_id, x, y[, z]): principal components of aligned profiles, with fixed signs; in place of UMAP, which needs a library.
+
+    Up to ``most`` models are taken apart by one task; more by subspace iteration over all tasks, to the same components.
+    """
     n = profiles_.count()
-    if n > MOST_EMBEDDED:
-        raise ClusterError(f"{n} models; at most {MOST_EMBEDDED} are embedded")
     names = ["x", "y", "z"][:dims]
+    schema = "model_id string, " + ", ".join(f"{c} double" for c in names)
+    if n > most:
+        return _embed_by_rounds(profiles_, n, names, schema)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("model_id")
-        p = np.array(t.column("profile").to_pylist(), float)
+        p = t.column("profile").combine_chunks().flatten().to_numpy().reshape(len(t), -1).copy()
         p -= p.mean(axis=0)
         out = np.zeros((len(p), dims))
         if len(p) > 1:
             u, s, v = np.linalg.svd(p, full_matrices=False)
             k = min(dims, len(s))
-            sign = np.sign(v[np.arange(k), np.abs(v[:k]).argmax(axis=1)])
-            out[:, :k] = (u[:, :k] * s[:k]) * sign
+            out[:, :k] = (u[:, :k] * s[:k]) * _signs(v[:k])
         return pa.table([t.column("model_id"), *(pa.array(out[:, i]) for i in range(dims))], ["model_id", *names])
 
-    return profiles_.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, "model_id string, " + ", ".join(f"{c} double" for c in names))
+    return profiles_.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, schema)
+
+
+def _signs(v: np.ndarray) -> np.ndarray:
+    """The sign of each row's largest entry."""
+    return np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])
+
+
+def _embed_by_rounds(profiles_: DataFrame, n: int, names: list[str], schema: str, rounds: int = 200) -> DataFrame:
+    """The driver holds a few numbers a model (the directions); a model's profile has as many itself."""
+    profiles_ = durable(profiles_)
+    k = min(len(names) + 4, n)
+
+    def matrix(x: pa.RecordBatch) -> np.ndarray:
+        return x.column(1).flatten().to_numpy().reshape(len(x), -1)
+
+    def summed(fn, width: int) -> np.ndarray:
+        """Sums over all profiles of fn(profiles) (places by ``width``), added up by place."""
+
+        def run(batches):
+            total = np.zeros((n, width))
+            for x in batches:
+                total += fn(matrix(x))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *(pa.array(total[:, i]) for i in range(width))], ["at", *(f"c{i}" for i in range(width))])
+
+        cols = [f"c{i}" for i in range(width)]
+        rows = profiles_.select("model_id", "profile").mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in cols)).groupBy("at").agg(*(F.sum(c).alias(c) for c in cols)).orderBy("at").toArrow()
+        return np.stack([rows[c].to_numpy() for c in cols], axis=1)
+
+    mean = summed(lambda p: p.sum(axis=0)[:, None], 1)[:, 0] / n
+    v, last = np.linalg.qr(np.random.default_rng(0).normal(size=(n, k)))[0], None
+    for _ in range(rounds):
+        v = np.linalg.qr(summed(lambda p, v=v: (q := p - mean).T @ (q @ v), k))[0]
+        size = np.linalg.norm(v[:, : len(names)] if last is None else v[:, : len(names)] - last @ (last.T @ v[:, : len(names)]))
+        if last is not None and size < 1e-9:
+            break
+        last = v
+    gram = np.linalg.eigh(summed(lambda p: (q := p - mean).T @ (q @ v), k).T @ v)  # in the directions found
+    turn = (v @ gram[1][:, ::-1])[:, : len(names)]
+    turn *= _signs(turn.T)
+
+    def run(batches):
+        for x in batches:
+            y = (matrix(x) - mean) @ turn
+            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(y[:, i]) for i in range(len(names)))], ["model_id", *names])
+
+    return profiles_.select("model_id", "profile").mapInArrow(run, schema)
 
 
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, columns: list[str] | None = None) -> DataFrame:
-    """(model_id, cluster): clusters from 0 in the order of their first core model; null is noise. A border model goes to the first of its clusters."""
+    """(model_id, cluster): clusters from 0 in the order of their first core model; null is noise. A border model goes to the first of its clusters.
+
+    Models meet only those in cells of a grid (side eps / sqrt(dimensions)) that may hold a near one, and near pairs are summed
+    up as they are found: a core model keeps one link to each cell around.
+    """
     if eps <= 0 or min_samples < 2:
         raise ClusterError("eps must be positive and min_samples two at least", "INVALID_EPS")
     cols = columns or [c for c in points.columns if c != "model_id"]
-    a, b = (points.select(F.col("model_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols)) for s in ("u", "v"))
-    d2 = sum(((F.col(f"u_{c}") - F.col(f"v_{c}")) ** 2 for c in cols[1:]), (F.col(f"u_{cols[0]}") - F.col(f"v_{cols[0]}")) ** 2)
-    near = durable(a.crossJoin(b).where(d2 <= eps * eps).select("u", "v"))
-    core = near.groupBy("u").count().where(F.col("count") >= min_samples).select("u")
-    edges = durable(near.join(core, "u", "left_semi").join(core.withColumnRenamed("u", "v"), "v", "left_semi").select("u", "v"))
+    d, side = len(cols), eps / len(cols) ** 0.5
+    cells = [f"cell{i}" for i in range(d)]
+    at = durable(points.select("model_id", *cols, *(F.floor(F.col(c) / side).alias(k) for c, k in zip(cols, cells, strict=True))))
+    reach = int(d**0.5 - 1e-9) + 1  # cells from one to another that may be near
+    steps = [o for o in product(range(-reach, reach + 1), repeat=d) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= d]
+    around = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(k) for x, k in zip(o, cells, strict=True))) for o in steps))).alias("step")
+
+    def near(us: DataFrame, vs: DataFrame) -> DataFrame:
+        """Pairs (u, v) at most eps apart, with v's cell."""
+        a = us.select(F.col("model_id").alias("u"), *(F.col(c).alias(f"u_{c}") for c in cols), *cells, around)
+        a = a.select("u", *(f"u_{c}" for c in cols), *((F.col(k) + F.col(f"step.{k}")).alias(k) for k in cells))
+        b = vs.select(F.col("model_id").alias("v"), *(F.col(c).alias(f"v_{c}") for c in cols), *cells)
+        d2 = reduce(lambda x, y: x + y, ((F.col(f"u_{c}") - F.col(f"v_{c}")) ** 2 for c in cols))
+        return a.join(b, cells).where(d2 <= eps * eps).select("u", "v", *cells)
+
+    core = durable(near(at, at).groupBy("u").count().where(F.col("count") >= min_samples).select(F.col("u").alias("model_id")))
+    cores, others = durable(at.join(core, "model_id", "left_semi")), at.join(core, "model_id", "left_anti")
+    one = near(cores, cores).groupBy("u", *cells).agg(F.min("v").alias("v")).select("u", "v")
+    edges = durable(one.union(one.select("v", "u")).distinct())
     label = edges.groupBy("u").agg(F.min("v").alias("l"))
     while True:
         label = durable(label)
@@ -77,22 +147,36 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, columns: l
         if not new.join(label, ["u", "l"], "left_anti").limit(1).count():
             break
         label = new
-    number = label.select("l").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("l")) - 1).cast("int"))
-    own = label.join(number, "l").select(F.col("u").alias("v"), "cluster")
-    every = near.join(own, "v").groupBy(F.col("u").alias("model_id")).agg(F.min("cluster").alias("cluster"))
-    kept = own.withColumnsRenamed({"v": "model_id", "cluster": "core"})
-    return points.select("model_id").join(every, "model_id", "left").join(kept, "model_id", "left").select("model_id", F.coalesce("core", "cluster").alias("cluster"))
+    number = number_rows(label.select("l").distinct(), "l").select("l", (F.col("n") - 1).cast("int").alias("cluster"))
+    own = label.join(number, "l").select(F.col("u").alias("model_id"), "cluster")
+    border = near(others, cores).join(own.withColumnRenamed("model_id", "v"), "v").groupBy(F.col("u").alias("model_id")).agg(F.min("cluster").alias("cluster"))
+    return points.select("model_id").join(own.union(border), "model_id", "left")
 
 
 def named(assignments: DataFrame) -> DataFrame:
     return assignments.withColumn("cluster_id", F.when(F.col("cluster").isNotNull(), F.format_string("Cluster_%02d", F.col("cluster") + 1)))
 
 
-def summaries(scores: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Per cluster: models and the mean of their ordered pairs (0 for one model)."""
+def centralities(scores: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(cluster_id, model_id, total, pairs): each clustered model's scores with the others of its cluster, in both directions, summed in one pass over the pairs."""
     a = assignments.where("cluster_id is not null").select("model_id", "cluster_id")
-    inner = scores.join(a.toDF("ego_id", "cluster_id"), "ego_id").join(a.toDF("alter_id", "c2"), "alter_id").where("cluster_id = c2").groupBy("cluster_id").agg(F.avg("score").alias("s"))
-    return a.groupBy("cluster_id").agg(F.count("*").alias("model_count")).join(inner, "cluster_id", "left").select("cluster_id", "model_count", F.coalesce("s", F.lit(0.0)).alias("internal_compatibility"))
+    inner = scores.join(a.toDF("ego_id", "cluster_id"), "ego_id").join(a.toDF("alter_id", "c2"), "alter_id").where("cluster_id = c2")
+    both = inner.select("cluster_id", F.explode(F.array("ego_id", "alter_id")).alias("model_id"), "score").groupBy("cluster_id", "model_id").agg(F.sum("score").alias("total"), F.count("*").alias("pairs"))
+    return a.join(both, ["cluster_id", "model_id"], "left").select("cluster_id", "model_id", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
+def _of_clusters(central: DataFrame) -> DataFrame:
+    return central.groupBy("cluster_id").agg(F.count("*").alias("model_count"), F.coalesce(F.try_divide(F.sum("total"), F.sum("pairs")), F.lit(0.0)).alias("internal_compatibility"))
+
+
+def summaries(scores: DataFrame, assignments: DataFrame, embedding: DataFrame | None = None) -> DataFrame:
+    """Per cluster: models, the mean of their ordered pairs (0 for one model), and with the embedding their centroid."""
+    out = _of_clusters(centralities(scores, assignments))
+    if embedding is None:
+        return out
+    axes = [c for c in embedding.columns if c != "model_id"]
+    mid = assignments.where("cluster_id is not null").join(embedding, "model_id").groupBy("cluster_id").agg(F.array(*(F.round(F.avg(c), 6) for c in axes)).alias("centroid"))
+    return out.join(mid, "cluster_id", "left")
 
 
 def detect(scores: DataFrame, eps: float = 0.5, min_samples: int = 5, dims: int = 2) -> DataFrame | None:
@@ -105,22 +189,24 @@ def detect(scores: DataFrame, eps: float = 0.5, min_samples: int = 5, dims: int
 
 def contrast(scores: DataFrame, assignments: DataFrame, prior: str, internal: float = 0.6, far: float = 0.4) -> DataFrame:
     """Per cluster: coherence, compatibility with the prior model (its own membership aside), label, and up to three representatives."""
-    s = summaries(scores, assignments)
+    central = durable(centralities(scores, assignments))  # a row a model
+    s = _of_clusters(central)
     a = assignments.where("cluster_id is not null").select("model_id", "cluster_id")
     touch = scores.where(F.col("ego_id") == prior).select(F.col("alter_id").alias("model_id"), "score").union(scores.where(F.col("alter_id") == prior).select("ego_id", "score"))
     p = touch.join(a, "model_id").groupBy("cluster_id").agg(F.avg("score").alias("p"))
     prior_score = F.coalesce("p", F.lit(0.0))
     label = F.when(F.col("internal_compatibility") < internal, "fragmented").when(prior_score < far, "ghost").otherwise("mainstream")
-    top = representatives(scores, assignments).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "model_id"))), lambda x: x["model_id"]).alias("representative_models"))
+    top = _most_central(central, 3).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "model_id"))), lambda x: x["model_id"]).alias("representative_models"))
     return s.join(p, "cluster_id", "left").join(top, "cluster_id").select("cluster_id", "model_count", "internal_compatibility", prior_score.alias("prior_compatibility"), (1 - prior_score).alias("prior_distance"), label.alias("label"), "representative_models")
 
 
 def representatives(scores: DataFrame, assignments: DataFrame, top: int = 3) -> DataFrame:
     """The models most compatible with their cluster; of a small cluster all, by id."""
-    a = assignments.where("cluster_id is not null").select("model_id", "cluster_id")
-    inner = scores.join(a.toDF("ego_id", "cluster_id"), "ego_id").join(a.toDF("alter_id", "c2"), "alter_id").where("cluster_id = c2")
-    both = inner.select("cluster_id", F.col("ego_id").alias("model_id"), "score").union(inner.select("cluster_id", "alter_id", "score"))
-    mean = a.join(both.groupBy("cluster_id", "model_id").agg(F.avg("score").alias("centrality")), ["cluster_id", "model_id"], "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
+    return _most_central(centralities(scores, assignments), top)
+
+
+def _most_central(central: DataFrame, top: int) -> DataFrame:
+    mean = central.select("cluster_id", "model_id", F.coalesce(F.try_divide("total", "pairs"), F.lit(0.0)).alias("centrality"))
     w = Window.partitionBy("cluster_id")
     small = F.count("*").over(w) <= top
     place = F.row_number().over(w.orderBy(F.desc(F.when(F.col("_small"), 0.0).otherwise(F.col("centrality"))), "model_id"))

@@ -24,6 +24,8 @@ from causeway.sources.registry import Registry
 STATUSES = ("causal", "non-causal")
 LEAST = 1e-12
 THRESHOLD = 0.1
+#: Models that one task compares the changed ones of a move with.
+BLOCK = 4096
 
 
 def _similarity(registry: Registry) -> Callable[[str, str], Column]:
@@ -65,6 +67,10 @@ class Crux:
             raise CruxError(f"the metric is null for {base['z']} pairs", "DELTA_U_ERROR")
         self.baseline = base["m"]
 
+    def close(self) -> None:
+        """Gives the kept models free."""
+        self.models.unpersist()
+
     def uncertain(self) -> list[str]:
         return [r[0] for r in M.unknown_edges(self.models, self.registry).select("comp_id").distinct().orderBy("comp_id").collect()]
 
@@ -109,7 +115,11 @@ class Crux:
         goes = found.select("move", F.col("model_id").alias("a_model_id"), "source_id")
         alters = F.broadcast(found.select("move").distinct()).crossJoin(side("a_")) if self.n else side("a_").withColumn("move", F.lit(""))
         alters = alters.join(goes, ["move", "a_model_id"], "left").withColumn("pa_model_id", F.coalesce("source_id", "a_model_id")).join(side("pa_"), "pa_model_id")
-        p = e.join(alters, "move").where("e_model_id <> a_model_id")
+        # a move's pairs are dealt to as many tasks as blocks of models
+        blocks = max(1, -(-self.n // BLOCK))
+        alters = alters.withColumn("_block", F.pmod(F.xxhash64("a_model_id"), F.lit(blocks)))
+        e = e.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        p = e.join(alters, ["move", "_block"]).where("e_model_id <> a_model_id")
         change = self.metric("pe_", "pa_") - self.metric("e_", "a_")
         weight = F.when(F.col("source_id").isNull(), 2).otherwise(1)
         sums = p.select("move", change.alias("c"), weight.alias("w")).groupBy("move").agg(F.sum(F.col("c") * F.col("w")).alias("total"), F.coalesce(F.sum(F.when(F.col("c") > LEAST, F.col("w"))), F.lit(0)).alias("dyads_improved"), F.coalesce(F.sum(F.when(F.col("c") < -LEAST, F.col("w"))), F.lit(0)).alias("dyads_worsened"), F.count_if(F.col("c").isNull()).alias("nulls"))
@@ -157,6 +167,8 @@ class Crux:
     def resolved_pairs(self, component: str, status: str) -> DataFrame:
         """The metric of every pair after settling one edge."""
         goes = self.mapping([("m", {component: status})]).select("model_id", "source_id")
+        if bad := goes.where("source_id is null").first():
+            raise CruxError(f"{bad['model_id']} with {component} {status} is none of the models")
         own = self.models.columns
         src = self.models.join(goes, "model_id", "left").select(F.col("model_id").alias("id"), F.coalesce("source_id", "model_id").alias("model_id")).join(self.models, "model_id")
         e, a = (src.select(F.col("id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in own)) for p in ("e_", "a_"))

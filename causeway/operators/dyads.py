@@ -81,11 +81,13 @@ def compare(pairs_: DataFrame, registry: Registry, rounded: bool = True) -> Data
     """The full structural record of each pair. The models need the column ``backward`` (see ``timed``)."""
     c = counters(registry)
     rate = similarity(F.col("shared"), F.col("union_claims"))
-    conflicts = F.concat(bits.members(edge_conflicts(registry), _names(registry.edges, registry)), bits.members(bits.each(lambda x, y: x.bitwiseXOR(y), *_both(registry)["np"]), _names(registry.nodes, registry)))
-    apart = bits.each(lambda x, y: F.bitwise_not(x.bitwiseAND(y)), *_both(registry)["app"])
+    # names are made only for pairs that have any
+    some = lambda n, names: F.when(n > 0, names).otherwise(F.array().cast("array<string>"))
+    conflicts = some(c["edge_conflicts"] + c["node_conflicts"], F.concat(bits.members(edge_conflicts(registry), _names(registry.edges, registry)), bits.members(bits.each(lambda x, y: x.bitwiseXOR(y), *_both(registry)["np"]), _names(registry.nodes, registry))))
+    apart = some(c["inapplicable_components"], bits.members(bits.each(lambda x, y: F.bitwise_not(x.bitwiseAND(y)), *_both(registry)["app"]), _names(registry.edges, registry)))
     out = pairs_.select(
         F.col("e_model_id").alias("ego_id"), F.col("a_model_id").alias("alter_id"), *(v.cast("bigint").alias(k) for k, v in c.items() if k != "compared"),
-        timing_compatible(registry).alias("timing_compatible"), conflicts.alias("conflicting_components"), bits.members(apart, _names(registry.edges, registry)).alias("excluded_components"),
+        timing_compatible(registry).alias("timing_compatible"), conflicts.alias("conflicting_components"), apart.alias("excluded_components"),
     )
     return out.select(
         F.concat_ws("__", "ego_id", "alter_id").alias("dyad_id"), "ego_id", "alter_id", (F.bround(rate, 6) if rounded else rate).alias("similarity_rate"), "timing_compatible",
@@ -133,5 +135,7 @@ def two_stage(models: DataFrame, registry: Registry, top_k: int = 100) -> DataFr
     m = timed(models, registry)
     rate = similarity(F.col("shared"), F.col("union_claims"))
     top = counts(pairs(m, registry), registry).orderBy(rate.desc(), "ego_id", "alter_id").limit(top_k).select("ego_id", "alter_id")
-    p = pairs(m, registry)
-    return compare(p.join(F.broadcast(top), (p["e_model_id"] == top["ego_id"]) & (p["a_model_id"] == top["alter_id"])), registry)  # top_k rows are broadcast
+    top = F.broadcast(top)  # top_k rows
+    side = lambda p: m.select(*(F.col(c).alias(f"{p}{c}") for c in m.columns))
+    e = side("e_").join(top, F.col("e_model_id") == F.col("ego_id"))
+    return compare(side("a_").join(F.broadcast(e), F.col("a_model_id") == F.col("alter_id")).drop("ego_id", "alter_id"), registry)

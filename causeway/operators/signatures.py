@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from causeway.errors import StateError
 from causeway.functions import bits
+from causeway.functions.durable import number_rows
 from causeway.functions.graphs import Graph, bits_of
 from causeway.operators import models as M
 from causeway.sources.registry import Registry
@@ -96,7 +97,6 @@ def support(models: DataFrame, registry: Registry) -> DataFrame:
     sig = M.signature(registry)
     have = resolved(models, registry).select(sig.alias("sig"))
     c = completions(models, registry).drop("model_id").withColumn("sig", sig).dropDuplicates(["sig"])
-    missing = c.join(have, "sig", "left_anti").orderBy("sig")
+    missing = c.join(have, "sig", "left_anti")
     names = [f"{k}{i}" for k in ("np", "app", "cm", "xm") for i in range(registry.words)]
-    schema = missing.select(F.lit("").alias("model_id"), *names, "timing").schema
-    return missing.rdd.zipWithIndex().map(lambda p: (f"__support_{p[1] + 1:06d}", *(p[0][f.name] for f in schema.fields[1:]))).toDF(schema)
+    return number_rows(missing, "sig").select(F.format_string("__support_%06d", "n").alias("model_id"), *names, "timing")
