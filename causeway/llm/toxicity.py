@@ -280,18 +280,54 @@ def count_characters(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def restored(x: Lexed, channel: Channel) -> tuple[dict[int, list[bytes]], list[tuple[int, list[bytes]]]]:
+def undoubled(word: bytes) -> bytes:
+    """The word with each run of one byte as one."""
+    return bytes(c for i, c in enumerate(word) if not i or word[i - 1] != c)
+
+
+class Undoubled:
+    """Which words with doubled letters may restore to one of some features: without doubling they begin with one, or are one, without doubling."""
+
+    def __init__(self, words: list[bytes]):
+        self.by_length: dict[int, list[bytes]] = {}
+        for w in words:
+            stem = w[-1:] == b"*"
+            own = undoubled(w[:-1] if stem else w)
+            self.by_length.setdefault(len(own) if stem else 0, []).append(own)
+        for n, own in self.by_length.items():
+            d, o = B.flat(pa.array(own, pa.large_binary()))
+            self.by_length[n] = np.unique(B.hashes(d, o[:-1], o[1:]))
+
+    def __call__(self, x: Lexed) -> np.ndarray:
+        own = np.flatnonzero(x.twice)
+        d, o = B.gather(x.d, x.first[own], (x.last - x.first)[own])
+        new = np.ones(len(d), bool)
+        new[1:] = d[1:] != d[:-1]
+        new[o[:-1]] = True
+        d, o = d[new], np.concatenate([[0], np.cumsum(new)])[o]
+        hit = np.zeros(len(own), bool)
+        for n, hashes in self.by_length.items():
+            fits = np.flatnonzero(np.diff(o) >= n)
+            h = B.hashes(d, o[:-1][fits], o[:-1][fits] + n if n else o[1:][fits])
+            hit[fits] |= hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+        out = np.zeros(len(x.first), bool)
+        out[own[hit]] = True
+        return out
+
+
+def restored(x: Lexed, channel: Channel, twice: np.ndarray | None = None) -> tuple[dict[int, list[bytes]], list[tuple[int, list[bytes]]]]:
     """Restored words of each distinct word that may be written in disguise, and of each spaced run with its text.
 
     Odd words are read as what they restore to. Words with letters doubled, and words with a symbol at their edge, may be just
-    what they look like: what they restore to (if it is something else) is read beside them.
+    what they look like: what they restore to (if it is something else) is read beside them, for doubled letters if nothing but
+    these is left out. ``twice``: the words with doubled letters to try, if not all.
     """
     of: dict[int, list[bytes]] = {}
-    for pick, spell in ((x.odd, x.core), (x.twice, x.core), (x.edged, x.with_edges)):
+    for kind, pick, spell in (("odd", x.odd, x.core), ("twice", x.twice if twice is None else twice, x.core), ("edged", x.edged, x.with_edges)):
         own = np.flatnonzero(pick).tolist()
         written = [spell(i) for i in own]
         for i, w, said in zip(own, written, channel.restore(written), strict=True):
-            if said != [w]:
+            if said != [w] and (kind != "twice" or len(said) == 1 and undoubled(said[0]) == undoubled(w)):
                 of.setdefault(i, []).extend(r for r in said if r not in of[i])
     runs = list(x.spaced())
     apart = channel.restore([b" ".join(x.data[s:e].tobytes() for s, e in zip(x.starts[a:z].tolist(), x.ends[a:z].tolist(), strict=True)) for _, a, z in runs])
@@ -334,8 +370,9 @@ class Scorer:
                 d, o = B.flat(own)
                 if len(own):
                     self._hashes[n] = np.sort(B.hashes(d, o[:-1], o[1:]))
+            self._doubled = Undoubled(self.words)
         x = Lexed(data, offsets)
-        odd, apart = restored(x, self._channel)
+        odd, apart = restored(x, self._channel, self._doubled(x))
         by_word: dict[int, list[tuple[int, int]]] = {}
         for n, hashes in self._hashes.items():
             own = x.prefixes(n) if n else np.flatnonzero(x.plain)
@@ -491,7 +528,7 @@ def reject(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
 
 
 def deobfuscate(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``restored``: the text, lower-cased, with disguised words as restored."""
+    """``docs`` with the column ``restored``: the text, lower-cased, with disguised words as restored. A column of this name gives way."""
     from pyspark.sql.types import StringType, StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -502,7 +539,7 @@ def deobfuscate(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataF
         for part in _parts(batches, place):
             x = Lexed(*B.flat(part.column(place)))
             pick = np.flatnonzero(x.odd | x.twice).tolist()
-            odd = dict(zip(pick, channel.restore([x.core(i) for i in pick]), strict=True))
+            odd = {i: w for i, w in zip(pick, channel.restore([x.core(i) for i in pick]), strict=True) if x.odd[i] or len(w) == 1 and undoubled(w[0]) == undoubled(x.core(i))}
             apart = {a: z for _, a, z in x.spaced()}
             out = []
             for t in range(len(part)):
@@ -515,6 +552,7 @@ def deobfuscate(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataF
                     said += odd.get(int(x.codes[i])) or [x.data[x.starts[i] : x.ends[i]].tobytes()]
                     i += 1
                 out.append(b" ".join(said).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "restored"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(out, pa.string())], [*others, "restored"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("restored", StringType())]))
+    others = [c for c in docs.columns if c != "restored" or c == text]
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in others), StructField("restored", StringType())]))

@@ -128,3 +128,17 @@ def test_scores_as_brute_force(spark):
                 held |= best(said.decode())
         want = 1 - np.exp(-(bias + sum(named[x] for x in held)))
         assert got[i] == (pytest.approx(want), int(want >= 0.5)), t
+
+
+def test_doubled_words_that_are_tried_are_those_that_matter():
+    lm = model(["idiot", "trash", "moron", "the", "stupid", "loser", "clown", "needle"] * 20)
+    words = [b"idiot", b"loser*", b"needle", b"cl*"]
+    texts = pa.array(["iiddiioott llooserss neeedle needdle clloown", "idioot stuupid boott idiots needle", "sshe clloww ccl", ""])
+    x = toxicity.Lexed(*B.flat(texts))
+    channel = toxicity.Channel(lm)
+    scorer = toxicity.Scorer(lm, words, np.ones(4), 0.1)
+    some, _ = toxicity.restored(x, channel, toxicity.Undoubled(words)(x))
+    every, _ = toxicity.restored(x, channel)
+    scorer.found(*B.flat(texts))
+    known = lambda of: {(i, f) for i, ws in of.items() for w in ws for f in scorer._all(w)}
+    assert known(some) == known(every) and known(some)
