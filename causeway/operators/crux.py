@@ -166,9 +166,13 @@ class Crux:
 
     def resolved_pairs(self, component: str, status: str) -> DataFrame:
         """The metric of every pair after settling one edge."""
-        goes = self.mapping([("m", {component: status})]).select("model_id", "source_id")
+        return self.settled_pairs({component: status})
+
+    def settled_pairs(self, move: dict[str, str]) -> DataFrame:
+        """The metric of every pair after a move."""
+        goes = self.mapping([("m", move)]).select("model_id", "source_id")
         if bad := goes.where("source_id is null").first():
-            raise CruxError(f"{bad['model_id']} with {component} {status} is none of the models")
+            raise CruxError(f"{bad['model_id']}, settled, is none of the models")
         own = self.models.columns
         src = self.models.join(goes, "model_id", "left").select(F.col("model_id").alias("id"), F.coalesce("source_id", "model_id").alias("model_id")).join(self.models, "model_id")
         e, a = (src.select(F.col("id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in own)) for p in ("e_", "a_"))

@@ -94,6 +94,23 @@ def build(models: DataFrame, registry: Registry, exposure: str, outcome: str, cr
     return whole.unionByName(part)
 
 
+def cyclic(models: DataFrame, registry: Registry) -> DataFrame:
+    """(model_id) of packed models whose causal directed edges run in a circle."""
+    check, n = S.Checker(registry), registry.words
+
+    def run(batches):
+        for x in batches:
+            cols = x.to_pydict()
+            bad = []
+            for r, name in enumerate(cols["model_id"]):
+                causal = S.to_int([cols[f"cm{i}"][r] for i in range(n)])
+                if not G.Graph(check.n, {(s, t) for b, s, t in check.directed if causal >> b & 1}).acyclic():
+                    bad.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["model_id"])
+
+    return models.select("model_id", *(f"cm{i}" for i in range(n))).mapInArrow(run, "model_id string")
+
+
 def mas_compatible(a: Column, b: Column) -> Column:
     """Null if either is; false if either has no set; else whether they share one."""
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when((F.size(a) == 0) | (F.size(b) == 0), False).otherwise(F.arrays_overlap(a, b))

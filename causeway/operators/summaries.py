@@ -77,7 +77,7 @@ def shift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def shift_summary(shift_: DataFrame) -> DataFrame:
-    return shift_.agg(F.avg("change").alias("mean_change"), F.count_if("change > 0").alias("improved"), F.count_if("change < 0").alias("worsened"), F.count_if("change = 0").alias("unchanged"))
+    return shift_.agg(F.avg("change").alias("mean_change"), F.count_if(F.col("change") > 0).alias("improved"), F.count_if(F.col("change") < 0).alias("worsened"), F.count_if(F.col("change") == 0).alias("unchanged"))
 
 
 #: Kinds of clusters in the order of a heatmap.
