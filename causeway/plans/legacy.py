@@ -6,12 +6,17 @@ Nodes are named Y (type otc), Xtest (test) and X1, X2, .. by time (ctr). Edges a
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.errors import EngineError
 from causeway.functions import graphs as G
+from causeway.functions.durable import durable, number_rows
+
+#: Optional edges whose every choice is listed.
+MOST_OPTIONAL = 40
 
 
 def roles(nodes: list[str], timing: list[int], types: list[str]) -> list[dict]:
@@ -67,6 +72,8 @@ def build_causal_node(spark: SparkSession, nodes: list[str], timing: list[int],
     row = lambda e: F.struct(F.lit(e[0]).alias("from"), F.lit(e[1]).alias("to"), F.lit(e[2]).alias("direction"))
     picked = F.array_compact(F.array(*(F.when(F.call_function("getbit", "id", F.lit(i)) == 1, row(e)) for i, e in enumerate(may)), *(row(e) for e in must)))
     pure = F.filter(picked, lambda e: (e["from"] != e["to"]) | ~F.exists(picked, lambda o: (o["from"] != o["to"]) & ((o["from"] == e["from"]) | (o["to"] == e["from"]))))
+    if len(may) > MOST_OPTIONAL:
+        raise EngineError(f"{len(may)} edges are optional; at most {MOST_OPTIONAL} can be listed in full")
     space = spark.range(0, 1 << len(may), 1, max(1, min(200, (1 << len(may)) >> 14)))
     first = space.select("id", F.array_sort(pure).alias("edges")).groupBy("edges").agg(F.min("id").alias("id"), F.lit(0).alias("user_mod"))
     if user_models:
@@ -74,7 +81,7 @@ def build_causal_node(spark: SparkSession, nodes: list[str], timing: list[int],
         own = spark.createDataFrame([(k, name[a], name[b], d) for k, a, b, d in parse(user_models)], "k int, from string, to string, direction string")
         own = own.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("from", "to", "direction"))).alias("edges")).groupBy("edges").agg(F.min("k").alias("k"))
         first = first.join(own, "edges", "full").select("edges", F.coalesce("id", F.lit(1 << 62) + F.col("k")).alias("id"), F.col("k").isNotNull().cast("int").alias("user_mod"))
-    numbered = first.withColumn("model", F.dense_rank().over(Window.orderBy("id")))  # ids are one number a hypothesis
+    numbered = number_rows(first, "id", name="model").withColumn("model", F.col("model").cast("int"))  # ids are one number a hypothesis
     e = numbered.select("model", "user_mod", F.explode("edges").alias("e")).select("model", "e.*", "user_mod")
     return e.withColumn("component", F.when(F.col("from") == F.col("to"), F.col("from")).otherwise(F.concat_ws("_", "from", "to")))
 
@@ -121,21 +128,34 @@ def adjustment(edges: DataFrame, names: list[str], effect: str = "direct") -> Da
     return edges.select("model", "from", "to", "direction").groupBy("model").applyInArrow(run, "model int, mas array<array<string>>")
 
 
-def build_formula_matrix(edges: DataFrame, names: list[str], effect: str = "direct") -> DataFrame:
-    """(model, formula, mas, correct_test): whether what causes Y beside the test is a valid set."""
-    own = edges.where("to = 'Y' and from not in ('Xtest', 'Y') and direction = '->'").groupBy("model").agg(F.array_sort(F.collect_list("from")).alias("own"))
-    m = formulas(edges).join(adjustment(edges, names, effect), "model").join(own, "model", "left")
-    covers = F.exists("mas", lambda z: F.size(F.array_except(z, F.coalesce("own", F.array().cast("array<string>")))) == 0)
-    return m.select("model", "formula", "mas", F.when(F.coalesce(covers, F.lit(False)), "yes").otherwise("no").alias("correct_test"))
+def _pure(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("from") != F.col("to"))
+
+
+def build_formula_matrix(edges: DataFrame, names: list[str], effect: str = "direct", late: list[str] = ()) -> DataFrame:
+    """(model, formula, mas, correct_test, unq_nodes): a test is not correct if a node of ``late`` (those not before Y) is a collider between test and outcome."""
+    arrows = _pure(edges).where("direction = '->'").where(F.col("to").isin(*late)) if late else edges.limit(0)
+    hit = arrows.where(F.col("from").isin("Xtest", "Y")).groupBy("model", "to").agg(F.count_distinct("from").alias("k")).where("k = 2").select("model").distinct().withColumn("_no", F.lit(True))
+    nodes = _pure(edges).groupBy("model").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("from"), F.collect_set("to"))), "_").alias("unq_nodes"))
+    m = formulas(edges).join(adjustment(edges, names, effect), "model").join(hit, "model", "left").join(nodes, "model", "left")
+    return m.select("model", "formula", "mas", F.when(F.col("_no"), "no").otherwise("yes").alias("correct_test"), "unq_nodes")
+
+
+def _sets(mas: Column) -> Column:
+    """Adjustment sets to compare by: those with nodes, or that there is none."""
+    own = F.transform(F.filter(mas, lambda z: F.size(z) > 0), lambda z: F.concat_ws(",", z))
+    return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("none")))
 
 
 def add_compatible(matrix: DataFrame, reference: int = 1) -> DataFrame:
-    """Each hypothesis's agreement with the reference: whether they share an adjustment set, and whether they test correctly too."""
-    ref = matrix.where(F.col("model") == reference).select(F.col("mas").alias("ref_mas"), F.col("correct_test").alias("ref_test"))
-    share: Column = F.coalesce(F.arrays_overlap("mas", "ref_mas"), F.lit(False))
-    test = F.when(F.col("model") == reference, "reference model").when(share, "compatible").otherwise("incompatible")
-    full = F.when(F.col("model") == reference, "reference model").when(share & (F.col("correct_test") == "yes") & (F.col("ref_test") == "yes"), "compatible").otherwise("incompatible")
-    return matrix.crossJoin(F.broadcast(ref)).withColumns({"test_compatible": test, "full_model_compatible": full}).drop("ref_mas", "ref_test")  # one row is broadcast
+    """Each hypothesis's agreement with the reference: whether they share an adjustment set, and whether they have the same nodes and test alike."""
+    ref = matrix.where(F.col("model") == reference).select(_sets(F.col("mas")).alias("_mas"), F.col("correct_test").alias("_test"), F.col("unq_nodes").alias("_nodes"))
+    if not ref.limit(1).count():
+        raise EngineError(f"no model {reference}")
+    of = lambda ok: F.when(F.col("model") == reference, "reference model").when(ok, "compatible").otherwise("incompatible")
+    share: Column = F.arrays_overlap(_sets(F.col("mas")), F.col("_mas"))
+    alike = F.col("unq_nodes").eqNullSafe(F.col("_nodes")) & (F.col("correct_test") == F.col("_test"))
+    return matrix.crossJoin(F.broadcast(ref)).withColumns({"test_compatible": of(share), "full_model_compatible": of(alike)}).drop("_mas", "_test", "_nodes")  # one row is broadcast
 
 
 def build_set_matrix(edges: DataFrame, outcome: DataFrame, column: str) -> DataFrame:
@@ -151,3 +171,84 @@ def find_models(edges: DataFrame, user_models: list[str], nodes: list[dict]) ->
     own = spark.createDataFrame([(k, name.get(a, a), name.get(b, b), d) for k, a, b, d in parse(user_models)], "user_model int, from string, to string, direction string")
     key = lambda df, k: df.groupBy(k).agg(F.array_sort(F.collect_list(F.struct("from", "to", "direction"))).alias("edges"))
     return key(own, "user_model").join(key(edges, "model"), "edges", "left").select("user_model", "model")
+
+
+def add_models(edges: DataFrame, user_models: list[str], nodes: list[dict], positions: list[int] | None = None, add=lambda text: True) -> DataFrame:
+    """``edges`` with the user's models marked, added where they are not there (if ``add`` says so) and, with ``positions``, moved to these numbers.
+
+    A model that is there swaps its number with the one at its position; a new one pushes those from its position on by one.
+    Without positions new ones come last. ``prev_mod`` is the number before.
+    """
+    if positions is not None and len(positions) != len(user_models):
+        raise EngineError("a position is needed for each model")
+    spark = edges.sparkSession
+    name = {r["label"]: r["name"] for r in nodes}
+    there = {r["user_model"]: r["model"] for r in find_models(edges, user_models, nodes).collect()}  # a row a user's model
+    last = edges.agg(F.max("model")).first()[0] or 0
+    number, marked, new = F.col("model"), [], []
+    now = dict(there)
+    for k, text in enumerate(user_models, 1):
+        to = None if positions is None else positions[k - 1]
+        at = now.get(k)
+        if at is not None:
+            if to is not None and to != at:
+                number = F.when(number == at, to).when(number == to, at).otherwise(number)
+                new = [(at if m == to else to if m == at else m, *r) for m, *r in new]
+                now = {u: at if m == to else to if m == at else m for u, m in now.items()}
+            marked.append(there[k])
+            continue
+        if not add(text):
+            continue
+        last += 1
+        if to is None:
+            to = last
+        else:
+            number = F.when(number >= to, number + 1).otherwise(number)
+            new = [(m + 1 if m >= to else m, *r) for m, *r in new]
+            now = {u: m + 1 if m is not None and m >= to else m for u, m in now.items()}
+        new += [(to, name.get(a, a), name.get(b, b), d, last) for _, a, b, d in parse([text])]
+    kept = edges.withColumn("prev_mod", F.col("model")).withColumn("user_mod", F.when(F.col("prev_mod").isin(marked), 1).otherwise(F.col("user_mod")) if marked else F.col("user_mod")).withColumn("model", number.cast("int"))
+    more = spark.createDataFrame([(m, a, b, d, 1, a if a == b else f"{a}_{b}", p) for m, a, b, d, p in new], "model int, from string, to string, direction string, user_mod int, component string, prev_mod int")
+    return kept.unionByName(more.select(*kept.columns))
+
+
+@dataclass
+class Workflow:
+    """Everything of a run: nodes, their edges by model, and the formulas with their sets."""
+
+    nodes: list[dict]
+    edges: DataFrame
+    formulas: DataFrame
+
+
+def run(spark: SparkSession, nodes: list[str], timing: list[int], types: list[str], include_subsets: bool = False, user_models: list[str] | None = None, effect: str = "direct") -> Workflow:
+    """The whole older workflow."""
+    named = roles(nodes, timing, types)
+    edges = durable(build_causal_node(spark, nodes, timing, types, user_models, include_subsets))
+    end = next(r["timing"] for r in named if r["name"] == "Y")
+    return Workflow(named, edges, build_formula_matrix(edges, [r["name"] for r in named], effect, [r["name"] for r in named if r["timing"] >= end and r["name"] != "Y"]))
+
+
+def plot_places(nodes: list[dict]) -> dict[str, tuple[float, float]]:
+    """Places of the nodes: from the latest at 1 to the left by equal steps; test and outcome on the middle line, the others in steps that
+    rise by 0.75 from time to time and fall by 2 among nodes of one time."""
+    times = sorted({r["timing"] for r in nodes}, reverse=True)
+    step = round(2 / (len(times) - 1), 3) if len(times) > 1 else 0.0
+    out, height = {}, 0.5
+    for i, t in enumerate(times):
+        own = [r["name"] for r in nodes if r["timing"] == t and r["name"] not in ("Xtest", "Y")]
+        for k, n in enumerate(own):
+            out[n] = (round(1 - i * step, 3), height - 2 * k)
+        height += 0.75 * bool(own)
+        out |= {r["name"]: (round(1 - i * step, 3), 0.0) for r in nodes if r["timing"] == t and r["name"] in ("Xtest", "Y")}
+    return out
+
+
+def plot_frame(workflow: Workflow, models: list[int] | None = None) -> DataFrame:
+    """(model, from, to, direction, x, y, xend, yend, label): the edges to draw of all or some models, with their sets."""
+    at = workflow.edges.sparkSession.createDataFrame([(n, *p) for n, p in plot_places(workflow.nodes).items()], "n string, x double, y double")
+    label = workflow.formulas.select("model", F.concat(F.lit("{"), F.array_join(_sets(F.col("mas")), "},{"), F.lit("}")).alias("label"))
+    e = _pure(workflow.edges)
+    e = e.where(F.col("model").isin(models)) if models is not None else e
+    a, b = at.toDF("from", "x", "y"), at.toDF("to", "xend", "yend")
+    return e.join(F.broadcast(a), "from").join(F.broadcast(b), "to").join(label, "model").select("model", "from", "to", "direction", "x", "y", "xend", "yend", "label")

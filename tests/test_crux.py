@@ -64,3 +64,69 @@ def test_clusters(spark):
     assert out == {"p0": 0, "p1": 0, "p2": 0, "p3": 0, "p4": 1, "p5": 1, "p6": 1, "p7": None, "p8": None}
     with pytest.raises(C.ClusterError):
         C.complete(scores.limit(5))
+
+
+def test_embeddings_by_rounds_and_by_one_task(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2)) * [3, 1]
+    d = 1 / (1 + np.linalg.norm(x[:, None] - x[None], axis=2))
+    scores = spark.createDataFrame([(f"m{i:02}", f"m{j:02}", float(d[i, j])) for i in range(40) for j in range(40) if i != j], "ego_id string, alter_id string, score double")
+    p = C.profiles(scores)
+    one, many = (C.embed(p, 3, most).orderBy("model_id").toPandas()[["x", "y", "z"]].to_numpy() for most in (100, 10))
+    assert np.abs(one - many).max() < 1e-6
+
+
+def test_clusters_are_those_of_the_definition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for d in (2, 3):
+        x = np.round(np.concatenate([rng.normal(c, 0.25, (30, d)) for c in (0, 1.5, 4)] + [rng.uniform(-2, 6, (40, d))]), 2)
+        eps, least = 0.4, 4
+        near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps
+        core = near.sum(axis=1) >= least
+        label, k = np.full(len(x), -1), 0
+        for i in range(len(x)):
+            if core[i] and label[i] < 0:
+                todo = [i]
+                label[i] = k
+                while todo:
+                    for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                        label[j] = k
+                        todo.append(j)
+                k += 1
+        want = {f"p{i:03}": (int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=None)) for i in range(len(x))}
+        pts = spark.createDataFrame([(f"p{i:03}", *map(float, r)) for i, r in enumerate(x)], "model_id string, " + ", ".join(f"c{i} double" for i in range(d)))
+        assert {r["model_id"]: r["cluster"] for r in C.dbscan(pts, eps, least).collect()} == want
+
+
+def test_pair_summaries_as_by_pairs(spark):
+    from itertools import combinations
+
+    from causeway.errors import DyadError
+    from causeway.operators import summaries as U
+
+    sets = [[["A"], ["B"]], [["A"]], [["A"]], [["B"]], [], None, [[]], [["A"], ["B"]]]
+    nodes = [["X", "Y"], ["X"], ["X", "Z"], None, ["X", "Y"], ["X"], ["Z"], ["X"]]
+    known = [True, True, False, True, True, True, None, True]
+    p = spark.createDataFrame([(f"m{i}", s, k, n) for i, (s, k, n) in enumerate(zip(sets, known, nodes, strict=True))], "model_id string, robust_mas array<array<string>>, identified boolean, nodes array<string>")
+    sole = {}
+    for a, b in combinations([{tuple(z) for z in s} for s in sets if s is not None], 2):
+        if len(a & b) == 1:
+            z = ", ".join(next(iter(a & b)))
+            sole[z] = sole.get(z, 0) + 1
+    got = U.adjustment_prevalence(p)
+    assert {r["adjustment_set"]: r["sole_in_pairs"] for r in got.collect() if r["sole_in_pairs"]} == sole
+    assert U.most_prevalent(got).first().asDict() == {"most_common": "{A}", "models": 4, "sole": "{A}", "sole_in_pairs": sole["A"]}
+    miss = {}
+    for a, b in combinations([set(n) for n, k in zip(nodes, known, strict=True) if k and n is not None], 2):
+        for x in a ^ b:
+            miss[x] = miss.get(x, 0) + 1
+    assert {r["node"]: r["pairs"] for r in U.missing_components(p).collect()} == miss
+    twice = spark.createDataFrame([("a", "b", 0.5), ("a", "b", 0.5)], "ego_id string, alter_id string, score double")
+    with pytest.raises(DyadError):
+        U.shift(twice, twice)
+    share = U.compatibility_share(spark.createDataFrame([(True,), (None,), (False,)], "ok boolean"), "ok").first()
+    assert (share["available"], share["pairs"], share["compatible"], share["share"]) == (2, 3, 1, 0.5)

@@ -68,3 +68,51 @@ def test_upkeep(spark, tmp_path):
     want = D.all_pairs(M.pack(claims.where("model_id not in ('1', '2')").unionByName(changed), reg), reg)
     got = I.latest(spark, str(tmp_path / "state")).select(*want.columns)
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_matrix_modes(spark):
+    from causeway.errors import DyadError
+    from causeway.operators import expansion as X
+    from causeway.plans import matrix
+    from causeway.sources import registry as R
+
+    reg = R.build([{"name": "Z", "timing": 1}, {"name": "X", "timing": 2}, {"name": "Y", "timing": 3}], exposure="X", outcome="Y")
+    claims = X.exhaustive(spark, reg).persist()
+    assert matrix.dyad_matrix(spark, claims, reg).columns == matrix.BASIC
+    full = matrix.dyad_matrix(spark, claims, reg, "full")
+    assert full.count() == 72 and full.where("mas_compatible").count() == 20
+    assert {r["ego_id"] for r in matrix.dyad_matrix(spark, claims, reg, "single-ref", "M0005").collect()} == {"M0005"}
+    top = matrix.dyad_matrix(spark, claims, reg, "two-stage", top_k=16).collect()
+    assert len(top) == 16 and {r["similarity_rate"] for r in top} == {0.833333}
+    assert matrix.dyad_matrix(spark, None, reg, "symbolic").agg({"mass": "sum"}).first()[0] == 4
+    for bad in ({"mode": "single-ref"}, {"mode": "none"}, {"mode": "two-stage", "top_k": 0}, {"exposure": "X", "outcome": None, "mode": "single-ref"}):
+        with pytest.raises(DyadError):
+            matrix.dyad_matrix(spark, claims, reg, **bad)
+
+
+def test_older_models_are_moved_and_added(spark):
+    nodes, timing, types = ["Y", "Xtest", "X1", "X2"], [0, -1, -3, -2], ["otc", "test", "ctr", "ctr"]
+    w = L.run(spark, nodes, timing, types)
+    last = w.edges.agg({"model": "max"}).first()[0]
+    key = lambda e, m: sorted((r["from"], r["to"]) for r in e.where(f"model = {m}").collect())
+    text = "; ".join(f"{b} ~ {a}" for a, b in key(w.edges, 5))
+    moved = L.add_models(w.edges, [text], w.nodes, [2]).persist()
+    assert key(moved, 2) == key(w.edges, 5) and key(moved, 5) == key(w.edges, 2) and {r["prev_mod"] for r in moved.where("model = 2").collect()} == {5}
+    new = "Y ~ Xtest; X1 ~ Y"
+    added = L.add_models(w.edges, [new], w.nodes).persist()
+    assert key(added, last + 1) == [("Xtest", "Y"), ("Y", "X1")] and added.where("user_mod = 1").select("model").distinct().count() == 1
+    put = L.add_models(w.edges, [new], w.nodes, [3]).persist()
+    assert key(put, 3) == [("Xtest", "Y"), ("Y", "X1")] and key(put, 4) == key(w.edges, 3) and key(put, 2) == key(w.edges, 2)
+    assert L.add_models(w.edges, [new], w.nodes, add=lambda t: False).agg({"model": "max"}).first()[0] == last
+    spots = L.plot_places(w.nodes)
+    assert spots["Y"] == (1.0, 0.0) and spots["X2"][1] == 0.5 and spots["X1"][1] == 1.25
+    assert L.plot_frame(w, [1]).select("model").distinct().count() == 1
+
+
+def test_older_colliders(spark):
+    rows = [(1, "Xtest", "Y", "->"), (1, "Xtest", "X1", "->"), (1, "Y", "X1", "->"), (2, "Xtest", "Y", "->"), (2, "X1", "Y", "->"), (3, "Xtest", "Y", "->"), (3, "Xtest", "X1", "->")]
+    e = spark.createDataFrame([(*r, f"{r[1]}_{r[2]}") for r in rows], "model int, from string, to string, direction string, component string")
+    m = L.build_formula_matrix(e, ["X1", "Xtest", "Y"], late=["X1"])
+    assert {r["model"]: (r["correct_test"], r["unq_nodes"]) for r in m.collect()} == {1: ("no", "X1_Xtest_Y"), 2: ("yes", "X1_Xtest_Y"), 3: ("yes", "X1_Xtest_Y")}
+    c = {r["model"]: (r["test_compatible"], r["full_model_compatible"]) for r in L.add_compatible(m, 2).collect()}
+    assert c[2] == ("reference model", "reference model") and c[1][1] == "incompatible" and c[3][1] == "compatible"
