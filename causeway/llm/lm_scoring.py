@@ -201,6 +201,7 @@ def train(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> dict[str, np
 def score(docs: DataFrame, path: str, pattern: str, learn: str, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document. ``learn``, ``held_out``: SQL conditions; ``path``, ``pattern``: ranks and pre-token pattern of the subwords."""
     n = X.parts(docs.sparkSession)
+    docs = X.settled(docs)
     end = int(max(bpe.read_ranks(path).values())) + 1
     flag = f"case when {learn} then 1 else 0 end + case when {held_out} then 2 else 0 end"
     asked = X.each_chunk(X.pack(docs, doc_id, text, extra=flag, deal=False), _ask(n), X.SENT_SCHEMA)

@@ -12,7 +12,8 @@ weighted Jaccard similarity is 0.8 or more; classes are what links connect.
    texts that then are in another class than most of the group meet all its other tasks' texts.
 
 Null texts and texts without words have no shingles: equal non-empty ones are copies, all others are classes of their own.
-A class is named by its least id (null if it has none). Rows of equal id are rows like any other.
+A class is named by its least id (null if it has none). Rows of equal id are rows like any other. Texts of any length have all their
+shingles; other columns are carried as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batch as B
@@ -266,6 +267,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     """(uid, doc_id, rep, class): each row, the row that stands for its text, and the row that stands for its class; with the chunks."""
     spark = docs.sparkSession
     n = X.parts(spark)
+    docs = X.settled(docs)
     total = docs.count()
     chunks = X.pack(docs, doc_id, text, carry=carry)
     asked = X.each_chunk(X.pack(docs, doc_id, text, deal=False), _ask(n, size), X.SENT_SCHEMA)
@@ -324,10 +326,9 @@ def _links_of_large(member: DataFrame, groups: DataFrame, tasks: DataFrame, vect
     rest = labels.where("label <> top")
     if not rest.limit(1).count():
         return links
-    # every text outside its group's largest class meets all texts of the group, a bounded number at a time
-    own = Window.partitionBy("grp").orderBy("uid")
-    rows = rest.withColumn("row", F.floor((F.row_number().over(own) - 1) / TASK_TEXTS).cast("int"))
-    most = rows.groupBy("grp").agg(F.max("row").alias("rows"))
+    # every text outside its group's largest class meets all texts of the group, about TASK_TEXTS at a time
+    most = X.durable(rest.groupBy("grp").agg((F.ceil(F.count("*") / TASK_TEXTS) - 1).cast("int").alias("rows")))
+    rows = rest.join(most, "grp").withColumn("row", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rows") + 1).cast("int")).drop("rows")
     pairs = rows.select("grp", "row", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("block"), "uid", "label", F.lit(True).alias("lead"))
     pairs = pairs.union(labels.join(most, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("rows"))).alias("row"), "block", "uid", "label", F.lit(False).alias("lead")))
     pairs = pairs.groupBy("grp", "row", "block", "uid", "label").agg(F.max("lead").alias("lead"))
