@@ -6,7 +6,10 @@ frame holds whole documents' ids as little-endian unsigned 32-bit integers, so a
 documents it asks for and no others.
 
 Documents are dealt out by ranges of their id and sorted in them: file by file, ids ascend. Null ids come first, null texts
-are empty (the end id alone); rows of one id are ordered by text.
+are empty (the end id alone); of rows of one id those without a text come first, and the rest as they come in the table, so that
+very many rows of one id, or without one, may fill several files. Other columns are not used. Texts of any length are whole frames.
+
+A tokenizer whose words are known to be independent (``KNOWN``) encodes distinct words; any other encodes whole texts.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from . import files
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_TOKENS = 1 << 15
+#: Tokens that a task of a reader takes on at once, in whole frames.
+SPAN_TOKENS = 1 << 21
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _KEPT = 500_000
 ENCODED_BYTES = 8 << 20
@@ -49,6 +54,23 @@ def _tokenizer(path: str):
     return t
 
 
+#: What a tokenizer must be for words to be encoded apart: its kind of normaliser, pre-tokenizer and model. Fixed values of a public tokenizer.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer of this file is of the known kind."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model = said["model"]
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and model.get("unk_token") is None and not model.get("dropout") and not model.get("ignore_merges")
+    return plain and all(said.get(k) == v for k, v in KNOWN.items()) and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in said.get("added_tokens", ()))
+
+
 #: Byte classes of words whose number of pre-tokens is plain: 1 letters (ASCII, Latin-1), 2 digits, 3 other printable ASCII but the apostrophe.
 _CLASS = np.zeros(256, np.int8)
 _CLASS[33:127], _CLASS[48:58] = 3, 2
@@ -141,10 +163,23 @@ class WordEncoder:
                 kept[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
+class TextEncoder:
+    """Ids of texts by whole texts, for any tokenizer; equal texts of a batch once."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes, values = B.encode(B.from_parts(data, offsets))
+        got = [np.array(e.ids, "<u4") for e in _tokenizer(self.path).encode_batch_fast([w.decode() for w in values.to_pylist()], add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return B.gather(np.concatenate(got) if got else np.zeros(0, "<u4"), (np.cumsum(lens) - lens)[codes], lens[codes])
+
+
 @lru_cache(2)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> WordEncoder | TextEncoder:
     """One for each Python worker, so its tasks share the words they have met."""
-    return WordEncoder(path)
+    return (WordEncoder if by_words(path) else TextEncoder)(path)
 
 
 def _skippable(magic: int, body: bytes) -> bytes:
@@ -184,6 +219,14 @@ def file_blocks(docs):
     yield _skippable(SEEK_TABLE, b"".join(table) + struct.pack("<IBI", len(table), 0x80, SEEKABLE_END))
 
 
+def unpack_frame(blob: bytes, size: int, check: int) -> np.ndarray:
+    """A frame's ids. Raises ValueError if they don't match the seek table."""
+    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=size)
+    if len(raw) != size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != check:
+        raise ValueError("a frame doesn't match its checksum")
+    return np.frombuffer(raw, "<u4")
+
+
 class TokenFile:
     """A file's documents; ``read(offset, size)`` gives its bytes."""
 
@@ -202,10 +245,7 @@ class TokenFile:
         self.doc_ids, self.counts, self.frames = index["doc_id"].combine_chunks(), index["n"].to_numpy(), index["frame"].to_numpy()
 
     def frame(self, k: int) -> np.ndarray:
-        raw = zstandard.ZstdDecompressor().decompress(self.read(int(self.at[k]), int(self.table[k, 0])), max_output_size=int(self.table[k, 1]))
-        if len(raw) != self.table[k, 1] or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.table[k, 2]:
-            raise ValueError(f"frame {k} doesn't match its checksum")
-        return np.frombuffer(raw, "<u4")
+        return unpack_frame(self.read(int(self.at[k]), int(self.table[k, 0])), int(self.table[k, 1]), int(self.table[k, 2]))
 
     def documents(self):
         """(doc_id, ids) of all documents in order; one frame is held at a time."""
@@ -232,7 +272,9 @@ class TokenFile:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Writes the files; gives (name, documents, tokens) of each in order: one entry a partition."""
     n = X.parts(docs.sparkSession)
-    rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "some", "place"]
+    rows = X.settled(docs).selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"`{text}` is not null as some", "monotonically_increasing_id() as place")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         name, made = f"part-{TaskContext.get().partitionId():06d}.tok", [0, 0]
@@ -264,22 +306,52 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     to, path = files.resolve(folder)
     with to.open_input_stream(f"{path}/manifest.json") as f:
         made = json.loads(f.read())
-    base, total = {}, 0
+    first, total = [], 0
     for name, _, tokens in made:
-        base[name], total = total, total + tokens
+        first.append((name, total))
+        total += tokens
+
+    def opened(name: str):
+        to, path = files.resolve(f"{folder}/{name}")
+        f = to.open_input_file(path)
+        return f, lambda a, n: (f.seek(a), f.read(n))[1]
+
+    def spans(batches):
+        """Runs of frames of about SPAN_TOKENS, with what the index says of their documents."""
+        for x in batches:
+            for name, start in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                f, get = opened(name)
+                with f:
+                    t = TokenFile(get, f.size())
+                ends = np.cumsum(t.counts)
+                k = np.arange(len(t.table) - 1)
+                tokens = np.bincount(t.frames, weights=t.counts, minlength=len(k)).astype(np.int64)
+                of = (np.cumsum(tokens) - tokens) // SPAN_TOKENS  # which span each frame begins in
+                for own in np.split(k, np.flatnonzero(np.diff(of)) + 1) if len(k) else []:
+                    i, j = np.searchsorted(t.frames, [own[0], own[-1] + 1])
+                    before = int(ends[i - 1]) if i else 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name]), pa.array([start + before]), pa.array([int(t.at[own[0]])]), pa.array([t.table[own].ravel().tolist()], pa.list_(pa.int64())), pa.array([t.doc_ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([t.counts[i:j].tolist()], pa.list_(pa.int64()))],
+                        ["name", "start", "at", "frames", "ids", "n"],
+                    )
 
     def run(batches):
         for x in batches:
-            for at, blob in zip(x.column(0).to_pylist(), x.column(1), strict=True):
-                raw = memoryview(blob.as_buffer())
-                start, rows = base[at.rpartition("/")[2]], ([], [], [], [])
-                for i, ids in TokenFile(lambda a, n, raw=raw: bytes(raw[a : a + n]), len(raw)).documents():
-                    for col, v in zip(rows, (i, start, len(ids), zlib.crc32(ids.tobytes())), strict=True):
-                        col.append(v)
-                    start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "content").mapInArrow(run, ROWS)
+            for r in x.to_pylist():
+                table = np.array(r["frames"], np.int64).reshape(-1, 3)
+                f, get = opened(r["name"])
+                with f:
+                    raw = get(r["at"], int(table[:, 0].sum()))
+                cut = np.concatenate([[0], np.cumsum(table[:, 0])])
+                ids = np.concatenate([unpack_frame(raw[a:b], size, check) for a, b, (_, size, check) in zip(cut[:-1].tolist(), cut[1:].tolist(), table.tolist(), strict=True)])
+                spot = np.concatenate([[0], np.cumsum(r["n"])]).astype(np.int64)
+                data = memoryview(ids.tobytes())
+                sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(spot[:-1].tolist(), spot[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["start"] + spot[:-1]), pa.array(r["n"], pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    named = spark.createDataFrame(first, "name string, start long").repartition(max(len(first), 1))
+    found = named.mapInArrow(spans, "name string, start long, at long, frames array<long>, ids array<long>, n array<long>")
+    return found.repartition(X.parts(spark)).mapInArrow(run, ROWS)
 
 
 def read_documents(folder: str, wanted: set[int]) -> dict[int, np.ndarray]:

@@ -245,3 +245,44 @@ def test_bpe_columns_of_the_same_names_give_way(spark, tmp_path):
     r = out.first()
     assert out.columns == ["doc_id", "b", "ids", "exact"] and r["exact"] is True and r["b"] == "t"
     assert bytes(bpe.decode_rows(out.withColumnRenamed("b", "bytes"), path).first()["bytes"]) == b"a b"
+
+
+def test_tokenizers_of_other_kinds_encode_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    known = P.path("word_bpe_49k.json")
+    cased = json.load(open(known))
+    cased["normalizer"]["normalizers"].pop()  # keeps capitals
+    other = str(tmp_path / "cased.json")
+    json.dump(cased, open(other, "w"))
+    assert token_files.by_words(known) and not token_files.by_words(other) and not token_files.by_words(P.path("byte_bpe_50k.json"))
+    for path in (other, P.path("byte_bpe_50k.json")):
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        folder = files.fresh("file://" + str(tmp_path), "out")
+        token_files.write(docs(spark), folder, path)
+        got = {r["doc_id"]: r["ids_crc32"] for r in token_files.read(spark, folder).collect()}
+        assert got == {i: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, x in enumerate(TEXTS)}
+
+
+def test_one_id_may_fill_many_files(spark, tmp_path):
+    df = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('word ', id) as text", "id as start").union(spark.createDataFrame([(5, "five", 1)], "doc_id long, text string, start long"))
+    df = stored(spark, df, tmp_path)
+    folder = files.fresh("file://" + str(tmp_path), "out")
+    made = token_files.write(df, folder, P.path("word_bpe_49k.json"))
+    assert sum(d > 500 for _, d, _ in made) >= 3 and sum(d for _, d, _ in made) == 4001
+    rows = sorted(token_files.read(spark, folder).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None] * 4000 + [5]
+    ends = [r["start"] + r["n_tokens"] for r in rows]
+    assert [r["start"] for r in rows] == [0, *ends[:-1]]
+
+
+def test_readers_take_spans_of_frames(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FRAME_TOKENS", 50)
+    raw = b"".join(token_files.file_blocks([(i, np.arange(i, dtype="<u4")) for i in range(100)]))
+    (tmp_path / "part-000000.tok").write_bytes(raw)
+    (tmp_path / "manifest.json").write_text('[["part-000000.tok", 100, 4950]]')
+    rows = sorted(token_files.read(spark, "file://" + str(tmp_path)).collect())
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(i, i * (i - 1) // 2, i, zlib.crc32(np.arange(i, dtype="<u4").tobytes())) for i in range(100)]
