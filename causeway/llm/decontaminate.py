@@ -4,17 +4,18 @@ Texts are lower-cased (A-Z) runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. Of
 span of ``window`` shared words shares a kept fingerprint. A fingerprint found in a document is extended to the item windows
 around it, which are compared word by word. Items of fewer words than a window are one window, looked up whole.
 
-Few items (their size is checked) go to all executors; more than that are looked up by a shuffle on fingerprints, after
-which each chunk of documents gets just the items that it may contain.
+Few items (their size is checked) go to all executors; more than that are looked up by a shuffle: chunks of documents ask which of
+their fingerprints the benchmark has, and then for the items of the windows around these, word by word.
 
 Null texts have no words: nothing is hit, and a null item is in no document. Repeated items count each by its id; items of
 one id are one item with several texts. Items of null id hit like others; together they count as one item in ``n_items`` and have no
-place in ``items_sha256``, as in the query's SQL.
+place in ``items_sha256``, as in the query's SQL. Texts of any length are cut whole; other columns are carried as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -51,15 +52,14 @@ def least(grams: np.ndarray, at: np.ndarray, word_offsets: np.ndarray, width: in
 
 
 class Items:
-    """Fingerprints, windows and short items of a set of benchmark texts."""
+    """Fingerprints, windows and short items of a set of benchmark texts; a window's words are looked up in the texts when needed."""
 
     def __init__(self, ids: list, texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         data, offsets = B.flat(pa.array(texts, pa.large_binary()))
-        data = B.LOWER[data]
-        starts, ends, by = B.words(data, offsets, B.NOT_ALNUM)
-        h = B.hashes(data, starts, ends)
-        joined = [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        self.data = B.LOWER[data]
+        self.starts, self.ends, by = B.words(self.data, offsets, B.NOT_ALNUM)
+        h = B.hashes(self.data, self.starts, self.ends)
         counts = np.diff(by)
         grams, at = B.windows(h, by, gram)
         self.prints = np.unique(grams[least(grams, at, by, window - gram + 1)])
@@ -74,10 +74,44 @@ class Items:
             order = np.lexsort((item, w))
             w, at, item = w[order], at[order], item[order]
             hashes, first = np.unique(w, return_index=True)
-            texts_of = [b" ".join(joined[a : a + size]) for a in at.tolist()]
-            self.by_size[int(size)] = (hashes, np.append(first, len(w)), item, texts_of)
+            self.by_size[int(size)] = (hashes, np.append(first, len(w)), item, at)
         self.ids = [None if i is None else str(i) for i in ids]
 
+    def said(self, at: int, size: int) -> bytes:
+        return spoken(self.data, self.starts, self.ends, at, size)
+
+
+def spoken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, size: int) -> bytes:
+    """So many words in a row, joined by one space."""
+    return b" ".join(data[a:b].tobytes() for a, b in zip(starts[at : at + size].tolist(), ends[at : at + size].tolist(), strict=True))
+
+
+_MADE: dict[tuple, Items] = {}
+
+
+def _items(key: tuple, held) -> Items:
+    """The items of a broadcast, made once a worker."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Items([i for i, _ in held.value], [t for _, t in held.value], *key[1:])
+    return _MADE[key]
+
+
+def _around(h: np.ndarray, by: np.ndarray, prints: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of texts around fingerprints that are among ``prints``."""
+    grams, at = B.windows(h, by, gram)
+    keep = least(grams, at, by, window - gram + 1)
+    at = at[keep][isin(grams[keep], prints)]
+    text = np.searchsorted(by, at, side="right") - 1
+    spots = (at[:, None] - np.arange(window - gram + 1)).ravel()
+    text = np.repeat(text, window - gram + 1)
+    spots = np.unique(spots[(spots >= by[text]) & (spots + window <= by[text + 1])])
+    w = np.zeros(len(spots), np.uint64)
+    for j in range(window):
+        w *= B._ODD
+        w += h[spots + j]
+    return B.mix(w), spots
+
 
 def scan(c: X.Chunk, items: Items | None) -> pa.Table:
     """The digest rows of a chunk's documents."""
@@ -88,36 +122,25 @@ def scan(c: X.Chunk, items: Items | None) -> pa.Table:
     if items is not None and len(starts):
         h = B.hashes(data, starts, ends)
         hit = np.zeros(len(starts), bool)
-        for size, (hashes, first, item, texts) in items.by_size.items():
+        for size, (hashes, first, item, at) in items.by_size.items():
             if len(hashes) == 0:
                 continue
-            if size == items.window:
-                grams, at = B.windows(h, by, items.gram)
-                keep = least(grams, at, by, size - items.gram + 1)
-                at = at[keep][isin(grams[keep], items.prints)]
-                # windows around a fingerprint that lie in its text
-                text = np.searchsorted(by, at, side="right") - 1
-                spots = (at[:, None] - np.arange(size - items.gram + 1)).ravel()
-                text = np.repeat(text, size - items.gram + 1)
-                spots = np.unique(spots[(spots >= by[text]) & (spots + size <= by[text + 1])])
-                w = np.zeros(len(spots), np.uint64)
-                for j in range(size):
-                    w *= B._ODD
-                    w += h[spots + j]
-                w = B.mix(w)
-            else:
-                w, spots = B.windows(h, by, size)
+            w, spots = _around(h, by, items.prints, size, items.gram) if size == items.window else B.windows(h, by, size)
             place = np.minimum(np.searchsorted(hashes, w), len(hashes) - 1)
             ok = hashes[place] == w
             text = np.searchsorted(by, spots, side="right") - 1
             for p, s, t in zip(place[ok].tolist(), spots[ok].tolist(), text[ok].tolist(), strict=True):
-                said = b" ".join(data[a:b].tobytes() for a, b in zip(starts[s : s + size].tolist(), ends[s : s + size].tolist(), strict=True))
-                own = {items.ids[item[i]] for i in range(first[p], first[p + 1]) if texts[i] == said}
+                words = spoken(data, starts, ends, s, size)
+                own = {items.ids[item[i]] for i in range(first[p], first[p + 1]) if items.said(int(at[i]), size) == words}
                 if own:
                     hit[s : s + size] = True
                     found.setdefault(t, set()).update(own)
         sums = np.concatenate([[0], np.cumsum(hit)])
         n_hit = sums[by[1:]] - sums[by[:-1]]
+    return _digests(c, by, n_hit, found)
+
+
+def _digests(c: X.Chunk, by: np.ndarray, n_hit: np.ndarray, found: dict[int, set]) -> pa.Table:
     sets = [found.get(t, ()) for t in range(len(c))]
     lists = [sorted(i for i in x if i is not None) for x in sets]
     return pa.table(
@@ -153,8 +176,10 @@ def _scanned(docs, doc_id, text, benchmark, item_id, item_text, window, gram, br
     held = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.collect()])
     i_id, i_text = docs.columns.index(doc_id), docs.columns.index(text)
 
+    key = (uuid.uuid4().hex, window, gram)
+
     def run(batches: Iterable[pa.RecordBatch]):
-        made = Items([i for i, _ in held.value], [t for _, t in held.value], window, gram)
+        made = _items(key, held)
         for x in batches:
             sizes = np.asarray(pc.binary_length(x.column(i_text)).fill_null(0)).astype(np.int64)
             at = X.cuts(sizes, X.CHUNK_BYTES)
@@ -172,67 +197,136 @@ def _scanned(docs, doc_id, text, benchmark, item_id, item_text, window, gram, br
     return docs.mapInArrow(run, docs.schema if keep else HITS)
 
 
-def _keys(h: np.ndarray, by: np.ndarray, sizes: list[int], window: int, gram: int) -> np.ndarray:
-    grams, at = B.windows(h, by, gram)
-    out = [grams[least(grams, at, by, window - gram + 1)]]
-    return np.unique(np.concatenate([*out, *(B.windows(h, by, s)[0] for s in sizes)]))
+def _cut(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    data, offs = B.flat(texts)
+    data = B.LOWER[data]
+    starts, ends, by = B.words(data, offs, B.NOT_ALNUM)
+    return data, starts, ends, by, B.hashes(data, starts, ends)
+
+
+def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys by bucket, and each bucket's first place (n + 1)."""
+    keys = np.unique(keys)
+    k = (keys % np.uint64(n)).astype(np.int64)
+    order = np.argsort(k, kind="stable")
+    return keys[order], np.searchsorted(k[order], np.arange(n + 1))
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, window: int, gram: int, keep: bool) -> DataFrame:
-    n = X.parts(docs.sparkSession)
+    """Two questions a chunk, both about distinct keys: which of its fingerprints the benchmark has, and which items have the windows around these.
+
+    A bucket of the first question holds each of the benchmark's fingerprints once, however many items have it, and answers with
+    places. A bucket of the second holds windows word for word with their items, so a chunk gets ids only for words it has.
+    """
+    spark = docs.sparkSession
+    n = X.parts(spark)
     others = [c for c in docs.columns if c != text] if keep else []
-    chunks = X.pack(docs, doc_id, text, carry=others)
-    sizes = list(range(1, window))
-    # items of one id go together; those of null id by their texts
-    items = items.withColumn("item", F.coalesce(F.concat(F.lit("i"), "item_id"), F.concat(F.lit("t"), F.sha2("text", 256))))
+    chunks = X.pack(X.settled(docs), doc_id, text, carry=others)
+    items = X.durable(items.select("item_id", "text"))
+
+    def item_rows(batches):
+        """(key, kind, size, said, item): fingerprints (kind 0), and windows or short items with their words (kind 1)."""
+        for x in batches:
+            for i, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                data, starts, ends, by, h = _cut(pa.array([t.encode()], pa.large_binary()))
+                if not len(h):
+                    continue
+                size = min(window, len(h))
+                w, at = B.windows(h, by, size)
+                prints = np.zeros(0, np.uint64)
+                if size == window:
+                    grams, spots = B.windows(h, by, gram)
+                    prints = np.unique(grams[least(grams, spots, by, window - gram + 1)])
+                w, first = np.unique(w, return_index=True)
+                keys = np.concatenate([prints, w])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.astype(np.int64)), pa.array([0] * len(prints) + [1] * len(w), pa.int32()), pa.array([size] * len(keys), pa.int32()), pa.array([b""] * len(prints) + [spoken(data, starts, ends, s, size) for s in at[first].tolist()], pa.binary()), pa.array([i] * len(keys), pa.string())],
+                    ["key", "kind", "size", "said", "item"],
+                )
+
+    rows = X.durable(items.mapInArrow(item_rows, "key long, kind int, size int, said binary, item string"))
+    sizes = [r[0] for r in rows.where("kind = 1").select("size").distinct().orderBy("size").collect()]  # at most ``window``
+    short = [s for s in sizes if s < window]
+    bucket = F.expr(f"cast(pmod(cast(key as decimal(20,0)) + if(key < 0, 18446744073709551616BD, 0BD), {n}) as int)")
+    # short items are asked for by fingerprint too: the hash of all their words
+    known = rows.where(f"kind = 0 or size < {window}").select("key").distinct().groupBy(bucket.alias("k"), F.expr("cast(pmod(xxhash64(key), 64) as int)").alias("part")).agg(F.collect_list("key").alias("keys"))
+
+    def grams_of(h, by):
+        grams, at = B.windows(h, by, gram)
+        return np.concatenate([grams[least(grams, at, by, window - gram + 1)], *(B.windows(h, by, s)[0] for s in short)])
+
+    def words_of(c):
+        return _cut(B.from_parts(c.data, c.offsets))
 
     def ask(b, c):
-        data = B.LOWER[c.data]
-        starts, ends, by = B.words(data, c.offsets, B.NOT_ALNUM)
-        keys = _keys(B.hashes(data, starts, ends), by, sizes, window, gram)
-        k = (keys % np.uint64(n)).astype(np.int64)
-        order = np.argsort(k, kind="stable")
-        keys, bounds = keys[order], np.searchsorted(k[order], np.arange(n + 1))
+        _, _, _, by, h = words_of(c)
+        keys, bounds = _dealt(grams_of(h, by), n)
         ks = np.flatnonzero(np.diff(bounds))
         if len(ks):
-            yield X.sent(b, ks, [X.press(keys[bounds[i] : bounds[i + 1]].tobytes()) for i in ks])
-
-    def own_keys(batches):
-        for x in batches:
-            ids, texts = x.column(0), x.column(1)
-            for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
-                data, offs = B.flat(pa.array([t.encode()], pa.large_binary()))
-                data = B.LOWER[data]
-                starts, ends, by = B.words(data, offs, B.NOT_ALNUM)
-                h = B.hashes(data, starts, ends)
-                keys = _keys(h, by, [], window, gram) if len(h) >= window else B.windows(h, by, len(h))[0] if len(h) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array((keys % np.uint64(n)).astype(np.int32))], ["item", "key", "k"])
-
-    asked = X.each_chunk(chunks, ask, X.SENT_SCHEMA)
-    prints = items.select("item", "text").mapInArrow(own_keys, "item string, key long, k int")
+            yield X.sent(b, ks, [X.press(keys[bounds[k] : bounds[k + 1]].tobytes()) for k in ks])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("key").to_numpy().astype(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], right.column("item").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
-        out = set()
-        for b, blob in zip(left.column("b").to_pylist(), left.column("blob"), strict=True):
-            mine = np.frombuffer(X.unpress(blob.as_py()), np.uint64)
-            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
-            for a, z in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                out.update((b, ids[i]) for i in range(a, z))
-        rows = sorted(out)
-        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.string())], ["b", "item"])
-
-    wanted = asked.groupBy("k").cogroup(prints.groupBy("k")).applyInArrow(meet, "b long, item string").distinct()
-    given = wanted.join(items, "item").selectExpr("b", "0 as k", "to_binary(to_json(struct(item_id, text)), 'utf-8') as blob")
+        mine = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.values) for x in right.column("keys"))]).astype(np.int64).view(np.uint64))
+        out = []
+        for b, k, blob in zip(left.column("b").to_pylist(), left.column("k").to_pylist(), left.column("blob"), strict=True):
+            got = np.flatnonzero(isin(np.frombuffer(X.unpress(blob.as_py()), np.uint64), mine))
+            if len(got):
+                out.append((b, k, X.pack_ints(got)))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["b", "k", "blob"])
+
+    def candidates(c, answers):
+        """(size, hash, place) of the windows and short runs around what the benchmark has."""
+        data, starts, ends, by, h = words_of(c)
+        keys, bounds = _dealt(grams_of(h, by), n)
+        hit = np.sort(np.concatenate([np.zeros(0, np.uint64), *(keys[bounds[k] : bounds[k + 1]][X.unpack_ints(x)] for k, (x,) in answers.items() if k < n)]))
+        out = [(window, *_around(h, by, hit, window, gram))]
+        for s in short:
+            w, at = B.windows(h, by, s)
+            ok = isin(w, hit)
+            out.append((s, w[ok], at[ok]))
+        return data, starts, ends, by, out
+
+    blank = X.empty(ASKED)
+
+    def ask_windows(b, c, answers):
+        data, starts, ends, _, found = candidates(c, answers)
+        seen: dict[tuple[int, bytes], int] = {}
+        for size, w, at in found:
+            for x, s in zip(w.tolist(), at.tolist(), strict=True):
+                seen.setdefault((size, spoken(data, starts, ends, s, size)), x)
+        return pa.table([pa.array([b] * len(seen), pa.int64()), pa.array([x - (1 << 64) if x >> 63 else x for x in seen.values()], pa.int64()), pa.array([s for s, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.binary())], ["b", "key", "size", "said"]) if seen else blank
+
+    answers = X.durable(X.each_chunk(chunks, ask, X.SENT_SCHEMA).groupBy("k").cogroup(known.groupBy("k")).applyInArrow(meet, "b long, k int, blob binary").select("b", "k", "blob"))
+    asked = X.finish(chunks, answers, ask_windows, ASKED)
+    # words decide, so hashes only bring them together; items of one window come as lists, each id once
+    own = rows.where("kind = 1").select("key", "size", "said", "item").distinct()
+    matched = X.durable(asked.join(own, ["key", "size", "said"]).select("b", "size", "said", "item"))
+    given = matched.groupBy("b", F.expr(f"cast({n} + pmod(xxhash64(said), 64) as int)").alias("k")).agg(F.collect_list(F.struct("size", "said", "item")).alias("rows")).select("b", "k", F.expr("to_binary(to_json(transform(rows, r -> struct(r.size as s, hex(r.said) as w, r.item as i))), 'utf-8')").alias("blob"))
+    columns = docs.columns
 
     def done(b, c, answers):
         import json
 
-        got = [json.loads(x) for x in answers.get(0, [])]
-        found = scan(c, Items([x.get("item_id") for x in got], [x["text"].encode() for x in got], window, gram) if got else None)
-        return X.rows_of(c, text, others, columns, pc.invert(found.column("contaminated")).combine_chunks()) if keep else found
+        _, _, _, by, found = (parts := candidates(c, {k: v for k, v in answers.items() if k < n}))
+        data, starts, ends = parts[:3]
+        of: dict[tuple[int, bytes], set] = {}
+        for k, blobs in answers.items():
+            if k >= n:
+                for r in (r for x in blobs for r in json.loads(x)):
+                    of.setdefault((r["s"], bytes.fromhex(r["w"])), set()).add(r.get("i"))
+        hit, items_of = np.zeros(len(starts), bool), {}
+        for size, _, at in found:
+            text = np.searchsorted(by, at, side="right") - 1
+            for s, t in zip(at.tolist(), text.tolist(), strict=True):
+                if own_ids := of.get((size, spoken(data, starts, ends, s, size))):
+                    hit[s : s + size] = True
+                    items_of.setdefault(t, set()).update(own_ids)
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        got = _digests(c, by, sums[by[1:]] - sums[by[:-1]], items_of)
+        return X.rows_of(c, text_name, others, columns, pc.invert(got.column("contaminated")).combine_chunks()) if keep else got
 
-    columns = docs.columns
-    return X.finish(chunks, given, done, docs.schema if keep else HITS)
+    text_name = text
+    return X.finish(chunks, answers.union(given), done, docs.schema if keep else HITS)
+
+
+ASKED = "b long, key long, size int, said binary"
