@@ -8,6 +8,9 @@ rarer ones; in a band subwords have their smoothed share of its counts. Gradient
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 
 GROUPS, MEMBERS, BANDS, WIDTH, HALF = 32, 32, 64, 16, 16
@@ -69,6 +72,20 @@ class Vocabulary:
         self.flat, self.short = self.members.reshape(-1, MEMBERS), self.group.astype(np.uint8)
 
 
+@lru_cache(1)
+def one_thread() -> None:
+    """Keeps the matrix library of this process to one thread: the matrices here are small, and more threads would only wait for one another."""
+    try:
+        with open("/proc/self/maps") as f:
+            libs = {line.split()[-1] for line in f if "openblas" in line}
+        for lib in map(ctypes.CDLL, libs):
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if (fn := getattr(lib, name, None)) is not None:
+                    fn(1)
+    except OSError:  # another system or library: its own setting holds
+        pass
+
+
 def initial(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     table = lambda s, *shape: rng.normal(0, s, shape).astype(np.float32)
@@ -197,6 +214,7 @@ def step(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray) -> tuple[float,
 
 def fit(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, steps: int, rate: float, size: int = 64, seed: int = 3) -> dict:
     """Adam over the windows in a fixed shuffled order, again from the start where steps are left; the rate falls to a tenth."""
+    one_thread()
     m = {k: v.copy() for k, v in m.items()}
     if not len(x):
         return m
@@ -244,11 +262,27 @@ def windows(x: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray, start:
     return w, np.where(good, y[np.where(good, mine, 0)], CLASSES).astype(np.int64), mine, good
 
 
+def stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of 2 * HALF places of texts that start at these places, to learn from: each place is in one of them. First places, and where their texts end."""
+    n = -(-np.diff(at) // (2 * HALF))
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at[:-1], n) + 2 * HALF * k, np.repeat(at[1:], n)
+
+
+def cut(x: np.ndarray, y: np.ndarray, start: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes before and targets' classes of stretches (rows)."""
+    spot = start[:, None] + np.arange(2 * HALF)
+    ok = spot < hi[:, None]
+    spot = np.where(ok, spot, 0)
+    return np.where(ok, x[spot], np.int16(CLASSES)), np.where(ok, y[spot], np.int16(CLASSES))
+
+
 def score(m: dict, voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray, end: int, block: int = 256) -> np.ndarray:
     """Natural log probability of each sequence with its end.
 
     Windows of 2 * HALF places overlap by half: each token is scored once, after HALF to 2 * HALF - 1 places or all there are.
     """
+    one_thread()
     target, y, x, at = stream(voc, ids, offsets, end)
     out = voc.inner[target]
     lo, hi, start = spans(at)

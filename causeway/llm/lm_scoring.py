@@ -3,16 +3,18 @@
 Tokens are lower-cased (A-Z) words and one end a text. Every chunk asks about its distinct words; a bucket adds up a word's
 count over all learning texts and cuts it into subword ids once. Each chunk's texts are then stored as subword ids, and all that
 the attention model learns comes from them: its classes, shares and what follows what are counts over all learning texts in full,
-and its weights come from all their windows, cut as for scores, so each subword and each end is learned from once. A
-bounded sample of windows gives the first weights only; then executors go over all of them, and their weights are averaged by the windows they saw.
+and its weights come from all their windows, in which each subword and each end is learned from once. A
+bounded sample of windows gives the first weights only; then every partition goes over all of its own, and their weights are averaged by the windows they saw.
 
-Null texts are empty: their end is their only token. Repeated rows score alike. Without learning rows N and V are 0.
+Null texts are empty: their end is their only token. Repeated rows score alike. Without learning rows N and V are 0. Subwords of
+equal counts are ordered by id. Texts of any length are scored whole; other columns are not used.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from . import batch as B
 from . import bpe, lm
 from . import exchange as X
 
-FIRST_WINDOWS, FIRST_STEPS, TRAINERS = 32768, 1200, 64
-BLOCK, STEP = 16384, 128
+FIRST_WINDOWS, FIRST_STEPS, GROUPS = 16384, 1200, 64
+BLOCK, STEP = 8192, 64
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 TEXTS = "b long, windows long, blob binary"
 
@@ -134,14 +136,14 @@ def arrange(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> None:
 
 
 def windows(texts: Texts, vocabulary: lm.Vocabulary, end: int, b: int, every: int = 1):
-    """Windows of a chunk's learning texts (one in ``every``) in a fixed shuffled order, some thousands at a time: classes before and targets."""
+    """Stretches of a chunk's learning texts (one in ``every``) in a fixed shuffled order, some thousands at a time: classes before and targets."""
     _, y, x, at = lm.stream(vocabulary, *texts.learned(), end)
-    spans = lm.spans(at)
-    order = np.random.default_rng(b).permutation(len(spans[0]))
+    start, hi = lm.stretches(at)
+    order = np.random.default_rng(b).permutation(len(start))
     order = order[int(B.mix(np.array([b], np.uint64))[0] % np.uint64(every)) :: every]
     for i in range(0, len(order), BLOCK):
-        w, t, *_ = lm.windows(x, y, *(a[order[i : i + BLOCK]] for a in spans))
-        yield w.astype(np.int16), t.astype(np.int16)
+        own = order[i : i + BLOCK]
+        yield lm.cut(x, y, start[own], hi[own])
 
 
 def train(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> dict[str, np.ndarray]:
@@ -157,7 +159,7 @@ def train(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> dict[str, np
                     yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["b", "x", "y"])
 
     first = sorted(texts.select("b", "blob").mapInArrow(some, "b long, x binary, y binary").collect())
-    x, y = (np.frombuffer(b"".join(bytes(r[c]) for r in first), np.int16).reshape(-1, n) for c, n in (("x", 2 * lm.HALF), ("y", lm.HALF)))
+    x, y = (np.frombuffer(b"".join(bytes(r[c]) for r in first), np.int16).reshape(-1, n) for c, n in (("x", 2 * lm.HALF), ("y", 2 * lm.HALF)))
     order = np.random.default_rng(11).permutation(len(x))
     m = lm.fit(lm.initial(), vocabulary, x[order], y[order], min(FIRST_STEPS, 4 * len(x) // STEP), 0.01, size=STEP)
     start = texts.sparkSession.sparkContext.broadcast(m)
@@ -184,10 +186,17 @@ def train(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> dict[str, np
             own, n = learn()
             seen += n
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([np.concatenate([own[k].ravel() for k in names]).astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([seen]), pa.array([np.concatenate([own[k].ravel() for k in names]).astype(np.float32).tobytes()], pa.binary())], ["g", "n", "w"])
 
-    # at most TRAINERS sets of weights come back
-    got = texts.select("b", "blob").coalesce(TRAINERS).mapInArrow(run, "n long, w binary").collect()
+    def average(t: pa.Table) -> pa.Table:
+        total, n = 0.0, t.column("n").to_pylist()
+        for k, blob in zip(n, t.column("w"), strict=True):
+            total = total + np.frombuffer(blob.as_py(), np.float32) * (k / sum(n))
+        return pa.table([t.column("g")[:1].combine_chunks(), pa.array([sum(n)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "n", "w"])
+
+    # every partition trains; their weights are averaged in groups, so at most GROUPS sets come back
+    sets = "g int, n long, w binary"
+    got = texts.select("b", "blob").mapInArrow(run, sets).groupBy("g").applyInArrow(average, sets).orderBy("g").collect()
     if not got:
         return m
     flat = np.average([np.frombuffer(r["w"], np.float32) for r in got], axis=0, weights=[r["n"] for r in got]).astype(np.float32)
@@ -238,7 +247,7 @@ def score(docs: DataFrame, path: str, pattern: str, learn: str, held_out: str, d
             [c.id_array(), pa.array(c.extra >= 2), pa.array(n_tokens), pa.array(found[by[1:]] - found[by[:-1]] + (ends > 0)), pa.array(np.full(len(c), big_n)), pa.array(base), pa.array(learns)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "learn"],
         )
-        return pa.table([pa.array([b]), pa.array([int((size[learns] // lm.HALF + 1).sum())]), pa.array([Texts.pack(out, size, rows)], pa.binary())], ["b", "windows", "blob"])
+        return pa.table([pa.array([b]), pa.array([int((size[learns] // (2 * lm.HALF) + 1).sum())]), pa.array([Texts.pack(out, size, rows)], pa.binary())], ["b", "windows", "blob"])
 
     texts = X.durable(X.finish(X.pack(docs, doc_id, text, extra=flag), replies.where("b >= 0"), cut, TEXTS))
     arrange(texts, vocabulary, end)
