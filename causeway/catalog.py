@@ -23,7 +23,7 @@ ORACLES: dict[str, str] = {}
 #: The models, nodes and edges of the events, as rows.
 BASE = """
 with node as (select cast(user_id as varchar) m, event_type n, cast(min(date_diff('day', timestamp '2024-01-01 00:00:00', ts)) as int) t
-  from events where ts < timestamp '2024-01-04 00:00:00' group by 1, 2),
+  from events group by 1, 2),
 names as (select n, row_number() over (order by n) i, count(*) over () k from (select distinct event_type n from events)),
 reg as (select a.n s, b.n d, 'C' || lpad(cast(a.k + row_number() over (order by a.i, b.i) as varchar), 4, '0') c from names a join names b on a.i < b.i),
 nreg as (select n, 'C' || lpad(cast(i as varchar), 4, '0') c from names),
@@ -70,6 +70,13 @@ def dyad_similarity(spark, sf_dir):
     return _counts(spark, sf_dir).select("ego_id", "alter_id", "shared", "union_claims", D.similarity(F.col("shared"), F.col("union_claims")).alias("similarity"))
 
 
+@query(BASE.replace("from events group", "from events where ts < timestamp '2024-01-04 00:00:00' group") + "select ego_id, alter_id, shared, union_claims from dyad")
+def dyad_counts_of_first_days(spark, sf_dir):
+    """The slice of the first build plan: events of three days."""
+    reg, m = E.packed(spark, sf_dir, E.SLICE)
+    return D.counts(D.pairs(m, reg), reg).select("ego_id", "alter_id", "shared", "union_claims")
+
+
 @query("select ego_id, alter_id, repair_cost, node_conflicts, edge_conflicts, inapplicable_components from dyad")
 def repair_cost(spark, sf_dir):
     return _counts(spark, sf_dir).select("ego_id", "alter_id", "repair_cost", "node_conflicts", "edge_conflicts", "inapplicable_components")
@@ -101,18 +108,30 @@ def unknown_edges(spark, sf_dir):
     return M.unknown_edges(m, reg).groupBy("comp_id").agg(F.count("*").alias("models"))
 
 
-@query("select m as model_id, c as comp_id from edge where st = 1 and ts >= td")
+@query("select m as model_id, c as comp_id from edge where ts >= td")
 def backward_edges(spark, sf_dir):
-    reg, m = E.packed(spark, sf_dir)
+    """All edges claimed causal: those against time are found."""
+    reg = E.registry(spark, sf_dir)
+    edges = [r["comp_id"] for r in reg.edges]
+    claims = E.claims(spark, sf_dir, reg).withColumn("status", F.when(F.col("comp_id").isin(edges), "causal").otherwise(F.col("status")))
+    m = M.pack(claims, reg)
     return m.select("model_id", F.explode(M.backward_edges(reg)).alias("comp_id"))
 
 
 @query(
-    """, ex as (select d.ego_id, d.alter_id, coalesce(string_agg(reg.c, ',' order by reg.c) filter (where a.c is null or b.c is null), '') excluded, coalesce(string_agg(reg.c, ',' order by reg.c) filter (where a.st > 0 and b.st > 0 and a.st <> b.st), '') clash
-  from dyad d cross join reg left join edge a on a.m = d.ego_id and a.c = reg.c left join edge b on b.m = d.alter_id and b.c = reg.c group by 1, 2),
-nc as (select d.ego_id, d.alter_id, string_agg(nreg.c, ',' order by nreg.c) x from dyad d cross join nreg left join node a on a.m = d.ego_id and a.n = nreg.n left join node b on b.m = d.alter_id and b.n = nreg.n where (a.m is null) <> (b.m is null) group by 1, 2)
-select d.ego_id || '__' || d.alter_id as dyad_id, d.timing_compatible, ex.excluded as excluded_components, concat_ws(',', nullif(ex.clash, ''), nc.x) as conflicting_components, d.shared as shared_resolved_claims, d.union_claims as union_resolved_claims, d.edge_conflicts + d.node_conflicts > 0 as existence_conflict
-from dyad d join ex using (ego_id, alter_id) left join nc using (ego_id, alter_id)"""
+    """, nl as (select m, list(nreg.c) ns, list(t) ts from node join nreg using (n) group by m),
+el as (select m, list(c) app, coalesce(list(c) filter (where st = 1), []) cs, coalesce(list(c) filter (where st = 2), []) xs from edge group by m),
+w as (select nl.m, ns, map(ns, ts) tm, coalesce(app, []) app, coalesce(cs, []) cs, coalesce(xs, []) xs from nl left join el using (m)),
+allc as (select list(c order by c) cc from reg),
+r as (select a.m e, b.m a, list_filter(cc, lambda c: not (list_contains(a.app, c) and list_contains(b.app, c))) ex,
+  list_sort(list_concat(list_intersect(a.cs, b.xs), list_intersect(a.xs, b.cs))) ec, list_sort(list_concat(list_filter(a.ns, lambda n: not list_contains(b.ns, n)), list_filter(b.ns, lambda n: not list_contains(a.ns, n)))) nc,
+  len(list_intersect(a.ns, b.ns)) + len(list_intersect(a.cs, b.cs)) + len(list_intersect(a.xs, b.xs)) sh,
+  len(list_filter(a.app, lambda c: list_contains(b.app, c) and (list_contains(a.cs, c) or list_contains(a.xs, c) or list_contains(b.cs, c) or list_contains(b.xs, c)))) un,
+  len(a.app) + len(b.app) - 2 * len(list_intersect(a.app, b.app)) one, len(a.ns) + len(b.ns) - len(list_intersect(a.ns, b.ns)) nu,
+  len(list_filter(list_intersect(a.ns, b.ns), lambda n: a.tm[n] <> b.tm[n])) late
+  from w a join w b on a.m <> b.m cross join allc)
+select e || '__' || a as dyad_id, late = 0 as timing_compatible, array_to_string(ex, ',') as excluded_components, array_to_string(list_concat(ec, nc), ',') as conflicting_components,
+  sh::bigint as shared_resolved_claims, (nu + un + len(ec) + one)::bigint as union_resolved_claims, len(ec) + len(nc) > 0 as existence_conflict from r"""
 )
 def dyad_records(spark, sf_dir):
     reg, m = E.packed(spark, sf_dir)
@@ -154,10 +173,15 @@ def baseline(spark, sf_dir):
     return _counts(spark, sf_dir).agg(F.count("*").alias("dyads"), F.sum("shared").alias("shared"), F.sum("union_claims").alias("union_claims"), F.round(F.avg(F.col("shared") / F.col("union_claims")), 4).alias("mean_similarity"))
 
 
-@query(", sig as (select m, string_agg(n || ':' || t, ',' order by n) s from node group by m) select s.m as model_id, count(*) - 1 as duplicates from sig s join sig t on s.s = t.s group by s.m")
+@query(
+    """, sig as (select node.m, string_agg(n || ':' || t, ',' order by n) s from node group by node.m), open_ as (select m, count(case when st = 0 then 1 end) u from edge group by m)
+select s.m as model_id, count(*) - 1 as duplicates, any_value(coalesce(u, 0)) = 0 as is_resolved, 1::bigint as expected, (any_value(coalesce(u, 0)) = 0)::bigint as represented, any_value(coalesce(u, 0)) = 0 as coverage_complete
+from sig s join sig t on s.s = t.s left join open_ on open_.m = s.m group by s.m"""
+)
 def signature_twins(spark, sf_dir):
+    """An edge open between events of one day can only be settled as non-causal, so each model has one completion; it is there where nothing is open."""
     reg, m = E.packed(spark, sf_dir)
-    return S.diagnostics(m, reg).select("model_id", "duplicates")
+    return S.diagnostics(m, reg).select("model_id", "duplicates", "is_resolved", "expected", "represented", "coverage_complete")
 
 
 @query(", k as (select distinct m, c, st from edge) select c as comp_id, count(*) as claims, count(case when st = 0 then 1 end) as unknown, count(case when st = 0 then 1 end) / count(*) as unknown_rate from k group by c")
@@ -175,10 +199,10 @@ def set_matrix(spark, sf_dir):
 
 def _given_clusters(spark, sf_dir):
     reg, m = E.packed(spark, sf_dir)
-    return m.select("model_id", F.concat(F.lit("Cluster_0"), (F.col("np0") % 3 + 1).cast("string")).alias("cluster_id"))
+    return m.select("model_id", F.concat(F.lit("Cluster_0"), (F.col("cm0") % 3 + 1).cast("string")).alias("cluster_id"))
 
 
-_ASSIGN = """, bitsum as (select m, sum(1 << (i - 1)) b from node join names using (n) group by m), asg as (select m, 'Cluster_0' || cast(b % 3 + 1 as varchar) c from bitsum),
+_ASSIGN = """, bitsum as (select m, coalesce(sum(1 << (substr(c, 2)::int - 1)) filter (where st = 1), 0)::bigint b from models left join edge using (m) group by m), asg as (select m, 'Cluster_0' || cast(b % 3 + 1 as varchar) c from bitsum),
 inner_ as (select a.c, avg(shared / union_claims) s from dyad join asg a on a.m = ego_id join asg b on b.m = alter_id and a.c = b.c group by 1)"""
 
 
@@ -226,7 +250,7 @@ def _closed(spark, sf_dir):
 
 
 _CLOSED = """
-with node as (select user_id m, event_type n, min(date_diff('day', timestamp '2024-01-01 00:00:00', ts)) t from events where ts < timestamp '2024-01-04 00:00:00' and event_type in ('click', 'purchase', 'view') group by 1, 2),
+with node as (select user_id m, event_type n, min(date_diff('day', timestamp '2024-01-01 00:00:00', ts)) t from events where event_type in ('click', 'purchase', 'view') group by 1, 2),
 w as (select m, max(case when n = 'click' then t end) a, max(case when n = 'purchase' then t end) b, max(case when n = 'view' then t end) c from node group by m),
 sig as (select distinct (a is not null)::int pa, (b is not null)::int pb, (c is not null)::int pc,
   case when a is null or b is null then '-' when a < b then 'c' when a > b then 'n' else 'u' end e1, case when a is null or c is null then '-' when a < c then 'c' when a > c then 'n' else 'u' end e2,
@@ -282,10 +306,15 @@ from idd e where e.pb = 1 and e.pc = 1 and e.e1 <> 'u' and e.e2 <> 'u' and e.e3
 def adjustment_sets(spark, sf_dir):
     """Minimal adjustment sets for purchase -> view: click confounds if it causes both."""
     reg, m = _closed(spark, sf_dir)
+    p = P.build(m, reg, "purchase", "view").where("is_resolved and mas is not null")
+    return _lettered(m, reg).join(p, "model_id").select("model", F.concat_ws("|", F.transform("mas", lambda z: F.concat_ws(",", z))).alias("adjustment_sets"))
+
+
+def _lettered(m: DataFrame, reg: R.Registry) -> DataFrame:
+    """(model_id, model): what a model claims, a letter a component."""
     at = {r["comp_id"]: reg.ordinal[r["comp_id"]] for r in reg.rows}
     letter = F.concat(*(F.when(F.col("np0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) != 0, "1").otherwise("0") for r in reg.nodes), *(F.when(F.col("app0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) == 0, "-").when(F.col("cm0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) != 0, "c").when(F.col("xm0").bitwiseAND(F.lit(1 << at[r["comp_id"]])) != 0, "n").otherwise("u") for r in reg.edges))
-    p = P.build(m, reg, "purchase", "view").where("is_resolved and mas is not null")
-    return m.select("model_id", letter.alias("model")).join(p, "model_id").select("model", F.concat_ws("|", F.transform("mas", lambda z: F.concat_ws(",", z))).alias("adjustment_sets"))
+    return m.select("model_id", letter.alias("model"))
 
 
 @query()
@@ -294,6 +323,29 @@ def profile_clusters(spark, sf_dir):
     return C.named(C.dbscan(C.embed(C.profiles(s)), 0.3, 4))
 
 
+@query(
+    _ASSIGN
+    + """, lab(c, l) as (values ('Cluster_01', 'mainstream'), ('Cluster_03', 'ghost')), o as (select asg.m, asg.c, coalesce(l, 'unknown') l from asg left join lab using (c)),
+r as (select *, row_number() over (order by case l when 'ghost' then 0 when 'mainstream' then 1 else 4 end, c, m) k from o), e as (select c, l, max(k) + 0.5 x from r group by 1, 2)
+select c as cluster_id, l as label, x::double as position from e where x < (select max(x) from e)"""
+)
+def cluster_breaks(spark, sf_dir):
+    labels = spark.createDataFrame([("Cluster_01", "mainstream"), ("Cluster_03", "ghost")], "cluster_id string, label string")
+    return U.cluster_breaks(U.cluster_order(_given_clusters(spark, sf_dir), labels))
+
+
+@query(
+    _CLOSED
+    + """select e.pa || '' || e.pb || e.pc || e.e1 || e.e2 || e.e3 as model, 'P(view | do(purchase)) = ' || case when e.e1 = 'c' and e.e2 = 'c' then 'sum_{click} P(view | purchase, click) P(click)' else 'P(view | purchase)' end as formula, 'back-door' as method
+from idd e where e.pb = 1 and e.pc = 1 and e.e1 <> 'u' and e.e2 <> 'u' and e.e3 <> 'u'"""
+)
+def identified_effects(spark, sf_dir):
+    """Formulas of the effect purchase -> view in every resolved hypothesis."""
+    reg, m = _closed(spark, sf_dir)
+    p = P.build(m, reg, "purchase", "view").where("is_resolved and identified")
+    return _lettered(m, reg).join(p, "model_id").select("model", "formula", "method")
+
+
 _F2 = [{"name": "Z", "timing": 1}, {"name": "X", "timing": 2}, {"name": "Y", "timing": 3}]
 
 
@@ -309,6 +361,20 @@ def exhaustive_expansion(spark, sf_dir):
     return expansion.exhaustive(spark, R.build(_F2, exposure="X", outcome="Y"))
 
 
+@query("select 50::bigint as models, 50::bigint as different, 50 * 5::bigint as nodes, 50 * 5 * 4::bigint as edges, 0::bigint as cycles")
+def sampled_expansion_check(spark, sf_dir):
+    """What holds of any sample: so many different models, each with every node and edge claimed once, none with a cycle."""
+    from causeway.operators import expansion
+
+    reg = R.build([{"name": n} for n in "ABCDE"])
+    c = expansion.sampled(spark, reg, 50, seed=7)
+    m = M.pack(c, reg)
+    edges = [r["comp_id"] for r in reg.edges]
+    rows = c.distinct().agg(F.count_if(~F.col("comp_id").isin(edges)).alias("nodes"), F.count_if(F.col("comp_id").isin(edges)).alias("edges"))
+    models = m.agg(F.count("*").alias("models"), F.count_distinct(M.signature(reg)).alias("different"))
+    return models.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(P.cyclic(m, reg).agg(F.count("*").alias("cycles"))))  # a row each
+
+
 @query()
 def sampled_expansion(spark, sf_dir):
     from causeway.operators import expansion
@@ -329,18 +395,67 @@ def symbolic_masses(spark, sf_dir):
     return symbolic.query_classes(spark, u, formulas.TRUE).groupBy(*by).agg(F.sum("mass").alias("mass"))
 
 
-@query()
+@query(
+    """with a as (select i & 1 > 0 ab, i & 2 > 0 xc, i & 4 > 0 cd from range(8) q(i)),
+k as (select *, ab as open_, xc as forbidden, ab::int as least from a),
+e as (select 'e__A__B' c, 0 o, ab as there, * from k union all select 'e__X__C', 1, xc, * from k union all select 'e__C__D', 2, cd, * from k),
+g as (select c, o, there, open_, forbidden, least, ab, xc, count(*) n from e group by all),
+h as (select c, there, sum(n) t, -sum(n / tt * log2(n / tt)) h from (select *, sum(n) over (partition by c, there) tt from g) group by 1, 2),
+g0 as (select c, o, open_, forbidden, least, ab, xc, count(*) n from e group by all), h0 as (select c, any_value(o) o, -sum(n / tt * log2(n / tt)) h from (select *, sum(n) over (partition by c) tt from g0) group by 1),
+r as (select h0.c, o, h0.h b, p.h hp, m.h hm from h0 join h p on p.c = h0.c and p.there join h m on m.c = h0.c and not m.there)
+select c as component_id, b + 0.0 as baseline_entropy, hp + 0.0 as entropy_if_present, hm + 0.0 as entropy_if_absent, greatest(b - hp, b - hm, 0) + 0.0 as delta_u, case when b - hp >= b - hm then 'present' else 'absent' end as best_resolution, true as exact,
+  row_number() over (order by greatest(b - hp, b - hm, 0) desc, o) as rank from r"""
+)
 def symbolic_crux(spark, sf_dir):
+    """Classes differ by the open back door (A -> B), what the exposure causes (X -> C) and those edges; C -> D tells nothing."""
     from causeway.plans import symbolic
 
     u = symbolic.paper_small()
     c, _ = symbolic.constraints(u, absent=[e for e in u.edges if e not in u.fixed and e not in (("C", "D"), ("X", "C"), ("A", "B"))])
-    return symbolic.crux(spark, u, c)
+    return symbolic.crux(spark, u, c).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(
+    """with a as (select i, i & 1 > 0 ab, i & 2 > 0 ax, i & 4 > 0 ay, i & 8 > 0 bx, i & 16 > 0 by_, i & 32 > 0 xy from range(64) q(i)),
+c as (select (ax and ay) or (ax and ab and by_) aopen, (bx and by_) or (bx and ab and ay) bopen, * from a),
+v as (select not (aopen or bopen) z0, not (bx and by_) za, not (ax and ay) zb from c)
+select count(*) as mass, true as possibly_identifiable, true as necessarily_identifiable, count(*) as identifiable_mass, bool_or(z0) as empty_adjustment_valid, 1.0::double as proportion,
+  count(case when z0 then 1 end) as empty_valid_mass, count(case when za then 1 end) as with_a_mass, count(case when zb then 1 end) as with_b_mass from v"""
+)
+def symbolic_signature(spark, sf_dir):
+    """What an adjustment for both others, one or none of them does over all graphs of four nodes."""
+    from causeway.plans import formulas, symbolic
+
+    u = symbolic.from_nodes([{"name": n, "timing": i} for i, n in enumerate("ABXY")], "X", "Y")
+    index = symbolic.Index(u)
+    s = symbolic.space(spark, u, formulas.TRUE)
+    mass = lambda *z: F.count_if(s.column(index.valid[frozenset(z)]))
+    counts = s.df.agg(mass().alias("empty_valid_mass"), mass("A").alias("with_a_mass"), mass("B").alias("with_b_mass"))
+    return symbolic.signature(spark, u, formulas.TRUE, index).drop("always_valid_sets", "sometimes_valid_sets", "exact").crossJoin(F.broadcast(counts))  # one row is broadcast
 
 
-@query("select 'mas_compatible' as metric, 36672::bigint as dyads, 384::bigint as compatible union all select 'identified_compatible', 36672, 4032")
+@query(
+    """with a as (select i, i & 1 ab, i >> 1 & 1 ax, i >> 2 & 1 ay, i >> 3 & 1 bx, i >> 4 & 1 by_, i >> 5 & 1 xy from range(64) q(i))
+select 'edges' as bound, count(*)::bigint as mass from a where ab + ax + ay + bx + by_ + xy <= 2 union all select 'into', count(*) from a where ab <= 1 and ax + bx <= 1 and ay + by_ + xy <= 1
+union all select 'out', count(*) from a where ab + ax + ay <= 1 and bx + by_ <= 1"""
+)
+def symbolic_bounds(spark, sf_dir):
+    """Graphs of four nodes with few edges, all in all and at each node: counted by diagrams."""
+    from causeway.plans import symbolic
+
+    u = symbolic.from_nodes([{"name": n, "timing": i} for i, n in enumerate("ABXY")], "X", "Y")
+    rows = [("edges", symbolic.sparse(u, 2)), ("into", symbolic.sparse(u, most_into=1)), ("out", symbolic.sparse(u, most_out=1))]
+    return spark.createDataFrame([(n, symbolic.count(u, f)) for n, f in rows], "bound string, mass long")
+
+
+@query(
+    """with r as (select i from range(128) q(i)), models as (select i, false partial from r union all select i * 2, true from range(64) q(i)),
+pairs as (select a.i x, a.partial px, b.i y, b.partial py from models a join models b on (a.i, a.partial) <> (b.i, b.partial))
+select 'mas_compatible' as metric, count(*) as dyads, count(case when not px and not py and x & 31 = y & 31 then 1 end) as compatible from pairs
+union all select 'identified_compatible', count(*), count(case when not px and not py and x & 1 = 0 and y & 1 = 0 then 1 end) from pairs"""
+)
 def precision_illusion(spark, sf_dir):
-    """Scenarios with known counts."""
+    """Pairs that agree: by the five edges into the exposure, which are its confounders', or by both lacking the direct edge; partial models agree with none."""
     from causeway.plans import scenarios
 
     rows = [scenarios.illusion_result(spark, m) for m in ("mas_compatible", "identified_compatible")]
@@ -354,12 +469,25 @@ def ghost_scenario(spark, sf_dir):
     return scenarios.ghost_result(spark)
 
 
-@query()
+@query(
+    """with g as (select i, i & 1 > 0 ab, i >> 1 & 1 > 0 at_, i >> 2 & 1 > 0 ay, i >> 3 & 1 > 0 bt, i >> 4 & 1 > 0 by_ from range(32) q(i)),
+p as (select *, ab or at_ or ay as ua, ab or bt or by_ as ub, at_ and ay p1, bt and by_ p2, at_ and ab and by_ p3, bt and ab and ay p4 from g),
+f as (select i, 'Y ~ ' || case when ay then 'X1 + ' else '' end || case when by_ then 'X2 + ' else '' end || 'Xtest' || case when ua then '' else ', X1 ~ X1' end || case when ab then ', X2 ~ X1' when ub then '' else ', X2 ~ X2' end
+    || case when at_ and bt then ', Xtest ~ X1 + X2' when at_ then ', Xtest ~ X1' when bt then ', Xtest ~ X2' else '' end as formula,
+  not (p1 or p2 or p3 or p4) z0, not (p2) za, not (p1) zb, case when ua then 'X1_' else '' end || case when ub then 'X2_' else '' end || 'Xtest_Y' nodes from p),
+m as (select i + 1 as model, formula, case when z0 then '' else array_to_string(list_filter([case when za then 'X1' end, case when zb then 'X2' end, case when not za and not zb then 'X1,X2' end], lambda x: x is not null), '|') end mas, nodes from f
+  union all select 33, 'Y ~ X1 + Xtest, X1 ~ X2', '', 'X1_X2_Xtest_Y' union all select 34, 'Y ~ Xtest, X1 ~ X1', '', 'Xtest_Y'),
+s as (select *, case when mas = '' then ['none'] else string_split(mas, '|') end sets from m), ref as (select sets rs, nodes rn from s where model = 1)
+select model::int as model, formula, mas, 'yes' as correct_test, nodes as unq_nodes, case when model = 1 then 'reference model' when list_has_any(sets, rs) then 'compatible' else 'incompatible' end as test_compatible,
+  case when model = 1 then 'reference model' when nodes = rn then 'compatible' else 'incompatible' end as full_model_compatible from s cross join ref"""
+)
 def older_workflow(spark, sf_dir):
+    """Every choice of five edges among two controls, a test and its outcome, and two models of the user's that are not among them."""
     from causeway.plans import legacy
 
     edges = legacy.build_causal_node(spark, ["Y", "Xtest", "X1", "X2"], [0, -1, -3, -2], ["otc", "test", "ctr", "ctr"], ["Y ~ X1 + Xtest; X1 ~ X2", "Y ~ Xtest; X2 ~ X1", "Y ~ Xtest; X1 ~ X1"])
-    return legacy.add_compatible(legacy.build_formula_matrix(edges, ["X1", "X2", "Xtest", "Y"]))
+    out = legacy.add_compatible(legacy.build_formula_matrix(edges, ["X1", "X2", "Xtest", "Y"]))
+    return out.withColumn("mas", F.concat_ws("|", F.transform("mas", lambda z: F.concat_ws(",", z))))
 
 
 @query(

@@ -1,6 +1,6 @@
 """Hypotheses from the driver's event table.
 
-A user is a model and an event type a node, present if the user has such an event before a day, timed by the day of the first one. For each two
+A user is a model and an event type a node, present if the user has such an event (before a day, if one is named), timed by the day of the first one. For each two
 types there is an edge from the alphabetically first: causal if it comes first, non-causal if later, unknown on one day.
 """
 
@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from causeway.operators import models as M
 from causeway.sources import registry as R
 
-BEFORE = "2024-01-04 00:00:00"
+#: The day that ends the slice of the first build plan.
+SLICE = "2024-01-04 00:00:00"
 
 
-def nodes(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, types: list[str] | None = None, before: str | None = None) -> DataFrame:
     """(model_id, node, timing)"""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("ts") < F.lit(datetime.fromisoformat(BEFORE)).cast("timestamp_ntz"))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if before:
+        ev = ev.where(F.col("ts") < F.lit(datetime.fromisoformat(before)).cast("timestamp_ntz"))
     if types:
         ev = ev.where(F.col("event_type").isin(types))
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
@@ -32,8 +35,8 @@ def registry(spark: SparkSession, sf_dir: str, types: list[str] | None = None, *
     return R.build([{"name": n} for n in names], constraints=allowed, **focal)
 
 
-def claims(spark: SparkSession, sf_dir: str, reg: R.Registry) -> DataFrame:
-    n = nodes(spark, sf_dir, [r["source"] for r in reg.nodes])
+def claims(spark: SparkSession, sf_dir: str, reg: R.Registry, before: str | None = None) -> DataFrame:
+    n = nodes(spark, sf_dir, [r["source"] for r in reg.nodes], before)
     ids = spark.createDataFrame([(r["source"], r["comp_id"]) for r in reg.nodes], "node string, comp_id string")
     ends = spark.createDataFrame([(r["source"], r["target"], r["comp_id"]) for r in reg.edges], "s string, t string, comp_id string")
     a, b = n.toDF("model_id", "s", "ts"), n.toDF("model_id", "t", "tt")
@@ -42,6 +45,6 @@ def claims(spark: SparkSession, sf_dir: str, reg: R.Registry) -> DataFrame:
     return n.join(F.broadcast(ids), "node").select("model_id", "comp_id", F.lit("present").alias("status"), "timing").union(edges)
 
 
-def packed(spark: SparkSession, sf_dir: str) -> tuple[R.Registry, DataFrame]:
+def packed(spark: SparkSession, sf_dir: str, before: str | None = None) -> tuple[R.Registry, DataFrame]:
     reg = registry(spark, sf_dir)
-    return reg, M.pack(claims(spark, sf_dir, reg), reg).persist()  # one row a model, used more than once
+    return reg, M.pack(claims(spark, sf_dir, reg, before), reg).persist()  # one row a model, used more than once
