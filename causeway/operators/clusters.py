@@ -209,7 +209,7 @@ def _most_central(central: DataFrame, top: int) -> DataFrame:
     mean = central.select("cluster_id", "model_id", F.coalesce(F.try_divide("total", "pairs"), F.lit(0.0)).alias("centrality"))
     w = Window.partitionBy("cluster_id")
     small = F.count("*").over(w) <= top
-    place = F.row_number().over(w.orderBy(F.desc(F.when(F.col("_small"), 0.0).otherwise(F.col("centrality"))), "model_id"))
+    place = F.row_number().over(w.orderBy(F.desc(F.when(F.col("_small"), 0.0).otherwise(F.round("centrality", 9))), "model_id"))  # sums come in any order
     return mean.withColumn("_small", small).withColumn("place", place).where(F.col("place") <= top).select("cluster_id", "model_id", "centrality", "place")
 
 
