@@ -1,8 +1,8 @@
 """Connected components of an edge table, by rounds of large and small stars.
 
-A star is one exchange: edges are dealt out by node, sorted, and streamed, so a node's least neighbour comes first. Nodes with so
-many edges that they would fill a share of a task (there are at most a few a partition) are left out of the exchange: their least
-neighbours are broadcast, and their edges turned where they lie. Nothing is collected.
+A star is one exchange: edges are dealt out by node, sorted, and streamed, so a node's least neighbour comes first. Nodes of very many
+edges (few, by their number) are left out of the exchange: their least neighbours are broadcast, and their edges turned where they
+lie. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from . import exchange as X
 
 EDGES = "u long, v long"
-#: Shares of a partition's rows from which on a node is a large one.
-HOT = 4
+#: Edges from which on a node is a large one; so many are streamed in a moment.
+LARGE = 1 << 16
 
 
-def _stars(edges: DataFrame, large: bool, rows: int) -> DataFrame:
-    """edges (u, v) with v < u, about ``rows`` of them. Large: each node's greater neighbours go to its least one (itself counts); small: its lesser ones and itself do."""
+def _stars(edges: DataFrame, large: bool, hot: DataFrame | None) -> DataFrame:
+    """edges (u, v) with v < u; ``hot`` (h): nodes of very many edges. Large: each node's greater neighbours go to its least one (itself counts); small: its lesser ones and itself do."""
 
     def run(batches):
         node, low, last = None, None, None
@@ -47,26 +47,40 @@ def _stars(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     if large:
         edges = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     parts = X.parts(edges.sparkSession)
-    # at most HOT nodes a partition can be so large
-    hot = F.broadcast(edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).where(F.col("n") > max(1, rows * (1 + large) // (HOT * parts))).select(F.col("u").alias("h"), "m"))
-    marked = edges.join(hot, F.col("u") == F.col("h"), "left")
-    cold = marked.where("h is null").select("u", "v").repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(run, EDGES)
+
+    def dealt(own: DataFrame) -> DataFrame:
+        return own.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(run, EDGES)
+
+    if hot is None:
+        return dealt(edges)
+    marked = edges.join(F.broadcast(hot), F.col("u") == F.col("h"), "left")
+    most = marked.where("h is not null")
+    least = F.broadcast(most.groupBy("h").agg(F.min("v").alias("m")))
+    most = most.drop("h").join(least, F.col("u") == F.col("h"))
     if large:
-        least = F.least("m", "u")
-        return cold.union(marked.where("h is not null").select(F.col("v").alias("u"), least.alias("v"), "h").where("u > h and u <> v").select("u", "v"))
-    turned = marked.where("h is not null and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return cold.union(turned).union(hot.select(F.col("h").alias("u"), F.col("m").alias("v")))
+        turned = most.where("v > h").select(F.col("v").alias("u"), F.least("m", "h").alias("v"))
+    else:
+        turned = most.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("h").alias("u"), F.col("m").alias("v")))
+    return dealt(marked.where("h is null").select("u", "v")).union(turned).coalesce(parts)
+
+
+def _large(edges: DataFrame, rows: int, most: int) -> DataFrame | None:
+    """(h): nodes of more than ``most`` edges, of which there are at most 2 * rows / most; None if there is none."""
+    if rows <= most:
+        return None
+    hot = X.durable(edges.select(F.explode(F.array("u", "v")).alias("h")).groupBy("h").count().where(F.col("count") > most).select("h"))
+    return hot if hot.limit(1).count() else None
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = LARGE) -> DataFrame:
     """(u, v): each node of the edges but the least of its component, and that least one. edges: two columns of numbers."""
     a, b = edges.columns
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     now = X.durable(now)
-    mark, rows = None, now.count()
+    mark, hot = None, _large(now, now.count(), most)
     while True:
-        now = X.durable(_stars(_stars(now, True, rows), False, rows))
+        now = X.durable(_stars(_stars(now, True, hot), False, hot))
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             return now
-        mark, rows = new, new[0]
+        mark, hot = new, _large(now, new[0], most)

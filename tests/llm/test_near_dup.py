@@ -119,3 +119,24 @@ def test_components(spark):
         parent[b] = a
     want = sorted((x, find(x)) for x in parent if find(x) != x)
     assert sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()) == want
+
+
+def test_components_with_large_nodes(spark):
+    from causeway.llm import components as C
+
+    rng = np.random.default_rng(4)
+    edges = [(0, i) for i in range(1, 400)] + [(1000, i) for i in range(1001, 1300)] + [(399, 1299)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2400, (300, 2))]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for x in parent if root(x) != x}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (20, C.LARGE):
+        assert {r["u"]: r["v"] for r in C.components(df, most).collect()} == want
