@@ -275,9 +275,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     signed = X.durable(X.finish(chunks, df, _sign(n, size, bands, rows, total, similarity), SIGNED))
     reps = signed.groupBy("t1", "t2").agg(F.min("uid").alias("rep"))
     signed = X.durable(signed.join(reps, ["t1", "t2"]).select("uid", "doc_id", "rep", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys"), "size"))
-    banded = signed.where("uid = rep").select("uid", "size", F.posexplode("keys").alias("band", "key"))
-    low = banded.groupBy("band", "key").agg(F.min("uid").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = banded.join(low, ["band", "key"]).where("uid <> low").select("uid", "low")
+    # a key holds its band's number; one text may have it by its own class of weight and another by the next
+    banded = signed.where("uid = rep").select("uid", F.explode("keys").alias("key"))
+    low = banded.groupBy("key").agg(F.min("uid").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = banded.join(low, "key").where("uid <> low").select("uid", "low")
     groups = components(edges)
     groups = X.durable(groups.select(F.col("u").alias("uid"), F.col("v").alias("grp")).union(groups.select(F.col("v").alias("uid"), F.col("v").alias("grp")).distinct()))
     wanted = groups.select((F.shiftright("uid", 12)).alias("b"), F.col("uid").bitwiseAND(4095).alias("i")).groupBy("b").applyInArrow(_places, X.ANSWER_SCHEMA)

@@ -140,3 +140,19 @@ def test_components_with_large_nodes(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     for most in (20, C.LARGE):
         assert {r["u"]: r["v"] for r in C.components(df, most).collect()} == want
+
+
+def test_texts_of_unlike_weight_meet(spark, tmp_path):
+    """Each text has a longer version, most of them in the next class of weight: nearly all pairs of similarity 0.8 and more are linked."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(120):
+        n = int(rng.integers(100, 300))
+        w = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, *(f"w{x}" for x in rng.integers(0, 10**9, int(n * 0.17)))]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    v = vectors([t for _, t in rows])
+    close = [i for i in range(120) if similarity(v[2 * i], v[2 * i + 1]) >= 0.8]
+    got = dict(near_dup.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert len(close) > 100 and sum(got[2 * i] == got[2 * i + 1] for i in close) >= 0.98 * len(close)
+    assert len(set(got.values())) >= 120
