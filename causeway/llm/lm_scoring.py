@@ -6,7 +6,7 @@ the attention model learns comes from them: its classes, shares and what follows
 and its weights come from all their windows, in which each subword and each end is learned from once. A
 bounded sample of windows gives the first weights only; then every partition goes over all of its own, and their weights are averaged by the windows they saw.
 
-Null texts are empty: their end is their only token. Repeated rows score alike. Without learning rows N and V are 0. Subwords of
+Null texts are empty: their end is their only token. Repeated rows score alike, up to rounding. Without learning rows N and V are 0. Subwords of
 equal counts are ordered by id. Texts of any length are scored whole; other columns are not used.
 """
 
