@@ -1,9 +1,11 @@
 """The pipeline's stages on planted documents, and end to end."""
 
+import hashlib
 import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -63,3 +65,43 @@ def test_run_on_nothing(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_stage_as_brute_force(spark, tmp_path):
+    """Each stage's rows from what it was given: scores text by text, all pairs, all windows, all benchmark windows, whole texts."""
+    import public_tokenizers
+    from test_exact import brute_hits
+    from test_near_dup import brute as brute_classes
+    from test_passages import WORD
+    from test_passages import brute as brute_passages
+
+    from causeway.llm import batch as B
+    from causeway.llm import bpe, toxicity
+
+    sf = "/root/testdata/sf0.001"
+    d, out = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    scorer = toxicity.train(d, spark.read.parquet(f"{sf}/labels.parquet"), "true")
+    for name, stage in corpus_pipeline.STAGES:
+        given = [(r["doc_id"], r["text"]) for r in d.collect()]
+        stage(spark, d, sf).write.parquet(str(tmp_path / name))
+        d = spark.read.parquet(str(tmp_path / name))
+        got = {r["doc_id"]: r for r in d.collect()}
+        texts = dict(given)
+        if name == "toxicity":
+            want = {i for i, t in given if scorer.scores(*B.flat(pa.array([t], pa.string())))[0] < 0.5}
+        elif name == "near_duplicates":
+            want = {c for _, c in brute_classes(given)}
+        elif name == "substring_dedup":
+            want = set(texts)
+            digest = {i: (hashlib.sha256(" ".join(WORD.findall(r["text"] or "")).encode()).hexdigest()) for i, r in got.items()}
+            assert digest == {i: sha for i, _, _, sha in brute_passages(given, 13)}
+        elif name == "decontamination":
+            items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            want = {i for i, x in brute_hits(given, items).items() if not x[-1]}
+        else:
+            want = set(texts)
+            enc = bpe._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+            assert {i: r["ids"] for i, r in got.items()} == {i: enc.encode_ordinary(t or "") for i, t in given}
+        assert set(got) == want, name
+        out[name] = len(got)
+    assert out["toxicity"] > out["near_duplicates"] > 0
