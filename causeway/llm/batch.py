@@ -190,10 +190,3 @@ def encode(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Codes and distinct values, in order of first appearance."""
     d = column.dictionary_encode()
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary
-
-
-def crc32_mod5(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
-    """crc32 of the decimal text of each id, modulo 5; -1 where the id is null."""
-    import zlib
-
-    return np.fromiter((-1 if z else zlib.crc32(b"%d" % i) % 5 for i, z in zip(ids.tolist(), null.tolist(), strict=True)), np.int64, len(ids))
