@@ -498,3 +498,195 @@ def status_heatmap(spark, sf_dir):
     reg, m = E.packed(spark, sf_dir)
     claims = M.unpack(m, reg).where(F.col("comp_id").isin([r["comp_id"] for r in reg.edges]))
     return U.status_heatmap(claims).withColumns({c: F.col(c).cast("bigint") for c in ("component_order", "model_order")})
+
+
+# --- states, summaries and frames ---
+
+
+@query("select m as model_id, c as comp_id, case st when 1 then 1 when 2 then 2 else 0 end::int as code from edge union all select m, c, 1 from node join nreg using (n)")
+def sparse_codes(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return M.codes(M.unpack(m, reg))
+
+
+@query(
+    """, every_ as (select c, n, null::varchar s from nreg union all select c, null, s from reg)
+select m as model_id, every_.c as comp_id, case when every_.n is not null then case when node.m is null then 'absent' else 'present' end when edge.c is null then null when st = 1 then 'causal' when st = 2 then 'non-causal' else 'unknown' end as status, node.t as timing
+from models cross join every_ left join node using (m, n) left join edge using (m, c)"""
+)
+def dense_records(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return M.unpack(m, reg, dense=True)
+
+
+@query("select m as model_id, c as comp_id, 'unknown' as status from models cross join (select c from nreg union all select c from reg)")
+def unknown_states(spark, sf_dir):
+    reg, m = E.packed(spark, sf_dir)
+    return M.create(m.select("model_id"), reg).drop("timing")
+
+
+@query("select c as comp_id, count(case when st = 0 or m like '%7' then 1 end) as unknown, count(case when st = 1 and m not like '%7' then 1 end) as causal from edge group by c")
+def changed_states(spark, sf_dir):
+    """All edges of some models set to unknown."""
+    reg, m = E.packed(spark, sf_dir)
+    claims, edges = M.unpack(m, reg), [r["comp_id"] for r in reg.edges]
+    changes = claims.where(F.col("comp_id").isin(edges) & F.col("model_id").like("%7")).select("model_id", "comp_id", F.lit("unknown").alias("status"))
+    own = M.set_status(claims, changes, reg).where(F.col("comp_id").isin(edges))
+    return own.groupBy("comp_id").agg(F.count_if(F.col("status") == "unknown").alias("unknown"), F.count_if(F.col("status") == "causal").alias("causal"))
+
+
+@query("select count(*) as total, count(n) as nodes, count(s) as edges, count(s) as directed, 0::bigint as bidirected from (select n, null::varchar s from nreg union all select null, s from reg)")
+def registry_summary(spark, sf_dir):
+    r = E.registry(spark, sf_dir).summary()
+    return spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} long" for k in r))
+
+
+@query(_CLOSED + "select id as model, power(2, (e1 = 'u')::int + (e2 = 'u')::int + (e3 = 'u')::int)::bigint as completions from idd")
+def completion_counts(spark, sf_dir):
+    """Every way to settle three edges that can't run in a circle."""
+    reg, m = _closed(spark, sf_dir)
+    return S.completions(m, reg).groupBy("model_id").agg(F.count("*").alias("completions")).join(_lettered(m, reg), "model_id").select("model", "completions")
+
+
+@query(_CLOSED + ", part as (select * from idd where e1 = 'u' or e2 = 'u' or e3 = 'u') select count(distinct (pa, pb, pc, a.r, b.r, c.r)) as support_models from part join res a on a.f = e1 join res b on b.f = e2 join res c on c.f = e3 where a.r <> 'u' and b.r <> 'u' and c.r <> 'u'")
+def completion_support(spark, sf_dir):
+    """Models to be added so that partial ones alone are closed under completion."""
+    reg, m = _closed(spark, sf_dir)
+    partial = m.join(S.diagnostics(m, reg).where("not is_resolved"), "model_id", "left_semi")
+    return S.support(partial, reg).agg(F.count("*").alias("support_models"))
+
+
+def _resolved_profiles(spark, sf_dir, exposure: str, outcome: str) -> DataFrame:
+    reg, m = _closed(spark, sf_dir)
+    return P.build(m, reg, exposure, outcome).where("is_resolved and mas is not null")
+
+
+_SETTLED = ", done as (select *, case when e1 = 'c' and e2 = 'c' then 'click' else '' end z from idd where pb = 1 and pc = 1 and e1 <> 'u' and e2 <> 'u' and e3 <> 'u')"
+
+
+@query(_CLOSED + _SETTLED + "select z as adjustment_set, count(*) as models, (count(*) * (count(*) - 1) / 2)::bigint as sole_in_pairs from done group by z")
+def adjustment_prevalence(spark, sf_dir):
+    return U.adjustment_prevalence(_resolved_profiles(spark, sf_dir, "purchase", "view"))
+
+
+@query(_CLOSED + _SETTLED + ", k as (select z, count(*) n from done group by z) select string_agg('{' || z || '}', '; ' order by z) as most_common, max(n) as models, string_agg('{' || z || '}', '; ' order by z) as sole, (max(n) * (max(n) - 1) / 2)::bigint as sole_in_pairs from k where n = (select max(n) from k)")
+def most_prevalent_sets(spark, sf_dir):
+    return U.most_prevalent(U.adjustment_prevalence(_resolved_profiles(spark, sf_dir, "purchase", "view")))
+
+
+@query(_CLOSED + _SETTLED + "select 'mas_compatible' as metric, count(*) as available, count(*) as pairs, count(case when a.z = b.z then 1 end) as compatible, count(case when a.z = b.z then 1 end) / count(*) as share from done a join done b on a.id <> b.id union all select 'identified_compatible', count(*), count(*), count(*), 1.0 from done a join done b on a.id <> b.id")
+def compatibility_shares(spark, sf_dir):
+    reg, m = _closed(spark, sf_dir)
+    p = _resolved_profiles(spark, sf_dir, "purchase", "view")
+    own = m.join(p, "model_id", "left_semi")
+    return U.compatibility_share(P.compare(D.counts(D.pairs(own, reg), reg).select("ego_id", "alter_id"), p), "mas_compatible", "identified_compatible")
+
+
+@query(_CLOSED + ", d as (select *, (e1 = 'c' and e3 = 'c') inner_ from idd where pa = 1 and pc = 1 and e1 <> 'u' and e2 <> 'u' and e3 <> 'u'), k as (select count(case when pb = 1 and not inner_ then 1 end) n, count(*) t from d) select 'purchase' as node, (n * (t - n))::bigint as pairs from k where n > 0 and n < t")
+def missing_components(spark, sf_dir):
+    """The effect click -> view: purchase counts where the effect doesn't run through it."""
+    return U.missing_components(_resolved_profiles(spark, sf_dir, "click", "view"))
+
+
+@query(_CLOSED + "select count(*) as models, count(*) as identified, 0::bigint as not_identified, 0::bigint as unavailable from idd where pb = 1 and pc = 1")
+def identified_models(spark, sf_dir):
+    reg, m = _closed(spark, sf_dir)
+    return U.identified_models(P.build(m, reg, "purchase", "view").where("nodes is not null or is_resolved"))
+
+
+@query(
+    _CLOSED
+    + """, x as (select f.e, f.st, avg(post.shared / post.uni - base.shared / base.uni) d from flip f join flip g on f.e = g.e and f.st = g.st and f.id <> g.id join cs base on base.ego = f.id and base.alter_id = g.id join cs post on post.ego = f.src and post.alter_id = g.src group by 1, 2),
+y as (select c.e, c.d dc, n.d dn from x c join x n on n.e = c.e and n.st = 'n' where c.st = 'c')
+select 'C000' || (3 + e) as component_id, round(greatest(dc, dn, 0), 5) as delta_u, case when round(dc, 6) >= round(dn, 6) then 'causal' else 'non-causal' end as best_resolution from y"""
+)
+def crux_ranking(spark, sf_dir):
+    reg, m = _closed(spark, sf_dir)
+    return Crux(m, reg).rank(None).select("component_id", F.round("delta_u", 5).alias("delta_u"), "best_resolution")
+
+
+@query(
+    _CLOSED
+    + """, s as (select round(post.shared / post.uni, 9) - round(base.shared / base.uni, 9) d from flip f join flip g on f.e = 1 and g.e = 1 and f.st = 'c' and g.st = 'c' and f.id <> g.id join cs base on base.ego = f.id and base.alter_id = g.id join cs post on post.ego = f.src and post.alter_id = g.src)
+select round(avg(d), 5) as mean_change, count(case when d > 1e-7 then 1 end) as improved, count(case when d < -1e-7 then 1 end) as worsened, count(case when abs(d) <= 1e-7 then 1 end) as unchanged from s"""
+)
+def crux_shift(spark, sf_dir):
+    """Every pair's similarity before and after the first edge is settled as causal."""
+    reg, m = _closed(spark, sf_dir)
+    crux = Crux(m, reg)
+    before = D.counts(D.pairs(m, reg), reg).select("ego_id", "alter_id", D.similarity(F.col("shared"), F.col("union_claims")).alias("score"))
+    return U.shift_summary(U.shift(before, crux.resolved_pairs(reg.edges[0]["comp_id"], "causal"))).withColumn("mean_change", F.round("mean_change", 5))
+
+
+@query(", g as (select m, round(1 - avg(shared / union_claims), 9) gap from (select ego_id m, shared, union_claims from dyad union all select alter_id, shared, union_claims from dyad) group by m) select m as name, round(gap, 6) as gap from g where gap >= (select quantile_cont(gap, 0.9) from g) order by g.gap desc, m limit 15")
+def outlying_models(spark, sf_dir):
+    """Models least like the others."""
+    g = U.of_models(_scores(spark, sf_dir)).select(F.col("model_id").alias("name"), F.round(1 - F.col("mean_score"), 9).alias("gap"))
+    return U.outliers(g).select("name", F.round("gap", 6).alias("gap"))
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    """(model_id, x, y): causal and non-causal edges of each model."""
+    from causeway.functions import bits
+
+    reg, m = E.packed(spark, sf_dir)
+    return m.select("model_id", *(bits.count(bits.words(k, reg.words)).cast("double").alias(a) for k, a in (("cm", "x"), ("xm", "y"))))
+
+
+_POINTS = ", pts as (select m, count(case when st = 1 then 1 end)::double x, count(case when st = 2 then 1 end)::double y from models left join edge using (m) group by m)"
+
+
+@query(_ASSIGN + _POINTS + "select asg.c as label, count(*) as models, round(avg(x), 9) as x, round(avg(y), 9) as y from asg join pts using (m) group by asg.c")
+def label_centroids(spark, sf_dir):
+    return U.label_centroids(_points(spark, sf_dir), _given_clusters(spark, sf_dir).withColumnRenamed("cluster_id", "label")).withColumns({c: F.round(c, 9) for c in "xy"})
+
+
+@query(
+    _POINTS
+    + """, near as (select a.m u, b.m v from pts a join pts b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1), core as (select u from near group by u having count(*) >= 6),
+lk as (select distinct n.u, n.v from near n join core a on a.u = n.u join core b on b.u = n.v),
+hop1 as (select distinct a.u, b.v from lk a join lk b on a.v = b.u), hop2 as (select distinct a.u, b.v from hop1 a join hop1 b on a.v = b.u), hop4 as (select distinct a.u, b.v from hop2 a join hop2 b on a.v = b.u), hop8 as (select distinct a.u, b.v from hop4 a join hop4 b on a.v = b.u),
+lab as (select u, min(v) l from hop8 group by u), num as (select l, dense_rank() over (order by l) - 1 k from (select distinct l from lab)), own as (select u, k from lab join num using (l)),
+border as (select n.u, min(k) k from near n join own on own.u = n.v where n.u not in (select u from core) group by n.u)
+select m as model_id, coalesce(own.k, border.k)::int as cluster from pts left join own on own.u = m left join border on border.u = m"""
+)
+def density_clusters(spark, sf_dir):
+    """Models by their numbers of causal and non-causal edges: a grid of at most some ten steps, so sixteen links reach everywhere."""
+    return C.dbscan(_points(spark, sf_dir), 1.0, 6)
+
+
+@query(
+    """, spot as (select n, (i - (k + 1) / 2.0) * 1.5 y from names)
+select m as model_id, c as comp_id, s as source, d as target, case st when 1 then 'causal' else 'unknown' end as status, case st when 1 then 'solid' else 'dashed' end as line, 0.0::double as x, a.y::double as y, 0.0::double as xend, b.y::double as yend
+from edge join spot a on a.n = s join spot b on b.n = d where st < 2"""
+)
+def drawn_edges(spark, sf_dir):
+    """Nodes without times lie on one line."""
+    from causeway.plans import frames
+
+    reg, m = E.packed(spark, sf_dir)
+    return frames.model_edges(M.unpack(m, reg), reg).drop("direction")
+
+
+@query(
+    """with s(i, st) as (values (0, 'causal'), (1, 'unknown'), (2, 'non-causal')), m as (select a.i * 3 + b.i + 1 k, a.st x, b.st y from s a cross join s b)
+select case k when 1 then 'S1' else 'M000' || k end as model_id, x as first_edge, y as second_edge, k = 1 as seeded from m"""
+)
+def seeded_expansion(spark, sf_dir):
+    """A seed that claims all edges causal takes the first model's place; the others are numbered on."""
+    from causeway.operators import expansion
+
+    reg = R.build(_F2, exposure="X", outcome="Y")
+    seed = R.claims_frame(spark, [{"model_id": "S1", "comp_id": c, "status": "causal"} for c in ("C0004", "C0005", "C0006")])
+    out = expansion.expand(spark, reg, "exhaustive", seeds=seed).claims
+    of = lambda c: F.max(F.when(F.col("comp_id") == c, F.col("status")))
+    return out.groupBy("model_id").agg(of("C0004").alias("first_edge"), of("C0005").alias("second_edge"), F.bool_or("seeded").alias("seeded"))
+
+
+@query("with g as (select i, i & 1 ab, i >> 1 & 1 ac, i >> 2 & 1 ba, i >> 3 & 1 bc, i >> 4 & 1 ca, i >> 5 & 1 cb from range(64) q(i)) select count(*) as projected, count(case when not circle then 1 end) as generated, count(case when circle then 1 end) as pruned_cycles from (select ab = 1 and ba = 1 or ac = 1 and ca = 1 or bc = 1 and cb = 1 or ab = 1 and bc = 1 and ca = 1 or ac = 1 and cb = 1 and ba = 1 as circle from g)")
+def expansion_report(spark, sf_dir):
+    """Graphs of three nodes without a circle."""
+    from causeway.operators import expansion
+
+    r = expansion.expand(spark, R.build([{"name": n} for n in "ABC"]), "exhaustive", edge_statuses=("causal", "non-causal")).report
+    return spark.createDataFrame([(r["projected"], r["generated"], r["pruned_cycles"])], "projected long, generated long, pruned_cycles long")
