@@ -35,6 +35,7 @@ BANDS, ROWS = 10, 2
 KEY_BITS = 48
 TASK_TEXTS, TASK_WEIGHT = 1024, 1 << 20
 CLASSES = "doc_id long, class_id long"
+_TEXT = np.uint64(X.CHUNK_ROWS - 1)
 
 
 class Shingles:
@@ -44,9 +45,9 @@ class Shingles:
         data = B.LOWER[c.data]
         starts, ends, by = B.words(data, c.offsets, B.NOT_ALNUM)
         h = B.hashes(data, starts, ends)
-        w, at = B.windows(h, by, size)
-        text = np.searchsorted(by, at, side="right") - 1
+        w, _ = B.windows(h, by, size)
         n = np.diff(by)
+        text = np.repeat(np.arange(len(n)), np.maximum(n - size + 1, 0))
         few = np.flatnonzero((n > 0) & (n < size))
         if len(few):  # whole texts of fewer words
             own = np.zeros(len(few), np.uint64)
@@ -54,16 +55,15 @@ class Shingles:
                 live = n[few] > j
                 own[live] = own[live] * B._ODD + h[by[few[live]] + j]
             w, text = np.concatenate([w, B.mix(own + np.uint64(1))]), np.concatenate([text, few])
-        order = np.argsort(w, kind="stable")  # texts stay in order where hashes are equal
-        w, text = w[order], text[order]
-        new = np.concatenate([[True], (w[1:] != w[:-1]) | (text[1:] != text[:-1])]) if len(w) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        h, text, tf = w[first], text[first], np.diff(np.append(first, len(w)))
+        # a shingle is the upper bits of its hash; the lower ones hold the text, of which a chunk has at most 4,096
+        z = np.sort(w & ~_TEXT | text.astype(np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]])) if len(z) else np.zeros(0, np.int64)
+        h, text, tf = z[first] & ~_TEXT, (z[first] & _TEXT).astype(np.int64), np.diff(np.append(first, len(z)))
         key = h >> np.uint64(64 - KEY_BITS)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.keys, self.docs = key[first], np.diff(np.append(first, len(key)))
         code = np.repeat(np.arange(len(first)), self.docs)
-        order = np.argsort(text.astype(np.uint16), kind="stable")  # a chunk has at most 4,096 texts
+        order = np.argsort(text.astype(np.uint16), kind="stable")
         self.hash, self.text, self.tf, self.code = h[order], text[order], tf[order], code[order]
 
     def weigh(self, answers: dict[int, list[bytes]], n: int, total: int) -> np.ndarray:
