@@ -6,7 +6,9 @@ the attention model learns comes from them: its classes, shares and what follows
 and its weights come from all their windows, in which each subword and each end is learned from once. A
 bounded sample of windows gives the first weights only; then every partition goes over all of its own, and their weights are averaged by the windows they saw.
 
-Null texts are empty: their end is their only token. Repeated rows score alike, up to rounding. Without learning rows N and V are 0. Subwords of
+Null texts are empty: their end is their only token. Sums of
+single precision differ in their last digit by where a window stands in a matrix, so scores are rounded to DIGITS decimals: repeated
+rows score alike but for a difference in the last of these. Without learning rows N and V are 0. Subwords of
 equal counts are ordered by id. Texts of any length are scored whole; other columns are not used.
 """
 
@@ -23,7 +25,7 @@ from . import bpe, lm
 from . import exchange as X
 
 FIRST_WINDOWS, FIRST_STEPS, GROUPS = 16384, 1200, 64
-BLOCK, STEP = 8192, 64
+BLOCK, STEP, DIGITS = 8192, 64, 6
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 TEXTS = "b long, windows long, blob binary"
 
@@ -259,7 +261,7 @@ def score(docs: DataFrame, path: str, pattern: str, learn: str, held_out: str, d
             for blob in batch.column(0):
                 t = Texts(blob.as_py())
                 s = lm.score(m, voc, t.ids.astype(np.int64), t.offsets, end) / np.log(10)
-                yield from t.rows.drop_columns("learn").append_column("score", pa.array(s)).combine_chunks().to_batches()
+                yield from t.rows.drop_columns("learn").append_column("score", pa.array(np.round(s, DIGITS))).combine_chunks().to_batches()
                 B.trim()
 
     return texts.select("blob").mapInArrow(scored, SCORED)
