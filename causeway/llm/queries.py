@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, langid, lm_scoring, near_dup, passages, token_files, toxicity
+from . import bpe, chat, decontaminate, flac, langid, lm_scoring, near_dup, passages, runs, token_files, toxicity
 from . import exchange as X
 from . import files
 
@@ -69,7 +69,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination)}
+def _periodic(docs: DataFrame) -> DataFrame:
+    """The contract's planted repetition: in a tenth of the documents, words from one on repeat a period. ``docs`` as doc_id and text."""
+    words = docs.selectExpr("doc_id", "text", "crc32(cast(doc_id as string)) as h").selectExpr("doc_id", "text", "h div 10 as g", r"if(h % 10 = 0, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), null) as w")
+    cut = words.selectExpr("doc_id", "text", "w", "size(w) as n", "g", "if(size(w) > 0, g % size(w), null) as a").selectExpr("*", "1 + (n - a) div (3 + g % 8) as p")
+    return cut.selectExpr("doc_id", "if(a is null, text, array_join(transform(sequence(0, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')) as text")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find(_periodic(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination, op11_periodic_runs)}
 #: In SQL, where it can say the same: by enumeration of windows and turns, on small tables.
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": r"""
@@ -99,4 +110,21 @@ pos as (select rid, count(distinct i + j) c from hit, unnest(range(0, n)) q(j) g
 own as (select rid, list_sort(list(distinct item_id::varchar)) l from hit group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(c, 0)::bigint as n_hit, coalesce(len(l), 0)::bigint as n_items, sha256(coalesce(array_to_string(l, ','), '')) as items_sha256, coalesce(c, 0) > 0 as contaminated
 from d left join pos using (rid) left join own using (rid)""",
+    "op11_periodic_runs": r"""
+with h as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+  coalesce(xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))), 4294967295), 4294967295), 1) h from documents),
+g as (select *, len(w) n, h // 10 g, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end a from h),
+d as (select rid, doc_id, case when a is null then w else list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) end w, n from g),
+x as (select rid, n, unnest(w) word, generate_subscripts(w, 1) - 1 i from d),
+same as (select l.rid, r.i - l.i q, l.i from x l join x r on l.rid = r.rid and l.word = r.word and r.i > l.i and 4 * (r.i - l.i) <= l.n),
+isle as (select rid, q, min(i) s, count(*) + q len from (select *, i - row_number() over (partition by rid, q order by i) k from same) group by rid, q, k),
+run as (select rid, s, len, min(q) q from isle where len >= greatest(6, 4 * q) group by rid, s, len),
+best as (select rid, s, len, q, row_number() over (partition by rid order by len::double / q desc, s, q) k from run),
+said as (select rid, count(*) c, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q)) sha from run group by rid),
+gone as (select distinct rid, unnest(range(s + q, s + len)) i from run),
+kept as (select x.rid, sha256(coalesce(string_agg(word, ' ' order by x.i) filter (where gone.i is null), '')) sha from x left join gone on gone.rid = x.rid and gone.i = x.i group by 1)
+select doc_id, coalesce(c, 0)::bigint as n_runs, s::bigint as start, best.len::bigint as length, q::bigint as period, (1000 * best.len // q)::bigint as exponent_milli,
+  coalesce(said.sha, sha256('')) as runs_sha256, coalesce(kept.sha, sha256('')) as collapsed_sha256
+from d left join said using (rid) left join best on best.rid = d.rid and k = 1 left join kept on kept.rid = d.rid""",
 }
