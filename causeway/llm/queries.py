@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, langid, lm_scoring, near_dup, passages, runs, token_files, toxicity
+from . import bpe, chat, decontaminate, flac, langid, lm_scoring, mixing, near_dup, passages, runs, token_files, toxicity
 from . import exchange as X
 from . import files
 
@@ -80,7 +80,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(_periodic(_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination, op11_periodic_runs)}
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination, op11_periodic_runs, op13_source_mix)}
 #: In SQL, where it can say the same: by enumeration of windows and turns, on small tables.
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": r"""
