@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, flac, langid, lm_scoring, mixing, near_dup, passages, runs, token_files, toxicity
+from . import bpe, chat, collocations, decontaminate, flac, langid, lm_scoring, mixing, near_dup, passages, runs, token_files, toxicity
 from . import exchange as X
 from . import files
 
@@ -80,11 +80,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(_periodic(_table(spark, sf_dir, "documents"))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination, op11_periodic_runs, op13_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_duplicates, op4_chat_formatting, op5_flac_media, op6_token_files, op7_substring_dedup, op8_language_id, op9_byte_bpe, op10_decontamination, op11_periodic_runs, op12_collocations, op13_source_mix)}
 #: In SQL, where it can say the same: by enumeration of windows and turns, on small tables.
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": r"""
@@ -131,4 +135,21 @@ kept as (select x.rid, sha256(coalesce(string_agg(word, ' ' order by x.i) filter
 select doc_id, coalesce(c, 0)::bigint as n_runs, s::bigint as start, best.len::bigint as length, q::bigint as period, (1000 * best.len // q)::bigint as exponent_milli,
   coalesce(said.sha, sha256('')) as runs_sha256, coalesce(kept.sha, sha256('')) as collapsed_sha256
 from d left join said using (rid) left join best on best.rid = d.rid and k = 1 left join kept on kept.rid = d.rid""",
+    "op12_collocations": r"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) t from documents),
+w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') w from p),
+x as (select lang, k, w, unnest(range(1, len(w) - k + 2)) i from w, range(1, 5) s(k) where len(w) >= k),
+g as materialized (select lang, k, array_to_string(w[i:i + k - 1], ' ') g, count(*) f from x group by 1, 2, 3),
+c as materialized (select lang, k, g, string_split(g, ' ') w, f a from g where k > 1 and f >= 30),
+cut as materialized (select lang, g, a, j, lang || ' ' || array_to_string(w[1:j], ' ') p, lang || ' ' || array_to_string(w[j + 1:k], ' ') q from c, range(1, 4) s(j) where s.j < c.k),
+key as materialized (select lang || ' ' || g id, f from g where f >= 30),
+cuts as (select cut.*, l.f l, r.f r, (2000000::hugeint * a) // (l.f + r.f) score from cut join key l on l.id = p join key r on r.id = q),
+low as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1),
+y as (select lang, a, w, m, unnest(range(1, k - m + 2)) i from c, range(2, 4) s(m) where m < k),
+parts as materialized (select lang, a f, array_to_string(w[i:i + m - 1], ' ') g from y),
+sup as (select lang, g, max(f) f from parts group by 1, 2),
+n as (select lang, sum(f) n from g where k = 1 group by 1),
+kept as (select low.*, low.g phrase from low left join sup using (lang, g) where sup.f is null or 100 * sup.f < 80 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from kept join n using (lang) qualify rank <= 2000""",
 }
