@@ -8,6 +8,7 @@ documents it asks for and no others.
 Documents are dealt out by ranges of their id and sorted in them: file by file, ids ascend. Null ids come first, null texts
 are empty (the end id alone); of rows of one id those without a text come first, and the rest as they come in the table, so that
 very many rows of one id, or without one, may fill several files. Other columns are not used. Texts of any length are whole frames.
+An empty table makes no rows. Strings of the tokenizer's special tokens in a text become these tokens, as the library has it by default.
 
 A tokenizer whose words are known to be independent (``KNOWN``) encodes distinct words; any other encodes whole texts.
 """
@@ -49,9 +50,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 #: What a tokenizer must be for words to be encoded apart: its kind of normaliser, pre-tokenizer and model. Fixed values of a public tokenizer.
@@ -68,7 +67,24 @@ def by_words(path: str) -> bool:
         said = json.load(f)
     model = said["model"]
     plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and model.get("unk_token") is None and not model.get("dropout") and not model.get("ignore_merges")
-    return plain and all(said.get(k) == v for k, v in KNOWN.items()) and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in said.get("added_tokens", ()))
+    return plain and all(said.get(k) == v for k, v in KNOWN.items()) and all(len(t["content"].encode()) > 1 and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in said.get("added_tokens", ()))
+
+
+@lru_cache(2)
+def _heads(path: str) -> list[bytes]:
+    """First two bytes of the strings that stand for tokens of their own wherever they are in a text."""
+    with open(path, encoding="utf-8") as f:
+        return sorted({t["content"].encode()[:2] for t in json.load(f).get("added_tokens", ())})
+
+
+def _marked(data: np.ndarray, offsets: np.ndarray, heads: list[bytes]) -> np.ndarray:
+    """Which texts may hold such a string."""
+    out = np.zeros(len(offsets) - 1, bool)
+    for a, b in heads:
+        at = np.flatnonzero((data[:-1] == a) & (data[1:] == b))
+        text = np.searchsorted(offsets, at, side="right") - 1
+        out[text[at + 1 < offsets[text + 1]]] = True
+    return out
 
 
 #: Byte classes of words whose number of pre-tokens is plain: 1 letters (ASCII, Latin-1), 2 digits, 3 other printable ASCII but the apostrophe.
@@ -112,7 +128,8 @@ class WordEncoder:
     """Ids of texts by their words. White space separates tokens of a tokenizer that drops it, so words can be encoded apart.
 
     Words of plain characters are encoded some hundreds at a time, as a call costs more than a word, and told apart by the
-    tokens that end pre-tokens; words with any other character are encoded one by one.
+    tokens that end pre-tokens; words with any other character are encoded one by one. A text that may hold a special token's
+    string is encoded whole, as the string is cut out before there are words.
     """
 
     def __init__(self, path: str):
@@ -120,6 +137,17 @@ class WordEncoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and offsets by text."""
+        whole = _marked(data, offsets, _heads(self.path))
+        if not whole.any():
+            return self._by_words(data, offsets)
+        lens = np.diff(offsets)
+        ids, at = self._by_words(*B.gather(data, offsets[:-1], np.where(whole, 0, lens)))
+        own, own_at = TextEncoder(self.path)(*B.gather(data, offsets[:-1][whole], lens[whole]))
+        starts, sizes = at[:-1].copy(), np.diff(at)
+        starts[whole], sizes[whole] = len(ids) + own_at[:-1], np.diff(own_at)
+        return B.gather(np.concatenate([ids, own]), starts, sizes)
+
+    def _by_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data, starts, ends = _pieces(data, offsets)
         by = np.searchsorted(starts, offsets)
         codes, values = B.encode(B.binary(data, starts, ends))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+from tokenizers import Tokenizer
 import pyarrow as pa
 import pytest
 
@@ -46,14 +47,16 @@ def test_bpe_is_as_tiktoken(spark, tmp_path):
 
 def test_token_files(spark, tmp_path):
     path = P.path("word_bpe_49k.json")
-    t = token_files._tokenizer(path)
-    ids = [5 * i - 7 for i in range(len(TEXTS))]
-    df = docs(spark, TEXTS, ids)
+    t = Tokenizer.from_file(path)
+    texts = [*TEXTS, "hello <|endoftext|> world", "<|EndOfText|> <| a|>", "x<|startoftext|>y<|endoftext|><|endoftext|>", "ends in <", "| begins", "<|endoftext|>"]
+    assert 49407 in t.encode(texts[len(TEXTS)], add_special_tokens=False).ids
+    ids = [5 * i - 7 for i in range(len(texts))]
+    df = docs(spark, texts, ids)
     folder = files.fresh("file://" + str(tmp_path), "out")
     token_files.write(df, folder, path)
     got = sorted(token_files.read(spark, folder).collect())
     start, plain = 0, {}
-    for (i, at, n, c), doc, text in zip(got, ids, TEXTS, strict=True):
+    for (i, at, n, c), doc, text in zip(got, ids, texts, strict=True):
         want = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         plain[doc] = want
         assert (i, at, n, c) == (doc, start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
@@ -250,8 +253,6 @@ def test_bpe_columns_of_the_same_names_give_way(spark, tmp_path):
 def test_tokenizers_of_other_kinds_encode_whole_texts(spark, tmp_path):
     import json
 
-    from tokenizers import Tokenizer
-
     known = P.path("word_bpe_49k.json")
     cased = json.load(open(known))
     cased["normalizer"]["normalizers"].pop()  # keeps capitals
@@ -260,7 +261,6 @@ def test_tokenizers_of_other_kinds_encode_whole_texts(spark, tmp_path):
     assert token_files.by_words(known) and not token_files.by_words(other) and not token_files.by_words(P.path("byte_bpe_50k.json"))
     for path in (other, P.path("byte_bpe_50k.json")):
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         folder = files.fresh("file://" + str(tmp_path), "out")
         token_files.write(docs(spark), folder, path)
         got = {r["doc_id"]: r["ids_crc32"] for r in token_files.read(spark, folder).collect()}
