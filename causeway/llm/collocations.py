@@ -36,7 +36,7 @@ from . import exchange as X
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 BROADCAST_BYTES = 64 << 20
 #: Bytes of text whose phrases are counted at once.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Separators of words, and those of them that end a piece: fixed by the word rule.
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", *range(10, 14)]] = True
@@ -61,9 +61,9 @@ class _Slice:
         self.own, pairs = B.encode(pa.array(np.repeat(of.astype(np.int64) * len(words), np.diff(by)) + codes))
         lang, word = np.divmod(pairs.to_numpy(zero_copy_only=False), max(len(words), 1))
         self.langs, self.lang, self.word = langs, langs.take(pa.array(lang)), words.take(pa.array(word))
-        ended = np.cumsum(_BREAKS[data], dtype=np.int32)
+        ended = np.searchsorted(np.flatnonzero(_BREAKS[data]), starts)
         self.begins = np.ones(len(starts), bool)
-        self.begins[1:] = ended[starts[1:] - 1] > ended[ends[:-1] - 1]
+        self.begins[1:] = ended[1:] > ended[:-1]
         self.begins[by[by < len(starts)]] = True
 
     def counts(self) -> np.ndarray:
