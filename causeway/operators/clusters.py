@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.errors import ClusterError
+from causeway.functions.components import components
 from causeway.functions.durable import durable, number_rows
 
 MOST_EMBEDDED = 5_000
@@ -114,43 +115,101 @@ def _embed_by_rounds(profiles_: DataFrame, n: int, names: list[str], schema: str
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, columns: list[str] | None = None) -> DataFrame:
     """(model_id, cluster): clusters from 0 in the order of their first core model; null is noise. A border model goes to the first of its clusters.
 
-    Models meet only those in cells of a grid (side eps / sqrt(dimensions)) that may hold a near one, and near pairs are summed
-    up as they are found: a core model keeps one link to each cell around.
+    Models at one place are one point that counts as often. Points lie in cells of a grid whose diagonal is shorter than eps, so
+    all points of a cell of ``min_samples`` models are core, and core points of one cell are one node. Points of other cells, fewer than
+    ``min_samples`` each, meet the points of the cells around them. Full cells meet each other by boxes (``_touching``). Models
+    without finite coordinates are noise.
     """
     if eps <= 0 or min_samples < 2:
         raise ClusterError("eps must be positive and min_samples two at least", "INVALID_EPS")
     cols = columns or [c for c in points.columns if c != "model_id"]
-    d, side = len(cols), eps / len(cols) ** 0.5
+    d, side = len(cols), eps / len(cols) ** 0.5 * (1 - 1e-9)
     cells = [f"cell{i}" for i in range(d)]
-    at = durable(points.select("model_id", *cols, *(F.floor(F.col(c) / side).alias(k) for c, k in zip(cols, cells, strict=True))))
-    reach = int(d**0.5 - 1e-9) + 1  # cells from one to another that may be near
-    steps = [o for o in product(range(-reach, reach + 1), repeat=d) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= d]
-    around = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(k) for x, k in zip(o, cells, strict=True))) for o in steps))).alias("step")
-
-    def near(us: DataFrame, vs: DataFrame) -> DataFrame:
-        """Pairs (u, v) at most eps apart, with v's cell."""
-        a = us.select(F.col("model_id").alias("u"), *(F.col(c).alias(f"u_{c}") for c in cols), *cells, around)
-        a = a.select("u", *(f"u_{c}" for c in cols), *((F.col(k) + F.col(f"step.{k}")).alias(k) for k in cells))
-        b = vs.select(F.col("model_id").alias("v"), *(F.col(c).alias(f"v_{c}") for c in cols), *cells)
-        d2 = reduce(lambda x, y: x + y, ((F.col(f"u_{c}") - F.col(f"v_{c}")) ** 2 for c in cols))
-        return a.join(b, cells).where(d2 <= eps * eps).select("u", "v", *cells)
-
-    core = durable(near(at, at).groupBy("u").count().where(F.col("count") >= min_samples).select(F.col("u").alias("model_id")))
-    cores, others = durable(at.join(core, "model_id", "left_semi")), at.join(core, "model_id", "left_anti")
-    one = near(cores, cores).groupBy("u", *cells).agg(F.min("v").alias("v")).select("u", "v")
-    edges = durable(one.union(one.select("v", "u")).distinct())
-    label = edges.groupBy("u").agg(F.min("v").alias("l"))
+    finite = reduce(lambda x, y: x & y, (F.abs(F.col(c).cast("double")) < float("inf") for c in cols))
+    placed = points.where(finite).select("model_id", *(F.col(c).cast("double").alias(c) for c in cols))
+    at = placed.groupBy(*cols).agg(F.count("*").alias("n"), F.min("model_id").alias("first"))
+    at = durable(at.select("*", *(F.floor(F.col(c) / side).alias(k) for c, k in zip(cols, cells, strict=True))))
+    full = durable(at.groupBy(*cells).agg(F.sum("n").alias("n"), F.min("first").alias("node")).where(F.col("n") >= min_samples).select(*cells, "node"))
+    steps = _steps(d)
+
+    def near(us: DataFrame, vs: DataFrame, *keep: str) -> DataFrame:
+        """Pairs of points at most eps apart: the columns of u, and ``keep`` of v as v_."""
+        around = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(k) for x, k in zip(o, cells, strict=True))) for o in steps))).alias("step")
+        a = us.select(*us.columns, around).select(*us.columns, *((F.col(k) + F.col(f"step.{k}")).alias(f"to_{k}") for k in cells))
+        b = vs.select(*(F.col(c).alias(f"v_{c}") for c in dict.fromkeys([*cols, *keep])), *(F.col(k).alias(f"to_{k}") for k in cells))
+        d2 = reduce(lambda x, y: x + y, ((F.col(c) - F.col(f"v_{c}")) ** 2 for c in cols))
+        return a.join(b, [f"to_{k}" for k in cells]).where(d2 <= eps * eps)
+
+    sparse = at.join(full, cells, "left_anti").select(*at.columns)
+    counted = near(sparse, at, "n").groupBy(*cols).agg(F.sum("v_n").alias("around")).where(F.col("around") >= min_samples)
+    alone = durable(sparse.join(counted, cols, "left_semi").select(*at.columns))  # core points of other cells
+    nodes = durable(full.select(*cells, "node").union(alone.groupBy(*cells).agg(F.min("first").alias("node"))))
+    cores = at.join(full, cells, "left_semi").select(*at.columns).union(alone)
+    met = near(alone.join(nodes, cells), cores.join(nodes, cells), "node").select(F.col("node").alias("u"), F.col("v_node").alias("v"))
+    dense = at.join(full, cells).select(*cols, *cells, "node")
+    edges = met.where("u <> v").distinct().union(_touching(dense, full, cols, cells, eps, side))
+    roots = nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = durable(roots)
+    number = number_rows(roots.select("root").distinct(), "root").select("root", (F.col("n") - 1).cast("int").alias("cluster"))
+    of_cell = durable(nodes.join(roots.join(number, "root"), "node").select(*cells, "cluster"))
+    others = sparse.join(counted, cols, "left_anti").select(*at.columns)
+    border = near(others, cores.join(of_cell, cells), "cluster").groupBy(*cols).agg(F.min("v_cluster").alias("cluster"))
+    own = cores.join(of_cell, cells).select(*cols, "cluster").union(border.select(*cols, "cluster"))
+    return points.select("model_id").join(placed.join(own, cols).select("model_id", "cluster"), "model_id", "left")
+
+
+def _steps(d: int) -> list[tuple[int, ...]]:
+    """From a cell to those that may hold a point within eps of one of its own."""
+    reach = int(d**0.5) + 1
+    return [o for o in product(range(-reach, reach + 1), repeat=d) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= d]
+
+
+def _touching(points: DataFrame, full: DataFrame, cols: list[str], cells: list[str], eps: float, side: float) -> DataFrame:
+    """Edges (u, v) of full cells that have points at most eps apart. ``points``: columns, cells and node; ``full``: cells and node.
+
+    Boxes around the points of a cell are compared. If even their far ends are near, the cells touch; if not even their near ends are,
+    these boxes are done; else both are halved along each axis, and the pairs of their parts compared. A box of one point leaves nothing open, so the
+    halving ends, and no pairs of points are listed but where cells part by almost eps.
+    """
+    keys = [f"key{i}" for i in range(len(cols))]
+    lows, highs = [f"low_{c}" for c in cols], [f"high_{c}" for c in cols]
+    sides = lambda name, w: [F.col(x).alias(f"{w}_{x}") for x in name]
+
+    def boxes(rows: DataFrame, level: int) -> DataFrame:
+        at = [F.floor(F.col(c) / side * 2.0**level).alias(k) for c, k in zip(cols, keys, strict=True)]
+        return rows.select("node", *cols, *at).groupBy("node", *keys).agg(*(F.min(c).alias(x) for c, x in zip(cols, lows, strict=True)), *(F.max(c).alias(x) for c, x in zip(cols, highs, strict=True)))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        gap = [F.greatest(F.col(f"a_{lo}") - F.col(f"b_{hi}"), F.col(f"b_{lo}") - F.col(f"a_{hi}"), F.lit(0.0)) for lo, hi in zip(lows, highs, strict=True)]
+        span = [F.greatest(F.col(f"a_{hi}") - F.col(f"b_{lo}"), F.col(f"b_{hi}") - F.col(f"a_{lo}")) for lo, hi in zip(lows, highs, strict=True)]
+        least, most = (reduce(lambda x, y: x + y, (x**2 for x in part)) for part in (gap, span))
+        return durable(pairs.where(least <= eps * eps).withColumn("sure", most <= eps * eps))
+
+    ahead = [o for o in _steps(len(cols)) if o > (0,) * len(cols)]  # each pair of cells once
+    around = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(k) for x, k in zip(o, cells, strict=True))) for o in ahead))).alias("step")
+    a = full.select(F.col("node").alias("a_node"), *cells, around).select("a_node", *((F.col(k) + F.col(f"step.{k}")).alias(k) for k in cells))
+    pairs = a.join(full.select(F.col("node").alias("b_node"), *cells), cells).select("a_node", "b_node")
+    level, made = 0, boxes(points, 0)
+    pairs = pairs.join(made.select(*sides(made.columns, "a")), "a_node").join(made.select(*sides(made.columns, "b")), "b_node")
+    found = None
     while True:
-        label = durable(label)
-        new = edges.join(label.withColumnsRenamed({"u": "v"}), "v").groupBy("u").agg(F.min("l").alias("l"))
-        new = durable(new.join(label.toDF("l", "ll"), "l", "left").select("u", F.coalesce("ll", "l").alias("l")))
-        if not new.join(label, ["u", "l"], "left_anti").limit(1).count():
-            break
-        label = new
-    number = number_rows(label.select("l").distinct(), "l").select("l", (F.col("n") - 1).cast("int").alias("cluster"))
-    own = label.join(number, "l").select(F.col("u").alias("model_id"), "cluster")
-    border = near(others, cores).join(own.withColumnRenamed("model_id", "v"), "v").groupBy(F.col("u").alias("model_id")).agg(F.min("cluster").alias("cluster"))
-    return points.select("model_id").join(own.union(border), "model_id", "left")
+        pairs = judged(pairs)
+        sure = pairs.where("sure").select("a_node", "b_node").distinct()
+        found = sure if found is None else found.union(sure)
+        open_ = durable(pairs.where("not sure").join(sure, ["a_node", "b_node"], "left_anti"))
+        if open_.isEmpty():
+            return found.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+        level += 1
+        held = open_.select(F.col("a_node").alias("node"), *(F.col(f"a_{k}").alias(k) for k in keys)).union(open_.select("b_node", *(f"b_{k}" for k in keys))).distinct()
+        before = [F.floor(F.col(c) / side * 2.0 ** (level - 1)).alias(k) for c, k in zip(cols, keys, strict=True)]
+        points = durable(points.select("node", *cols, *before).join(held, ["node", *keys], "left_semi").select("node", *cols))
+        made = durable(boxes(points, level))
+        parent = [F.shiftright(k, 1).alias(f"up_{k}") for k in keys]
+        part = made.select(*made.columns, *parent)
+        pairs = open_.select("a_node", "b_node", *(F.col(f"{w}_{k}").alias(f"{w}_up_{k}") for w in "ab" for k in keys))
+        for w in "ab":
+            pairs = pairs.join(part.select(*sides(part.columns, w)), [f"{w}_node", *(f"{w}_up_{k}" for k in keys)])
+        pairs = pairs.drop(*(f"{w}_up_{k}" for w in "ab" for k in keys))
 
 
 def named(assignments: DataFrame) -> DataFrame:

@@ -78,28 +78,78 @@ def test_embeddings_by_rounds_and_by_one_task(spark):
     assert np.abs(one - many).max() < 1e-6
 
 
+def by_definition(x, eps, least):
+    """Clusters of points by search through all pairs."""
+    import numpy as np
+
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= least
+    label, k = np.full(len(x), -1), 0
+    for i in range(len(x)):
+        if core[i] and label[i] < 0:
+            todo = [i]
+            label[i] = k
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                    label[j] = k
+                    todo.append(j)
+            k += 1
+    return [int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=None) for i in range(len(x))]
+
+
+def clustered(spark, x, eps, least):
+    pts = spark.createDataFrame([(f"p{i:05}", *map(float, r)) for i, r in enumerate(x)], "model_id string, " + ", ".join(f"c{i} double" for i in range(x.shape[1])))
+    return [r["cluster"] for r in C.dbscan(pts, eps, least).orderBy("model_id").collect()]
+
+
 def test_clusters_are_those_of_the_definition(spark):
     import numpy as np
 
     rng = np.random.default_rng(8)
     for d in (2, 3):
         x = np.round(np.concatenate([rng.normal(c, 0.25, (30, d)) for c in (0, 1.5, 4)] + [rng.uniform(-2, 6, (40, d))]), 2)
-        eps, least = 0.4, 4
-        near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps
-        core = near.sum(axis=1) >= least
-        label, k = np.full(len(x), -1), 0
-        for i in range(len(x)):
-            if core[i] and label[i] < 0:
-                todo = [i]
-                label[i] = k
-                while todo:
-                    for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
-                        label[j] = k
-                        todo.append(j)
-                k += 1
-        want = {f"p{i:03}": (int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=None)) for i in range(len(x))}
-        pts = spark.createDataFrame([(f"p{i:03}", *map(float, r)) for i, r in enumerate(x)], "model_id string, " + ", ".join(f"c{i} double" for i in range(d)))
-        assert {r["model_id"]: r["cluster"] for r in C.dbscan(pts, eps, least).collect()} == want
+        assert clustered(spark, x, 0.4, 4) == by_definition(x, 0.4, 4)
+    line = np.round(rng.uniform(0, 30, (150, 1)), 1)
+    assert clustered(spark, line, 0.2, 3) == by_definition(line, 0.2, 3)
+
+
+def test_full_cells_touch_as_their_points_do(spark):
+    """Discs of many points that part by almost eps, by exactly eps, and by more; some points many times."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    turn = rng.uniform(0, 2 * np.pi, 400)
+    disc = np.stack([np.cos(turn), np.sin(turn)], axis=1) * np.sqrt(rng.uniform(0, 1, 400))[:, None] * 0.3
+    disc[0], disc[1] = (0.3, 0), (-0.3, 0)
+    for gap in (0.999, 1.0, 1.001):
+        x = np.concatenate([disc, disc + [0.6 + gap, 0], disc + [0, 5], disc[:3] + [0, 6.3], np.repeat(disc[:2] + [9, 9], 6, axis=0)])
+        got = clustered(spark, x, 1.0, 5)
+        assert got == by_definition(x, 1.0, 5) and len({*got} - {None}) == (3 if gap < 1 else 4 if gap > 1 else len({*by_definition(x, 1.0, 5)} - {None}))
+
+
+def test_a_million_models_at_fifty_places(spark):
+    import time
+
+    places = spark.range(1_000_000).selectExpr("format_string('m%07d', id) as model_id", "cast(id % 50 as double) as x", "cast(id % 50 div 10 as double) * 3 as y")
+    began = time.perf_counter()
+    got = C.dbscan(places, 1.5, 5).groupBy("cluster").count().collect()
+    assert sorted((r["cluster"], r["count"]) for r in got) == [(i, 200_000) for i in range(5)] and time.perf_counter() - began < 60
+
+
+def test_models_without_coordinates_are_noise(spark):
+    rows = [(f"a{i}", 0.0, 0.0) for i in range(5)] + [("n", None, 0.0), ("o", float("nan"), 0.0), ("p", float("inf"), 0.0), ("q", -0.0, 0.1)]
+    got = {r["model_id"]: r["cluster"] for r in C.dbscan(spark.createDataFrame(rows, "model_id string, x double, y double"), 0.5, 5).collect()}
+    assert got == {**{f"a{i}": 0 for i in range(5)}, "n": None, "o": None, "p": None, "q": 0}
+    assert C.dbscan(spark.createDataFrame([], "model_id string, x double, y double")).collect() == []
+
+
+def test_components_of_chains_and_stars(spark):
+    from causeway.functions.components import components
+
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
 def test_pair_summaries_as_by_pairs(spark):
