@@ -4,6 +4,8 @@ A character trigram model is counted over the plain words of all documents. Word
 symbols for letters, letters repeated, letters apart) become lattices of what each character may stand for; the Viterbi path
 under the channel's costs and the character model restores them. A noisy-or over restored words and beginnings of
 words, counted by the contexts they stand in in a bounded sample of labelled rows, scores each text by the distinct ones it holds.
+How many different restored words a text must hold is learned from the same rows: a beginning may be shared by clean words, of
+which a clean text holds one, where a toxic one holds several.
 
 Plain words have one path and are taken as they are; if letters are doubled or a symbol stands at the edge, what the lattice makes
 of them is read too. Words of any length have one lattice. Null texts are empty and get the model's base rate. Repeated rows score
@@ -34,6 +36,8 @@ SWAP, SELF, DROP, SKIP, PART, AGAIN, TWICE = -1.5, -6.0, -9.0, -1.0, -2.0, -1.5,
 SAMPLE, PRECISION, SURE = 20_000, 0.4, 0.6
 #: Bytes of the beginnings of words that count beside whole words.
 STEMS = range(4, 9)
+#: From so many different words on, their number doesn't count.
+MANY = 4
 SIZE = 28  # 0: a word's edge, 1-26: a-z, 27: any other letter
 SCORED = "doc_id long, score double, predicted int"
 
@@ -345,21 +349,25 @@ class Scorer:
     ``weights`` and ``bias`` are the negative logarithms of the probabilities that they don't.
     """
 
-    def __init__(self, model: np.ndarray, words: list[bytes], weights: np.ndarray, bias: float):
-        self.model, self.words, self.weights, self.bias = model, words, weights, bias
+    def __init__(self, model: np.ndarray, words: list[bytes], weights: np.ndarray, bias: float, counts: np.ndarray | None = None):
+        self.model, self.words, self.weights, self.bias, self.counts = model, words, weights, bias, counts
         self._channel = None
 
     def found(self, data: np.ndarray, offsets: np.ndarray, contexts: bool = False):
-        """Distinct (text, feature number) pairs: of each word the likeliest of its whole and its beginnings.
+        """Distinct (text, feature number) pairs, of each word the likeliest of its whole and its beginnings; and a text for each of its distinct words with a feature.
 
         With ``contexts`` all of a word's features, for each occurrence, a hash of the words around it, and the number of
         the whole word's feature (-1: it is none).
         """
         some = self._all if contexts else self._best
 
+        said: dict[bytes, int] = {}
+
         def pick(word: bytes) -> list[tuple[int, int]]:
-            whole = self._at.get(word, -1)
-            return [(f, whole) for f in some(word)]
+            """Features of a restored word, each with the whole word's or, without contexts, a number for the word."""
+            own = some(word)
+            whole = self._at.get(word, -1) if contexts or not own else said.setdefault(word, len(said))
+            return [(f, whole) for f in own]
 
         if self._channel is None:
             self._channel = Channel(self.model)
@@ -400,7 +408,8 @@ class Scorer:
         if contexts:
             return tuple(np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int64, np.uint64, np.int64), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
         got = np.array(sorted({(t, f) for t, f, *_ in rows}), np.int64).reshape(-1, 2)
-        return got[:, 0], got[:, 1]
+        words = np.array(sorted({(t, w) for t, _, _, w in rows}), np.int64).reshape(-1, 2)
+        return got[:, 0], got[:, 1], words[:, 0]
 
     def _all(self, word: bytes) -> list[int]:
         return [self._at[w] for w in stems(word) if w in self._at]
@@ -409,9 +418,50 @@ class Scorer:
         return sorted(self._all(word), key=lambda f: (-self.weights[f], f))[:1]
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        text, word = self.found(data, offsets)
-        z = self.bias + np.bincount(text, weights=self.weights[word], minlength=len(offsets) - 1) if len(text) else np.full(len(offsets) - 1, self.bias)
-        return -np.expm1(-z)
+        return self.weighed(*self.evidence(data, offsets))
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the noisy-or's sum, and how many different restored words have a feature."""
+        text, word, of = self.found(data, offsets)
+        n = len(offsets) - 1
+        return self.bias + (np.bincount(text, weights=self.weights[word], minlength=n) if len(text) else np.zeros(n)), np.bincount(of, minlength=n)
+
+    def weighed(self, z: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Probabilities: the noisy-or's, and, once they are learned, those of so many words beside it."""
+        p = -np.expm1(-z)
+        if self.counts is None:
+            return p
+        return np.where(words > 0, 1 / (1 + np.exp(-np.clip(_inputs(p, words) @ self.counts, -30, 30))), p)
+
+
+def _inputs(p: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The noisy-or's log odds, and one column for each number of words (the last: so many or more)."""
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.column_stack([np.log(p / (1 - p)), *(words == k for k in range(1, MANY)), words >= MANY]).astype(float)
+
+
+def count_weights(z: np.ndarray, words: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> np.ndarray | None:
+    """Weights of ``_inputs`` by ridge logistic regression towards the noisy-or itself; None without texts of both kinds that have words.
+
+    A beginning of words is learned from contexts, one at a time; whether one word of it is enough, or only several different ones, is
+    learned here.
+    """
+    own = words > 0
+    y = toxic[own].astype(float)
+    if not 0 < y.sum() < len(y):
+        return None
+    x = _inputs(-np.expm1(-z[own]), words[own])
+    start = np.zeros(x.shape[1])
+    start[0] = 1
+    w = start.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + ridge * (w - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Scorer:
@@ -492,15 +542,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, doc_id: str = "doc_id"
     made = Scorer(model, [w for w, _ in kept], -np.log1p(-np.array([p for _, p in kept], float)), 0.0)
     ready = spark.sparkContext.broadcast(made)
 
-    def bare(batches):
+    def held_by(batches):
         for part in _parts(batches, 1):
-            own = np.ones(len(part), bool)
-            own[ready.value.found(*B.flat(part.column(1)))[0]] = False
-            y = part.column(0).to_numpy(zero_copy_only=False)[own]
-            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([int((y == 1).sum())], pa.int64())], ["n", "n1"])
-
-    n, n1 = (int(v or 0) for v in rows.mapInArrow(bare, "n long, n1 long").agg(F.sum("n"), F.sum("n1")).first())
-    return Scorer(model, made.words, made.weights, -np.log1p(-min((n1 + d1 / (d0 + d1)) / (n + 1), 0.49)))
+            z, n = ready.value.evidence(*B.flat(part.column(1)))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(z), pa.array(n)], ["toxic", "z", "words"])
+
+    known = X.durable(rows.mapInArrow(held_by, "toxic int, z double, words long"))
+    n, n1 = (int(v or 0) for v in known.where("words = 0").agg(F.count("*"), F.sum("toxic")).first())
+    bias = -np.log1p(-min((n1 + d1 / (d0 + d1)) / (n + 1), 0.49))
+    t = known.where("words > 0").toArrow()  # at most a row for each labelled row of the sample
+    z, words_of, y = (t.column(c).to_numpy() for c in ("z", "words", "toxic"))
+    return Scorer(model, made.words, made.weights, bias, count_weights(z + bias, words_of, y))
 
 
 def score(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
