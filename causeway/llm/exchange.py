@@ -62,7 +62,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 #: Plan nodes whose rows come in the same order whenever they are computed: stored rows, and what keeps or drops rows one by one.
-_ORDERED = {"Project", "Filter", "LocalRelation", "LogicalRDD", "Range"}
+_ORDERED = {"Project", "Filter", "LocalRelation", "Range"}
 
 
 def settled(docs: DataFrame) -> DataFrame:
@@ -71,7 +71,11 @@ def settled(docs: DataFrame) -> DataFrame:
     while todo:
         node = todo.pop()
         name = node.nodeName()
-        if name not in _ORDERED and not name.startswith(("Relation", "LogicalRelation")):
+        if name == "LogicalRDD":  # rows of an RDD; only those of a checkpoint are stored
+            kept = node.rdd().getCheckpointFile().isDefined()
+        else:
+            kept = name in _ORDERED or name.startswith(("Relation", "LogicalRelation"))
+        if not kept:
             return durable(docs)
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
