@@ -129,12 +129,13 @@ def touching(models: DataFrame, registry: Registry, changed: DataFrame) -> DataF
 
 
 def two_stage(models: DataFrame, registry: Registry, top_k: int = 100) -> DataFrame:
-    """The most similar pairs, ties by ids: ranked on counts, the full record of those alone."""
+    """The most similar pairs, ties by ids: ranked on counts of those pairs that bounds leave open (``closest``), the full record of the first alone."""
     if top_k <= 0:
         raise DyadError("top_k must be positive", "INVALID_TOP_K")
+    from causeway.operators.closest import most_similar
+
     m = timed(models, registry)
-    rate = similarity(F.col("shared"), F.col("union_claims"))
-    top = counts(pairs(m, registry), registry).orderBy(rate.desc(), "ego_id", "alter_id").limit(top_k).select("ego_id", "alter_id")
+    top, _ = most_similar(models, registry, top_k)
     top = F.broadcast(top)  # top_k rows
     side = lambda p: m.select(*(F.col(c).alias(f"{p}{c}") for c in m.columns))
     e = side("e_").join(top, F.col("e_model_id") == F.col("ego_id"))
