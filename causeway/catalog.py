@@ -181,7 +181,7 @@ from sig s join sig t on s.s = t.s left join open_ on open_.m = s.m group by s.m
 def signature_twins(spark, sf_dir):
     """An edge open between events of one day can only be settled as non-causal, so each model has one completion; it is there where nothing is open."""
     reg, m = E.packed(spark, sf_dir)
-    return S.diagnostics(m, reg).select("model_id", "duplicates", "is_resolved", "expected", "represented", "coverage_complete")
+    return S.diagnostics(m, reg).select("model_id", "duplicates", "is_resolved", F.col("expected").cast("bigint").alias("expected"), "represented", "coverage_complete")
 
 
 @query(", k as (select distinct m, c, st from edge) select c as comp_id, count(*) as claims, count(case when st = 0 then 1 end) as unknown, count(case when st = 0 then 1 end) / count(*) as unknown_rate from k group by c")
