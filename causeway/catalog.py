@@ -298,6 +298,26 @@ def global_crux(spark, sf_dir):
     return e.select(F.col("move").alias("status"), "dyads_improved", "dyads_worsened", F.round("delta", 5).alias("delta"))
 
 
+@query()
+def profile_layout(spark, sf_dir):
+    """Models laid out so that like profiles stay neighbours."""
+    from causeway.operators import layout
+
+    return layout.umap(C.profiles(_scores(spark, sf_dir)))
+
+
+@query(
+    """, k as (select m, string_agg(n, ',' order by n) ns from node group by 1), e as (select m, string_agg(st::varchar, '' order by c) p from edge group by 1),
+a as (select k.m, ns, coalesce(p, '') p from k left join e using (m)), r as (select distinct ns, p rp from a where p not like '%0%')
+select a.m as model_id, power(2, length(p) - length(replace(p, '0', '')))::bigint as expected, count(rp) as represented from a left join r on r.ns = a.ns and rp like replace(p, '0', '_') group by a.m, a.p"""
+)
+def completion_coverage(spark, sf_dir):
+    """Each model's ways to settle its open edges if days told nothing, and how many of them are resolved models."""
+    reg, m = E.packed(spark, sf_dir)
+    free = m.withColumn("timing", F.transform("timing", lambda t: F.lit(None).cast("int")))
+    return S.coverage(free, reg).select("model_id", F.col("expected").cast("bigint").alias("expected"), "represented")
+
+
 @query(
     _CLOSED
     + """select e.pa || '' || e.pb || e.pc || e.e1 || e.e2 || e.e3 as model, case when e.e1 = 'u' or e.e2 = 'u' or e.e3 = 'u' then null when e.e1 = 'c' and e.e2 = 'c' then 'click' else '' end as adjustment_sets

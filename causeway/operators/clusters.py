@@ -42,7 +42,7 @@ def degeneracy(scores: DataFrame) -> dict:
 
 
 def embed(profiles_: DataFrame, dims: int = 2, most: int = MOST_EMBEDDED) -> DataFrame:
-    """(model_id, x, y[, z]): principal components of aligned profiles, with fixed signs; in place of UMAP, which needs a library.
+    """(model_id, x, y[, z]): principal components of aligned profiles, with fixed signs. ``layout.umap`` lays models out by neighbourhoods instead.
 
     Up to ``most`` models are taken apart by one task; more by subspace iteration over all tasks, to the same components.
     """
@@ -238,11 +238,17 @@ def summaries(scores: DataFrame, assignments: DataFrame, embedding: DataFrame |
     return out.join(mid, "cluster_id", "left")
 
 
-def detect(scores: DataFrame, eps: float = 0.5, min_samples: int = 5, dims: int = 2) -> DataFrame | None:
-    """(model_id, cluster, cluster_id) on the embedding; None if the scores are degenerate or the models too few."""
+def detect(scores: DataFrame, eps: float = 0.5, min_samples: int = 5, dims: int = 2, layout: str = "components", seed: int = 42) -> DataFrame | None:
+    """(model_id, cluster, cluster_id) on the embedding by principal components or, with ``layout`` "umap", by neighbourhoods; None if the scores are degenerate or the models too few."""
+    if layout not in ("components", "umap"):
+        raise ClusterError(f"no layout {layout}", "INVALID_LAYOUT")
     scores = complete(scores)
     if degeneracy(scores)["degenerate"] or scores.select("ego_id").distinct().count() < min_samples:
         return None
+    if layout == "umap":
+        from causeway.operators.layout import umap
+
+        return named(dbscan(umap(profiles(scores), dims, seed=seed), eps, min_samples))
     return named(dbscan(embed(profiles(scores), dims), eps, min_samples))
 
 
