@@ -138,14 +138,14 @@ def log_probabilities(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, ro
     row = np.arange(len(t))
     logits = z @ m["out"]
     logits += voc.groups.take(last, axis=0)
-    lp = logits[row, own]
+    lp = np.minimum(logits[row, own], BOUND)
     np.exp(np.minimum(logits, BOUND, out=logits), out=logits)
     lp -= np.log(logits @ ones[:GROUPS])
     logits = voc.flat.take(last * GROUPS + own, axis=0)
     for g in range(GROUPS):
         if at[g + 1] > at[g]:
             logits[at[g] : at[g + 1]] += z[at[g] : at[g + 1]] @ m["in"][g]
-    lp += logits[row, voc.member[t]]
+    lp += np.minimum(logits[row, voc.member[t]], BOUND)
     np.exp(np.minimum(logits, BOUND, out=logits), out=logits)
     lp -= np.log(logits @ ones[:MEMBERS])
     out = np.zeros(y.size, z.dtype)

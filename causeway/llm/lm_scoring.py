@@ -4,7 +4,9 @@ Tokens are lower-cased (A-Z) words and one end a text. Every chunk asks about it
 count over all learning texts and cuts it into subword ids once. Each chunk's texts are then stored as subword ids, and all that
 the attention model learns comes from them: its classes, shares and what follows what are counts over all learning texts in full,
 and its weights come from all their windows, in which each subword and each end is learned from once. A
-bounded sample of windows gives the first weights only; then every partition goes over all of its own, and their weights are averaged by the windows they saw.
+bounded sample of windows gives the first weights only; then shards of ``CHUNKS`` chunks, dealt by their numbers, are gone over each from these, and
+their weights are averaged by the windows they saw. So scores hang on the chunks, that is on how the table is cut into partitions when it is read, and
+not on the number of shuffle partitions or on where a shard is worked on.
 
 Null texts are empty: their end is their only token. Sums of
 single precision differ in their last digit by where a window stands in a matrix, so scores are rounded to DIGITS decimals: repeated
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from . import exchange as X
 
 FIRST_WINDOWS, FIRST_STEPS, GROUPS = 16384, 1200, 64
 BLOCK, STEP, DIGITS = 8192, 64, 6
+#: Chunks that weights are learned from one after another.
+CHUNKS = 8
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 TEXTS = "b long, windows long, blob binary"
 
@@ -149,7 +152,7 @@ def windows(texts: Texts, vocabulary: lm.Vocabulary, end: int, b: int, every: in
 
 
 def train(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> dict[str, np.ndarray]:
-    """First weights from a bounded sample of windows, then one pass of executors over all windows of ``texts``."""
+    """First weights from a bounded sample of windows, then one pass of executors over all windows of ``texts``, in shards of ``CHUNKS`` chunks."""
     held = texts.sparkSession.sparkContext.broadcast(vocabulary)
     # about FIRST_WINDOWS of all: on few texts all of them
     every = max(1, texts.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0] // FIRST_WINDOWS)
@@ -168,37 +171,49 @@ def train(texts: DataFrame, vocabulary: lm.Vocabulary, end: int) -> dict[str, np
     names = sorted(m)
 
     def run(batches):
-        own, seen, xs, ys = start.value, 0, [], []
+        now, own, seen, xs, ys = None, None, 0, [], []
 
         def learn():
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            xs.clear(), ys.clear()
-            return lm.fit(own, held.value, x, y, -(-len(x) // STEP), 0.002, size=STEP), len(x)
+            nonlocal own, seen
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                xs.clear(), ys.clear()
+                own, seen = lm.fit(own, held.value, x, y, -(-len(x) // STEP), 0.002, size=STEP), seen + len(x)
+
+        def weights():
+            learn()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([seen]), pa.array([np.concatenate([own[k].ravel() for k in names]).astype(np.float32).tobytes()], pa.binary())], ["g", "n", "w"])
 
         for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for shard, b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if shard != now:
+                    yield from weights()
+                    now, own, seen = shard, start.value, 0
                 for x, y in windows(Texts(blob.as_py()), held.value, end, b):
                     xs.append(x)
                     ys.append(y)
                     if sum(map(len, xs)) >= BLOCK:  # bounds memory
-                        own, n = learn()
-                        seen += n
+                        learn()
                 B.trim()
-        if xs:
-            own, n = learn()
-            seen += n
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([seen]), pa.array([np.concatenate([own[k].ravel() for k in names]).astype(np.float32).tobytes()], pa.binary())], ["g", "n", "w"])
+        yield from weights()
 
     def average(t: pa.Table) -> pa.Table:
+        t = t.sort_by("g")
         total, n = 0.0, t.column("n").to_pylist()
         for k, blob in zip(n, t.column("w"), strict=True):
             total = total + np.frombuffer(blob.as_py(), np.float32) * (k / sum(n))
-        return pa.table([t.column("g")[:1].combine_chunks(), pa.array([sum(n)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "n", "w"])
-
-    # every partition trains; their weights are averaged in groups, so at most GROUPS sets come back
-    sets = "g int, n long, w binary"
-    got = texts.select("b", "blob").mapInArrow(run, sets).groupBy("g").applyInArrow(average, sets).orderBy("g").collect()
+        return pa.table([pa.array([t.column("g")[0].as_py() // GROUPS]), pa.array([sum(n)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "n", "w"])
+
+    # fixed shards of chunks, each in order, whatever the partitions are; their weights are averaged by GROUPS, level by level
+    shards = max(1, -(-texts.count() // CHUNKS))
+    dealt = texts.select(F.pmod(F.xxhash64("b"), F.lit(shards)).alias("shard"), "b", "blob").repartition(X.parts(texts.sparkSession), "shard").sortWithinPartitions("shard", "b")
+    sets = "g long, n long, w binary"
+    at = X.durable(dealt.mapInArrow(run, sets))
+    while shards > GROUPS:
+        at = at.groupBy(F.expr(f"g div {GROUPS}").alias("of")).applyInArrow(lambda key, t: average(t), sets)
+        shards = -(-shards // GROUPS)
+    got = at.orderBy("g").collect()
     if not got:
         return m
     flat = np.average([np.frombuffer(r["w"], np.float32) for r in got], axis=0, weights=[r["n"] for r in got]).astype(np.float32)

@@ -95,3 +95,29 @@ def test_odd_rows(spark):
     out = {r["doc_id"]: r for r in lm_scoring.score(df, path, P.PATTERN, "doc_id is not null", "doc_id = 5").collect()}
     assert out[1]["n_tokens"] == 1 and out[3]["n_known"] == 4 and out[5]["score"] == pytest.approx(out[6]["score"]) and out[1]["score"] == out[2]["score"]
     assert lm_scoring.score(df.limit(0), path, P.PATTERN, "true", "false").count() == 0
+
+
+def test_scores_do_not_hang_on_shuffle_partitions(spark, tmp_path, monkeypatch):
+    from causeway.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "CHUNKS", 2)
+    monkeypatch.setattr(lm_scoring, "GROUPS", 2)  # weights are averaged in several levels
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(9, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = []
+    try:
+        for n in ("4", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(queries.op2_lm_scoring(spark, str(tmp_path)).orderBy("doc_id").toPandas())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert (abs(got[0]["score"] - got[1]["score"]) <= 2e-6 * got[0]["n_tokens"]).all() and got[0].drop(columns="score").equals(got[1].drop(columns="score"))
+
+
+def test_probabilities_of_large_logits_stay_below_one():
+    rng = np.random.default_rng(2)
+    v = lm.Vocabulary(rng.integers(0, 50, 3000), rng.random(3000) < 0.5)
+    m = lm.initial()
+    m["out"], m["in"] = m["out"] * 1e5, m["in"] * 1e5
+    x = rng.integers(0, lm.CLASSES, (40, 2 * lm.HALF))
+    got = lm.log_probabilities(m, v, x, rng.integers(0, lm.CLASSES, (40, lm.HALF)), lm.HALF)
+    assert np.isfinite(got).all() and got.max() < 1e-4
