@@ -8,7 +8,8 @@ the shared folder, and can be parsed back from there.
 The fold is relational: the last event that resets a message decides which of its pieces count, so a long conversation is
 spread over tasks by message. Only the parser reads a conversation in order; it is streamed and holds one message at a time.
 
-Null texts and roles are empty. Events of one message with equal sequence go by kind and text. A null conversation is one of
+Null texts and roles are empty. Of events of one message with equal sequence, deltas follow what resets the message, and go by text; of several that reset it the one
+of the greatest text counts. A null conversation is one of
 its own. An empty log gives no rows. Texts of any length are kept whole; columns beside the named ones are not used.
 """
 
