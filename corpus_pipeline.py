@@ -1,6 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, token ids.
 
-Each stage works on all that the one before kept, written as Parquet and read again.
+Each stage works on all that the one before kept, written as Parquet and read again. Null texts are kept as they are (empty for
+the token ids), also rows of null ids; of repeated rows one stays, as of near duplicates; texts of any length are whole; a table
+without rows gives none; columns beside id and text go through unchanged, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
