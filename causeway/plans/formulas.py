@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from causeway.plans.diagrams import Diagram, TooLarge  # noqa: F401
+
 TRUE, FALSE = ("const", True), ("const", False)
 
 
@@ -100,41 +102,12 @@ def column(f: tuple, on: Callable[[str], Column]) -> Column:
     return ~parts[0] if f[0] == "not" else reduce(lambda a, b: a & b if f[0] == "and" else a | b, parts)
 
 
-class TooLarge(ValueError):
-    """A diagram has more nodes than allowed."""
-
-
 def models(f: tuple, order: list[str], most_nodes: int | None = None) -> int:
-    """How many assignments of these variables satisfy the formula: a reduced decision diagram by order, each node counted once."""
-    known: dict[tuple, int] = {}
-
-    def count(g: tuple, i: int) -> int:
-        if g[0] == "const":
-            return (1 << len(order) - i) if g[1] else 0
-        key = (g, i)
-        if key not in known:
-            if most_nodes is not None and len(known) >= most_nodes:
-                raise TooLarge(f"the diagram has more than {most_nodes} nodes")
-            known[key] = sum(count(settle(g, {order[i]: v}), i + 1) for v in (True, False))
-        return known[key]
-
-    return count(f, 0)
+    """How many assignments of these variables satisfy the formula, by a decision diagram."""
+    d = Diagram(order, most_nodes)
+    return d.count(d.of(f))
 
 
 def satisfiable(f: tuple, order: list[str], most_nodes: int | None = None) -> bool:
-    """Whether any assignment satisfies the formula; stops at the first."""
-    dead: set[tuple] = set()
-
-    def found(g: tuple, i: int) -> bool:
-        if g[0] == "const":
-            return g[1]
-        if (g, i) in dead:
-            return False
-        if any(found(settle(g, {order[i]: v}), i + 1) for v in (True, False)):
-            return True
-        if most_nodes is not None and len(dead) >= most_nodes:
-            raise TooLarge(f"the diagram has more than {most_nodes} nodes")
-        dead.add((g, i))
-        return False
-
-    return found(f, 0)
+    """Whether any assignment satisfies the formula."""
+    return Diagram(order, most_nodes).of(f) != 0

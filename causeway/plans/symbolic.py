@@ -8,8 +8,10 @@ sample takes the place of all, or classes are counted exactly by decision diagra
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,8 +247,12 @@ def settled(constraint: tuple) -> tuple[dict[str, bool], tuple]:
     return known, rest
 
 
-def space(spark: SparkSession, u: Universe, constraint: tuple, most_edges: int | None = None, samples: int = SAMPLES, seed: int = 42, most_free: int = MOST_FREE) -> Space:
-    """All assignments, or beyond ``most_free`` open variables those of ``samples`` hashed draws that meet the constraint."""
+def space(spark: SparkSession, u: Universe, constraint: tuple, most_edges: int | None = None, samples: int = SAMPLES, seed: int = 42, most_free: int = MOST_FREE, trials: int = 1, most_nodes: int = NODES) -> Space:
+    """All assignments, or beyond ``most_free`` open variables ``samples`` even draws of those that meet the constraint.
+
+    Draws walk down a counted decision diagram, each by itself, so equal ones may come more than once. Where the diagram has more than
+    ``most_nodes`` nodes, ``trials`` hashed draws a sample are made and those that meet the constraint are kept.
+    """
     known, rest = settled(B.conj(constraint, sparse(u, most_edges)))
     free = [n for n in u.names if n not in known]
     exact = len(free) <= most_free
@@ -254,12 +260,47 @@ def space(spark: SparkSession, u: Universe, constraint: tuple, most_edges: int |
     if exact:
         parts = max(1, min(200, (1 << len(free)) >> 16))
         df = spark.range(0, 1 << len(free), 1, parts).withColumnRenamed("id", "a0")
+    elif (df := _even(spark, u, rest, s, samples, seed, most_nodes)) is not None:
+        s.df = df
+        return s
     else:  # each word by a hash of its own
-        df = spark.range(0, samples, 1, 8).select(*(F.xxhash64(F.lit(seed), "id", F.lit(i)).bitwiseAND(F.lit((1 << min(WORD, len(free) - WORD * i)) - 1)).alias(w) for i, w in enumerate(s.words)))
+        df = spark.range(0, samples * trials, 1, 8).select(*(F.xxhash64(F.lit(seed), "id", F.lit(i)).bitwiseAND(F.lit((1 << min(WORD, len(free) - WORD * i)) - 1)).alias(w) for i, w in enumerate(s.words)))
     s.df = df.where(B.column(rest, s.on))
     return s
 
 
+def _even(spark: SparkSession, u: Universe, rest: tuple, s: Space, samples: int, seed: int, most_nodes: int) -> DataFrame | None:
+    """Even draws of assignments as words; None where the diagram is too large. Tasks share the diagram, which ``most_nodes`` bounds."""
+    order = [n for n in variable_order(u) if n in s.bit]
+    d = B.Diagram(order, most_nodes)
+    try:
+        root = d.of(rest)
+    except B.TooLarge:
+        return None
+    words = s.words
+    if not root:
+        return spark.createDataFrame([], ", ".join(f"{w} long" for w in words))
+    d.count(root)
+    d._met.clear()
+    held, to = spark.sparkContext.broadcast((d, root)), [s.bit[n] for n in order]
+
+    def run(batches):
+        known, f = held.value
+        for x in batches:
+            out = [[] for _ in words]
+            for draw in x.column(0).to_pylist():
+                bits = known.drawn(f, seed, draw)
+                own = [0] * len(words)
+                for i, b in enumerate(to):
+                    if bits >> i & 1:
+                        own[b // WORD] |= 1 << b % WORD
+                for col, v in zip(out, own, strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], words)
+
+    return spark.range(0, samples, 1, 8).mapInArrow(run, ", ".join(f"{w} long" for w in words))
+
+
 def decoded(s: Space, u: Universe) -> DataFrame:
     """(a0 .., edges, nodes): each assignment's edges, and the nodes at their ends with exposure and outcome."""
     pair = lambda e: F.struct(F.lit(e[0]).alias("source"), F.lit(e[1]).alias("target"))
@@ -269,8 +310,8 @@ def decoded(s: Space, u: Universe) -> DataFrame:
 
 
 def sample(spark: SparkSession, u: Universe, constraint: tuple, n: int, seed: int = 42, trials: int = 50, **options) -> DataFrame:
-    """``n`` assignments that meet the constraint, decoded: hashed draws of all of them, or of draws that meet it (at most ``trials`` each)."""
-    s = space(spark, u, constraint, samples=n * trials, seed=seed, **options)
+    """``n`` assignments that meet the constraint, decoded: the first by hash of all of them or, where they are too many to list, ``n`` even draws (see ``space``)."""
+    s = space(spark, u, constraint, samples=n, seed=seed, trials=trials, **options)
     return decoded(s, u).orderBy(F.xxhash64(F.lit(seed), *s.words), *s.words).limit(n)
 
 
@@ -290,17 +331,13 @@ def _keyed(s: Space, atoms: dict[str, tuple]) -> DataFrame:
 
 
 def _by_diagram(u: Universe, rest: tuple, known: dict[str, bool], atoms: dict[str, tuple], most_nodes: int) -> list[tuple]:
-    """(mass, atoms' values) of every class that isn't empty: atoms are added one by one, and branches without assignments dropped."""
-    order = [n for n in variable_order(u) if n not in known]
-    found = [(B.models(rest, order, most_nodes), rest, ())]
+    """(mass, atoms' values) of every class that isn't empty: atoms are added one by one in one diagram, and branches without assignments dropped."""
+    d = B.Diagram([n for n in variable_order(u) if n not in known], most_nodes)
+    found = [(d.of(rest), ())]
     for f in atoms.values():
-        own, grown = B.settle(f, known), []
-        for n, g, values in found:
-            here = B.conj(g, own)
-            k = B.models(here, order, most_nodes)
-            grown += [(m, h, (*values, v)) for m, h, v in ((k, here, True), (n - k, B.conj(g, B.neg(own)), False)) if m]
-        found = grown
-    return [(n, *values) for n, _, values in found]
+        own = d.of(B.settle(f, known))
+        found = [(g, (*values, v)) for n, values in found for g, v in ((d.both(n, own), True), (d.both(n, d.negation(own)), False)) if g]
+    return [(d.count(n), *values) for n, values in found]
 
 
 def query_classes(spark: SparkSession, u: Universe, constraint: tuple, most_edges: int | None = None, most_atoms: int = ATOMS, index: Index | None = None, most_nodes: int = NODES, mode: str = "auto", **options) -> DataFrame:
@@ -318,15 +355,16 @@ def query_classes(spark: SparkSession, u: Universe, constraint: tuple, most_edge
     if not exact and mode == "full":
         try:
             rows = _by_diagram(u, s.rest, s.known, atoms, most_nodes)
-            # masses may be beyond 64 bits
-            c, exact = spark.createDataFrame([(float(r[0]), *r[1:]) for r in rows], "mass double" + "".join(f", `{n}` boolean" for n in names)), True
+            # masses may be beyond 64 bits, and beyond 38 digits only their sizes are told
+            kind, of = ("decimal(38,0)", Decimal) if sum(r[0] for r in rows) < 10**38 else ("double", float)
+            c, exact = spark.createDataFrame([(of(r[0]), *r[1:]) for r in rows], f"mass {kind}" + "".join(f", `{n}` boolean" for n in names)), True
         except B.TooLarge:
             pass
     if c is None:
         c = _keyed(s, atoms).groupBy(*names).agg(F.count("*").alias("mass"))
     number = sum((F.col(n).cast("long") * F.lit(1 << i) for i, n in enumerate(names)), F.lit(1))
     total = c.agg(F.sum("mass").alias("total"))
-    return c.crossJoin(F.broadcast(total)).select(F.format_string("Q%04d", number).alias("class_id"), "mass", (F.col("mass") / F.col("total")).alias("proportion"), F.lit(exact).alias("exact"), *names)  # one row is broadcast
+    return c.crossJoin(F.broadcast(total)).select(F.format_string("Q%04d", number).alias("class_id"), "mass", (F.col("mass").cast("double") / F.col("total").cast("double")).alias("proportion"), F.lit(exact).alias("exact"), *names)  # one row is broadcast
 
 
 def shape(classes: DataFrame) -> DataFrame:
