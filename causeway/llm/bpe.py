@@ -8,7 +8,8 @@ A piece is a white-space character with the run of other characters after it. Ev
 pre-token pattern, whatever stands on either side, so that encoding the pieces one by one gives what the whole text would. Under a
 pattern for which that isn't known (``CUTTABLE``) a piece is a whole text.
 
-Null texts are empty: no ids. Repeated rows give repeated results. Columns other than id and text are not used.
+Null texts are empty: no ids. Repeated rows give repeated results, an empty table none; texts of any length are encoded whole. Columns other
+than id and text are not used.
 """
 
 from __future__ import annotations

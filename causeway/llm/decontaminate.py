@@ -7,7 +7,7 @@ around it, which are compared word by word. Items of fewer words than a window a
 Few items (their size is checked) go to all executors; more than that are looked up by a shuffle: chunks of documents ask which of
 their fingerprints the benchmark has, and then for the items of the windows around these, word by word.
 
-Null texts have no words: nothing is hit, and a null item is in no document. Repeated items count each by its id; items of
+Null texts have no words: nothing is hit, and a null item is in no document. Repeated document rows are answered each. Repeated items count each by its id; items of
 one id are one item with several texts. Items of null id hit like others; together they count as one item in ``n_items`` and have no
 place in ``items_sha256``, as in the query's SQL. Texts of any length are cut whole; other columns are carried as they are.
 """
