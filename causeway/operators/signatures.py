@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from causeway.errors import StateError
 from causeway.functions import bits
-from causeway.functions.durable import number_rows
+from causeway.functions.durable import durable, number_rows
 from causeway.functions.graphs import Graph, bits_of, reach
 from causeway.operators import models as M
 from causeway.sources.registry import Registry
@@ -201,7 +201,7 @@ def coverage(models: DataFrame, registry: Registry, among: DataFrame | None = No
         own = own.join(ways, [*words("sure"), *words("free")], "left")
     else:
         own = own.withColumn("expected", F.get(power, bits.count(bits.words("free", n)).cast("int")))
-    own = own.withColumn("expected", F.when(F.col("valid"), F.col("expected")).otherwise(F.lit(0).cast("decimal(38,0)")))
+    own = durable(own.withColumn("expected", F.when(F.col("valid"), F.col("expected")).otherwise(F.lit(0).cast("decimal(38,0)"))))
 
     key = [*words("np"), *words("app"), "time"]
     done = described(resolved(models if among is None else among, registry)).where("valid").select(*key, *words("cm")).distinct()
