@@ -5,6 +5,7 @@ A set named ``np`` over a registry of up to 64 * k components is the columns ``n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import add
@@ -45,12 +46,25 @@ def any_set(sets: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, (w != 0 for w in sets))
 
 
+#: Neighbouring bits that are looked up at once.
+_RUN = 8
+
+
 def members(sets: list[Column], names: list[tuple[int, str]]) -> Column:
-    """The names of the set bits, in this order."""
-    packed = F.array(*(F.struct(F.lit(b >> 6).alias("w"), F.lit(b & 63).alias("b"), F.lit(s).alias("s")) for b, s in names))
-    own = F.array(*sets)
-    # a bit is tested by the parity of what a shift leaves: the shift takes columns only in SQL
-    return F.transform(F.filter(packed, lambda x: F.call_function("getbit", F.get(own, x["w"]), x["b"]) == 1), lambda x: x["s"]) if names else F.array().cast("array<string>")
+    """The names of the set bits, in this order: up to ``_RUN`` neighbouring bits are one place in a constant table of their subsets' names."""
+    runs: list[list[tuple[int, str]]] = []
+    for b, s in names:
+        if runs and len(runs[-1]) < _RUN and b == runs[-1][-1][0] + 1 and b & 63:
+            runs[-1].append((b, s))
+        else:
+            runs.append([(b, s)])
+    parts = []
+    for run in runs:
+        word, first = divmod(run[0][0], 64)
+        at = F.shiftrightunsigned(sets[word], first).bitwiseAND(F.lit((1 << len(run)) - 1)).cast("int")
+        table = json.dumps([[s for i, (_, s) in enumerate(run) if x >> i & 1] for x in range(1 << len(run))])
+        parts.append(F.get(F.from_json(F.lit(table), "array<array<string>>"), at))
+    return (F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else F.array().cast("array<string>")
 
 
 def union_of(bits: Column, value: Column, n: int, when: Column) -> list[Column]:
