@@ -41,11 +41,13 @@ def degeneracy(scores: DataFrame) -> dict:
     return r | {"degenerate": (r["unique_values"] or 0) < 2}
 
 
-def embed(profiles_: DataFrame, dims: int = 2, most: int = MOST_EMBEDDED) -> DataFrame:
+def embed(profiles_: DataFrame, dims: int = 2, most: int = MOST_EMBEDDED, weight: str | None = None) -> DataFrame:
     """(model_id, x, y[, z]): principal components of aligned profiles, with fixed signs. ``layout.umap`` lays models out by neighbourhoods instead.
 
     Up to ``most`` models are taken apart by one task; more by subspace iteration over all tasks, to the same components.
+    ``weight``: column of how many models a row stands for; its place in the profiles stands for as many.
     """
+    profiles_ = profiles_.select("model_id", "profile", (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
     n = profiles_.count()
     names = ["x", "y", "z"][:dims]
     schema = "model_id string, " + ", ".join(f"{c} double" for c in names)
@@ -55,12 +57,14 @@ def embed(profiles_: DataFrame, dims: int = 2, most: int = MOST_EMBEDDED) -> Dat
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("model_id")
         p = t.column("profile").combine_chunks().flatten().to_numpy().reshape(len(t), -1).copy()
-        p -= p.mean(axis=0)
+        w = t.column("w").to_numpy()
+        p *= w**0.5
+        p -= w @ p / w.sum()
         out = np.zeros((len(p), dims))
         if len(p) > 1:
-            u, s, v = np.linalg.svd(p, full_matrices=False)
+            u, s, v = np.linalg.svd(p * w[:, None] ** 0.5, full_matrices=False)
             k = min(dims, len(s))
-            out[:, :k] = (u[:, :k] * s[:k]) * _signs(v[:k])
+            out[:, :k] = (u[:, :k] * s[:k]) / w[:, None] ** 0.5 * _signs(v[:k] / w**0.5)
         return pa.table([t.column("model_id"), *(pa.array(out[:, i]) for i in range(dims))], ["model_id", *names])
 
     return profiles_.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, schema)
@@ -75,34 +79,36 @@ def _embed_by_rounds(profiles_: DataFrame, n: int, names: list[str], schema: str
     """The driver holds a few numbers a model (the directions); a model's profile has as many itself."""
     profiles_ = durable(profiles_)
     k = min(len(names) + 4, n)
+    root = profiles_.select("model_id", "w").orderBy("model_id").toArrow()["w"].to_numpy() ** 0.5
+    every = float((root**2).sum())
 
     def matrix(x: pa.RecordBatch) -> np.ndarray:
-        return x.column(1).flatten().to_numpy().reshape(len(x), -1)
+        return x.column(1).flatten().to_numpy().reshape(len(x), -1) * root
 
     def summed(fn, width: int) -> np.ndarray:
-        """Sums over all profiles of fn(profiles) (places by ``width``), added up by place."""
+        """Sums over all profiles of fn(profiles, weights) (places by ``width``), added up by place."""
 
         def run(batches):
             total = np.zeros((n, width))
             for x in batches:
-                total += fn(matrix(x))
+                total += fn(matrix(x), x.column(2).to_numpy()[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *(pa.array(total[:, i]) for i in range(width))], ["at", *(f"c{i}" for i in range(width))])
 
         cols = [f"c{i}" for i in range(width)]
-        rows = profiles_.select("model_id", "profile").mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in cols)).groupBy("at").agg(*(F.sum(c).alias(c) for c in cols)).orderBy("at").toArrow()
+        rows = profiles_.select("model_id", "profile", "w").mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in cols)).groupBy("at").agg(*(F.sum(c).alias(c) for c in cols)).orderBy("at").toArrow()
         return np.stack([rows[c].to_numpy() for c in cols], axis=1)
 
-    mean = summed(lambda p: p.sum(axis=0)[:, None], 1)[:, 0] / n
+    mean = summed(lambda p, w: (w * p).sum(axis=0)[:, None], 1)[:, 0] / every
     v, last = np.linalg.qr(np.random.default_rng(0).normal(size=(n, k)))[0], None
     for _ in range(rounds):
-        v = np.linalg.qr(summed(lambda p, v=v: (q := p - mean).T @ (q @ v), k))[0]
+        v = np.linalg.qr(summed(lambda p, w, v=v: (w * (q := p - mean)).T @ (q @ v), k))[0]
         size = np.linalg.norm(v[:, : len(names)] if last is None else v[:, : len(names)] - last @ (last.T @ v[:, : len(names)]))
         if last is not None and size < 1e-9:
             break
         last = v
-    gram = np.linalg.eigh(summed(lambda p: (q := p - mean).T @ (q @ v), k).T @ v)  # in the directions found
+    gram = np.linalg.eigh(summed(lambda p, w: (w * (q := p - mean)).T @ (q @ v), k).T @ v)  # in the directions found
     turn = (v @ gram[1][:, ::-1])[:, : len(names)]
-    turn *= _signs(turn.T)
+    turn *= _signs((turn / root[:, None]).T)
 
     def run(batches):
         for x in batches:
@@ -224,13 +230,13 @@ def centralities(scores: DataFrame, assignments: DataFrame) -> DataFrame:
     return a.join(both, ["cluster_id", "model_id"], "left").select("cluster_id", "model_id", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
-def _of_clusters(central: DataFrame) -> DataFrame:
+def of_clusters(central: DataFrame) -> DataFrame:
     return central.groupBy("cluster_id").agg(F.count("*").alias("model_count"), F.coalesce(F.try_divide(F.sum("total"), F.sum("pairs")), F.lit(0.0)).alias("internal_compatibility"))
 
 
 def summaries(scores: DataFrame, assignments: DataFrame, embedding: DataFrame | None = None) -> DataFrame:
     """Per cluster: models, the mean of their ordered pairs (0 for one model), and with the embedding their centroid."""
-    out = _of_clusters(centralities(scores, assignments))
+    out = of_clusters(centralities(scores, assignments))
     if embedding is None:
         return out
     axes = [c for c in embedding.columns if c != "model_id"]
@@ -254,28 +260,32 @@ def detect(scores: DataFrame, eps: float = 0.5, min_samples: int = 5, dims: int
 
 def contrast(scores: DataFrame, assignments: DataFrame, prior: str, internal: float = 0.6, far: float = 0.4) -> DataFrame:
     """Per cluster: coherence, compatibility with the prior model (its own membership aside), label, and up to three representatives."""
-    central = durable(centralities(scores, assignments))  # a row a model
-    s = _of_clusters(central)
-    a = assignments.where("cluster_id is not null").select("model_id", "cluster_id")
     touch = scores.where(F.col("ego_id") == prior).select(F.col("alter_id").alias("model_id"), "score").union(scores.where(F.col("alter_id") == prior).select("ego_id", "score"))
+    return contrasted(durable(centralities(scores, assignments)), touch, assignments, internal, far)
+
+
+def contrasted(central: DataFrame, touch: DataFrame, assignments: DataFrame, internal: float, far: float) -> DataFrame:
+    """``contrast`` from centralities (a row a model) and the scores with the prior model (model_id, score)."""
+    s = of_clusters(central)
+    a = assignments.where("cluster_id is not null").select("model_id", "cluster_id")
     p = touch.join(a, "model_id").groupBy("cluster_id").agg(F.avg("score").alias("p"))
     prior_score = F.coalesce("p", F.lit(0.0))
     label = F.when(F.col("internal_compatibility") < internal, "fragmented").when(prior_score < far, "ghost").otherwise("mainstream")
-    top = _most_central(central, 3).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "model_id"))), lambda x: x["model_id"]).alias("representative_models"))
+    top = most_central(central, 3).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "model_id"))), lambda x: x["model_id"]).alias("representative_models"))
     return s.join(p, "cluster_id", "left").join(top, "cluster_id").select("cluster_id", "model_count", "internal_compatibility", prior_score.alias("prior_compatibility"), (1 - prior_score).alias("prior_distance"), label.alias("label"), "representative_models")
 
 
 def representatives(scores: DataFrame, assignments: DataFrame, top: int = 3) -> DataFrame:
     """The models most compatible with their cluster; of a small cluster all, by id."""
-    return _most_central(centralities(scores, assignments), top)
+    return most_central(centralities(scores, assignments), top)
 
 
-def _most_central(central: DataFrame, top: int) -> DataFrame:
+def most_central(central: DataFrame, top: int) -> DataFrame:
     mean = central.select("cluster_id", "model_id", F.coalesce(F.try_divide("total", "pairs"), F.lit(0.0)).alias("centrality"))
-    w = Window.partitionBy("cluster_id")
-    small = F.count("*").over(w) <= top
-    place = F.row_number().over(w.orderBy(F.desc(F.when(F.col("_small"), 0.0).otherwise(F.round("centrality", 9))), "model_id"))  # sums come in any order
-    return mean.withColumn("_small", small).withColumn("place", place).where(F.col("place") <= top).select("cluster_id", "model_id", "centrality", "place")
+    small = mean.groupBy("cluster_id").agg((F.count("*") <= top).alias("_small"))
+    order = [F.desc(F.when(F.col("_small"), 0.0).otherwise(F.round("centrality", 9))), "model_id"]  # sums come in any order
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))  # tasks cut their rows to the first ones before a cluster's meet
+    return mean.join(small, "cluster_id").withColumn("place", place).where(F.col("place") <= top).select("cluster_id", "model_id", "centrality", "place")
 
 
 def ghosts(contrast_: DataFrame) -> DataFrame:

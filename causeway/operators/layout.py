@@ -201,17 +201,23 @@ def umap(profiles: DataFrame, dims: int = 2, k: int = NEIGHBOURS, seed: int = 42
     if k < 2:
         raise ClusterError("at least two neighbours are needed", "INVALID_NEIGHBOURS")
     profiles = durable(profiles)
-    names = ["x", "y", "z"][:dims]
     number = durable(number_rows(profiles.select("model_id"), "model_id", name="i").withColumn("i", (F.col("i") - 1).cast("long")))
-    n = number.count()
-    start = embed(profiles, dims)
-    if n < 3:
+    vectors = sketches(profiles, SKETCH, seed).join(number, "model_id").select("i", "vec")
+    return lay_out(number, embed(profiles, dims), vectors, dims, k, seed, min_dist, spread)
+
+
+def lay_out(number: DataFrame, start: DataFrame, vectors: DataFrame, dims: int = 2, k: int = NEIGHBOURS, seed: int = 42, min_dist: float = MIN_DIST, spread: float = SPREAD) -> DataFrame:
+    """``umap`` from the models' numbers (model_id, i), their first places (model_id, x, y[, z]) and sketches (i, vec)."""
+    if k < 2:
+        raise ClusterError("at least two neighbours are needed", "INVALID_NEIGHBOURS")
+    names = ["x", "y", "z"][:dims]
+    start = durable(start)
+    if number.count() < 3:
         return start
     size = F.greatest(*(F.max(F.abs(F.col(c))) for c in names))
     size = start.agg(size).first()[0] or 1.0
     noise = lambda j: F.pmod(F.xxhash64(F.lit(seed), "i", F.lit(j)), F.lit(1 << 20)) / float(1 << 20) * 1e-2
     start = start.join(number, "model_id").select("i", F.array(*(F.round(F.col(c) / size * 10, 6) + noise(j) for j, c in enumerate(names))).alias("at"))
-    vectors = sketches(profiles, SKETCH, seed).join(number, "model_id").select("i", "vec")
     edges = weights(neighbours(vectors, k, seed), k)
     at = place(edges, start, dims, seed, min_dist=min_dist, spread=spread)
     return at.join(number, "i").select("model_id", *(F.get("at", F.lit(j)).alias(c) for j, c in enumerate(names)))
