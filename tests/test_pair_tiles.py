@@ -35,3 +35,21 @@ def test_tiles_of_any_size(spark, monkeypatch):
         monkeypatch.setattr(D, "TILE", tile)
         assert sorted(map(tuple, D.counts(D.pairs(m, reg), reg).collect())) == want
     assert D.pairs(m.limit(0), reg).count() == 0 == D.pairs(m, reg, m.limit(0)).count()
+
+
+@pytest.mark.parametrize("held", ["both", "egos"])
+def test_no_row_meets_more_than_a_tile(spark, monkeypatch, held):
+    """A nested loop over all egos keeps a whole tile's pairs in memory until the first is read: with 90,000 users 11.5 million rows a task."""
+    reg, m = E.packed(spark, "/root/testdata/sf0.001")
+    few = m.orderBy("model_id").limit(3).persist()
+    want = sorted(map(tuple, D.counts(D.pairs(few, reg, m), reg).collect()))
+    assert len(want) == 3 * (m.count() - 1)
+    if held == "egos":  # the alters are too many to broadcast
+        monkeypatch.setattr(D, "BROADCAST_BYTES", 5 * (64 + 32 * reg.words + 8 * len(reg.nodes)))
+    monkeypatch.setattr(D, "TILE", 4)
+    out = D.counts(D.pairs(few, reg, m), reg)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert sorted(map(tuple, out.collect())) == want
+    if held == "both":
+        assert "Generate" not in plan and "Range (0" in plan
