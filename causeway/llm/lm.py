@@ -153,14 +153,13 @@ def log_probabilities(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, ro
     return out.reshape(y.shape)
 
 
-def _by_class(x: np.ndarray, grad: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Sums of the gradients of each class's row."""
-    order = np.argsort(x.astype(np.int16), kind="stable")
-    x = x[order]
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    out = np.zeros_like(like)
-    out[x[first]] = np.add.reduceat(grad.reshape(-1, WIDTH)[order], first)
-    return out
+def _by_class(x: np.ndarray, *grads: np.ndarray) -> list[np.ndarray]:
+    """Of each of the gradients the sums over the places of each class."""
+    own = np.concatenate([g.reshape(-1, WIDTH) for g in grads], axis=1)
+    width = own.shape[1]
+    out = np.zeros((CLASSES + 1) * width, own.dtype)
+    np.add.at(out, (x.astype(np.int64)[:, None] * width + np.arange(width)).ravel(), own.ravel())
+    return np.split(out.reshape(-1, width), len(grads), axis=1)
 
 
 def step(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -206,28 +205,37 @@ def step(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray) -> tuple[float,
     ds *= a
     dq, dk = ds @ k * np.float32(WIDTH**-0.5), np.ascontiguousarray(ds.transpose(0, 2, 1)) @ q
     g["bias"] = np.bincount(d.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * HALF).astype(flat.dtype)
-    every = x.ravel()
-    for name, at, grad in (("q", last, dq), ("u", last, dz), ("k", every, dk), ("v", every, dv)):
-        g[name] = _by_class(at, grad, m[name])
+    g["q"], g["u"] = _by_class(last, dq, dz)
+    g["k"], g["v"] = _by_class(x.ravel(), dk, dv)
     return loss, g
 
 
 def fit(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, steps: int, rate: float, size: int = 64, seed: int = 3) -> dict:
     """Adam over the windows in a fixed shuffled order, again from the start where steps are left; the rate falls to a tenth."""
     one_thread()
-    m = {k: v.copy() for k, v in m.items()}
     if not len(x):
-        return m
-    first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+        return {k: v.copy() for k, v in m.items()}
+    names, shapes = list(m), [v.shape for v in m.values()]
+    cuts = np.cumsum([v.size for v in m.values()])[:-1]
+    flat = np.concatenate([v.ravel() for v in m.values()])  # all weights in one row; m's are views of it
+    m = {k: v.reshape(shape) for k, v, shape in zip(names, np.split(flat, cuts), shapes, strict=True)}
+    first, second, by = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     order = np.random.default_rng(seed).permutation(len(x))
     for i in range(steps):
         at = order[(i * size + np.arange(min(size, len(x)))) % len(x)]
         _, g = step(m, voc, x[at], y[at])
         now = rate * (1 - 0.9 * i / steps)
-        for k in m:
-            first[k] = 0.9 * first[k] + 0.1 * g[k]
-            second[k] = 0.99 * second[k] + 0.01 * g[k] * g[k]
-            m[k] -= np.float32(now) * (first[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(second[k] / (1 - 0.99 ** (i + 1))) + np.float32(1e-8))
+        g = np.concatenate([g[k].ravel() for k in names])
+        first *= 0.9
+        first += np.multiply(g, 0.1, out=by)
+        second *= 0.99
+        g *= g
+        second += np.multiply(g, 0.01, out=by)
+        np.sqrt(np.multiply(second, 1 / (1 - 0.99 ** (i + 1)), out=by), out=by)
+        by += 1e-8
+        np.divide(first, by, out=by)
+        by *= now / (1 - 0.9 ** (i + 1))
+        flat -= by
     return m
 
 

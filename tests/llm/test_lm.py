@@ -121,3 +121,29 @@ def test_probabilities_of_large_logits_stay_below_one():
     x = rng.integers(0, lm.CLASSES, (40, 2 * lm.HALF))
     got = lm.log_probabilities(m, v, x, rng.integers(0, lm.CLASSES, (40, lm.HALF)), lm.HALF)
     assert np.isfinite(got).all() and got.max() < 1e-4
+
+
+def test_steps_are_plain_adam():
+    """Weights in one row and sums by class in place give what the rule gives, weight by weight."""
+    rng = np.random.default_rng(5)
+    v = lm.Vocabulary(rng.integers(1, 100, 300), rng.random(300) < 0.5)
+    x, y = (rng.integers(0, lm.CLASSES + 1, (150, 2 * lm.HALF)).astype(np.int16) for _ in range(2))
+    start = {k: w.astype(np.float64) for k, w in lm.initial().items()}
+    kept = {k: w.copy() for k, w in start.items()}
+    got = lm.fit(start, v, x, y, 5, 0.01, size=64, seed=3)
+    want, first, second = dict(kept), {k: 0.0 for k in kept}, {k: 0.0 for k in kept}
+    order = np.random.default_rng(3).permutation(len(x))
+    for i in range(5):
+        at = order[(i * 64 + np.arange(64)) % len(x)]
+        g = lm.step(want, v, x[at], y[at])[1]
+        for k in want:
+            first[k], second[k] = 0.9 * first[k] + 0.1 * g[k], 0.99 * second[k] + 0.01 * g[k] ** 2
+            want[k] = want[k] - 0.01 * (1 - 0.9 * i / 5) * (first[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(second[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
+    assert all(np.abs(got[k] - want[k]).max() < 1e-9 and got[k].shape == kept[k].shape for k in kept)
+    assert all((start[k] == kept[k]).all() for k in kept)  # what was given stays
+    for name, at in (("q", x[:, -4:]), ("k", x)):
+        one = rng.normal(size=(*at.shape, lm.WIDTH))
+        plain = np.zeros_like(start[name])
+        for c, row in zip(at.ravel(), one.reshape(-1, lm.WIDTH), strict=True):
+            plain[c] += row
+        assert np.abs(lm._by_class(at.ravel(), one, 2 * one)[1] - 2 * plain).max() < 1e-9
