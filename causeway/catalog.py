@@ -195,8 +195,8 @@ def set_matrix(spark, sf_dir):
     return U.set_matrix(M.unpack(m, reg), "view", ["C0006", "C0007", "C0010"])
 
 
-def _given_clusters(spark, sf_dir):
-    reg, m = E.packed(spark, sf_dir)
+def _given_clusters(spark, sf_dir, m: DataFrame | None = None):
+    m = E.packed(spark, sf_dir)[1] if m is None else m
     return m.select("model_id", F.concat(F.lit("Cluster_0"), (F.col("cm0") % 3 + 1).cast("string")).alias("cluster_id"))
 
 
@@ -207,7 +207,7 @@ inner_ as (select a.c, avg(shared / union_claims) s from dyad join asg a on a.m
 @query(_ASSIGN + " select c as cluster_id, count(*) as model_count, round(coalesce(any_value(s), 0), 6) as internal_compatibility from asg left join inner_ using (c) group by c")
 def cluster_summaries(spark, sf_dir):
     reg, m = E.packed(spark, sf_dir)
-    return A.summaries(m, reg, _given_clusters(spark, sf_dir)).withColumn("internal_compatibility", F.round("internal_compatibility", 6))
+    return A.summaries(m, reg, _given_clusters(spark, sf_dir, m)).withColumn("internal_compatibility", F.round("internal_compatibility", 6))
 
 
 @query(
@@ -219,7 +219,7 @@ select c as cluster_id, n as model_count, round(i, 6) as internal_compatibility,
 def ghost_contrast(spark, sf_dir):
     reg, m = E.packed(spark, sf_dir)
     prior = m.agg(F.min("model_id")).first()[0]
-    return A.contrast(m, reg, _given_clusters(spark, sf_dir), prior, 0.3, 0.27).select("cluster_id", "model_count", F.round("internal_compatibility", 6).alias("internal_compatibility"), F.round("prior_compatibility", 6).alias("prior_compatibility"), "label")
+    return A.contrast(m, reg, _given_clusters(spark, sf_dir, m), prior, 0.3, 0.27).select("cluster_id", "model_count", F.round("internal_compatibility", 6).alias("internal_compatibility"), F.round("prior_compatibility", 6).alias("prior_compatibility"), "label")
 
 
 @query(
@@ -230,7 +230,7 @@ select c as cluster_id, m as model_id, k as place from r where k <= 3"""
 )
 def representatives(spark, sf_dir):
     reg, m = E.packed(spark, sf_dir)
-    return A.representatives(m, reg, _given_clusters(spark, sf_dir)).select("cluster_id", "model_id", F.col("place").cast("bigint").alias("place"))
+    return A.representatives(m, reg, _given_clusters(spark, sf_dir, m)).select("cluster_id", "model_id", F.col("place").cast("bigint").alias("place"))
 
 
 def _closed(spark, sf_dir):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from causeway import catalog as K
 from causeway.operators import alike as A
 from causeway.operators import clusters as C
 from causeway.operators import dyads as D
@@ -65,3 +66,12 @@ def test_work_grows_with_classes(given):
     of = A.classes(m, reg)
     assert of.agg(F.sum("n")).first()[0] == m.count() > of.count()
     assert A.pairs(of, reg).count() == of.count() ** 2
+
+
+@pytest.mark.parametrize("name", ["cluster_summaries", "ghost_contrast", "representatives"])
+def test_models_are_packed_once(spark, monkeypatch, name):
+    """Clusters come from the models at hand; events are not packed again for them."""
+    calls, packed = [], E.packed
+    monkeypatch.setattr(E, "packed", lambda *a: calls.append(a) or packed(*a))
+    assert K.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
