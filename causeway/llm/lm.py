@@ -16,6 +16,8 @@ import numpy as np
 GROUPS, MEMBERS, BANDS, WIDTH, HALF = 32, 32, 64, 16, 16
 CLASSES = GROUPS * MEMBERS
 BOUND = np.float32(40)
+#: Query, key, value and own vector of a class, as they lie in its row.
+VECTORS = ("q", "k", "v", "u")
 
 
 class Vocabulary:
@@ -99,115 +101,145 @@ def _mask(rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(d, 0), d >= 0
 
 
-def _attend(m: dict, x: np.ndarray, rows: int):
-    """Attention of the last ``rows`` places over windows of classes (windows, places), unnormalised, its sums, and the result. Padding is class CLASSES."""
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """In place, of at most BOUND: a look at the largest is quicker than a pass that cuts nothing."""
+    if logits.size and not logits.max() <= BOUND:
+        np.minimum(logits, BOUND, out=logits)
+    return np.exp(logits, out=logits)
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Over the last axis; a product is quicker than a sum over a short axis."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(a.shape[:-1])
+
+
+def _table(m: dict) -> np.ndarray:
+    """All four vectors of a class in one row, so that one look-up finds them."""
+    return np.concatenate([m[k] for k in VECTORS], axis=1)
+
+
+def _attend(table: np.ndarray, bias: np.ndarray, x: np.ndarray, rows: int):
+    """Attention of the last ``rows`` places over windows of classes (windows, places), unnormalised, its sums, what is attended to, and the result. Padding is class CLASSES."""
     d, causal = _mask(rows, x.shape[1])
-    q, k, v = m["q"].take(x[:, -rows:], axis=0), m["k"].take(x, axis=0), m["v"].take(x, axis=0)
-    q *= np.float32(WIDTH**-0.5)
+    own = table.take(x, axis=0)
+    q, k, v, u = (own[:, at:, i * WIDTH : (i + 1) * WIDTH] for i, at in enumerate((-rows, 0, 0, -rows)))
+    q = q * np.float32(WIDTH**-0.5)
     s = q @ k.transpose(0, 2, 1)
-    s += np.where(causal, m["bias"][d], -np.inf).astype(s.dtype)  # 0 exactly, as products of numbers near it are slow
-    np.exp(np.minimum(s, BOUND, out=s), out=s)
+    s += np.where(causal, bias[d], -np.inf).astype(s.dtype)  # 0 exactly, as products of numbers near it are slow
+    _exp(s)
     pad = x == CLASSES
-    if pad.any():
-        s *= (~pad)[:, None, :].astype(s.dtype)
-    total = s @ np.ones(x.shape[1], s.dtype)  # a product is quicker than a sum over a short axis
+    some = np.flatnonzero(pad.any(axis=1))  # few windows have any
+    s[some] *= (~pad[some])[:, None, :].astype(s.dtype)
+    total = _sums(s)
     total += np.float32(1e-20)
-    z = s @ v
-    z /= total[:, :, None]
-    z += m["u"].take(x[:, -rows:], axis=0)
+    met = s @ v
+    met /= total[:, :, None]
+    z = met + u
     np.tanh(z, out=z)
-    return q, k, v, s, total, z
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    np.exp(np.minimum(logits, BOUND, out=logits), out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
-    return logits
+    return q, k, v, s, total, met, z
 
 
-def log_probabilities(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, rows: int) -> np.ndarray:
-    """log P(class y) after each of the last ``rows`` places of the windows x (0 where y is padding)."""
-    z = _attend(m, x, rows)[-1].reshape(-1, WIDTH)
+def log_probabilities(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, rows: int, table: np.ndarray | None = None) -> np.ndarray:
+    """log P(class y) after each of the last ``rows`` places of the windows x (0 where y is padding). ``table``: that of the model, if made before."""
+    z = _attend(_table(m) if table is None else table, m["bias"], x, rows)[-1].reshape(-1, WIDTH)
     last, t = x[:, -rows:].ravel(), y.ravel()
     ok = np.flatnonzero(t != CLASSES)
     ok = ok[np.argsort(voc.short[t[ok]], kind="stable")]  # the places of each group together
-    z, last, t = z[ok], last[ok], t[ok]
+    z, last, t = z[ok], last[ok].astype(np.int64), t[ok]
     own = voc.group[t]
-    at = np.searchsorted(own, np.arange(GROUPS + 1))
-    ones = np.ones(max(GROUPS, MEMBERS), z.dtype)
+    at = np.searchsorted(own, np.arange(GROUPS + 1)).tolist()
     row = np.arange(len(t))
     logits = z @ m["out"]
     logits += voc.groups.take(last, axis=0)
     lp = np.minimum(logits[row, own], BOUND)
-    np.exp(np.minimum(logits, BOUND, out=logits), out=logits)
-    lp -= np.log(logits @ ones[:GROUPS])
+    lp -= np.log(_sums(_exp(logits)))
     logits = voc.flat.take(last * GROUPS + own, axis=0)
     for g in range(GROUPS):
         if at[g + 1] > at[g]:
             logits[at[g] : at[g + 1]] += z[at[g] : at[g + 1]] @ m["in"][g]
     lp += np.minimum(logits[row, voc.member[t]], BOUND)
-    np.exp(np.minimum(logits, BOUND, out=logits), out=logits)
-    lp -= np.log(logits @ ones[:MEMBERS])
+    lp -= np.log(_sums(_exp(logits)))
     out = np.zeros(y.size, z.dtype)
     out[ok] = lp
     return out.reshape(y.shape)
 
 
-def _by_class(x: np.ndarray, *grads: np.ndarray) -> list[np.ndarray]:
-    """Of each of the gradients the sums over the places of each class."""
-    own = np.concatenate([g.reshape(-1, WIDTH) for g in grads], axis=1)
+def _sum_rows(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class."""
     width = own.shape[1]
     out = np.zeros((CLASSES + 1) * width, own.dtype)
     np.add.at(out, (x.astype(np.int64)[:, None] * width + np.arange(width)).ravel(), own.ravel())
-    return np.split(out.reshape(-1, width), len(grads), axis=1)
+    return out.reshape(-1, width)
+
+
+def _by_class(x: np.ndarray, *grads: np.ndarray) -> list[np.ndarray]:
+    """Of each of the gradients the sums over the places of each class."""
+    return np.split(_sum_rows(x, np.concatenate([g.reshape(-1, WIDTH) for g in grads], axis=1)), len(grads), axis=1)
 
 
 def step(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of what follows the last places of the windows (y == CLASSES: nothing to predict) and its gradients."""
+    loss, table, *g = _step(_table(m), m["bias"], m["out"], m["in"], voc, x, y)
+    return loss, dict(zip(VECTORS, np.split(table, len(VECTORS), axis=1), strict=True)) | dict(zip(("bias", "out", "in"), g, strict=True))
+
+
+def _step(table: np.ndarray, bias: np.ndarray, to_groups: np.ndarray, to_members: np.ndarray, voc: Vocabulary, x: np.ndarray, y: np.ndarray):
+    """Loss, and the gradients of the table, the bias and both outputs."""
     rows = y.shape[1]
     d, _ = _mask(rows, x.shape[1])
-    q, k, v, a, total, z = _attend(m, x, rows)
-    a /= total[:, :, None]
+    q, k, v, s, total, met, z = _attend(table, bias, x, rows)
     z, last, t = z.reshape(-1, WIDTH), x[:, -rows:].ravel(), y.ravel()
     ok = np.flatnonzero(t != CLASSES)
     ok = ok[np.argsort(voc.short[t[ok]], kind="stable")]  # the places of each group together
     flat, before, t = z[ok], last[ok].astype(np.int64), t[ok]
-    own, row = voc.group[t], np.arange(len(t))
+    own = voc.group[t]
     at = np.searchsorted(own, np.arange(GROUPS + 1)).tolist()
     parts = [(i, slice(at[i], at[i + 1])) for i in range(GROUPS) if at[i + 1] > at[i]]
     weight = flat.dtype.type(1 / max(len(t), 1))
-    p = flat @ m["out"]
+
+    def errors(logits, pick):
+        """Loss, and the logits' gradients in their place."""
+        spot = np.arange(len(t)) * logits.shape[1] + pick
+        sums = _sums(_exp(logits))
+        line = logits.ravel()
+        loss = -float(np.log(line.take(spot) / sums + 1e-30).sum() * weight)
+        logits *= (weight / sums)[:, None]
+        line[spot] -= weight
+        return loss
+
+    p = flat @ to_groups
     p += voc.groups.take(before, axis=0)
-    p = _softmax(p)
-    loss = -float(np.log(p[row, own] + 1e-30).sum() * weight)
-    p[row, own] -= 1
-    p *= weight
-    g = {"out": flat.T @ p, "in": np.zeros_like(m["in"])}
-    df = p @ m["out"].T
-    p = voc.members.reshape(-1, MEMBERS).take(before * GROUPS + own, axis=0)
+    loss = errors(p, own)
+    d_groups, d_members = flat.T @ p, np.zeros_like(to_members)
+    df = p @ to_groups.T
     for i, part in parts:
-        p[part] += flat[part] @ m["in"][i]
-    p = _softmax(p)
-    pick = voc.member[t]
-    loss -= float(np.log(p[row, pick] + 1e-30).sum() * weight)
-    p[row, pick] -= 1
-    p *= weight
+        np.matmul(flat[part], to_members[i], out=p[part])
+    p += voc.flat.take(before * GROUPS + own, axis=0)
+    loss += errors(p, voc.member[t])
+    by = np.empty_like(df)
     for i, part in parts:
-        g["in"][i] = flat[part].T @ p[part]
-        df[part] += p[part] @ m["in"][i].T
+        f, e = flat[part], p[part]
+        np.matmul(f.T, e, out=d_members[i])
+        np.matmul(e, to_members[i].T, out=by[part])
+    df += by
     df *= 1 - flat * flat
     dz = np.zeros_like(z)
     dz[ok] = df
     dz = dz.reshape(len(x), rows, WIDTH)
-    dv = np.ascontiguousarray(a.transpose(0, 2, 1)) @ dz
+    grad = np.zeros((*x.shape, 4 * WIDTH), z.dtype)
+    grad[:, -rows:, 3 * WIDTH :] = dz
+    mean = _sums(dz * met)  # the mean of what attention gains, by its sums of values
+    dz /= total[:, :, None]
+    mean /= total
+    grad[:, :, 2 * WIDTH : 3 * WIDTH] = s.transpose(0, 2, 1) @ dz
     ds = dz @ v.transpose(0, 2, 1)
-    ds -= ((a * ds) @ np.ones(a.shape[2], a.dtype))[:, :, None]
-    ds *= a
-    dq, dk = ds @ k * np.float32(WIDTH**-0.5), np.ascontiguousarray(ds.transpose(0, 2, 1)) @ q
-    g["bias"] = np.bincount(d.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * HALF).astype(flat.dtype)
-    g["q"], g["u"] = _by_class(last, dq, dz)
-    g["k"], g["v"] = _by_class(x.ravel(), dk, dv)
-    return loss, g
+    ds -= mean[:, :, None]
+    ds *= s
+    grad[:, -rows:, :WIDTH] = ds @ k
+    grad[:, -rows:, :WIDTH] *= np.float32(WIDTH**-0.5)
+    grad[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+    d_bias = np.bincount(d.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * HALF).astype(flat.dtype)
+    return loss, _sum_rows(x.ravel(), grad.reshape(-1, 4 * WIDTH)), d_bias, d_groups, d_members
 
 
 def fit(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, steps: int, rate: float, size: int = 64, seed: int = 3) -> dict:
@@ -215,28 +247,30 @@ def fit(m: dict, voc: Vocabulary, x: np.ndarray, y: np.ndarray, steps: int, rate
     one_thread()
     if not len(x):
         return {k: v.copy() for k, v in m.items()}
-    names, shapes = list(m), [v.shape for v in m.values()]
-    cuts = np.cumsum([v.size for v in m.values()])[:-1]
-    flat = np.concatenate([v.ravel() for v in m.values()])  # all weights in one row; m's are views of it
-    m = {k: v.reshape(shape) for k, v, shape in zip(names, np.split(flat, cuts), shapes, strict=True)}
+    parts = [_table(m), m["bias"], m["out"], m["in"]]
+    shapes, cuts = [v.shape for v in parts], np.cumsum([v.size for v in parts])[:-1]
+    flat = np.concatenate([v.ravel() for v in parts])  # all weights in one row; parts are views of it
+    parts = [v.reshape(shape) for v, shape in zip(np.split(flat, cuts), shapes, strict=True)]
+    # moments over 0.1 and 0.01, which spares a pass each
     first, second, by = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     order = np.random.default_rng(seed).permutation(len(x))
     for i in range(steps):
         at = order[(i * size + np.arange(min(size, len(x)))) % len(x)]
-        _, g = step(m, voc, x[at], y[at])
+        g = np.concatenate([v.ravel() for v in _step(*parts, voc, x[at], y[at])[1:]])
         now = rate * (1 - 0.9 * i / steps)
-        g = np.concatenate([g[k].ravel() for k in names])
+        root = (0.01 / (1 - 0.99 ** (i + 1))) ** 0.5
         first *= 0.9
-        first += np.multiply(g, 0.1, out=by)
+        first += g
         second *= 0.99
         g *= g
-        second += np.multiply(g, 0.01, out=by)
-        np.sqrt(np.multiply(second, 1 / (1 - 0.99 ** (i + 1)), out=by), out=by)
-        by += 1e-8
+        second += g
+        np.sqrt(second, out=by)
+        by += 1e-8 / root
         np.divide(first, by, out=by)
-        by *= now / (1 - 0.9 ** (i + 1))
+        by *= 0.1 * now / (1 - 0.9 ** (i + 1)) / root
         flat -= by
-    return m
+    own = dict(zip(VECTORS, np.split(parts[0], len(VECTORS), axis=1), strict=True)) | dict(zip(("bias", "out", "in"), parts[1:], strict=True))
+    return {k: np.ascontiguousarray(own[k]) for k in m}
 
 
 def stream(voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,9 +326,9 @@ def score(m: dict, voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray, end: i
     """
     one_thread()
     target, y, x, at = stream(voc, ids, offsets, end)
-    out = voc.inner[target]
+    out, table = voc.inner[target], _table(m)
     lo, hi, start = spans(at)
     for i in range(0, len(start), block):
         w, t, mine, good = windows(x, y, lo[i : i + block], hi[i : i + block], start[i : i + block])
-        out[mine[good]] += log_probabilities(m, voc, w, t, HALF)[good]
+        out[mine[good]] += log_probabilities(m, voc, w, t, HALF, table)[good]
     return np.add.reduceat(out, at[:-1]) if len(at) > 1 else np.zeros(0)

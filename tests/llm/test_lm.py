@@ -147,3 +147,30 @@ def test_steps_are_plain_adam():
         for c, row in zip(at.ravel(), one.reshape(-1, lm.WIDTH), strict=True):
             plain[c] += row
         assert np.abs(lm._by_class(at.ravel(), one, 2 * one)[1] - 2 * plain).max() < 1e-9
+
+
+def test_a_step_adds_up_by_class_once(monkeypatch):
+    """All four vectors of a class lie in one row: one look-up and one sum a step, and the gradients of windows of which only the last places are predicted."""
+    rng = np.random.default_rng(8)
+    v = lm.Vocabulary(rng.integers(1, 100, 300), rng.random(300) < 0.5)
+    v.groups, v.members = v.groups.astype(np.float64), v.members.astype(np.float64)
+    v.flat = v.members.reshape(-1, lm.MEMBERS)
+    m = {k: w.astype(np.float64) for k, w in lm.initial().items()}
+    x, y = rng.integers(0, lm.CLASSES, (5, 12)), rng.integers(0, lm.CLASSES, (5, 7))
+    x[0, :3], y[1, 5:] = lm.CLASSES, lm.CLASSES
+    sums, keep = [], lm._sum_rows
+    monkeypatch.setattr(lm, "_sum_rows", lambda at, own: (sums.append(own.shape), keep(at, own))[1])
+    loss, g = lm.step(m, v, x, y)
+    assert sums == [(60, 4 * lm.WIDTH)]
+    assert loss == pytest.approx(-lm.log_probabilities(m, v, x, y, 7).sum() / (y != lm.CLASSES).sum())
+    for k in m:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        old = m[k][at]
+        up, down = (m[k].__setitem__(at, old + e) or lm.step(m, v, x, y)[0] for e in (1e-5, -1e-5))
+        m[k][at] = old
+        assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3), k
+
+
+def test_powers_are_bounded():
+    got = lm._exp(np.array([-np.inf, 0.0, 39.0, 500.0]))
+    assert got == pytest.approx(np.exp([-np.inf, 0.0, 39.0, 40.0])) and lm._exp(np.zeros((0, 3))).shape == (0, 3)
