@@ -52,19 +52,20 @@ def embed(profiles_: DataFrame, dims: int = 2, most: int = MOST_EMBEDDED, weight
     names = ["x", "y", "z"][:dims]
     schema = "model_id string, " + ", ".join(f"{c} double" for c in names)
     if n > most:
-        return _embed_by_rounds(profiles_, n, names, schema)
+        return _embed_by_rounds(profiles_, names, schema, weight is not None)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("model_id")
         p = t.column("profile").combine_chunks().flatten().to_numpy().reshape(len(t), -1).copy()
         w = t.column("w").to_numpy()
-        p *= w**0.5
-        p -= w @ p / w.sum()
+        root = w**0.5 if weight else np.ones(p.shape[1])  # of a profile's places
+        p *= root
+        p -= w @ p / max(w.sum(), 1)
         out = np.zeros((len(p), dims))
         if len(p) > 1:
             u, s, v = np.linalg.svd(p * w[:, None] ** 0.5, full_matrices=False)
             k = min(dims, len(s))
-            out[:, :k] = (u[:, :k] * s[:k]) / w[:, None] ** 0.5 * _signs(v[:k] / w**0.5)
+            out[:, :k] = (u[:, :k] * s[:k]) / w[:, None] ** 0.5 * _signs(v[:k] / root)
         return pa.table([t.column("model_id"), *(pa.array(out[:, i]) for i in range(dims))], ["model_id", *names])
 
     return profiles_.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, schema)
@@ -75,12 +76,13 @@ def _signs(v: np.ndarray) -> np.ndarray:
     return np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])
 
 
-def _embed_by_rounds(profiles_: DataFrame, n: int, names: list[str], schema: str, rounds: int = 200) -> DataFrame:
-    """The driver holds a few numbers a model (the directions); a model's profile has as many itself."""
+def _embed_by_rounds(profiles_: DataFrame, names: list[str], schema: str, aligned: bool, rounds: int = 200) -> DataFrame:
+    """The driver holds a few numbers a place of the profiles (the directions); each profile has as many itself. ``aligned``: places weigh as the models they stand for."""
     profiles_ = durable(profiles_)
+    n = profiles_.select(F.size("profile")).first()[0]
     k = min(len(names) + 4, n)
-    root = profiles_.select("model_id", "w").orderBy("model_id").toArrow()["w"].to_numpy() ** 0.5
-    every = float((root**2).sum())
+    every = profiles_.agg(F.sum("w")).first()[0]
+    root = profiles_.select("model_id", "w").orderBy("model_id").toArrow()["w"].to_numpy() ** 0.5 if aligned else np.ones(n)
 
     def matrix(x: pa.RecordBatch) -> np.ndarray:
         return x.column(1).flatten().to_numpy().reshape(len(x), -1) * root
@@ -109,11 +111,12 @@ def _embed_by_rounds(profiles_: DataFrame, n: int, names: list[str], schema: str
     gram = np.linalg.eigh(summed(lambda p, w: (w * (q := p - mean)).T @ (q @ v), k).T @ v)  # in the directions found
     turn = (v @ gram[1][:, ::-1])[:, : len(names)]
     turn *= _signs((turn / root[:, None]).T)
+    found = turn.shape[1]  # profiles of fewer places have no more components
 
     def run(batches):
         for x in batches:
             y = (matrix(x) - mean) @ turn
-            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(y[:, i]) for i in range(len(names)))], ["model_id", *names])
+            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(y[:, i] if i < found else np.zeros(len(x))) for i in range(len(names)))], ["model_id", *names])
 
     return profiles_.select("model_id", "profile").mapInArrow(run, schema)
 

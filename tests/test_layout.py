@@ -84,6 +84,19 @@ def test_few_and_equal_models(spark):
         L.umap(frame(spark, np.ones((4, 3))), k=1)
 
 
+@pytest.mark.parametrize("most", [1000, 10])
+def test_components_of_profiles_of_any_length(spark, most):
+    """Profiles needn't have a place for each model."""
+    from causeway.operators import clusters as C
+
+    for places, dims in ((20, 3), (2, 3), (60, 2)):
+        x = np.random.default_rng(places).normal(size=(40, places)) * np.linspace(1, 3, places) ** 2
+        got = C.embed(frame(spark, x), dims, most).orderBy("model_id").toPandas().iloc[:, 1:].to_numpy()
+        u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        want = (u * s * np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)]))[:, :dims]
+        assert np.abs(got[:, : want.shape[1]] - want).max() < 1e-6 * np.abs(want).max() and (got[:, want.shape[1] :] == 0).all()
+
+
 def test_clusters_on_the_layout(spark):
     from causeway.operators import clusters as C
 
