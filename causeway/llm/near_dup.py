@@ -7,9 +7,10 @@ weighted Jaccard similarity is 0.8 or more; classes are what links connect.
 
 1. Chunks ask for the df of their distinct shingles and sample each text (``bands * rows`` samples).
 2. Equal texts count once. Texts that share a band, and whose weights allow it, are candidates; candidates that connect are a group.
-3. The vectors of a group's texts meet in tasks of bounded size. In a task every pair is compared that isn't connected
-   already. A group of more texts is dealt to several tasks, each with the text that most of the group's samples agree with;
-   texts that then are in another class than most of the group meet all its other tasks' texts.
+3. The vectors of a group's texts meet in one task if they are few, where every pair is compared that isn't connected already. A group of
+   more texts is mostly a chain of unlike ones, as any two that share a band join it, and grows faster than the input. Of it only texts that
+   share a band meet: first each band's with the one that shares most bands, then those that still are in another class than most of a
+   band's with all of that band's, in tasks of bounded size; a pair is compared in the first band that it shares.
 
 Null texts and texts without words have no shingles: equal non-empty ones are copies, all others are classes of their own.
 A class is named by its least id (null if it has none). Rows of equal id are rows like any other. Texts of any length have all their
@@ -18,6 +19,7 @@ shingles; other columns are carried as they are, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -213,10 +215,10 @@ def _vectors(n: int, size: int, total: int):
     return done
 
 
-def connect(hashes: list[np.ndarray], weights: list[np.ndarray], label: np.ndarray, similarity: float, first: list[int]) -> np.ndarray:
+def connect(hashes: list[np.ndarray], weights: list[np.ndarray], label: np.ndarray, similarity: float, only: list[int] | None = None, meets: Callable | None = None) -> np.ndarray:
     """Labels after linking all pairs of texts of at least this weighted Jaccard similarity; pairs of one label need no comparison.
 
-    ``first``: texts to compare first. A text is compared with all of other labels at once.
+    ``only``: texts of which a pair has one at least. ``meets``: of a text and an array of others, those to compare. A text is compared with all of other labels at once.
     """
     n = len(hashes)
     sizes = np.array([len(h) for h in hashes])
@@ -226,9 +228,8 @@ def connect(hashes: list[np.ndarray], weights: list[np.ndarray], label: np.ndarr
     total = np.add.reduceat(w, offs[:-1])
     parent = label.copy()
     dense = np.zeros(int(code.max()) + 1)
-    todo = dict.fromkeys([*first, *range(n)])
     done = np.zeros(n, bool)
-    for i in todo:
+    for i in range(n) if only is None else only:
         others = np.flatnonzero((parent != parent[i]) & ~done)
         done[i] = True
         if not len(others):
@@ -237,6 +238,8 @@ def connect(hashes: list[np.ndarray], weights: list[np.ndarray], label: np.ndarr
             continue
         # the lesser weight can't be under the similarity's share of the greater
         others = others[np.minimum(total[others], total[i]) >= similarity * np.maximum(total[others], total[i]) * (1 - 1e-9)]
+        if meets is not None and len(others):
+            others = meets(i, others)
         if not len(others):
             continue
         own = slice(offs[i], offs[i + 1])
@@ -251,11 +254,32 @@ def connect(hashes: list[np.ndarray], weights: list[np.ndarray], label: np.ndarr
     return parent
 
 
+def first_shared(keys: np.ndarray, place: np.ndarray) -> Callable:
+    """For ``connect``, of texts that share a key, which stands at this place among each one's keys (see ``sized``): whether it is the first one that two of them share."""
+    bands = keys.shape[1] // 2
+    before = place[0] % bands
+    own, up = keys[:, :before], keys[:, bands : bands + before]
+
+    def meets(i: int, others: np.ndarray) -> np.ndarray:
+        if place[i] >= bands:  # two that have it by the class next to their own share one by their own
+            others = others[place[others] < bands]
+        o, u = own[others], up[others]
+        return others[~((o == own[i]) | (o == up[i]) | (u == own[i])).any(axis=1)]
+
+    return meets
+
+
 def _verify(similarity: float):
+    """Of texts (uid, label, lead, blob), pairs with a leader if there is one; of those that share a key (keys, place), pairs that share none before."""
+
     def run(t: pa.Table) -> pa.Table:
-        uid, label, lead = (t.column(c).to_numpy() for c in ("uid", "label", "lead"))
+        label, lead = (t.column(c).to_numpy() for c in ("label", "lead"))
         parts = [X.split_blobs(x.as_py()) for x in t.column("blob")]
-        got = connect([X.unpack_sorted(a) for a, _ in parts], [np.frombuffer(X.unpress(z), np.float32) for _, z in parts], label, similarity, np.flatnonzero(lead).tolist())
+        meets = None
+        if "keys" in t.column_names:
+            meets = first_shared(t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1), t.column("place").to_numpy())
+        only = np.flatnonzero(lead).tolist() or None
+        got = connect([X.unpack_sorted(a) for a, _ in parts], [np.frombuffer(X.unpress(z), np.float32) for _, z in parts], label, similarity, only, meets)
         new = got != label
         B.trim()
         return pa.table([pa.array(label[new]), pa.array(got[new])], ["u", "v"])
@@ -293,47 +317,54 @@ def _places(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(t.column("b").to_numpy()[:1]), pa.array([-1], pa.int32()), pa.array([X.pack_ints(t.column("i").to_numpy())], pa.binary())], ["b", "k", "blob"])
 
 
+def _tasks(texts: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): how many tasks of bounded size each key's texts (size) take."""
+    return texts.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / TASK_TEXTS), F.ceil(F.sum("size") / TASK_WEIGHT)).cast("int").alias(name))
+
+
 def _links(signed: DataFrame, groups: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
     """(u, v): text u belongs to the class that v stands for."""
     member = groups.join(signed.where("uid = rep").select("uid", "size", "keys"), "uid")
-    sums = member.groupBy("grp").agg(F.count("*").alias("texts"), F.sum("size").alias("weight"))
-    tasks = X.durable(sums.select("grp", F.greatest(F.ceil(F.col("texts") / TASK_TEXTS), F.ceil(F.col("weight") / TASK_WEIGHT)).cast("int").alias("tasks")).where("tasks > 1"))
-    if not tasks.limit(1).count():
-        seats = groups.select("grp", F.lit(0).alias("block"), "uid", F.lit(False).alias("lead"))
-        return _compared(seats.withColumn("label", F.col("uid")), vectors, ["grp", "block"], similarity)
-    return _links_of_large(member, groups, tasks, vectors, similarity)
+    large = X.durable(_tasks(member, "grp", "tasks").where("tasks > 1"))
+    some = large.limit(1).count() > 0
+    small = groups.join(large, "grp", "left_anti") if some else groups
+    found = _compared(small.select("grp", "uid", F.col("uid").alias("label"), F.lit(False).alias("lead")), vectors, ["grp"], similarity)
+    return _links_of_large(member.join(large, "grp", "left_semi"), found, vectors, similarity) if some else found
 
 
 def _compared(seats: DataFrame, vectors: DataFrame, task: list[str], similarity: float) -> DataFrame:
     return seats.join(vectors, "uid").groupBy(*task).applyInArrow(_verify(similarity), "u long, v long")
 
 
-def _links_of_large(member: DataFrame, groups: DataFrame, tasks: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
-    # the text that agrees most with its large group's most frequent keys
-    key = X.durable(member.join(tasks, "grp").select("grp", "uid", F.posexplode("keys").alias("band", "key")))
-    mode = key.groupBy("grp", "band", "key").agg(F.count("*").alias("n")).groupBy("grp", "band").agg(F.max_by("key", F.struct("n", "key")).alias("key"))
-    agree = key.join(mode, ["grp", "band", "key"]).groupBy("grp", "uid").agg(F.count("*").alias("n"))
-    lead = agree.groupBy("grp").agg(F.max_by("uid", F.struct("n", -F.col("uid"))).alias("leader"))
-    block = F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("tasks")).cast("int"))
-    dealt = X.durable(groups.join(tasks.join(lead, "grp"), "grp", "left").select("grp", "uid", "leader", "tasks", block.alias("block")))
-    # the leader sits in each block of its group
-    others = dealt.where("leader is null or uid <> leader").select("grp", "block", "uid", F.lit(False).alias("lead"))
-    leaders = dealt.where("uid = leader").select("grp", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("block"), "uid", F.lit(True).alias("lead"))
-    found = _compared(others.union(leaders).withColumn("label", F.col("uid")), vectors, ["grp", "block"], similarity)
-    links = components(found)
-    labels = dealt.where("tasks is not null").join(links.withColumnsRenamed({"u": "uid", "v": "label"}), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    top = labels.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    labels = X.durable(labels.join(top, "grp"))
-    rest = labels.where("label <> top")
-    if not rest.limit(1).count():
+def _links_of_large(member: DataFrame, found: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """``found``, with the links of the members of large groups."""
+    member = X.durable(member.select("uid", "size", "keys"))
+    key = member.select("uid", "size", F.posexplode("keys").alias("place", "key"))
+    key = X.durable(key.join(key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    # a key's texts and the one of them that shares most keys with others
+    most = key.groupBy("uid").agg(F.sum("n").alias("met"))
+    star = key.join(most, "uid").groupBy("key").agg(F.max_by("uid", F.struct("met", -F.col("uid"))).alias("star"))
+    star = X.durable(key.join(star, "key").where("uid <> star").select("star", "uid", "size").distinct())
+    tasks = X.durable(_tasks(star, "star", "tasks"))
+    seats = star.join(tasks, "star").select("star", F.pmod(F.xxhash64("uid"), F.col("tasks")).alias("block"), "uid", F.lit(False).alias("lead"))
+    seats = seats.union(tasks.select("star", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)), "star", F.lit(True)))
+    links = components(found.union(_compared(seats.withColumn("label", F.col("uid")), vectors, ["star", "block"], similarity)))
+    # every text outside a key's largest class meets all texts of the key: its row of tasks, their column
+    own = key.drop("n").join(links.withColumnsRenamed({"u": "uid", "v": "label"}), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    top = own.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    own = X.durable(own.join(top, "key").withColumn("lead", F.col("label") != F.col("top")).drop("top"))
+    if not own.limit(1).count():
         return links
-    # every text outside its group's largest class meets all texts of the group, about TASK_TEXTS at a time
-    most = X.durable(rest.groupBy("grp").agg((F.ceil(F.count("*") / TASK_TEXTS) - 1).cast("int").alias("rows")))
-    rows = rest.join(most, "grp").withColumn("row", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rows") + 1).cast("int")).drop("rows")
-    pairs = rows.select("grp", "row", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("block"), "uid", "label", F.lit(True).alias("lead"))
-    pairs = pairs.union(labels.join(most, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("rows"))).alias("row"), "block", "uid", "label", F.lit(False).alias("lead")))
-    pairs = pairs.groupBy("grp", "row", "block", "uid", "label").agg(F.max("lead").alias("lead"))
-    return components(links.union(_compared(pairs, vectors, ["grp", "row", "block"], similarity)))
+    sizes = X.durable(_tasks(own.where("lead"), "key", "rows").join(_tasks(own, "key", "columns"), "key"))
+    at = lambda of, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(of)).cast("int")
+    up_to = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    placed = own.join(sizes, "key").withColumns({"row": at("rows", 1), "column": at("columns", 0)})
+    column = F.transform(up_to("rows"), lambda r: r * F.col("columns") + F.col("column"))
+    row = F.when(F.col("lead"), F.transform(up_to("columns"), lambda c: F.col("row") * F.col("columns") + c)).otherwise(F.array().cast("array<int>"))
+    seats = placed.withColumn("cell", F.explode(F.array_union(column, row)))
+    seats = seats.select("key", "cell", "uid", "label", "place", (F.col("lead") & (F.floor(F.col("cell") / F.col("columns")) == F.col("row"))).alias("lead"))
+    seats = seats.join(member.select("uid", "keys"), "uid")
+    return components(links.union(_compared(seats, vectors, ["key", "cell"], similarity)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

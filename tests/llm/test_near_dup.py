@@ -83,6 +83,20 @@ def test_as_brute_force(spark, tmp_path, monkeypatch, texts):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_chains_of_unlike_texts_dont_meet_as_one_group(spark, tmp_path, monkeypatch):
+    """Each text shares bands with the next few alone, but all are one group: tasks hold so many rows as bands are shared, not the group times the group."""
+    rng = np.random.default_rng(3)
+    w = [f"w{x}" for x in rng.integers(0, 10**9, 2000)]
+    rows = [(i, " ".join(w[5 * i : 5 * i + 40])) for i in range(300)] + [(1000 + i, " ".join([*w[50 * i : 50 * i + 40], "end"])) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(near_dup, "TASK_TEXTS", 4)
+    seats, compared = [], near_dup._compared
+    monkeypatch.setattr(near_dup, "_compared", lambda s, *a: seats.append(s) or compared(s, *a))
+    got = sorted(map(tuple, near_dup.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()))
+    assert got == brute(rows) and len({c for _, c in got}) == 300
+    assert sum(s.count() for s in seats) < 60 * len(rows)
+
+
 def test_wide_columns_move_no_chunk(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(5, 60)))), "z" * int(rng.integers(0, 900))) for i in range(600)]
