@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.functions.durable import front_coded
 from causeway.operators import alike as A
 from causeway.operators import clusters as C
 from causeway.operators import dyads as D
@@ -131,8 +132,10 @@ select e || '__' || a as dyad_id, late = 0 as timing_compatible, array_to_string
   sh::bigint as shared_resolved_claims, (nu + un + len(ec) + one)::bigint as union_resolved_claims, len(ec) + len(nc) > 0 as existence_conflict from r"""
 )
 def dyad_records(spark, sf_dir):
+    """Each pair has an id of its own, which no dictionary shortens: see ``front_coded``, which sets how the session writes Parquet from here on."""
     reg, m = E.packed(spark, sf_dir)
-    return D.all_pairs(m, reg).select("dyad_id", "timing_compatible", F.concat_ws(",", "excluded_components").alias("excluded_components"), F.concat_ws(",", "conflicting_components").alias("conflicting_components"), "shared_resolved_claims", "union_resolved_claims", "existence_conflict")
+    front_coded(spark)
+    return D.all_pairs(m, reg, text=True).select("dyad_id", "timing_compatible", "excluded_components", "conflicting_components", "shared_resolved_claims", "union_resolved_claims", "existence_conflict")
 
 
 @query("select ego_id, alter_id, shared, union_claims from dyad where ego_id = (select min(m) from models)")

@@ -50,8 +50,8 @@ def any_set(sets: list[Column]) -> Column:
 _RUN = 8
 
 
-def members(sets: list[Column], names: list[tuple[int, str]]) -> Column:
-    """The names of the set bits, in this order: up to ``_RUN`` neighbouring bits are one place in a constant table of their subsets' names."""
+def _looked_up(sets: list[Column], names: list[tuple[int, str]], of: Callable, kind: str) -> list[Column]:
+    """Up to ``_RUN`` neighbouring bits are one place in a constant table of what ``of`` makes of their subsets' names."""
     runs: list[list[tuple[int, str]]] = []
     for b, s in names:
         if runs and len(runs[-1]) < _RUN and b == runs[-1][-1][0] + 1 and b & 63:
@@ -62,11 +62,22 @@ def members(sets: list[Column], names: list[tuple[int, str]]) -> Column:
     for run in runs:
         word, first = divmod(run[0][0], 64)
         at = F.shiftrightunsigned(sets[word], first).bitwiseAND(F.lit((1 << len(run)) - 1)).cast("int")
-        table = json.dumps([[s for i, (_, s) in enumerate(run) if x >> i & 1] for x in range(1 << len(run))])
-        parts.append(F.get(F.from_json(F.lit(table), "array<array<string>>"), at))
+        table = json.dumps([of([s for i, (_, s) in enumerate(run) if x >> i & 1]) for x in range(1 << len(run))])
+        parts.append(F.get(F.from_json(F.lit(table), f"array<{kind}>"), at))
+    return parts
+
+
+def members(sets: list[Column], names: list[tuple[int, str]]) -> Column:
+    """The names of the set bits, in this order."""
+    parts = _looked_up(sets, names, list, "array<string>")
     return (F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else F.array().cast("array<string>")
 
 
+def joined(*sets: tuple[list[Column], list[tuple[int, str]]], by: str = ",") -> Column:
+    """The names of the set bits of these sets in one string, ``members`` of each without an array."""
+    return F.concat_ws(by, *(part for words_, names in sets for part in _looked_up(words_, names, lambda x: by.join(x) if x else None, "string")))
+
+
 def union_of(bits: Column, value: Column, n: int, when: Column) -> list[Column]:
     """Aggregates: the words of the set of all bits for which ``when`` holds."""
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.bitwiseAND(F.lit(63)).cast("int"))

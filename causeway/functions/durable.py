@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,12 @@ def number_rows(df: DataFrame, *order, name: str = "n") -> DataFrame:
     base = df.sparkSession.createDataFrame(before, "_part int, _base long")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + place).drop("_part", "_base")
+
+
+def front_coded(spark: SparkSession) -> None:
+    """Has this session's later Parquet files keep of a string only where it differs from the one before (pages of version 2), unless a version was chosen.
+
+    A table's rows carry no options for whoever writes them, so this is a setting of the session. Spark, DuckDB and Arrow read both versions.
+    """
+    if spark.conf.get("parquet.writer.version", None) is None:
+        spark.conf.set("parquet.writer.version", "v2")

@@ -103,21 +103,24 @@ def timing_compatible(registry: Registry) -> Column:
     return ~F.col("e_backward") & ~F.col("a_backward") & ~clash
 
 
-def compare(pairs_: DataFrame, registry: Registry, rounded: bool = True) -> DataFrame:
-    """The full structural record of each pair. The models need the column ``backward`` (see ``timed``)."""
+def compare(pairs_: DataFrame, registry: Registry, rounded: bool = True, text: bool = False) -> DataFrame:
+    """The full structural record of each pair. The models need the column ``backward`` (see ``timed``). ``text``: lists of components as strings, with commas."""
     c = counters(registry)
     rate = similarity(F.col("shared"), F.col("union_claims"))
+    clashes = (edge_conflicts(registry), _names(registry.edges, registry))
+    nodes = (bits.each(lambda x, y: x.bitwiseXOR(y), *_both(registry)["np"]), _names(registry.nodes, registry))
+    lost = (bits.each(lambda x, y: F.bitwise_not(x.bitwiseAND(y)), *_both(registry)["app"]), _names(registry.edges, registry))
     # names are made only for pairs that have any
-    some = lambda n, names: F.when(n > 0, names).otherwise(F.array().cast("array<string>"))
-    conflicts = some(c["edge_conflicts"] + c["node_conflicts"], F.concat(bits.members(edge_conflicts(registry), _names(registry.edges, registry)), bits.members(bits.each(lambda x, y: x.bitwiseXOR(y), *_both(registry)["np"]), _names(registry.nodes, registry))))
-    apart = some(c["inapplicable_components"], bits.members(bits.each(lambda x, y: F.bitwise_not(x.bitwiseAND(y)), *_both(registry)["app"]), _names(registry.edges, registry)))
+    some = lambda n, names: F.when(n > 0, names).otherwise(F.lit("") if text else F.array().cast("array<string>"))
+    conflicts = some(c["edge_conflicts"] + c["node_conflicts"], bits.joined(clashes, nodes) if text else F.concat(bits.members(*clashes), bits.members(*nodes)))
+    apart = some(c["inapplicable_components"], bits.joined(lost) if text else bits.members(*lost))
     out = pairs_.select(
         F.col("e_model_id").alias("ego_id"), F.col("a_model_id").alias("alter_id"), *(v.cast("bigint").alias(k) for k, v in c.items() if k != "compared"),
         timing_compatible(registry).alias("timing_compatible"), conflicts.alias("conflicting_components"), apart.alias("excluded_components"),
     )
     return out.select(
         F.concat_ws("__", "ego_id", "alter_id").alias("dyad_id"), "ego_id", "alter_id", (F.bround(rate, 6) if rounded else rate).alias("similarity_rate"), "timing_compatible",
-        (F.size("conflicting_components") > 0).alias("existence_conflict"), "conflicting_components", "repair_cost", "excluded_components", "node_conflicts", "edge_conflicts", "inapplicable_components",
+        (F.col("edge_conflicts") + F.col("node_conflicts") > 0).alias("existence_conflict"), "conflicting_components", "repair_cost", "excluded_components", "node_conflicts", "edge_conflicts", "inapplicable_components",
         F.col("shared").alias("shared_resolved_claims"), F.col("union_claims").alias("union_resolved_claims"),
     )
 
@@ -131,8 +134,8 @@ def counts(pairs_: DataFrame, registry: Registry) -> DataFrame:
     return pairs_.select(F.col("e_model_id").alias("ego_id"), F.col("a_model_id").alias("alter_id"), *(v.cast("bigint").alias(k) for k, v in counters(registry).items()))
 
 
-def all_pairs(models: DataFrame, registry: Registry, **options) -> DataFrame:
-    return compare(pairs(timed(models, registry), registry, **options), registry)
+def all_pairs(models: DataFrame, registry: Registry, text: bool = False, **options) -> DataFrame:
+    return compare(pairs(timed(models, registry), registry, **options), registry, text=text)
 
 
 def single_reference(models: DataFrame, registry: Registry, reference: str) -> DataFrame:

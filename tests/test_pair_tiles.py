@@ -26,6 +26,22 @@ def test_pairs_are_written_small_and_whole(spark, tmp_path, name, bytes_a_pair):
     spark.catalog.clearCache()
 
 
+def test_records_are_written_small_and_whole(spark, tmp_path):
+    """Ids of pairs are all different, so files are small only if a string is kept by what differs from the one before."""
+    spark.conf.unset("parquet.writer.version")
+    try:
+        K.dyad_records(spark, SF).write.parquet(f"file://{tmp_path}/out")
+        spark.conf.set("parquet.writer.version", "v1")
+        K.dyad_records(spark, SF)
+        assert spark.conf.get("parquet.writer.version") == "v1"  # a user's choice stays
+    finally:
+        spark.conf.unset("parquet.writer.version")
+        spark.catalog.clearCache()
+    out, n = spark.read.parquet(f"file://{tmp_path}/out"), E.packed(spark, SF)[1].count()
+    assert out.count() == out.select("dyad_id").distinct().count() == n * (n - 1)
+    assert sum(p.stat().st_size for p in Path(tmp_path, "out").glob("*.parquet")) <= n * (n - 1)
+
+
 def test_tiles_of_any_size(spark, monkeypatch):
     reg, m = E.packed(spark, "/root/testdata/sf0.001")
     want = sorted(map(tuple, D.counts(D.pairs(m, reg), reg).collect()))
