@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.errors import ClusterError
@@ -18,6 +18,10 @@ from causeway.operators import layout as L
 from causeway.sources.registry import Registry
 
 
+#: Shares of the classes that look for their neighbours among all classes.
+_SHARES = 32
+
+
 def claims(registry: Registry) -> list[str]:
     """The columns that all counts of a pair come from."""
     return [f"{k}{i}" for k in ("np", "app", "cm", "xm") for i in range(registry.words)]
@@ -115,16 +119,66 @@ def sketches(p: DataFrame, number: DataFrame, dims: int = L.SKETCH, seed: int =
     return p.join(g, "a_model_id").groupBy(F.col("e_model_id").alias("class")).agg(F.array(*sums).alias("vec"))
 
 
+def neighbours(number: DataFrame, vectors: DataFrame, k: int = L.NEIGHBOURS, seed: int = 0) -> DataFrame:
+    """(u, v, d): the k nearest of each model, exactly, from the models (i from 0, class) and the classes' sketches (class, vec).
+
+    Models of a class lie at one point, so classes alone are compared: a model takes its own class first, then the next nearest ones up to k models. Of a
+    class that has more than are wanted it takes those in seeded places after its own, so that no model is everyone's neighbour.
+    """
+    size = number.groupBy("class").agg(F.count("*").alias("n"))
+    within = F.row_number().over(Window.partitionBy("class", "part").orderBy("i"))
+    part = number.withColumn("part", F.floor(F.col("i") / L.SHARD))
+    before = Window.partitionBy("class").orderBy("part")  # rows of a class and part
+    base = part.groupBy("class", "part").agg(F.count("*").alias("own")).select("class", "part", (F.sum("own").over(before) - F.col("own")).alias("base"))
+    ranked = durable(part.withColumn("r", within).join(base, ["class", "part"]).select("i", "class", (F.col("r") + F.col("base") - 1).alias("r")))
+    of = durable(vectors.join(size, "class"))
+
+    def nearest(own, every) -> pa.Table:
+        """Of each class (class, vec, n): which classes its models take neighbours from, how many, and how far they are."""
+        every = every.sort_by("class")
+        names, n, p = every.column("class").to_pylist(), every.column("n").to_numpy(), _matrix(every)
+        out = []
+        for name, vec in [] if not len(own) else zip(own.column("class").to_pylist(), _matrix(own), strict=True):
+            d = np.sqrt(((p - vec) ** 2).sum(axis=1))
+            at = names.index(name)
+            d[at], left = -1, k
+            for j in np.argsort(d, kind="stable")[: k + 1].tolist():
+                take = min(left, int(n[j]) - (j == at))
+                if take > 0:
+                    out.append((name, names[j], take, max(float(d[j]), 0.0), j == at))
+                left -= take
+                if not left:
+                    break
+        return pa.Table.from_pylist([dict(zip(("class", "other", "take", "d", "same"), r, strict=True)) for r in out], schema=pa.schema([("class", pa.string()), ("other", pa.string()), ("take", pa.int32()), ("d", pa.float64()), ("same", pa.bool_())]))
+
+    dealt = of.withColumn("s", F.pmod(F.xxhash64("class"), F.lit(_SHARES)).cast("int"))
+    every = of.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))  # classes are few: each share meets them all
+    taken = dealt.groupBy("s").cogroup(every.groupBy("s")).applyInArrow(nearest, "class string, other string, take int, d double, same boolean")
+    taken = taken.join(size.withColumnRenamed("class", "other"), "other")
+    # steps from a model's place in its class to places in the other one; in a large class they stay near, so that few shards meet
+    span = F.least(F.col("n") - F.col("same").cast("int"), F.lit(L.SHARD // 2))
+    step = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), span.cast("int")), lambda j: F.struct(F.xxhash64(F.lit(seed), "other", j).alias("h"), j.alias("j")))), 1, F.col("take"))
+    steps = durable(taken.select("class", "other", "n", "d", "same", F.explode(F.when(F.col("take") == span, F.transform(F.sequence(F.lit(1), F.col("take")), lambda j: F.struct(F.lit(0).cast("long").alias("h"), j.alias("j")))).otherwise(step)).alias("x")).select("class", "other", "n", "d", "same", F.col("x.j").alias("j")))
+    sizes = size.withColumnsRenamed({"n": "from"})
+    first = F.when(F.col("same"), F.col("r")).otherwise(F.floor(F.col("r") * F.col("n") / F.col("from")))  # the same share of the way through the other class
+    asked = ranked.join(sizes, "class").join(F.broadcast(steps), "class").select(F.col("i").alias("u"), "other", F.pmod(first + F.col("j"), F.col("n")).alias("r"), "d")
+    to = ranked.select(F.col("i").alias("v"), F.col("class").alias("other"), "r")
+    return asked.join(to, ["other", "r"]).select("u", "v", "d")
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+
+
 def umap(models: DataFrame, registry: Registry, dims: int = 2, k: int = L.NEIGHBOURS, seed: int = 42) -> DataFrame:
-    """As ``layout.umap`` of all aligned profiles."""
+    """As ``layout.umap`` of all aligned profiles, with exact neighbours. Models are numbered by class, so that a shard's neighbours are mostly its own."""
     of = _named(models, registry)
-    number = durable(number_rows(of, "model_id", name="i").withColumn("i", (F.col("i") - 1).cast("long")))
+    number = durable(number_rows(of, "class", "model_id", name="i").withColumn("i", (F.col("i") - 1).cast("long")))
     p = durable(pairs(classes(models, registry), registry).select("e_model_id", "e_n", "a_model_id", "score"))
     start = number.join(C.embed(_profiles(p), dims, weight="n").withColumnRenamed("model_id", "class"), "class").drop("class", "i")
     if number.count() <= L.SKETCH:  # whole profiles
-        wide = F.struct(F.col("i"), "score")
-        each = number.join(p, number["class"] == p["e_model_id"]).select("model_id", "a_model_id", "score").join(number.select("i", F.col("class").alias("a_model_id")), "a_model_id")
-        vectors = each.groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(wide)), lambda x: F.bround(x["score"], 6)).alias("vec")).join(number, "model_id").select("i", "vec")
+        each = p.select("e_model_id", "a_model_id", "score").join(number.select("i", F.col("class").alias("a_model_id")), "a_model_id")
+        vectors = each.groupBy(F.col("e_model_id").alias("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "score"))), lambda x: F.bround(x["score"], 6)).alias("vec"))
     else:
-        vectors = number.join(sketches(p, number, L.SKETCH, seed), "class").select("i", "vec")
-    return L.lay_out(number.select("model_id", "i"), start, vectors, dims, k, seed)
+        vectors = sketches(p, number, L.SKETCH, seed)
+    return L.lay_out(number.select("model_id", "i"), start, lambda: neighbours(number, vectors, k, seed), dims, k, seed)

@@ -13,6 +13,8 @@ work is dealt out. No table passes one task or the driver; a task holds a shard'
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -102,6 +104,11 @@ def weights(graph: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
             us, vs, ws = [], [], []
             for u, own, dist in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
                 d = np.array(dist)
+                if not d.any():  # equal models: nothing to scale
+                    us += [u] * len(own)
+                    vs += own
+                    ws.append(np.ones(len(d)))
+                    continue
                 rho = d[d > 0].min() if (d > 0).any() else 0.0
                 gap = np.maximum(d - rho, 0)
                 low, high, s, goal = 0.0, np.inf, 1.0, np.log2(len(d))
@@ -146,10 +153,13 @@ def place(edges: DataFrame, start: DataFrame, dims: int = 2, seed: int = 0, roun
     start = durable(start)
     n = start.count()
     shards = -(-n // SHARD)
-    edges = durable(edges.withColumn("shard", F.pmod("u", F.lit(shards))))
+    edges = durable(edges.withColumn("shard", F.floor(F.col("u") / SHARD)))  # neighbours in number share a shard
     most = edges.agg(F.max("w")).first()[0] or 1.0
     meets = durable(edges.select(F.col("shard").alias("s"), F.col("v").alias("i")).union(edges.select("shard", "u")).distinct())
 
+    def summed(p: np.ndarray, steps: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(p, steps[:, j], n) for j in range(dims)], axis=1)
+
     def moved(turn: int):
         def run(own: pa.Table, known: pa.Table) -> pa.Table:
             own, known = own.sort_by([("u", "ascending"), ("v", "ascending")]), known.sort_by([("i", "ascending"), ("drawn", "ascending")])
@@ -169,15 +179,15 @@ def place(edges: DataFrame, start: DataFrame, dims: int = 2, seed: int = 0, roun
                 p, q = u[use], v[use]
                 gap = at[p] - at[q]
                 d2 = (gap**2).sum(axis=1)
+                power = d2**b
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    pull = np.where(d2 > 0, -2 * a * b * d2 ** (b - 1) / (1 + a * d2**b), 0.0)
-                step = np.zeros_like(at)
-                np.add.at(step, p, np.clip(pull[:, None] * gap, -4, 4))
+                    pull = np.where(d2 > 0, -2 * a * b * power / d2 / (1 + a * power), 0.0)
+                step = summed(p, np.clip(pull[:, None] * gap, -4, 4), len(at))
                 p = np.repeat(p, AWAY)
                 gap = at[p] - pool[draw.integers(0, len(pool), len(p))]
                 d2 = (gap**2).sum(axis=1)
                 push = 2 * b / ((0.001 + d2) * (1 + a * d2**b))
-                np.add.at(step, p, np.where((d2 > 0)[:, None], np.clip(push[:, None] * gap, -4, 4), 0.0))
+                step += summed(p, np.where((d2 > 0)[:, None], np.clip(push[:, None] * gap, -4, 4), 0.0), len(at))
                 at[inside] += rate * np.clip(step[inside], -8, 8)
             flat = pa.array(np.round(at[inside], 9).ravel())
             return pa.table([pa.array(ids[inside]), pa.ListArray.from_arrays(pa.array(np.arange(len(inside) + 1) * dims, pa.int32()), flat)], ["i", "at"])
@@ -203,11 +213,11 @@ def umap(profiles: DataFrame, dims: int = 2, k: int = NEIGHBOURS, seed: int = 42
     profiles = durable(profiles)
     number = durable(number_rows(profiles.select("model_id"), "model_id", name="i").withColumn("i", (F.col("i") - 1).cast("long")))
     vectors = sketches(profiles, SKETCH, seed).join(number, "model_id").select("i", "vec")
-    return lay_out(number, embed(profiles, dims), vectors, dims, k, seed, min_dist, spread)
+    return lay_out(number, embed(profiles, dims), lambda: neighbours(vectors, k, seed), dims, k, seed, min_dist, spread)
 
 
-def lay_out(number: DataFrame, start: DataFrame, vectors: DataFrame, dims: int = 2, k: int = NEIGHBOURS, seed: int = 42, min_dist: float = MIN_DIST, spread: float = SPREAD) -> DataFrame:
-    """``umap`` from the models' numbers (model_id, i), their first places (model_id, x, y[, z]) and sketches (i, vec)."""
+def lay_out(number: DataFrame, start: DataFrame, graph: Callable[[], DataFrame], dims: int = 2, k: int = NEIGHBOURS, seed: int = 42, min_dist: float = MIN_DIST, spread: float = SPREAD) -> DataFrame:
+    """``umap`` from the models' numbers (model_id, i), their first places (model_id, x, y[, z]) and what gives their nearest ones (u, v, d)."""
     if k < 2:
         raise ClusterError("at least two neighbours are needed", "INVALID_NEIGHBOURS")
     names = ["x", "y", "z"][:dims]
@@ -218,6 +228,6 @@ def lay_out(number: DataFrame, start: DataFrame, vectors: DataFrame, dims: int =
     size = start.agg(size).first()[0] or 1.0
     noise = lambda j: F.pmod(F.xxhash64(F.lit(seed), "i", F.lit(j)), F.lit(1 << 20)) / float(1 << 20) * 1e-2
     start = start.join(number, "model_id").select("i", F.array(*(F.round(F.col(c) / size * 10, 6) + noise(j) for j, c in enumerate(names))).alias("at"))
-    edges = weights(neighbours(vectors, k, seed), k)
+    edges = weights(graph())
     at = place(edges, start, dims, seed, min_dist=min_dist, spread=spread)
     return at.join(number, "i").select("model_id", *(F.get("at", F.lit(j)).alias(c) for j, c in enumerate(names)))

@@ -61,6 +61,23 @@ def test_sketches_and_layout(spark, given):
     assert A.umap(m, reg).count() == len(rows)
 
 
+@pytest.mark.parametrize("k", [3, 15])
+def test_neighbours_come_from_classes(spark, k):
+    """Each model's k nearest by distance, and none that is everyone's, though hundreds lie at one point."""
+    sizes, g = [400, 7, 1, 1, 30, 2], np.random.default_rng(6)
+    at = g.normal(size=(len(sizes), 4))
+    of = [c for c, n in enumerate(sizes) for _ in range(n)]
+    number = spark.createDataFrame([(i, f"c{c}") for i, c in enumerate(of)], "i long, class string").repartition(3)
+    vectors = spark.createDataFrame([(f"c{c}", v.tolist()) for c, v in enumerate(at)], "class string, vec array<double>")
+    rows = A.neighbours(number, vectors, k, 1).collect()
+    d = np.sqrt(((at[of][:, None] - at[of][None]) ** 2).sum(axis=2))
+    assert len({(r["u"], r["v"]) for r in rows}) == len(rows) == k * len(of) and all(r["u"] != r["v"] and abs(r["d"] - d[r["u"], r["v"]]) < 1e-12 for r in rows)
+    got = np.array(sorted((r["u"], r["d"]) for r in rows))[:, 1].reshape(-1, k)
+    assert np.abs(got - np.sort(d + np.diag([np.inf] * len(of)), axis=1)[:, :k]).max() < 1e-12
+    met = np.bincount([r["v"] for r in rows if r["d"] == 0], minlength=len(of))
+    assert met.max() == k  # each place of a class is met as often as it meets others
+
+
 def test_work_grows_with_classes(given):
     reg, m, _, _ = given
     of = A.classes(m, reg)
